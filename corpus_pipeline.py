@@ -1,6 +1,53 @@
-"""A corpus pipeline: documents in, packed training sequences out."""
+"""A corpus pipeline: documents in, packed training sequences out. Each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from shelfmark.llm import common, decontaminate, line_dedup, near_duplicates, packing, queries, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.clean(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated windows of lines go from the texts; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return near_duplicates.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much of a benchmark go."""
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed."""
+    return packing.packed_digests(docs, queries.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: A trained model, MinHash and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.spool(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
