@@ -42,6 +42,14 @@ def spool(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of frames that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         delete(spark, path)

@@ -44,9 +44,29 @@ def screened(y: np.ndarray, x: linear.Sparse, buckets: int) -> linear.Sparse:
     return linear.Sparse(np.cumsum(np.bincount(row[keep], minlength=len(y))), x.idx[keep], x.val[keep])
 
 
+def copies(y: np.ndarray, x: linear.Sparse, hashes: int = 12, equal: int = 3) -> np.ndarray:
+    """Rows that share `equal` of `hashes` MinHash values with an earlier row of their side: copies would make their rare words look telling."""
+    a = np.random.default_rng(3).integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen, out = {}, np.zeros(len(y), bool)
+    for r in range(len(y)):
+        idx = common.mix(x.idx[x.starts[r] : x.ends[r]].astype(np.uint64) + np.uint64(1))
+        if not len(idx):
+            continue
+        marks = [(y[r], k, int(v)) for k, v in enumerate((idx[None, :] * a[:, None]).min(1))]
+        met = [seen[m] for m in marks if m in seen]
+        out[r] = bool(met) and max(map(met.count, set(met))) >= equal
+        for m in marks:
+            seen.setdefault(m, r)
+    return out
+
+
 def fit(y: np.ndarray, x: linear.Sparse, prior: float, buckets: int = linear.BUCKETS) -> np.ndarray:
     """Weights and a bias. y: 1 for positives, 0 for unlabelled rows."""
     opt = linear.Adam(buckets, RATE)
+    once = np.flatnonzero(~copies(y, x))
+    n = (x.ends - x.starts)[once]
+    _, idx, val = x.take(once)
+    y, x = y[once], linear.Sparse(np.cumsum(n), idx, val)
     x = screened(y, x, buckets)
     # the bias: what the prior makes of a text without any screened bucket; it stays, and the weights are learned
     bare = x.ends == x.starts
