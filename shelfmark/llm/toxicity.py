@@ -96,12 +96,16 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
         return None
     positive = linear.first_ids(known.filter("toxic = 1").select("doc_id").distinct(), most_positive)
     unlabelled = linear.first_ids(docs.filter(~held_out()), most_unlabelled)
-    # a positive that is also drawn as unlabelled serves as a positive alone
-    ids = dict.fromkeys(unlabelled, 0.0) | dict.fromkeys(positive, 1.0)
+    # unlabelled rows stand for all texts: a positive that is drawn among them (2) is on both sides
+    drawn = set(unlabelled)
+    ids = dict.fromkeys(unlabelled, 0.0) | {i: 2.0 if i in drawn else 1.0 for i in positive}
     y, *rows = linear.examples(docs, ids, words_once, 0)
-    if not (y == 1).any() or not (y == 0).any():
+    x, pos, unl = linear.Sparse(*rows), np.flatnonzero(y >= 1), np.flatnonzero(y != 1)
+    if not len(pos) or not len(unl):
         return None
-    return fit(y, linear.Sparse(*rows), min(0.9, toxic / n))
+    order = np.concatenate([pos, unl])
+    _, idx, val = x.take(order)
+    return fit(np.repeat([1, 0], [len(pos), len(unl)]), linear.Sparse(np.cumsum((x.ends - x.starts)[order]), idx, val), min(0.9, toxic / n))
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, keep: list[str]) -> DataFrame:
