@@ -65,10 +65,10 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, nam
 
 def ordered_distinct(array: Column, ignore_case: bool = False) -> Column:
     """Distinct non-blank trimmed values in order of first sight."""
-    kept = F.filter(F.transform(array, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(array, lambda x: F.trim(x)), lambda x: x != "")
     if not ignore_case:
         return F.array_distinct(kept)
-    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, F.lower), F.lower(x)) == i + 1)
+    return F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: F.lower(y)), F.lower(x)) == i + 1)
 
 
 def fair_sample(df: DataFrame, key: str, groups: dict[str, Column], each: int, order: Column) -> DataFrame:

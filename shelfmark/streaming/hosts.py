@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def host_counters(events: DataFrame, late: str = "1 day") -> DataFrame:
