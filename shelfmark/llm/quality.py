@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common, linear
 
-MOST, CUT, POWER = 8_000, 0.5, 0.5
+MOST, CUT, POWER = 4_000, 0.5, 0.5
 EPOCHS, BATCH, RATE, SEED, ROUNDS = 12, 256, 0.05, 5, 60
 _MARK = re.compile(r"[#$%&*]{2,}")
 _END = (".", "!", "?", ":", '"', "»", "”")

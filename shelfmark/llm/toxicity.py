@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common, linear
 
-MOST_POSITIVE, MOST_UNLABELLED, CUT = 4_000, 10_000, 0.3
+MOST_POSITIVE, MOST_UNLABELLED, CUT = 3_000, 6_000, 0.3
 SIGMAS, LIFT, SHRINK = 6.0, 3.0, 0.004
 STEPS, RATE = 500, 0.05
 
@@ -34,40 +34,48 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def screened(y: np.ndarray, x: linear.Sparse, buckets: int) -> linear.Sparse:
-    """Only the buckets whose share of positives is above their share of unlabelled rows by SIGMAS standard errors and a factor LIFT."""
-    row = np.repeat(np.arange(len(y)), x.ends - x.starts)
-    p, u = (np.bincount(x.idx[y[row] == k], minlength=buckets) / max(1, (y == k).sum()) for k in (1, 0))
-    mean = (p * (y == 1).sum() + u * (y == 0).sum()) / len(y)
-    error = np.sqrt(mean * (1 - mean) * (1 / max(1, (y == 1).sum()) + 1 / max(1, (y == 0).sum()))) + 1e-12
-    keep = ((p - u > SIGMAS * error) & (p > LIFT * u))[x.idx]
-    return linear.Sparse(np.cumsum(np.bincount(row[keep], minlength=len(y))), x.idx[keep], x.val[keep])
+def shares(x: linear.Sparse, rows: np.ndarray, buckets: int) -> np.ndarray:
+    """How many of the rows hold each bucket, a few rows at a time: driver memory stays small."""
+    out = np.zeros(buckets, np.int64)
+    for part in np.array_split(rows, max(1, len(rows) // 256)):
+        if len(part):
+            out += np.bincount(np.concatenate([x.idx[x.starts[r] : x.ends[r]] for r in part]), minlength=buckets)
+    return out
+
 
+def screened(x: linear.Sparse, pos: np.ndarray, unl: np.ndarray, buckets: int) -> tuple[np.ndarray, linear.Sparse]:
+    """(1 for pos and 0 for unl, their rows) with only the buckets whose share of positives is above their share of unlabelled rows
+    by SIGMAS standard errors and a factor LIFT."""
+    p, u = (shares(x, rows, buckets) / max(1, len(rows)) for rows in (pos, unl))
+    mean = (p * len(pos) + u * len(unl)) / (len(pos) + len(unl))
+    error = np.sqrt(mean * (1 - mean) * (1 / max(1, len(pos)) + 1 / max(1, len(unl)))) + 1e-12
+    keep = (p - u > SIGMAS * error) & (p > LIFT * u)
+    idx, val = [], []
+    for r in np.concatenate([pos, unl]).tolist():
+        i, v = x.idx[x.starts[r] : x.ends[r]], x.val[x.starts[r] : x.ends[r]]
+        idx.append(i[keep[i]]), val.append(v[keep[i]])
+    return np.repeat([1, 0], [len(pos), len(unl)]), linear.Sparse(np.cumsum([len(i) for i in idx]), np.concatenate(idx), np.concatenate(val))
 
-def copies(y: np.ndarray, x: linear.Sparse, hashes: int = 12, equal: int = 3) -> np.ndarray:
-    """Rows that share `equal` of `hashes` MinHash values with an earlier row of their side: copies would make their rare words look telling."""
+
+def without_copies(x: linear.Sparse, rows: np.ndarray, hashes: int = 12, equal: int = 3) -> np.ndarray:
+    """rows but for those that share `equal` of `hashes` MinHash values with an earlier one: copies would make their rare words look telling."""
     a = np.random.default_rng(3).integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seen, out = {}, np.zeros(len(y), bool)
-    for r in range(len(y)):
+    seen, out = {}, []
+    for r in rows.tolist():
         idx = common.mix(x.idx[x.starts[r] : x.ends[r]].astype(np.uint64) + np.uint64(1))
-        if not len(idx):
-            continue
-        marks = [(y[r], k, int(v)) for k, v in enumerate((idx[None, :] * a[:, None]).min(1))]
+        marks = [(k, int(v)) for k, v in enumerate((idx[None, :] * a[:, None]).min(1))] if len(idx) else []
         met = [seen[m] for m in marks if m in seen]
-        out[r] = bool(met) and max(map(met.count, set(met))) >= equal
+        if not met or max(map(met.count, set(met))) < equal:
+            out.append(r)
         for m in marks:
             seen.setdefault(m, r)
-    return out
+    return np.array(out, np.int64)
 
 
-def fit(y: np.ndarray, x: linear.Sparse, prior: float, buckets: int = linear.BUCKETS) -> np.ndarray:
-    """Weights and a bias. y: 1 for positives, 0 for unlabelled rows."""
+def fit(x: linear.Sparse, pos: np.ndarray, unl: np.ndarray, prior: float, buckets: int = linear.BUCKETS) -> np.ndarray:
+    """Weights and a bias, from rows of x that are positives and rows that stand for all texts."""
     opt = linear.Adam(buckets, RATE)
-    once = np.flatnonzero(~copies(y, x))
-    n = (x.ends - x.starts)[once]
-    _, idx, val = x.take(once)
-    y, x = y[once], linear.Sparse(np.cumsum(n), idx, val)
-    x = screened(y, x, buckets)
+    y, x = screened(x, without_copies(x, pos), without_copies(x, unl), buckets)
     # the bias: what the prior makes of a text without any screened bucket; it stays, and the weights are learned
     bare = x.ends == x.starts
     share = [(1 + (bare & (y == k)).sum()) / (2 + (y == k).sum()) for k in (1, 0)]
@@ -103,9 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     x, pos, unl = linear.Sparse(*rows), np.flatnonzero(y >= 1), np.flatnonzero(y != 1)
     if not len(pos) or not len(unl):
         return None
-    order = np.concatenate([pos, unl])
-    _, idx, val = x.take(order)
-    return fit(np.repeat([1, 0], [len(pos), len(unl)]), linear.Sparse(np.cumsum((x.ends - x.starts)[order]), idx, val), min(0.9, toxic / n))
+    return fit(x, pos, unl, min(0.9, toxic / n))
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, keep: list[str]) -> DataFrame:
