@@ -162,13 +162,13 @@ def test_neighbours(spark):
 
 def test_toxicity(spark):
     bad = ["vile", "awful", "nasty"]
-    rows = [(i, prose(30) + (" " + bad[i % 3] if i % 5 == 0 else "")) for i in range(600)] + [(601, None), (602, "")]
+    rows = [(i, prose(30) + (" " + bad[i % 3] if i % 5 == 0 else "")) for i in range(1500)] + [(1601, None), (1602, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(None, 1), (601, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1500)] + [(None, 1), (1601, None)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
-    for i in range(600):
+    for i in range(1500):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i].predicted == int(got[i].score >= 0.3)
-    assert np.mean([got[i].predicted == int(i % 5 == 0) for i in range(600) if got[i].held_out]) > 0.95
+    assert np.mean([got[i].predicted == int(i % 5 == 0) for i in range(1500) if got[i].held_out]) > 0.95
     assert toxicity.clean(docs, labels).columns == docs.columns
     assert toxicity.scored(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
 
