@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-BLOCK, MOST_HASHES = 1024, 160
+BLOCK, MOST_HASHES, FEW = 1024, 160, 48
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -114,15 +114,31 @@ def _pairs_of(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float)
     row = np.repeat(np.arange(len(rows)), size.astype(np.int64))
     shared = times[col] > 1
     row, col = row[shared], col[shared]
-    value, col = np.unique(col, return_inverse=True)
-    inter = np.zeros((n, len(rows) - (0 if b is None else n)), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for at in range(0, len(value), 4096):  # shingles in slices: memory stays bounded
-        lo, hi = np.searchsorted(col, [at, at + 4096])
-        m = np.zeros((len(rows), min(4096, len(value) - at)), np.float32)
-        m[row[lo:hi], col[lo:hi] - at] = 1
-        inter += m[:n] @ (m if b is None else m[n:]).T
+    order = np.lexsort((row, col))
+    row = row[order]
+    _, begin, times = np.unique(col[order], return_index=True, return_counts=True)
+    width = n if b is None else len(rows) - n
+    inter = np.zeros((n, width), np.float32)
+    # shingles of few sets: their pairs one by one; shingles of many: matrix products over slices of them
+    for c in range(2, FEW + 1):
+        at = begin[times == c]
+        left, right = np.triu_indices(c, 1)
+        for part in np.array_split(at, max(1, len(at) * len(left) // 1_000_000)):
+            held = row[part[:, None] + np.arange(c)]
+            one, two = held[:, left].ravel(), held[:, right].ravel()
+            if b is not None:
+                across = (one < n) & (two >= n)
+                one, two = one[across], two[across] - n
+            if len(one):
+                inter += np.bincount(one * width + two, minlength=n * width).reshape(n, width)
+    many = np.flatnonzero(times > FEW)
+    for part in np.array_split(many, max(1, -(-len(many) // 4096))):
+        if len(part):
+            m = np.zeros((len(rows), len(part)), np.float32)
+            place = np.repeat(np.arange(len(part)), times[part])
+            which = np.repeat(begin[part] - np.cumsum(times[part]) + times[part], times[part]) + np.arange(times[part].sum())
+            m[row[which], place] = 1
+            inter += m[:n] @ (m if b is None else m[n:]).T
     other = size if b is None else size[n:]
     near = inter >= np.float32(threshold) * (size[:n, None] + other[None, :] - inter) - np.float32(1e-4)
     i, j = np.nonzero(np.triu(near, 1) if b is None else near)
