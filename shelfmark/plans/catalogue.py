@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions import dates
 from shelfmark.functions import text as T
-from shelfmark.operators import audit, evidence, hierarchy, keyed, resolve, search
+from shelfmark.operators import audit, batch, evidence, hierarchy, keyed, resolve, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -415,3 +416,45 @@ def ordered_children(t):
 def alias_lookup(t):
     """Keys of one value; ambiguous keys drop out (ops J9, J10, S10)."""
     return resolve.unambiguous(t("part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("part")), "brand", "part")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 1 THEN strftime(o_orderdate, '%B %-d, %Y') WHEN 2 THEN strftime(o_orderdate, '%B, %Y') ELSE strftime(o_orderdate, '%Y') END AS date_text,
+CASE WHEN o_orderkey % 4 = 3 THEN strftime(o_orderdate, '%m-%d') WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%m-%d') ELSE '' END AS month_days FROM orders""")
+def performance_dates(t):
+    """Dates in prose, Chinese and English (ops N2, N3)."""
+    d = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    c = F.when(k == 0, F.concat(F.lit("现场 "), d("yyyy年M月d"), F.lit("日"))).when(k == 1, F.concat(F.lit("Live, "), d("MMM. d"), F.lit("th, "), d("yyyy"))).when(k == 2, d("MMMM yyyy")).otherwise(d("'in 'yyyy/M/d"))
+    return t("orders").select("o_orderkey", dates.performance_date(c).alias("date_text"), F.array_join(dates.month_days(c), ",").alias("month_days"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 999 + 1 AS INTEGER) AS number FROM customer")
+def chinese_numbers(t):
+    """Chinese numerals (op N7)."""
+    n = F.col("c_custkey") % 999 + 1
+    digit = lambda x: F.element_at(F.array(*map(F.lit, "零一二三四五六七八九")), (x + 1).cast("int"))
+    h, z, e = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+    written = F.concat(F.when(h > 0, F.concat(digit(h), F.lit("百"))).otherwise(""), F.when((z == 1) & (h == 0), "十").when(z > 0, F.concat(digit(z), F.lit("十"))).when((h > 0) & (e > 0), "零").otherwise(""), F.when(e > 0, digit(e)).otherwise(""))
+    return t("customer").select("c_custkey", dates.chinese_number(written).alias("number"))
+
+
+@query("""SELECT c_custkey, CASE WHEN k = 3 THEN NULL ELSE b END AS birth, CASE WHEN k = 3 THEN NULL ELSE b + 60 END AS death FROM (SELECT c_custkey, CAST(1600 + c_custkey % 300 AS INTEGER) AS b, c_custkey % 4 AS k FROM customer)""")
+def life_spans(t):
+    """Life spans at the head of prose (op N5)."""
+    b = (1600 + F.col("c_custkey") % 300).cast("string")
+    d, k = (1660 + F.col("c_custkey") % 300).cast("string"), F.col("c_custkey") % 4
+    put = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    c = F.when(k == 0, put("Composer（", b, ", Bonn–", d, "）")).when(k == 1, put(b, "年生于维也纳，", d, "年去世。")).when(k == 2, put(b, " – ", d, ", pianist")).otherwise(put("Born in ", b))
+    return t("customer").select("c_custkey", dates.life_span(c).alias("s")).select("c_custkey", "s.birth", "s.death")
+
+
+@query("""SELECT p_partkey, CAST(0 AS INTEGER) AS line, p_partkey % 3 < 2 AS is_whole, p_brand || ' - ' || p_name || CASE WHEN p_partkey % 3 = 2 THEN '' ELSE ' - ' || p_size END AS title,
+CASE WHEN p_partkey % 3 = 0 THEN 'a.org/' || p_partkey || ',b.org' ELSE '' END AS links, p_brand || ';x' AS lead_names FROM part""")
+def batch_lines(t):
+    """Lines of slots entered by hand (op F18): loose separators, a missing last slot, lists of names and links."""
+    k, put = F.col("p_partkey") % 3, lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    brand, name, size, key = F.col("p_brand"), F.col("p_name"), F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    c = F.when(k == 0, put(" ", brand, "｜", name, " — ", size, " | a.org/", key, ", b.org,b.org")).when(k == 1, put("\n", brand, "|", name, "  |", size)).otherwise(put(brand, " ~ ", name))
+    out = batch.lines(t("part").select("p_partkey", c.alias("text"), F.lit("chamber_solo").alias("kind")), "text", "kind")
+    lead = batch.names(F.concat(F.col("slots")[0], F.lit(" + x+ - ")))
+    return out.select("p_partkey", "line", "is_whole", "title", F.array_join("links", ",").alias("links"), F.array_join(lead, ";").alias("lead_names"))

@@ -72,3 +72,22 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{sf}/events.parquet")
     got = hosts.run_once(hosts.host_counters(hosts.event_stream(spark, sf, batch.schema)), "host_counts", str(tmp_path / "c"))
     assert got.agg(F.sum("requests"), F.sum("failures")).first() == batch.agg(F.count("*"), F.count_if(F.col("event_type") == "error")).first()
+
+
+def test_prose_edges(spark):
+    from shelfmark.functions import dates
+
+    df = spark.createDataFrame([(None,), ("",), ("Sept. 3rd, 1999 2001-2-3 / 2001.02.03",), ("二百零五",), ("十",)], "c string")
+    got = df.select(dates.performance_date(df.c), dates.month_days(df.c), dates.chinese_number(df.c), dates.life_span(df.c)).collect()
+    assert [tuple(r) for r in got] == [("", [], 0, None), ("", [], 0, None), ("September 3, 1999", ["02-03"], 0, None), ("", [], 205, None), ("", [], 10, None)]
+
+
+def test_batch_line_edges(spark):
+    from shelfmark.operators import batch
+
+    df = spark.createDataFrame([(1, None, "concerto"), (2, " \n a | b\r\n\nx|y|z|1950|u,u, v", "concerto")], "id int, text string, kind string")
+    got = batch.lines(df, "text", "kind").orderBy("line").collect()
+    assert [(r.id, r.line, r.slots, r.is_whole, r.title, r.links) for r in got] == [
+        (2, 0, ["a", "b"], False, "a - b", []),
+        (2, 1, ["x", "y", "z", "1950", "u,u, v"], True, "x - y - z - 1950", ["u", "v"]),
+    ]
