@@ -43,11 +43,15 @@ def spool(df: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of frames that nothing refers to any more."""
+    """Lets Spark drop shuffle files of frames that nothing refers to any more. One collection frees only what older ones had
+    left: the last query's plan is let go of after it."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
