@@ -46,3 +46,25 @@ def merge_signatures(df: DataFrame, key: str, keys: Column) -> DataFrame:
 def unambiguous(lookup: DataFrame, key: str, value: str) -> DataFrame:
     """key -> value where a key has one value alone."""
     return lookup.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("_n")).filter("_n = 1").drop("_n")
+
+
+def hang_together(df: DataFrame, row: str, keys: list[str], most_rounds: int = 50) -> DataFrame:
+    """df with `component`: the smallest row number of all that share any of the keys, directly or through others. Null keys join nothing; `row` is unique.
+
+    Each round gives every row the smallest label of its keys, and ends when no label changes. Labels are minima, so they combine before
+    the shuffle and a key of very many rows is no hot key; rounds are cut by checkpoints in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
+    label = df.select(row, *keys, F.col(row).alias("component")).checkpoint()
+    for _ in range(most_rounds):
+        new = label
+        for k in keys:
+            low = new.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("component").alias("_low"))
+            new = new.join(low, k, "left").withColumn("component", F.least("component", "_low")).drop("_low")
+        both = new.select(row, *keys, "component").checkpoint()
+        changed = both.select(row, "component").join(label.select(row, F.col("component").alias("_was")), row).filter("component < _was").limit(1).count()
+        label = both
+        if not changed:
+            return df.join(label.select(row, "component"), row)
+    raise ValueError(f"labels still change after {most_rounds} rounds")

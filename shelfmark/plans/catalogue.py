@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import dates
 from shelfmark.functions import text as T
-from shelfmark.operators import audit, batch, evidence, hierarchy, keyed, resolve, search
+from shelfmark.operators import audit, batch, evidence, hierarchy, jobs, keyed, resolve, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -458,3 +458,38 @@ def batch_lines(t):
     out = batch.lines(t("part").select("p_partkey", c.alias("text"), F.lit("chamber_solo").alias("kind")), "text", "kind")
     lead = batch.names(F.concat(F.col("slots")[0], F.lit(" + x+ - ")))
     return out.select("p_partkey", "line", "is_whole", "title", F.array_join("links", ",").alias("links"), F.array_join(lead, ";").alias("lead_names"))
+
+
+@query("""WITH j AS (SELECT o_orderkey, o_orderdate + INTERVAL 90 DAY AS deadline, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 60 DAY END AS stopped, o_orderkey % 2 = 0 AS ok FROM orders),
+r AS (SELECT j.*, CASE l_returnflag WHEN 'A' THEN 'succeeded' WHEN 'N' THEN 'partial' ELSE 'failed' END AS status, l_shipdate <= least(deadline, coalesce(stopped, deadline)) AS timely FROM j JOIN lineitem ON l_orderkey = o_orderkey),
+c AS (SELECT o_orderkey, count(*) AS n, count(*) FILTER (timely) AS a, count(*) FILTER (timely AND status = 'succeeded') AS g, count(*) FILTER (timely AND status <> 'failed') AS s FROM r GROUP BY o_orderkey)
+SELECT o_orderkey, coalesce(a, 0) AS accepted, CASE WHEN coalesce(n, 0) = 0 THEN 'failed' WHEN a < n AND stopped IS NOT NULL THEN 'canceled' WHEN a < n THEN 'timed_out' WHEN g = a THEN 'succeeded' WHEN ok AND s > 0 THEN 'partial' ELSE 'failed' END AS state FROM j LEFT JOIN c USING (o_orderkey)""")
+def job_states(t):
+    """Jobs' final states; late results are discarded (op T2): orders are jobs, their lines results."""
+    later = lambda n: F.col("o_orderdate") + F.expr(f"INTERVAL {n} DAYS")
+    work = t("orders").select("o_orderkey", later(90).alias("deadline"), F.when(F.col("o_orderkey") % 5 == 0, later(60)).alias("stopped_at"), (F.col("o_orderkey") % 2 == 0).alias("partial_ok"))
+    status = F.when(F.col("l_returnflag") == "A", "succeeded").when(F.col("l_returnflag") == "N", "partial").otherwise("failed")
+    return jobs.final_states(work, t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), status.alias("status"), F.col("l_shipdate").alias("at")), "o_orderkey").drop("completed")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT CASE WHEN l_suppkey % 50 <> 0 THEN l_suppkey END))""")
+def whole_batches(t):
+    """Batches with a missing or repeated item id are rejected whole (op T4)."""
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.when(F.col("l_suppkey") % 50 != 0, F.col("l_suppkey")).alias("item"))
+    return jobs.whole_batches(lines, "l_orderkey", "item").drop("item")
+
+
+@query("""SELECT CAST(min(p_partkey // 2) AS BIGINT) AS id, arg_min(p_name, 1000000000 * (1000 - length(p_name)) + p_partkey) AS summary, ['low', 'medium', 'high'][max(p_size % 3) + 1] AS risk,
+CASE WHEN bool_or(p_size % 4 = 0) THEN 'applied' WHEN bool_and(p_size % 4 < 3) THEN 'ignored' ELSE 'pending' END AS status, count(*) AS merged, max(p_partkey) AS last FROM part GROUP BY p_partkey // 4""")
+def proposal_fold(t):
+    """Proposals of one id or one meaning are folded (op D6): four parts hang together, through an id, a key and an id."""
+    p = F.col("p_partkey")
+    key = F.when(p % 4 == 0, F.concat(F.lit("a"), p)).when(p % 4 == 3, F.concat(F.lit("z"), p)).otherwise(F.concat(F.lit("m"), F.floor(p / 4)))
+    rows = t("part").select(
+        F.col("p_partkey").alias("row"), F.floor(p / 2).cast("long").alias("id"), key.alias("meaning"), F.col("p_name").alias("summary"),
+        F.when(F.col("p_size") % 3 == 0, "low").when(F.col("p_size") % 3 == 1, "medium").otherwise("high").alias("risk"),
+        F.when(F.col("p_size") % 4 == 0, "applied").when(F.col("p_size") % 4 < 3, "ignored").otherwise("pending").alias("status"),
+        F.lit("unseen").alias("review"), F.array(p.cast("string")).alias("sources"),
+    )
+    out = jobs.fold_proposals(resolve.hang_together(rows, "row", ["id", "meaning"]), "component", "row")
+    return out.select("id", "summary", "risk", "status", "merged", F.element_at("sources", -1).cast("long").alias("last"))

@@ -91,3 +91,38 @@ def test_batch_line_edges(spark):
         (2, 0, ["a", "b"], False, "a - b", []),
         (2, 1, ["x", "y", "z", "1950", "u,u, v"], True, "x - y - z - 1950", ["u", "v"]),
     ]
+
+
+def test_final_states(spark):
+    from shelfmark.operators import jobs
+
+    work = spark.createDataFrame([(1, 10, None, True), (2, 10, 5, True), (3, 10, None, True), (4, 10, None, False), (5, 10, None, True), (6, 10, 12, True), (7, 10, None, None)], "job int, deadline int, stopped_at int, partial_ok boolean")
+    results = spark.createDataFrame(
+        [(1, "succeeded", 3), (1, "succeeded", 10), (2, "succeeded", 4), (2, "succeeded", 6), (3, "succeeded", 3), (3, None, None), (4, "partial", 3), (6, "succeeded", 11), (7, "failed", 1), (8, "failed", 1), (None, "failed", 1)],
+        "job int, status string, at int",
+    )
+    got = {r["job"]: (r["state"], r["accepted"], r["completed"]) for r in jobs.final_states(work, results, "job").collect()}
+    assert got == {1: ("succeeded", 2, 10), 2: ("canceled", 1, 5), 3: ("timed_out", 1, 10), 4: ("failed", 1, 3), 5: ("failed", 0, None), 6: ("timed_out", 0, 10), 7: ("failed", 1, 1)}
+    assert jobs.final_states(work.limit(0), results, "job").count() == 0
+
+
+def test_whole_batches(spark):
+    from shelfmark.operators import jobs
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "a"), (3, None), (4, ""), (5, "x")], "batch int, item string")
+    assert sorted(r[0] for r in jobs.whole_batches(rows, "batch", "item").collect()) == [1, 1, 5]
+
+
+def test_hang_together_and_fold(spark):
+    from shelfmark.operators import jobs, resolve
+
+    rows = spark.createDataFrame(
+        [(1, "p", "k", "aa", "low", "ignored", "discarded", ["x", " "]), (2, "q", "k", "bb", "high", "ignored", "viewed", ["y", "x"]), (3, "q", None, None, None, "pending", None, None), (4, "r", None, "c", "odd", "ignored", "edited", ["z"]), (5, None, None, "d", "low", "applied", "unseen", [])],
+        "row int, id string, meaning string, summary string, risk string, status string, review string, sources array<string>",
+    )
+    got = {r["component"]: r for r in jobs.fold_proposals(resolve.hang_together(rows, "row", ["id", "meaning"]), "component", "row").collect()}
+    assert set(got) == {1, 4, 5}
+    one = got[1]
+    assert (one["id"], one["summary"], one["risk"], one["status"], one["review"], one["merged"]) == ("p", "aa", "high", "pending", "viewed", 3)
+    assert (got[4]["risk"], got[4]["status"], got[4]["review"]) == ("low", "ignored", "edited")
+    assert one["sources"] == ["x", "y"]
