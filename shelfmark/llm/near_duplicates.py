@@ -7,9 +7,10 @@ shingle sets, every pair of them, in blocks of at most BLOCK classes: a group of
 leaves a task only as a count and, where it joins two parts, as one link.
 
 Words are the contract's (A-Z lowered, runs of digits, letters and non-ASCII characters). A text of fewer words than a shingle,
-but not none, is one shingle. Null texts and texts without words link to nothing, not even to each other. Rows with a null id
-take part as id -1; a class is named by its smallest id. Ids are taken to be keys: rows that repeat an id with other text may be
-read as one. Other columns are not read.
+but not none, is one shingle. Null texts and texts without words link to nothing, not even to each other. Ids need not be keys and
+may be null: rows are numbered, a set goes by the smallest number of its rows, and its text is read again by id and text hashes of
+one of them. A class is named by its smallest id. Classes without an id, and all but one of the classes whose smallest id is the
+same, are named by numbers below every id of the table (unique, but other ones in another run). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -65,9 +66,15 @@ class Signer:
         return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key_id and two text hashes: what a row is found again by. Rows that are equal in these are copies."""
+    return docs.withColumns({"_key_id": F.col("doc_id").cast("long"), "_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
+
+
 def _signed(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
-    """row id, size of the shingle set, its 128-bit hash, band hashes."""
-    schema = common.with_fields(docs.select("_id"), "_size long, _h1 long, _h2 long, _bands array<long>")
+    """row number, id, text hashes, size of the shingle set, its 128-bit hash, band hashes."""
+    docs = _keyed(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("_row"), "_key_id", "_t1", "_t2", "text")
+    schema = common.with_fields(docs.drop("text"), "_size long, _h1 long, _h2 long, _bands array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
@@ -75,14 +82,14 @@ def _signed(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
         hashing, signer = common.WordHash(), Signer(n, rows)
         for b in batches:
             size, h1, h2, held = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(4).to_pylist():
                 s = shingle_set(text, hashing, k)
                 d = xxh3_128_intdigest(s.tobytes())
                 size.append(len(s)), h1.append((d >> 64) - (1 << 63)), h2.append((d & (1 << 64) - 1) - (1 << 63))
                 held.append(signer.bands(s).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(held, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(held, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select("_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -186,20 +193,30 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.groupBy("root", "i", "j").applyInPandas(run, "a long, b long, n long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the smallest id of all that hang together by links), n_links (other shingle sets at the threshold or
-    above): a row for each row of docs."""
+def _found_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (_keyed) that keys (_key_id, _t1, _t2, n and others) name: those of keys that one row has, those of keys that n > 1 rows have."""
+    same = lambda k: docs._key_id.eqNullSafe(k._key_id) & (docs._t1 == k._t1) & (docs._t2 == k._t2)
+    return tuple(docs.join(k, same(k)).drop(k._key_id, k._t1, k._t2, k.n) for k in (keys.filter("n = 1"), keys.filter("n > 1")))
+
+
+def _classed(docs: DataFrame, threshold: float, k: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, their sets: _h1, _h2, the class's number `top`, n_links and the set's key: whether its id is null, _key_id, _t1, _t2, n rows)."""
     n, rows = bands(threshold, recall)
-    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("_id"))
     signed = common.spool(_signed(docs, n, rows, k))
-    sets = signed.filter("_size > 0").groupBy("_h1", "_h2").agg(F.min("_id").alias("rep"), F.first("_bands").alias("bands"))
-    sets = common.spool(sets)
+    known = signed.filter("_size > 0")
+    key = F.struct(F.col("_key_id").isNull().alias("no_id"), "_key_id", "_t1", "_t2")
+    sets = known.groupBy("_h1", "_h2").agg(F.min("_row").alias("rep"), F.min(key).alias("key"), F.first("_bands").alias("bands"))
+    sets = common.spool(sets.select("_h1", "_h2", "rep", "key.*", "bands"))
+    repeated = common.spool(known.groupBy("_key_id", "_t1", "_t2").agg(F.count("*").alias("n")).filter("n > 1"))
+    same = sets._key_id.eqNullSafe(repeated._key_id) & (sets._t1 == repeated._t1) & (sets._t2 == repeated._t2)
+    keys = sets.join(repeated, same, "left").select("_h1", "_h2", "rep", sets.no_id, sets._key_id, sets._t1, sets._t2, F.coalesce("n", F.lit(1)).alias("n"))
     bucket = sets.select("rep", F.posexplode("bands").alias("band", "h"))
     first = bucket.groupBy("band", "h").agg(F.min("rep").alias("a"), F.count("*").alias("m")).filter("m > 1").select("band", "h", "a")
     could = components(bucket.join(first, ["band", "h"]).filter("rep > a").select("a", F.col("rep").alias("b")))
     could = common.spool(could)
     sizes = could.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = could.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    member = common.spool(member.join(keys.select(F.col("rep").alias("node"), "_key_id", "_t1", "_t2", "n"), "node"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = common.WordHash()
@@ -207,8 +224,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, rec
             s = [shingle_set(t, hashing, k).tobytes() for t in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s, pa.binary())], names=["node", "root", "i", "blocks", "s"])
 
-    one = docs.join(member, F.col("_id") == F.col("node")).select("node", "root", "i", "blocks", "text")
-    full = one.mapInArrow(to_sets, "node long, root long, i int, blocks int, s binary")
+    cols = ["node", "root", "i", "blocks"]
+    one, many = (x.select(*cols, "text") for x in _found_by(_keyed(docs.select("doc_id", "text")), member))
+    full = one.union(many.groupBy(*cols).agg(F.first("text").alias("text"))).mapInArrow(to_sets, "node long, root long, i int, blocks int, s binary")
     # block pairs (i, j), i <= j: a class goes to every pair that holds its block
     paired = full.select("root", "node", "s", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
         "root", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), "node", "s"
@@ -217,12 +235,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, rec
     linked = components(found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     counted = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     named = counted.join(linked.withColumnRenamed("node", "rep"), "rep")
-    known = sets.select("_h1", "_h2", "rep").join(named, "rep", "left").select("_h1", "_h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("_id", F.when(F.col("_size") > 0, F.col("_h1")).alias("_h1"), "_h2").join(known, ["_h1", "_h2"], "left")
-    return out.select(F.col("_id").alias("doc_id"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return signed, common.spool(keys.join(named, "rep", "left").select("_h1", "_h2", F.coalesce("root", "rep").alias("top"), links, "no_id", "_key_id", "_t1", "_t2", "n"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id names its class, with their columns: one of each group stays."""
-    kept = classes(docs, **options).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("_kept"), "left_semi")
+def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (the smallest id of all that hang together by links), n_links (other shingle sets at the threshold or
+    above): a row for each row of docs."""
+    signed, sets = _classed(docs, threshold, k, recall)
+    alone = signed.filter("_size = 0").select(F.col("_row").alias("top"), "_key_id")
+    lead = sets.groupBy("top").agg(F.min("_key_id").alias("_key_id")).union(alone)
+    owner = lead.filter("_key_id IS NOT NULL").groupBy("_key_id").agg(F.min("top").alias("owner"))
+    least = signed.agg(F.least(F.min("_key_id"), F.lit(0)).alias("least"))
+    named = lead.join(owner, "_key_id", "left").crossJoin(F.broadcast(least)).select("top", F.when(F.col("owner") == F.col("top"), F.col("_key_id")).otherwise(F.col("least") - 1 - F.col("top")).alias("class_id"))
+    named = common.spool(named)
+    known = sets.select("_h1", "_h2", "top", "n_links").join(named, "top").drop("top")
+    out = signed.filter("_size > 0").select("_key_id", "_h1", "_h2").join(known, ["_h1", "_h2"]).select("_key_id", "class_id", "n_links")
+    return out.union(alone.join(named, "top").select("_key_id", "class_id", F.lit(0).cast("long"))).withColumnRenamed("_key_id", "doc_id")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+    """One row of docs of each class, with its columns: of the smallest id, then text hash, then hash of all columns."""
+    _, sets = _classed(docs, threshold, k, recall)
+    kept = sets.groupBy("top").agg(F.min(F.struct("no_id", "_key_id", "_t1", "_t2", "n")).alias("key")).select("key._key_id", "key._t1", "key._t2", "key.n")
+    one, many = _found_by(_keyed(docs), common.spool(kept))
+    hashed = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    many = many.groupBy("_key_id", "_t1", "_t2").agg(F.min_by(F.struct(*docs.columns), hashed).alias("x")).select("x.*")
+    wordless = docs.filter(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
+    return one.select(*docs.columns).union(many).union(wordless)

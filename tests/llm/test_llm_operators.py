@@ -105,6 +105,29 @@ def test_near_duplicates(spark, docs):
     assert near_duplicates.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_keys(spark):
+    c, d, e, f = prose(60), prose(60), prose(60), prose(60)
+    near = c.replace(" ", "  ") + " end"
+    rows = [(None, c), (None, c), (None, near), (None, d), (None, d), (7, e), (7, e), (7, f), (3, f), (7, d + " more"), (None, None), (None, None), (None, "--"), (8, None), (8, ""), (None, prose(50)), (-4, prose(50))]
+    docs = spark.createDataFrame([(i, t, "en" if n % 2 else "de") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    groups = [[c, near], [d, d + " more"], [e], [f], [rows[15][1]], [rows[16][1]]]
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = [tuple(r)[:2] for r in kept.collect()]
+    assert [sum(t in g for _, t in kept) for g in groups] == [1] * 6
+    assert [sum(t == x for _, t in kept) for x in (None, "--", "")] == [3, 1, 1] and len(kept) == 11
+    assert (3, f) in kept and (7, d + " more") in kept and (7, e) in kept
+    got = near_duplicates.classes(docs).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(i) for i, _ in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.class_id, []).append(r.doc_id)
+    order = lambda xs: sorted(xs, key=str)
+    want = [[None] * 3, [None, None, 7], [7, 7], [7, 3], [None], [-4], [None], [None], [None], [8], [8]]
+    assert sorted(map(order, by.values()), key=str) == sorted(map(order, want), key=str)
+    assert set(by) >= {3, 7, 8, -4} and all(i in {3, 7, 8, -4} or i < -4 for i in by)
+
+
 def test_bands_reach_the_recall():
     n, r = near_duplicates.bands()
     assert 1 - (1 - 0.8**r) ** n >= 0.9999 and n * r <= near_duplicates.MOST_HASHES
