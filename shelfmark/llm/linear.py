@@ -14,6 +14,7 @@ from xxhash import xxh3_64_intdigest
 from . import common
 
 BUCKETS = 1 << 18
+LONG = 40
 
 
 def word_buckets(w: bytes) -> list[int]:
@@ -23,8 +24,15 @@ def word_buckets(w: bytes) -> list[int]:
 
 
 def marked(text: str | None) -> list[bytes]:
-    """Blank-separated chunks in lower case, with their marks: junk shows in them."""
-    return [c[-40:] for c in text.lower().encode("utf-8", "surrogatepass").split()] if text else []
+    """Blank-separated chunks in lower case, with their marks: junk shows in them. Chunks over LONG bytes are followed by their
+    overlapping four-character parts, one every two characters: texts without blanks count with all they hold."""
+    out = []
+    for c in text.lower().encode("utf-8", "surrogatepass").split() if text else []:
+        out.append(c)
+        if len(c) > LONG:
+            t = c.decode("utf-8", "surrogatepass")
+            out += [t[i : i + 4].encode("utf-8", "surrogatepass") for i in range(0, len(t) - 2, 2)]
+    return out
 
 
 def first_ids(frame: DataFrame, most: int) -> list[int]:
@@ -93,7 +101,7 @@ class WordScore(dict):
 
     def __missing__(self, w: bytes) -> float:
         s = sum(float(self.weights[k]) for k in word_buckets(w))
-        if len(self) < self.most:
+        if len(self) < self.most and len(w) <= 2 * LONG:
             self[w] = s
         return s
 

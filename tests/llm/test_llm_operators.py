@@ -203,6 +203,21 @@ def test_quality(spark):
     assert all(got[i].keep for i, _ in good) and not any(got[i].keep for i, _ in junk)
 
 
+def test_every_byte_of_a_text_without_blanks_counts():
+    from collections import Counter
+
+    from shelfmark.llm import linear
+
+    weights = np.random.default_rng(1).standard_normal(linear.BUCKETS + 1).astype(np.float32)
+    held = lambda t: (Counter(k for w in linear.marked(t) for k in linear.word_buckets(w)), linear.WordScore(weights).score(linear.marked(t), 0.5))
+    for text in ("".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 5000, 301)), "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, 300)) + "$$$"):
+        whole = held(text)
+        for i in range(len(text)):
+            other = held(text[:i] + "é" + text[i + 1 :])
+            grams = {k for k in (whole[0] - other[0])} - set(linear.word_buckets(text.encode()))
+            assert grams and other[1] != whole[1]
+
+
 def test_pii_patterns():
     text = "a.b@c-d.org, 1.2.3.400 10.0.0.255; 4111 1111-1111 1111; 4111111111111112; +1 (555) 010-9999 @x.y a@b"
     got = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)]
