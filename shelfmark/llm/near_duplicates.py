@@ -109,6 +109,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if last == now:
             break
         last = now
+    else:
+        raise ValueError(f"labels still change after {most_rounds} rounds")
     return links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def alias_closure(links: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(alias, canonical): follows each link until there is none or the next node has been visited.
+def _checkpoints(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
+
+
+def _followed(links: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """(links with the last node that each leads to, True), or after n steps at least, where some never end, (the nodes then reached, False).
+    Every round doubles the steps."""
+    for _ in range(n.bit_length() + 1):
+        onward = links.select(F.col("alias").alias("canonical"), F.col("canonical").alias("_on"))
+        links = links.join(onward, "canonical", "left").select("alias", F.coalesce("_on", "canonical").alias("canonical"), F.col("_on").isNotNull().alias("_moved")).checkpoint()
+        if not links.filter("_moved").limit(1).count():
+            return links.drop("_moved"), True
+        links = links.drop("_moved")
+    return links, False
 
-    Chains are followed by a recursive relation that carries the visited path; alias must be unique."""
-    spark = links.sparkSession
-    links.select("alias", "canonical").createOrReplaceTempView("_alias_links")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(alias, node, path, depth) AS (
-            SELECT alias, canonical, array(alias, canonical), 1 FROM _alias_links WHERE alias <> canonical
-            UNION ALL
-            SELECT w.alias, l.canonical, array_append(w.path, l.canonical), w.depth + 1
-            FROM walk w JOIN _alias_links l ON l.alias = w.node
-            WHERE NOT array_contains(w.path, l.canonical) AND w.depth < {most_depth})
-        SELECT alias, max_by(node, depth) AS last_node FROM walk GROUP BY alias
-    """).withColumnRenamed("last_node", "canonical")
+
+def alias_closure(links: DataFrame) -> DataFrame:
+    """(alias, canonical): follows each link until there is none or the next node has been visited. alias must be unique.
+
+    Links are doubled until they end. Where some run in cycles, as many steps as there are links end on the cycles' nodes: each alias
+    is followed to the first of these that it meets, and ends at the one before it, the last of the cycle not yet visited."""
+    _checkpoints(links.sparkSession)
+    links = links.select("alias", "canonical").filter("alias <> canonical").distinct().checkpoint()
+    n, distinct = links.agg(F.count("*"), F.count_distinct("alias")).first()
+    if n != distinct:
+        raise ValueError(f"{n - distinct} aliases have more than one link")
+    ends, ended = _followed(links, n)
+    if ended:
+        return ends
+    cycle = ends.join(links.select(F.col("alias").alias("canonical")), "canonical", "left_semi").select("canonical").distinct().withColumnRenamed("canonical", "alias").checkpoint()
+    before = links.join(cycle, "alias", "left_semi").select(F.col("canonical").alias("entry"), F.col("alias").alias("last"))
+    entered, _ = _followed(links.join(cycle, "alias", "left_anti"), n)
+    entered = entered.union(cycle.select("alias", F.col("alias").alias("canonical"))).withColumnRenamed("canonical", "entry")
+    return entered.join(before, "entry", "left").select("alias", F.coalesce("last", "entry").alias("canonical"))
 
 
 def near_names(df: DataFrame, key: str, name: Column, prefix: int = 8, least: int = 12, most: int = 2) -> DataFrame:
@@ -53,9 +73,7 @@ def hang_together(df: DataFrame, row: str, keys: list[str], most_rounds: int = 5
 
     Each round gives every row the smallest label of its keys, and ends when no label changes. Labels are minima, so they combine before
     the shuffle and a key of very many rows is no hot key; rounds are cut by checkpoints in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
+    _checkpoints(df.sparkSession)
     label = df.select(row, *keys, F.col(row).alias("component")).checkpoint()
     for _ in range(most_rounds):
         new = label

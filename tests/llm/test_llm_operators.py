@@ -218,6 +218,13 @@ def test_every_byte_of_a_text_without_blanks_counts():
             assert grams and other[1] != whole[1]
 
 
+def test_near_duplicate_rounds_that_run_out(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    with pytest.raises(ValueError):
+        near_duplicates.components(links, 1)
+    assert {r.root for r in near_duplicates.components(links).collect()} == {0}
+
+
 def test_pii_patterns():
     text = "a.b@c-d.org, 1.2.3.400 10.0.0.255; 4111 1111-1111 1111; 4111111111111112; +1 (555) 010-9999 @x.y a@b"
     got = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)]

@@ -18,6 +18,23 @@ def test_alias_cycles_end_at_the_entry(spark):
     assert {r[0]: r[1] for r in resolve.alias_closure(links).collect()} == {"c": "b", "a": "b", "b": "a", "x": "z", "y": "z"}
 
 
+def test_alias_chains_of_any_length(spark):
+    links = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i + 1) % 90) for i in range(90)] + [(2000 + i, 2001 + i) for i in range(80)] + [(2080, 1007), (5, 5000), (6000, 6000), (6001, 6000), (None, 1), (7000, None), (7001, 7000)]
+    links = [x for x in links if x != (5, 6)]  # 0..5 lead to 5000
+    to = {a: c for a, c in links if a is not None and c is not None and a != c}
+    want = {}
+    for a in to:
+        seen, node = {a}, a
+        while node in to and to[node] not in seen:
+            node = to[node]
+            seen.add(node)
+        want[a] = node
+    assert want[6] == 300 and want[2000] == 1006 and want[1000] == 1089
+    assert {r[0]: r[1] for r in resolve.alias_closure(spark.createDataFrame(links, "alias long, canonical long")).collect()} == want
+    with pytest.raises(ValueError):
+        resolve.alias_closure(spark.createDataFrame([(1, 2), (1, 3)], "alias long, canonical long"))
+
+
 def test_ordered_distinct_keeps_first(spark):
     a = F.array(*map(F.lit, ["b", " a", "B", "", "a"]))
     assert one(spark, keyed.ordered_distinct(a)) == ["b", "a", "B"]
