@@ -2,7 +2,8 @@
 
 Every tree gives a vector a string of hash bits (random directions, thresholds at a bounded sample's medians); a tree is the
 vectors sorted by their strings. A query descends to the longest prefix it shares and ascends in all trees at once: its depth is
-the largest at which the trees' subtrees together hold at least `share` candidates for each vector of the index. Vectors and queries then meet by (tree, prefix), a
+the largest at which the trees' subtrees together hold at least `share` candidates for each vector of the index, and k + 1 for
+each tree, so that k other entries are found wherever the index holds them. Vectors and queries then meet by (tree, prefix), a
 subtree of many vectors in blocks, and the candidates are scored in double precision. To make the largest inner product the
 nearest angle, vectors get one more component that brings them to the longest norm.
 
@@ -153,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     counts = np.zeros((trees, 1 << COUNTED), np.int64)
     for t, p, n in entries.select("v").mapInArrow(counted, "t int, p int, n long").groupBy("t", "p").agg(F.sum("n")).collect():  # trees * 2 ** COUNTED at most
         counts[t, p] = n
-    wanted = share * counts[0].sum()
+    wanted = max(share * counts[0].sum(), trees * (k + 1))  # so many with repeats: one tree has k + 1 entries, or the query's depth is 0
     by_depth = [counts.reshape(trees, 1 << d, -1).sum(2) for d in range(COUNTED + 1)]
     tree_counts = spark.sparkContext.broadcast(by_depth)
 

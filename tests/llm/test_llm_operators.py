@@ -183,6 +183,14 @@ def test_neighbours(spark):
     assert neighbours.search(v.limit(0), v).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 25])
+def test_neighbours_of_few_vectors(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(v, v).groupBy("query_id").count().collect()
+    assert {r[0]: r[1] for r in got} == dict.fromkeys(range(n), min(20, n - 1))
+
+
 def test_toxicity(spark):
     bad = ["vile", "awful", "nasty"]
     rows = [(i, prose(30) + (" " + bad[i % 3] if i % 5 == 0 else "")) for i in range(1500)] + [(1601, None), (1602, "")]
