@@ -196,7 +196,7 @@ def coverage_merge(t):
 @query("""SELECT l_suppkey, l_returnflag, l_orderkey, l_linenumber, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)
 WHERE rank <= CASE l_returnflag WHEN 'A' THEN 3 WHEN 'R' THEN 2 ELSE 1 END""")
 def capped_topk(t):
-    """Top rows of each key under a cap by class (ops W3, W5, O10, W12)."""
+    """Top rows of each key under a cap by class (a part of W3, W5, O10 and W12)."""
     cap = F.when(F.col("l_returnflag") == "A", 3).when(F.col("l_returnflag") == "R", 2).otherwise(1)
     return keyed.top_per_key(t("lineitem"), ["l_suppkey", "l_returnflag"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], cap).select("l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", "rank")
 
@@ -237,7 +237,7 @@ _NAME = "p_name || ' ' || p_brand || ' ' || p_type || (p_partkey % 3)"
 @query(f"""WITH n AS (SELECT p_partkey AS id, {_NAME} AS name FROM part), m AS (SELECT * FROM n WHERE length(name) >= 12)
 SELECT x.id AS a, y.id AS b, CAST(levenshtein(x.name, y.name) AS INTEGER) AS distance FROM m x JOIN m y ON substr(x.name, 1, 8) = substr(y.name, 1, 8) AND x.id < y.id AND abs(length(x.name) - length(y.name)) <= 2 AND levenshtein(x.name, y.name) <= 2""")
 def near_duplicates(t):
-    """Names within two edits, met by prefix and length (ops J11, J12, J13, F11)."""
+    """Names within two edits, met by prefix and length (op F11; a part of J11 to J13)."""
     return resolve.near_names(t("part"), "p_partkey", F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type", (F.col("p_partkey") % 3).cast("string")))
 
 
@@ -274,13 +274,13 @@ def url_canonical(t):
 @query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS digest,
 nullif(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '') AS title FROM pages""")
 def html_text(t):
-    """Text and title of a page (ops U3, U4, S13)."""
+    """Text with entities as they are, and title of a page (a part of U3 and U4)."""
     return t("pages").select("page_id", F.md5(T.strip_html(F.col("html"))).alias("digest"), T.title_of(F.col("html")).alias("title"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT props) AS shapes FROM events GROUP BY event_type")
 def json_props(t):
-    """Embedded JSON, parsed once (ops U5, U8)."""
+    """Distinct texts of embedded JSON by type; nothing is parsed."""
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("props").alias("shapes"))
 
 
@@ -348,7 +348,7 @@ def close_ties(t):
 
 @query("""SELECT p_partkey, CASE WHEN p_size >= 40 THEN 'green' WHEN p_size >= 20 THEN 'yellow' ELSE 'red' END AS zone, CASE WHEN regexp_matches(lower(p_type), 'steel') THEN 'metal' WHEN regexp_matches(lower(p_type), 'brass|copper|tin|nickel') THEN 'alloy' ELSE 'none' END AS hint FROM part""")
 def zones(t):
-    """Decision tables (ops P6, P7, P8, P14, P18, R16)."""
+    """Two small decision tables (a part of P6 and P7)."""
     k = F.lower("p_type")
     return t("part").select("p_partkey", F.when(F.col("p_size") >= 40, "green").when(F.col("p_size") >= 20, "yellow").otherwise("red").alias("zone"), F.when(k.rlike("steel"), "metal").when(k.rlike("brass|copper|tin|nickel"), "alloy").otherwise("none").alias("hint"))
 
