@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -18,15 +19,28 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own
+    under /tmp; on a cluster there is none that all machines see, so that is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file:///tmp/checkpoints/shelfmark-{sc.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as keep it apart from df's columns (which Spark compares without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -54,6 +68,35 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def lookup(left: DataFrame, right: DataFrame, key: list[str], total: int) -> DataFrame:
+    """left's rows with right's columns, by key. right is a written table of one row a key, with `n`, how many of the `total` rows of
+    left have the key. Keys of more than a thousandth of all rows (a thousand at most, whatever the input) are joined by
+    broadcast, so that none of them fills one task; the others are joined by shuffle."""
+    cut = max(total // 1000, 1000)
+    hot = right.filter(F.col("n") > cut).collect() if total > cut else []
+    if not hot:
+        return left.join(right, key)
+    few = F.broadcast(left.sparkSession.createDataFrame(hot, right.schema))
+    return left.join(few.select(*key), key, "left_anti").join(right, key).unionByName(left.join(few, key))
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """Words of a filter of `bits` bits with those of the column's values (longs) set. At most bits / 64 rows reach the driver,
+    whatever the input; where the table is so large that most bits are set, the filter lets more rows pass and loses none."""
+    at = F.pmod(F.col(column), F.lit(bits))
+    words = keys.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("b")).distinct()
+    out = np.zeros(bits // 64, np.uint64)
+    for w, x in words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))")).collect():
+        out[w] = np.uint64(x & (1 << 64) - 1)
+    return out
+
+
+def passes(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values (64-bit) may be among the filter's keys."""
+    at = values.astype(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         delete(spark, path)
@@ -83,16 +126,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """word -> 64-bit hash, kept for up to `most` words of a worker."""
+    """word -> 64-bit hash, kept for up to `most` words of at most 40 bytes in a task."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 120_000):
         from xxhash import xxh3_64_intdigest
 
         self._hash, self._most = xxh3_64_intdigest, most
 
     def __missing__(self, w: bytes) -> int:
         h = self._hash(w)
-        if len(self) < self._most:
+        if len(self) < self._most and len(w) <= 40:
             self[w] = h
         return h
 

@@ -1,16 +1,22 @@
 """N-gram Jaccard join by MinHash banding, for texts of any number of copies.
 
 Documents with one set of word shingles form a class; only classes are compared. Every class gets MinHash bands (band and row
-counts chosen for the target recall at the threshold), bands are shuffled on their hashes, and each bucket links its classes to
-its first one: these links only say which classes could meet. Classes that hang together by them are then verified on their full
-shingle sets, every pair of them, in blocks of at most BLOCK classes: a group of thousands is spread over many tasks, and a pair
-leaves a task only as a count and, where it joins two parts, as one link.
+counts chosen for the target recall at the threshold), and bands are shuffled on their hashes. Classes that share a bucket are
+compared by their sketches, the low bytes of all their MinHash values: of a pair at the threshold, so many are equal with all but
+MISS of probability. Pairs that pass link their classes; a bucket of more than BUCKET classes links them all to its first one
+instead, which can only add candidates. Classes that hang together by these links are then verified on their full shingle sets,
+in blocks of bounded bytes: a group of thousands is spread over many tasks, and a pair leaves a task only as a count and, where it
+joins two parts, as one link.
+
+Shingle sets are sent for classes that have such a link alone: texts are read a second time and pass a filter of fixed size first.
+Tasks hold one text's set or two blocks (BLOCK_BYTES, or one set where that is larger) at a time.
 
 Words are the contract's (A-Z lowered, runs of digits, letters and non-ASCII characters). A text of fewer words than a shingle,
 but not none, is one shingle. Null texts and texts without words link to nothing, not even to each other. Ids need not be keys and
-may be null: rows are numbered, a set goes by the smallest number of its rows, and its text is read again by id and text hashes of
-one of them. A class is named by its smallest id. Classes without an id, and all but one of the classes whose smallest id is the
-same, are named by numbers below every id of the table (unique, but other ones in another run). Other columns are not read.
+may be null: rows are numbered, a set goes by the smallest number of its rows, and its text is read again by the text's hashes.
+A class is named by its smallest id. Classes without an id, and all but one of the classes whose smallest id is the
+same, are named by numbers below every id of the table (unique, but other ones in another run). Other columns are not read and
+pass through keep_one, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,28 +25,41 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-BLOCK, MOST_HASHES, FEW = 1024, 160, 48
+SHINGLE, THRESHOLD, RECALL, MISS = 5, 0.8, 0.9999, 1e-5
+#: Classes and bytes of a block, hashes of a signature, classes of a bucket that are compared with each other.
+BLOCK, BLOCK_BYTES, MOST_HASHES, FEW, BUCKET = 1024, 16 << 20, 160, 48, 2048
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most selective split of at most `most` hashes that finds a pair at the threshold with the target recall."""
-    best = (most, 1)
+    """(bands, rows): the most selective split of at most `most` hashes that finds a pair at the threshold with the target recall.
+    A recall that no split reaches is an error."""
+    best = None
     for rows in range(1, most + 1):
         p = threshold**rows
         n = math.ceil(math.log(1 - recall) / math.log1p(-p)) if p < 1 else 1
         if n * rows <= most:
             best = (n, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes do not find pairs of similarity {threshold} with recall {recall}")
     return best
 
 
+def least_equal(hashes: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
+    """So many of `hashes` MinHash values are equal, at least, for a pair at the threshold, but for a share `miss` of such pairs."""
+    below = 0.0
+    for c in range(hashes + 1):
+        below += math.comb(hashes, c) * threshold**c * (1 - threshold) ** (hashes - c)
+        if below > miss:
+            return c
+    return hashes
+
+
 def shingle_set(text: str | None, hashing: common.WordHash, k: int = SHINGLE) -> np.ndarray:
     h = hashing.array(common.word_list(text))
     return np.unique(common.shingles(h, min(k, len(h)) if len(h) else k))
@@ -55,15 +74,17 @@ class Signer:
         self.c = rng.integers(0, 1 << 63, n * rows, dtype=np.uint64)
         self.n, self.rows = n, rows
 
-    def bands(self, s: np.ndarray) -> np.ndarray:
+    def bands(self, s: np.ndarray) -> tuple[np.ndarray, bytes]:
+        """Band hashes, and the sketch."""
         low = np.full(len(self.a), ~np.uint64(0))
         for i in range(0, len(s), 2048):
             low = np.minimum(low, ((s[None, i : i + 2048] ^ self.c[:, None]) * self.a[:, None]).min(1))
-        low = common.mix(low).reshape(self.n, self.rows)
+        low = common.mix(low)
+        sketch, low = (low & np.uint64(255)).astype(np.uint8).tobytes(), low.reshape(self.n, self.rows)
         out = np.arange(self.n, dtype=np.uint64)
         for r in range(self.rows):
             out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
-        return out
+        return out, sketch
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -72,43 +93,97 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
-    """row number, id, text hashes, size of the shingle set, its 128-bit hash, band hashes."""
+    """row number, id, text hashes, size of the shingle set, its 128-bit hash, band hashes, sketch."""
     docs = _keyed(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("_row"), "_key_id", "_t1", "_t2", "text")
-    schema = common.with_fields(docs.drop("text"), "_size long, _h1 long, _h2 long, _bands array<long>")
+    schema = common.with_fields(docs.drop("text"), "_size long, _h1 long, _h2 long, _bands array<long>, _sketch binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         hashing, signer = common.WordHash(), Signer(n, rows)
         for b in batches:
-            size, h1, h2, held = [], [], [], []
+            size, h1, h2, held, sketches = [], [], [], [], []
             for text in b.column(4).to_pylist():
                 s = shingle_set(text, hashing, k)
                 d = xxh3_128_intdigest(s.tobytes())
                 size.append(len(s)), h1.append((d >> 64) - (1 << 63)), h2.append((d & (1 << 64) - 1) - (1 << 63))
-                held.append(signer.bands(s).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(held, pa.list_(pa.int64()))], names=schema.names)
+                one, sketch = signer.bands(s) if len(s) else (np.empty(0, np.uint64), b"")
+                held.append(one.view(np.int64)), sketches.append(sketch)
+            more = [*(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(held, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *more], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of rows that come sorted by their first `keys` columns."""
+    now, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[:keys] != now:
+                if rows:
+                    yield now, rows
+                now, rows = r[:keys], []
+            rows.append(r[keys:])
+    if rows:
+        yield now, rows
+
+
+def _alike(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Links of a bucket's rows that join what its pairs of at least `least` equal bytes join."""
+    n, out = len(sketches), []
+    label = np.arange(n)
+    for i in range(n - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        near = other[(sketches[other] == sketches[i]).sum(1) >= least] if len(other) else other
+        for old in np.unique(label[near]).tolist():
+            out.append((i, int(near[label[near] == old][0])))
+            label[label == old] = label[i]
+    return out
+
+
+def _candidates(sets: DataFrame, least: int) -> DataFrame:
+    """(a, b), a < b: links between classes (rep, bands, sketch) that share a bucket and may be near."""
+    total = sets.count()
+    bucket = sets.select("rep", F.explode("bands").alias("h"))
+    multi = common.spool(bucket.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    shared = common.spool(common.lookup(bucket, multi, ["h"], total).select("h", "n", "a", "rep"))
+    crowded = shared.filter((F.col("n") > BUCKET) & (F.col("rep") > F.col("a"))).select("a", F.col("rep").alias("b"))
+    compared = shared.filter(F.col("n") <= BUCKET).select("h", "rep").join(sets.select("rep", "sketch"), "rep").select("h", "rep", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, seen = [], [], set()
+        for _, rows in _groups(batches, 1):
+            x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+            for i, j in _alike(x, least):
+                pair = (min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0]))
+                if pair not in seen:
+                    seen.add(pair), a.append(pair[0]), b.append(pair[1])
+            if len(a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b, seen = [], [], set()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return compared.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").union(crowded)
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node hangs together with. links: (a, b), a < b. Alternating star contraction:
-    each round points every node and its neighbours at the smallest of them, and ends when links no longer change."""
+    each round points every node and its neighbours at the smallest of them, and ends when links no longer change. Rounds that
+    run out are an error. Hubs of links are joined by broadcast (common.lookup)."""
     links = common.spool(links.select("a", "b").distinct())
-    last = None
+    last, total = None, links.count()
     for _ in range(most_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b")  # larger neighbours to the least
-        small_in = large.distinct()
-        low2 = small_in.groupBy("b").agg(F.min("a").alias("m"))
-        small = small_in.join(low2, "b").select(F.col("m").alias("x"), F.col("a").alias("y"))  # the node's smaller neighbours to the least
-        links = common.spool(small.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).union(low2.select(F.col("m").alias("a"), "b")).filter("a < b").distinct())
+        low = common.spool(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        large = common.spool(common.lookup(links, low, ["a"], total).select(F.col("m").alias("a"), "b").distinct())  # larger neighbours to the least
+        low2 = common.spool(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+        small = common.lookup(large, low2, ["b"], total).filter("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))  # a node's smaller neighbours to the least
+        links = common.spool(small.union(low2.select(F.col("m").alias("a"), "b")).distinct())
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if last == now:
             break
-        last = now
+        last, total = now, now[0]
     else:
         raise ValueError(f"labels still change after {most_rounds} rounds")
     return links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -117,6 +192,17 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 def _pairs_of(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of a, j of b) of shingle sets whose Jaccard similarity reaches the threshold; b None: pairs i < j of a."""
     rows = a if b is None else [*a, *b]
+    if len(rows) <= 6:
+        pairs = [(i, j) for i in range(len(a)) for j in (range(i + 1, len(a)) if b is None else range(len(b)))]
+        near = []
+        for i, j in pairs:
+            x, y = a[i], (a if b is None else b)[j]
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9:
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if same >= threshold * (len(x) + len(y) - same) - 1e-9:
+                    near.append((i, j))
+        found = np.array(near, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
     n, size = len(a), np.array([len(x) for x in rows], np.float32)
     every = np.concatenate(rows)
     value, col, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -178,21 +264,26 @@ def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 def _verified(sets: DataFrame, threshold: float) -> DataFrame:
     """sets: (root, i, j, side, node, s), a block pair per (root, i, j). -> (a, b, n): links with b, counts with b null."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        one, two = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        get = lambda x: [np.frombuffer(v, np.uint64) for v in x.s]
-        i, j = _pairs_of(get(one), get(two) if len(two) else None, threshold)
-        ids = np.concatenate([one.node.to_numpy(), two.node.to_numpy()]).astype(np.int64)
-        j = j + (len(one) if len(two) else 0)
-        n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-        links = _spanning(i, j, len(ids))
-        some = np.flatnonzero(n)
-        a = [int(ids[x]) for x, _ in links] + ids[some].tolist()
-        b = [int(ids[y]) for _, y in links] + [None] * len(some)
-        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n": pd.array([0] * len(links) + n[some].tolist(), "Int64")})
-
-    return sets.groupBy("root", "i", "j").applyInPandas(run, "a long, b long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, n = [], [], []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "n"])
+        for _, rows in _groups(batches, 3):
+            ids = [r[1] for r in rows]
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+            here = sum(r[0] == 0 for r in rows)  # rows come sorted by side
+            i, j = _pairs_of(sets[:here], sets[here:] if here < len(sets) else None, threshold)
+            j = j + (here if here < len(sets) else 0)
+            count = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            for x, y in _spanning(i, j, len(ids)):
+                a.append(ids[x]), b.append(ids[y]), n.append(0)
+            for x in np.flatnonzero(count).tolist():
+                a.append(ids[x]), b.append(None), n.append(int(count[x]))
+            if len(a) > 50_000:
+                yield done()
+                a, b, n = [], [], []
+        yield done()
+
+    return sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node").select("root", "i", "j", "side", "node", "s").mapInArrow(run, "a long, b long, n long")
 
 
 def _found_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,34 +292,44 @@ def _found_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(docs.join(k, same(k)).drop(k._key_id, k._t1, k._t2, k.n) for k in (keys.filter("n = 1"), keys.filter("n > 1")))
 
 
+def _full_sets(docs: DataFrame, member: DataFrame, k: int) -> DataFrame:
+    """member with s, the shingle sets of the texts that it names by their hashes. Texts pass a filter of fixed size, so that few
+    others are sent; equal texts are sent once from each batch."""
+    sent = docs.sparkSession.sparkContext.broadcast(common.bit_filter(member, "_t1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing, words = common.WordHash(), sent.value
+        for b in batches:
+            t1, t2 = (b.column(i).to_numpy() for i in (0, 1))
+            at = np.flatnonzero(common.passes(words, t1))
+            _, first = np.unique(np.stack([t1[at], t2[at]]), axis=1, return_index=True)
+            at = at[np.sort(first)]
+            texts, out = b.column(2), []
+            for i in at.tolist():
+                out.append(shingle_set(texts[i].as_py(), hashing, k).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(t1[at]), pa.array(t2[at]), pa.array(out, pa.binary())], names=["_t1", "_t2", "s"])
+
+    texts = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"), "text")
+    sets = texts.mapInArrow(run, "_t1 long, _t2 long, s binary").join(member.select("_t1", "_t2"), ["_t1", "_t2"], "left_semi")
+    return sets.groupBy("_t1", "_t2").agg(F.first("s").alias("s")).join(member, ["_t1", "_t2"])
+
+
 def _classed(docs: DataFrame, threshold: float, k: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """(signed rows, their sets: _h1, _h2, the class's number `top`, n_links and the set's key: whether its id is null, _key_id, _t1, _t2, n rows)."""
     n, rows = bands(threshold, recall)
     signed = common.spool(_signed(docs, n, rows, k))
     known = signed.filter("_size > 0")
     key = F.struct(F.col("_key_id").isNull().alias("no_id"), "_key_id", "_t1", "_t2")
-    sets = known.groupBy("_h1", "_h2").agg(F.min("_row").alias("rep"), F.min(key).alias("key"), F.first("_bands").alias("bands"))
-    sets = common.spool(sets.select("_h1", "_h2", "rep", "key.*", "bands"))
+    sets = known.groupBy("_h1", "_h2").agg(F.min("_row").alias("rep"), F.min(key).alias("key"), F.first("_size").alias("size"), F.first("_bands").alias("bands"), F.first("_sketch").alias("sketch"))
+    sets = common.spool(sets.select("_h1", "_h2", "rep", "key.*", "size", "bands", "sketch"))
     repeated = common.spool(known.groupBy("_key_id", "_t1", "_t2").agg(F.count("*").alias("n")).filter("n > 1"))
     same = sets._key_id.eqNullSafe(repeated._key_id) & (sets._t1 == repeated._t1) & (sets._t2 == repeated._t2)
     keys = sets.join(repeated, same, "left").select("_h1", "_h2", "rep", sets.no_id, sets._key_id, sets._t1, sets._t2, F.coalesce("n", F.lit(1)).alias("n"))
-    bucket = sets.select("rep", F.posexplode("bands").alias("band", "h"))
-    first = bucket.groupBy("band", "h").agg(F.min("rep").alias("a"), F.count("*").alias("m")).filter("m > 1").select("band", "h", "a")
-    could = components(bucket.join(first, ["band", "h"]).filter("rep > a").select("a", F.col("rep").alias("b")))
-    could = common.spool(could)
-    sizes = could.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = could.join(sizes, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    member = common.spool(member.join(keys.select(F.col("rep").alias("node"), "_key_id", "_t1", "_t2", "n"), "node"))
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = common.WordHash()
-        for b in batches:
-            s = [shingle_set(t, hashing, k).tobytes() for t in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(s, pa.binary())], names=["node", "root", "i", "blocks", "s"])
-
-    cols = ["node", "root", "i", "blocks"]
-    one, many = (x.select(*cols, "text") for x in _found_by(_keyed(docs.select("doc_id", "text")), member))
-    full = one.union(many.groupBy(*cols).agg(F.first("text").alias("text"))).mapInArrow(to_sets, "node long, root long, i int, blocks int, s binary")
+    could = common.spool(components(_candidates(sets.select("rep", "bands", "sketch"), least_equal(n * rows, threshold))))
+    member = could.join(sets.select(F.col("rep").alias("node"), "_t1", "_t2", "size"), "node")
+    size = member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    member = common.spool(member.join(size, "root").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")))
+    full = _full_sets(docs, member, k)
     # block pairs (i, j), i <= j: a class goes to every pair that holds its block
     paired = full.select("root", "node", "s", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
         "root", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), (F.col("i") > F.col("o")).cast("int").alias("side"), "node", "s"
@@ -260,8 +361,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, re
     """One row of docs of each class, with its columns: of the smallest id, then text hash, then hash of all columns."""
     _, sets = _classed(docs, threshold, k, recall)
     kept = sets.groupBy("top").agg(F.min(F.struct("no_id", "_key_id", "_t1", "_t2", "n")).alias("key")).select("key._key_id", "key._t1", "key._t2", "key.n")
-    one, many = _found_by(_keyed(docs), common.spool(kept))
-    hashed = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
-    many = many.groupBy("_key_id", "_t1", "_t2").agg(F.min_by(F.struct(*docs.columns), hashed).alias("x")).select("x.*")
+    # a row's columns are one struct: no name of theirs can clash with a name of ours
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_whole"))).drop("doc_id", "text")
+    one, many = _found_by(rows, common.spool(kept))
+    hashed = F.xxhash64(*[F.col(f"_whole.`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    many = many.groupBy("_key_id", "_t1", "_t2").agg(F.min_by("_whole", hashed).alias("_whole"))
     wordless = docs.filter(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
-    return one.select(*docs.columns).union(many).union(wordless)
+    return one.select("_whole.*").union(many.select("_whole.*")).union(wordless)
