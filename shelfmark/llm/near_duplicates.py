@@ -34,6 +34,8 @@ from . import common
 SHINGLE, THRESHOLD, RECALL, MISS = 5, 0.8, 0.9999, 1e-5
 #: Classes and bytes of a block, hashes of a signature, classes of a bucket that are compared with each other.
 BLOCK, BLOCK_BYTES, MOST_HASHES, FEW, BUCKET = 1024, 16 << 20, 160, 48, 2048
+#: Rows of a bucket that one task compares with each other; a larger bucket goes in pairs of such parts.
+PART = 256
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -149,11 +151,14 @@ def _candidates(sets: DataFrame, least: int) -> DataFrame:
     multi = common.spool(bucket.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1"))
     shared = common.spool(common.lookup(bucket, multi, ["h"], total).select("h", "n", "a", "rep"))
     crowded = shared.filter((F.col("n") > BUCKET) & (F.col("rep") > F.col("a"))).select("a", F.col("rep").alias("b"))
-    compared = shared.filter(F.col("n") <= BUCKET).select("h", "rep").join(sets.select("rep", "sketch"), "rep").select("h", "rep", "sketch")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = shared.filter(F.col("n") <= BUCKET).withColumn("i", F.pmod(F.xxhash64("rep"), parts.cast("long")).cast("int")).select("h", "rep", "i", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    dealt = dealt.select("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "rep")
+    compared = dealt.join(sets.select("rep", "sketch"), "rep").select("h", "i", "j", "rep", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, seen = [], [], set()
-        for _, rows in _groups(batches, 1):
+        for _, rows in _groups(batches, 3):
             x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
             for i, j in _alike(x, least):
                 pair = (min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0]))
@@ -164,7 +169,7 @@ def _candidates(sets: DataFrame, least: int) -> DataFrame:
                 a, b, seen = [], [], set()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return compared.repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").union(crowded)
+    return compared.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").union(crowded)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -368,3 +373,20 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, re
     many = many.groupBy("_key_id", "_t1", "_t2").agg(F.min_by("_whole", hashed).alias("_whole"))
     wordless = docs.filter(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
     return one.select("_whole.*").union(many.select("_whole.*")).union(wordless)
+
+
+#: The same by brute force: every pair of different shingle sets that share a shingle, components by recursion.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT min(doc_id) AS c, s, len(s) AS n FROM s GROUP BY s),
+m AS (SELECT s.doc_id, c.c FROM s JOIN c USING (s)),
+g AS (SELECT c, n, unnest(s) AS g FROM c),
+p AS (SELECT x.c AS a, y.c AS b FROM g x JOIN g y ON x.g = y.g AND x.c <> y.c AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+      GROUP BY x.c, x.n, y.c, y.n HAVING 5 * count(*) >= 4 * (x.n + y.n - count(*))),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+k AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT w.doc_id, CAST(least(coalesce(k.low, m.c, w.doc_id), coalesce(m.c, w.doc_id)) AS BIGINT) AS class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN m USING (doc_id) LEFT JOIN k ON k.a = m.c LEFT JOIN l ON l.a = m.c
+"""
