@@ -1,12 +1,13 @@
 """Line dedup over overlapping windows of consecutive lines.
 
-Lines end at a newline. Each window of `window` lines is hashed (two 64-bit hashes over the lines); windows found more than once
-anywhere are joined back to their places, and every place but the first (smallest id, then text hash, then line) marks its lines.
-Marked lines are removed; overlapping marks merge. Windows of blank lines alone never count, and texts of fewer lines than a
-window stay as they are.
+Lines end at a newline. Each window of `window` lines is hashed (two 64-bit hashes over the lines) and written once; windows found
+more than once anywhere are joined back to their places, and every place but the first (smallest id, then text hash, then line)
+marks its lines. A window that very many places share is joined by broadcast (common.lookup). Marked lines are removed; overlapping
+marks merge. Windows of blank lines alone never count, and texts of fewer lines than a window stay as they are. A very long text is
+one row of many windows: its windows are rows of their own, its marks one array of line numbers.
 
 Null texts stay null with 0 lines. Rows that repeat both id and text count as one place and get one result. Rows with a null id
-come first. Other columns pass through untouched; the names n_lines and n_removed are replaced. Empty tables stay empty.
+come first. Other columns pass through untouched, whatever their names; n_lines and n_removed are replaced. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW = 3
 
 
@@ -40,28 +43,30 @@ def _strip(window: int):
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with `text` stripped of repeated windows, plus n_lines and n_removed (long)."""
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.select("doc_id", "text").withColumn("_row", F.xxhash64("doc_id", "text"))
-    lines = F.split("text", "\n", -1)
+    row, at, cut, who, what = common.fresh(docs, "_row", "_at", "_cut", "_who", "_what")
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), F.split("text", "\n", -1).alias("l"))
     part = lambda i, salt: F.xxhash64(F.lit(salt), *[F.get("l", i + k) for k in range(window)])
     filled = lambda i: F.trim(F.translate(F.concat_ws("", *[F.get("l", i + k) for k in range(window)]), "\t\r\x0b\x0c", "    ")) != ""
-    windows = (
-        keyed.withColumn("l", lines).filter(F.size("l") >= window)
-        .select("doc_id", "_row", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.size("l") - window), lambda i: F.struct(part(i, 1).alias("h1"), part(i, 2).alias("h2"), i.alias("at"), filled(i).alias("f"))), lambda w: w["f"])).alias("w"))
+    at_each = F.transform(F.sequence(F.lit(0), F.size("l") - window), lambda i: F.struct(part(i, 1).alias("h1"), part(i, 2).alias("h2"), i.alias("at"), filled(i).alias("f")))
+    windows = common.spool(
+        keyed.filter(F.size("l") >= window).select("doc_id", "_row", F.explode(F.filter(at_each, lambda w: w["f"])).alias("w"))
         .select("w.h1", "w.h2", F.struct("doc_id", "_row", F.col("w.at").alias("at")).alias("place"))
-    )
-    first = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    )
+    first = common.spool(windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    repeated = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     marked = (
-        windows.join(first, ["h1", "h2"]).filter(~F.col("place").eqNullSafe(F.col("first")))
-        .groupBy(F.col("place._row").alias("_row")).agg(F.collect_set("place.at").alias("_at"))
-    )
-    out = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(marked, "_row", "left").drop("_row")
-    out = out.withColumn("_cut", _strip(window)(F.when(F.col("_at").isNotNull(), F.col("text")), F.col("_at")))
+        common.lookup(windows, first, ["h1", "h2"], repeated).filter(~F.col("place").eqNullSafe(F.col("first")))
+        .groupBy(F.col("place.doc_id").alias(who), F.col("place._row").alias(what)).agg(F.collect_set("place.at").alias(at))
+    )
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    out = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col(who)) & (F.col(row) == F.col(what)), "left").drop(row, who, what)
+    out = out.withColumn(cut, _strip(window)(F.when(F.col(at).isNotNull(), F.col("text")), F.col(at)))
     return (
         out.withColumns({
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long"),
-            "n_removed": F.coalesce(F.col("_cut.n"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.col("_cut.text")),
-        }).drop("_at", "_cut")
+            "n_removed": F.coalesce(F.col(cut)["n"], F.lit(0)).cast("long"),
+            "text": F.when(F.col(at).isNull(), F.col("text")).otherwise(F.col(cut)["text"]),
+        }).drop(at, cut)
     )
 
 
