@@ -2,14 +2,18 @@
 
 A window is `width` consecutive words of an item (all of a shorter item). A window that occurs in a document holds all its
 shingles there, so one necessary shingle is enough as its prefix: the one that is rarest over all documents. A first pass counts
-the items' shingles in the documents; a second one finds the prefixes in each document, places the window around each hit
-(positional bound), drops windows that would not fit (length bound) and compares the window's words one by one.
+the items' shingles in the documents; a second one finds the prefixes in each document and sends each with its place and the words
+around it. They are joined with the windows that have this prefix by a shuffle (a prefix that very many documents hold, by
+broadcast: common.lookup's bound), the window is placed around the hit (positional bound), windows that would not fit go (length
+bound), and the words of the others are compared.
 
-Items are joined in blocks of at most `block` windows, each sent to the executors as one table; text passes the blocks in one
-go, without a shuffle, so a passage that most documents share is no hot key.
+Windows, counts and prefixes are tables; what reaches the driver or all tasks is a filter of fixed size, which lets shingles pass
+that may be an item's. A benchmark too large for it costs a larger join and loses nothing.
 
 Null and empty texts have no words; items without words have no windows; a null item_id counts as an item named "" only if it has
-windows. Rows that repeat an id are judged one by one, items that repeat an id count once. Other columns are not read.
+windows. Rows that repeat an id are judged one by one (rows that repeat id and text alike), items that repeat an id count once.
+A very long text is read as one row, its hits are rows of their own. Other columns are not read and pass through `clean`, whatever
+their names. Without documents the result is empty, without items no document has hits.
 """
 
 from __future__ import annotations
@@ -18,140 +22,167 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-WIDTH, SHINGLE, BLOCK = 13, 5, 400_000
+WIDTH, SHINGLE, BITS = 13, 5, 1 << 23
+#: Rows of prefixes that very many documents hold, to be broadcast at most; beyond them all is joined by shuffle.
+MOST_HOT = 50_000
 
 
-class Index:
-    """Windows of a block of items: word hashes, the items that hold each, and their prefixes once counts are known."""
+def _windows(items: DataFrame, width: int) -> DataFrame:
+    """(item, w): the windows of items, words joined by blanks; a row for each occurrence."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int, shingle: int):
-        self.shingle, held = shingle, {}
-        for item, text in items:
-            ws = common.word_list(text)
-            for i in range(max(1, len(ws) - width + 1) if ws else 0):
-                held.setdefault(tuple(ws[i : i + width]), set()).add(item)
-        self.windows, self.items = list(held), [sorted(x) for x in held.values()]
-        hashing = common.WordHash()
-        self.hashes = [hashing.array(list(w)) for w in self.windows]
-        self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
-        self.keys = {k: np.unique(np.concatenate([common.shingles(h, k) for h in self.hashes if min(shingle, len(h)) == k])) for k in self.sizes}
-        self.filters = {k: _bits(v) for k, v in self.keys.items()}
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Each window's prefix: its rarest shingle, ties to the earlier."""
-        self.prefix = {k: {} for k in self.sizes}
-        for n, h in enumerate(self.hashes):
-            k = min(self.shingle, len(h))
-            s = common.shingles(h, k)
-            at = int(counts[k][np.searchsorted(self.keys[k], s)].argmin())
-            self.prefix[k].setdefault(int(s[at]), []).append((n, at))
-        self.keys = {k: np.array(sorted(v), np.uint64) for k, v in self.prefix.items()}
-        self.filters = {k: _bits(v) for k, v in self.keys.items()}
-
-    def found(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of shingles of h that are keys, and the shingles."""
-        s = common.shingles(h, k)
-        at = np.flatnonzero(self.filters[k][(s >> np.uint64(64 - _BITS)).astype(np.int64)])
-        s = s[at]
-        i = np.minimum(np.searchsorted(self.keys[k], s), len(self.keys[k]) - 1)
-        is_key = self.keys[k][i] == s
-        return at[is_key], s[is_key]
-
-
-_BITS = 22
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = common.word_list(text)
+                n = max(1, len(ws) - width + 1) if ws else 0
+                for at in range(0, n, 4096):  # a long item's windows leave in parts
+                    part = [b" ".join(ws[i : i + width]).decode("utf-8", "surrogatepass") for i in range(at, min(n, at + 4096))]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(part, pa.string())], names=["item", "w"])
 
+    return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(run, "item string, w string").distinct()
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << _BITS, bool)
-    out[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return out
 
+def _keyed(windows: DataFrame, shingle: int) -> DataFrame:
+    """(w, m, k, s, at): each window's shingle hashes s, of k words, with their places, and its number of words m."""
 
-def _blocks(items: DataFrame, width: int, shingle: int, block: int) -> list[Index]:
-    """Items stream to the driver a partition at a time, and are held as blocks of bounded size."""
-    out, held, size = [], [], 0
-    for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
-        n = len(r[1] or "") // 6 + 1
-        if held and size + n > block:
-            out.append(Index(held, width, shingle))
-            held, size = [], 0
-        held.append((r[0], r[1]))
-        size += n
-    return [x for x in [*out, *([Index(held, width, shingle)] if held else [])] if x.windows]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing = common.WordHash()
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                w, m, k, s, at = [], [], [], [], []
+                for text in b.column(0).slice(lo, 2048).to_pylist():
+                    ws = text.encode("utf-8", "surrogatepass").split(b" ")
+                    size = min(shingle, len(ws))
+                    found = common.shingles(hashing.array(ws), size)
+                    w += [text] * len(found)
+                    m += [len(ws)] * len(found)
+                    k += [size] * len(found)
+                    s.append(found.view(np.int64)), at.append(np.arange(len(found), dtype=np.int32))
+                cat = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0, t))
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), cat(s, np.int64), cat(at, np.int32)], names=["w", "m", "k", "s", "at"])
+
+    return windows.select("w").distinct().mapInArrow(run, "w string, m int, k int, s long, at int")
+
+
+class _Found:
+    """Places of a text's shingles that pass the filter."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int]):
+        self.bits, self.sizes, self.hashing = bits, sizes, common.WordHash()
+
+    def __call__(self, ws: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        h = self.hashing.array(ws)
+        for k in self.sizes:
+            s = common.shingles(h, k)
+            at = np.flatnonzero(common.passes(self.bits, s))
+            if len(at):
+                yield k, at, s[at].view(np.int64)
 
 
-def _count(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
-    """How often each key of the block occurs over all documents."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(index)
+def _counts(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(k, s, n): how often shingles that pass the filter occur over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, hashing, seen = sent.value, common.WordHash(), {k: [] for k in sent.value.sizes}
-        total = {k: np.zeros(len(v), np.int64) for k, v in x.keys.items()}
+        find = _Found(sent.value, sizes)
         for b in batches:
+            held: dict[int, list] = {}
             for text in b.column(0).to_pylist():
-                h = hashing.array(common.word_list(text))
-                for k in x.sizes:
-                    seen[k].append(x.found(h, k)[1])
-            for k, s in seen.items():
-                np.add.at(total[k], np.searchsorted(x.keys[k], np.concatenate(s)), 1) if s else None
-                seen[k] = []
-        for k, t in total.items():
-            at = np.flatnonzero(t)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(t[at])], names=["k", "i", "n"])
+                for k, _, s in find(common.word_list(text)):
+                    held.setdefault(k, []).append(s)
+            for k, parts in held.items():
+                s, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(s), pa.array(n.astype(np.int64))], names=["k", "s", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "k int, i long, n long").groupBy("k", "i").agg(F.sum("n").alias("n"))
-    out = {k: np.zeros(len(v), np.int64) for k, v in index.keys.items()}
-    for k, i, n in counted.collect():  # at most the block's shingles
-        out[k][i] = n
-    return out
+    return docs.select("text").mapInArrow(run, "k int, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and the columns of `keep`), n_words, n_hit, items (sorted strings), one row per row of docs."""
-    spark = docs.sparkSession
-    sent = []
-    for index in _blocks(items, width, shingle, block):
-        index.choose(_count(docs, index))
-        sent.append(spark.sparkContext.broadcast(index))
-    cols = ["doc_id", *(keep or [])]
-    schema = common.with_fields(docs.select(*cols), "_n_words long, _n_hit long, _items array<string>")
+def _read(docs: DataFrame, bits: np.ndarray, sizes: list[int], width: int) -> DataFrame:
+    """(_r1, _r2, n_words, k, s, pos, low, near): a row with k null for each row of docs, and one for each shingle that passes the
+    filter, at word pos, with the words around it, of which the first is word `low`."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    schema = "_r1 long, _r2 long, n_words long, k int, s long, pos long, low long, near string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing, indexes = common.WordHash(), [x.value for x in sent]
+        find = _Found(sent.value, sizes)
         for b in batches:
-            n_words, n_hit, names = [], [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            rows: list[tuple] = []
+            r1, r2 = (b.column(i).to_pylist() for i in (0, 1))
+            pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
+            for i, text in enumerate(b.column(2).to_pylist()):
                 ws = common.word_list(text)
-                h, hit, held = hashing.array(ws), None, set()
-                for x in indexes:
-                    for k in x.sizes:
-                        for at, s in zip(*x.found(h, k), strict=True):
-                            for n, shift in x.prefix[k][int(s)]:
-                                w, p = x.windows[n], int(at) - shift
-                                if p < 0 or p + len(w) > len(ws) or tuple(ws[p : p + len(w)]) != w:
-                                    continue
-                                hit = np.zeros(len(ws), bool) if hit is None else hit
-                                hit[p : p + len(w)] = True
-                                held.update(x.items[n])
-                n_words.append(len(ws)), n_hit.append(0 if hit is None else int(hit.sum())), names.append(sorted(held))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=schema.names)
-
-    out = docs.select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
-    return out.withColumnsRenamed({"_n_words": "n_words", "_n_hit": "n_hit", "_items": "items"}) if keep is None else out
+                rows.append((r1[i], r2[i], len(ws), None, None, None, None, None))
+                for k, at, s in find(ws):
+                    for p, x in zip(at.tolist(), s.tolist(), strict=True):
+                        low = max(0, p - width + 1)
+                        rows.append((r1[i], r2[i], len(ws), k, x, p, low, b" ".join(ws[low : p + width]).decode("utf-8", "surrogatepass")))
+                        if len(rows) > 8192:
+                            yield pack()
+                            rows = []
+            if rows:
+                yield pack()
+
+    fields = pa.schema([("_r1", pa.int64()), ("_r2", pa.int64()), ("n_words", pa.int64()), ("k", pa.int32()), ("s", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()), ("near", pa.string())])
+    return docs.select(*_row_key("doc_id", "text"), "text").mapInArrow(run, schema)
+
+
+def _row_key(doc_id: str, text: str) -> list:
+    """128 bits that a row goes by: rows that agree in them are copies and get one result."""
+    return [F.xxhash64(doc_id, text).alias("_r1"), F.xxhash64(F.lit(1), doc_id, text).alias("_r2")]
+
+
+def _judged(docs: DataFrame, items: DataFrame, width: int, shingle: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(read: n_words of each row; covered: n_hit of each row key with hits; held: row keys with the items whose windows they hold)."""
+    windows = common.spool(_windows(items, width))
+    keyed = common.spool(_keyed(windows, shingle))
+    sizes = sorted(r[0] for r in keyed.select("k").distinct().collect())  # `shingle` at most
+    counts = common.spool(_counts(docs, common.bit_filter(keyed, "s", bits), sizes))
+    best = keyed.join(counts, ["k", "s"], "left").groupBy("w").agg(F.min(F.struct("n", "at", "k", "s", "m")).alias("p"), F.count("n").alias("found"), F.count("*").alias("parts"))
+    # a window of a shingle that no text has cannot occur
+    prefix = common.spool(best.filter("found = parts").select("w", "p.n", "p.at", "p.k", "p.s", "p.m"))
+    read = common.spool(_read(docs, common.bit_filter(prefix, "s", bits), sizes, width))
+    found = read.filter("k IS NOT NULL")
+    total = found.count()
+    cut = max(total // 1000, 1000)
+    hot = prefix.filter(F.col("n") > cut).limit(MOST_HOT + 1).collect() if total > cut else []
+    if 0 < len(hot) <= MOST_HOT:
+        few = docs.sparkSession.createDataFrame(hot, prefix.schema)
+        keys = few.select("k", "s").distinct()
+        met = found.join(F.broadcast(keys), ["k", "s"], "left_anti").join(prefix, ["k", "s"]).unionByName(found.join(F.broadcast(few), ["k", "s"]))
+    else:
+        met = found.join(prefix, ["k", "s"])
+    start = F.col("pos") - F.col("at")
+    fits = (start >= 0) & (start + F.col("m") <= F.col("n_words"))
+    same = F.array_join(F.slice(F.split("near", " "), (start - F.col("low") + 1).cast("int"), F.col("m")), " ") == F.col("w")
+    hits = common.spool(met.filter(fits).filter(same).select("_r1", "_r2", start.alias("start"), (start + F.col("m")).alias("end"), "w").distinct())
+    before = F.max("end").over(Window.partitionBy("_r1", "_r2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select("_r1", "_r2", "start", "end").distinct().withColumn("gain", F.greatest(F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0)))
+    covered = spans.groupBy("_r1", "_r2").agg(F.sum("gain").alias("n_hit"))
+    held = hits.select("_r1", "_r2", "w").distinct().join(windows, "w").groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return read.filter("k IS NULL"), covered, held
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted strings), one row per row of docs."""
+    read, covered, held = _judged(docs, items, width, shingle, bits)
+    words = read.groupBy("_r1", "_r2").agg(F.first("n_words").alias("n_words"))
+    known = words.join(covered, ["_r1", "_r2"], "left").join(held, ["_r1", "_r2"], "left")
+    rows = docs.select("doc_id", *_row_key("doc_id", "text")).join(known, ["_r1", "_r2"])
+    return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def is_contaminated(n_hit: str, n_words: str):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns."""
-    found = contamination(docs, items, keep=[c for c in docs.columns if c != "doc_id"], **options)
-    return found.filter(~is_contaminated("_n_hit", "_n_words")).select(*docs.columns)
+    read, covered, _ = _judged(docs, items, width, shingle, bits)
+    gone = read.select("_r1", "_r2", "n_words").distinct().join(covered, ["_r1", "_r2"]).filter(is_contaminated("n_hit", "n_words")).select("_r1", "_r2")
+    rows = docs.select(F.struct(*docs.columns).alias("_whole"), *_row_key("doc_id", "text"))
+    return rows.join(common.spool(gone), ["_r1", "_r2"], "left_anti").select("_whole.*")

@@ -78,7 +78,7 @@ def test_line_dedup(spark):
 def test_decontamination(spark, docs):
     words = A.split()
     items = [(1, " ".join(words[10:40])), (2, None), (3, "w5"), (4, " ".join(words[:12]) + " no"), (1, " ".join(words[10:40])), (5, "--")]
-    got = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block=7).collect()}
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), bits=64).collect()}
     for i, text in TEXTS:
         ws = [w.decode() for w in common.word_list(text)]
         hit, held = set(), set()
