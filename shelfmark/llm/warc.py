@@ -7,7 +7,9 @@ by place, join ranges that are close, and read and parse only those bytes.
 Of records with one payload, that with the largest page_id is the response and the others are revisits of it; payloads below
 `least` bytes are all responses. Null html is an empty payload, a null URL an empty one. Rows that repeat page_id and payload
 are responses alike if the id is the largest; rows with a null id are revisits where their payload has an id, else responses.
-Other columns are not read. An empty table gives empty archives and an empty result.
+Other columns are not read. An empty table gives no archives and an empty result. A very long page is one record, held whole by
+the task that writes or reads it. Record ids are unique: a response is named by its page and payload, all others by their file and
+number too.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from . import common
 DATE = "2024-01-01T00:00:00Z"
 #: Ranges up to this far apart are read in one go, and at most that much.
 GAP, MOST = 64 << 10, 8 << 20
+#: Archive bytes of a reading task.
+SHARE = 16 << 20
 _INDEX = "file string, offset long, length long, url string, payload_digest string, page_id long, record_type string, refers_to long"
 
 
@@ -34,21 +38,21 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uri(page: int | None) -> str:
-    return f"<urn:shelfmark:page:{'' if page is None else page}>"
+def _uri(page: int | None, name: str, own: str = "") -> str:
+    return f"<urn:shelfmark:page:{'' if page is None else page}:{name}{own and ':'}{own}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, name: str, refers: int | None) -> bytes:
-    """One gzip member. A revisit (refers given) holds the HTTP header alone."""
+def record(page: int | None, url: str | None, payload: bytes, name: str, refers: int | None, own: str = "") -> bytes:
+    """One gzip member. A revisit (refers given) holds the HTTP header alone. `own` tells records of one page and payload apart."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers is not None else http + payload
     url = "".join(f"%{ord(c):02X}" if c < "!" or c == "\x7f" else c for c in url or "")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {_uri(page)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {_uri(page, name, own)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{name}", "Content-Type: application/http; msgtype=response",
     ]
     if refers is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers, name)}"]
     raw = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress(raw) + c.flush()
@@ -65,21 +69,27 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes archives under folder and returns their index."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.sha1("html"))
-    best = pages.groupBy("_sha").agg(F.max("page_id").alias("_first"))
-    joined = pages.join(best, "_sha").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.col("_first").cast("long").alias("_first"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.sha1("html"))
+    best = common.spool(pages.groupBy("_sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("n")))
+    total = best.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = common.lookup(pages, best, ["_sha"], total).select("page_id", "url", "html", "_first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         where, root = fs.FileSystem.from_uri(folder)
-        name, out, at, index = f"{root}/{uuid.uuid4().hex}.warc.gz", None, 0, []
+        own = uuid.uuid4().hex
+        name, out, at, index, named = f"{root}/{own}.warc.gz", None, 0, [], set()
         for b in batches:
             for page, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
                 refers = first if len(payload) >= least and first is not None and first != page else None
                 name_of = digest(payload)
-                data = record(page, url, payload, name_of, refers)
+                key = (page, name_of)
+                alone = refers is None and page is not None and (page == first or first is None) and key not in named  # named as revisits refer to it
+                if alone:
+                    named.add(key)
+                data = record(page, url, payload, name_of, refers, "" if alone else f"{own}-{len(index)}")
                 if out is None:
                     where.create_dir(root, recursive=True)
                     out = where.open_output_stream(name, compression=None)  # members are compressed one by one
@@ -98,14 +108,16 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 def read(index: DataFrame, folder: str) -> DataFrame:
     """file, offset, page_id, url, record_type, refers_to, payload_digest and payload (null for a revisit) of the records in index,
     all from the archives' bytes."""
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    placed = index.select("file", "offset", "length")
+    tasks = max(1, -(-(placed.agg(F.sum("length")).first()[0] or 0) // SHARE))
+    placed = placed.repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         where, _ = fs.FileSystem.from_uri(folder)
-        number = lambda uri: int(n) if (n := uri.strip("<>").rpartition(":")[2]) else None
+        number = lambda uri: int(n) if (n := uri.strip("<>").split(":")[3]) else None
 
         def ranges() -> Iterator[tuple[str, list[tuple[int, int]]]]:
             now, held = None, []
@@ -144,13 +156,17 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes pages, reads the archives back, deletes them: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = f"{common.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     got = common.spool(read(write(pages, folder, least), folder).select("page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to"))
+    common.delete(pages.sparkSession, folder)
     # a revisit's payload is the response's that it refers to
-    bytes_of = got.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("_n"))
-    out = got.join(bytes_of, ["refers_to", "payload_digest"], "left")
-    return out.select("page_id", F.coalesce("n", "_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    known = got.filter("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("n").alias("_n"))
+    revisits = got.filter("record_type = 'revisit'").groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n"))
+    bytes_of = common.spool(known.join(revisits, ["refers_to", "payload_digest"]))
+    out = common.lookup(got.filter("record_type = 'revisit'").drop("n"), bytes_of, ["refers_to", "payload_digest"], got.count())
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return got.filter("record_type = 'response'").withColumnRenamed("n", "payload_bytes").select(*columns).union(out.withColumnRenamed("_n", "payload_bytes").select(*columns))
 
 
 SQL_BASE32 = """
