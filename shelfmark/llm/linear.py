@@ -35,30 +35,39 @@ def marked(text: str | None) -> list[bytes]:
     return out
 
 
+#: A sampled document of more features than this is not learned from: the driver's memory is bounded by sample size times this.
+MOST_FEATURES = 60_000
+
+
 def first_ids(frame: DataFrame, most: int) -> list[int]:
-    """Up to `most` ids, the smallest by hash: a fixed sample."""
-    return [r[0] for r in frame.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    """Up to `most` different ids, the smallest by hash: a fixed sample."""
+    return [r[0] for r in frame.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
 def examples(docs: DataFrame, ids: dict[int, float], tokens: Callable, power: float) -> tuple[np.ndarray, ...]:
-    """(targets, row ends, buckets, values) of the documents whose ids are given; as many ids as the caller's bound."""
+    """(targets, row ends, buckets, values) of the documents whose ids are given, as many as the caller's bound; of rows that repeat
+    an id, the one with the least text hash. Sampled texts of more than MOST_FEATURES features are left out."""
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(int(k), float(v)) for k, v in ids.items()], "doc_id long, y double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            idx, val = [], []
-            for text in b.column(1).to_pylist():
+            ys, idx, val = [], [], []
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = tokens(text)
                 held: Counter = Counter()
                 for w, n in Counter(ws).items():
                     for k in word_buckets(w):
                         held[k] += n
+                if len(held) > MOST_FEATURES:
+                    continue
+                ys.append(y)
                 idx.append(np.fromiter(held.keys(), "<i4", len(held)).tobytes())
                 val.append((np.fromiter(held.values(), "<f4", len(held)) / max(1, len(ws)) ** power).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["y", "i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["y", "i", "v"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("y", "text").mapInArrow(run, "y double, i binary, v binary").toPandas()
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"), F.first("y").alias("y"))
+    found = rows.orderBy("doc_id").select("y", "r.text").mapInArrow(run, "y double, i binary, v binary").toPandas()
     idx = [np.frombuffer(x, "<i4") for x in found.i]
     ends = np.cumsum([len(x) for x in idx]).astype(np.int64)
     cat = lambda xs, t: np.concatenate(xs) if len(xs) else np.empty(0, t)
@@ -96,7 +105,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class WordScore(dict):
     """word -> the sum of its features' weights."""
 
-    def __init__(self, weights: np.ndarray, most: int = 400_000):
+    def __init__(self, weights: np.ndarray, most: int = 120_000):
         self.weights, self.most = weights, most
 
     def __missing__(self, w: bytes) -> float:

@@ -4,8 +4,9 @@ Each labeller votes good, bad or nothing on a whole text. Votes of all documents
 labellers, a fixed number), so expectation-maximisation on the driver sees every document and no text. Posteriors of a bounded
 sample (MOST, the smallest ids by hash) are the soft targets of a linear model over hashed chunks, which then scores every text.
 
-Null and empty texts are bad: every labeller that looks for words says so. Rows that repeat an id are scored one by one. Other
-columns are not read. An empty table gives an empty result.
+Null and empty texts are bad: every labeller that looks for words says so. Rows that repeat an id are scored one by one (one of
+them can be in the sample); a null id is scored and not sampled. A very long text counts whole; one of more features than
+linear.MOST_FEATURES is scored and not sampled. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def scored(docs: DataFrame, most: int = MOST, cut: float = CUT) -> DataFrame:
     voted = common.spool(_voted(docs))
     posterior = expectation_maximisation({r[0]: r[1] for r in voted.groupBy("code").count().collect()}) if voted.take(1) else {}
     ids = linear.first_ids(voted, most)
-    chosen = voted.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id").collect()
+    chosen = voted.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id").groupBy("doc_id").agg(F.min("code").alias("code")).collect()
     y, *rows = linear.examples(docs, {r["doc_id"]: posterior[r["code"]] for r in chosen}, linear.marked, POWER)
     sent = spark.sparkContext.broadcast((fit(y, linear.Sparse(*rows)), posterior))
     schema = common.with_fields(docs.select("doc_id"), "posterior double, score double, keep boolean")
