@@ -12,7 +12,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,26 +114,34 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     return fit(x, pos, unl, min(0.9, toxic / n))
 
 
-def score(docs: DataFrame, weights: np.ndarray | None, keep: list[str]) -> DataFrame:
-    """The columns of `keep` and _score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = common.with_fields(docs.select(*keep), "_score double")
+def _scores(weights) -> Callable[[list], list[float]]:
+    """Scores of texts under broadcast weights (None: 0)."""
+    scorer = None if weights.value is None else linear.WordScore(weights.value)
+    return lambda texts: [0.0 if scorer is None else scorer.score(words_once(t), 0) for t in texts]
+
+
+def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """doc_id, held_out, score, predicted, a row for each row of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    schema = common.with_fields(docs.select("doc_id"), "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None if sent.value is None else linear.WordScore(sent.value)
+        of = _scores(sent)
         for b in batches:
-            s = [0.0 if scorer is None else scorer.score(words_once(t), 0) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    out = docs.select("doc_id", "text").mapInArrow(run, schema)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted, a row for each row of docs."""
-    out = score(docs, train(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= cut).cast("int").alias("predicted"))
+def clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of docs below the cut, with their columns, whatever those are called."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _scores(sent)
+        for b in batches:
+            yield b.filter(pa.array([s < cut for s in of(b.column(at).to_pylist())], pa.bool_()))
 
-def clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs below the cut, with their columns."""
-    return score(docs, train(docs, labels), docs.columns).filter(F.col("_score") < cut).drop("_score")
+    return docs.mapInArrow(run, docs.schema)
