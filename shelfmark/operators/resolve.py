@@ -26,8 +26,8 @@ def _followed(links: DataFrame, n: int) -> tuple[DataFrame, bool]:
 def alias_closure(links: DataFrame) -> DataFrame:
     """(alias, canonical): follows each link until there is none or the next node has been visited. alias must be unique.
 
-    Links are doubled until they end. Where some run in cycles, as many steps as there are links end on the cycles' nodes: each alias
-    is followed to the first of these that it meets, and ends at the one before it, the last of the cycle not yet visited."""
+    Links are doubled until they end. Where some run in cycles, as many steps as there are links end on the cycles' nodes: an alias that
+    leads into a cycle ends at the first of its nodes that it meets, and a node of a cycle at itself, the first visited again."""
     _checkpoints(links.sparkSession)
     links = links.select("alias", "canonical").filter("alias <> canonical").distinct().checkpoint()
     n, distinct = links.agg(F.count("*"), F.count_distinct("alias")).first()
@@ -37,10 +37,8 @@ def alias_closure(links: DataFrame) -> DataFrame:
     if ended:
         return ends
     cycle = ends.join(links.select(F.col("alias").alias("canonical")), "canonical", "left_semi").select("canonical").distinct().withColumnRenamed("canonical", "alias").checkpoint()
-    before = links.join(cycle, "alias", "left_semi").select(F.col("canonical").alias("entry"), F.col("alias").alias("last"))
     entered, _ = _followed(links.join(cycle, "alias", "left_anti"), n)
-    entered = entered.union(cycle.select("alias", F.col("alias").alias("canonical"))).withColumnRenamed("canonical", "entry")
-    return entered.join(before, "entry", "left").select("alias", F.coalesce("last", "entry").alias("canonical"))
+    return entered.union(cycle.select("alias", F.col("alias").alias("canonical")))
 
 
 def near_names(df: DataFrame, key: str, name: Column, prefix: int = 8, least: int = 12, most: int = 2) -> DataFrame:

@@ -68,18 +68,20 @@ def unused_parents(t):
     return audit.unused_parents(t("customer"), "c_custkey", t("orders"), "o_custkey").select("c_custkey", "c_name")
 
 
-_LINKS = "SELECT p_partkey AS alias, CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 9 ELSE p_partkey + 1 END AS canonical FROM part WHERE p_partkey % 10 IN (1, 2, 3, 5, 6, 9) OR p_partkey % 30 = 8"
+# chains of up to nine links; 400 more in one chain; pairs that point at each other, and aliases that lead to them
+_LINKS = """SELECT p_partkey AS alias, CASE WHEN p_partkey <= 400 AND p_partkey < (SELECT max(p_partkey) FROM part) THEN p_partkey + 1 WHEN p_partkey % 10 = 9 THEN p_partkey - 9 WHEN p_partkey % 10 = 6 THEN p_partkey - 1 ELSE p_partkey + 1 END AS canonical
+FROM part WHERE (p_partkey <= 400 AND p_partkey < (SELECT max(p_partkey) FROM part)) OR p_partkey % 10 IN (1, 2, 3, 4, 5, 6, 9) OR p_partkey % 30 = 8"""
 
 
-@query(f"""WITH RECURSIVE l AS ({_LINKS}), walk(alias, node, path, depth) AS (
-SELECT alias, canonical, [alias, canonical], 1 FROM l WHERE alias <> canonical
-UNION ALL SELECT w.alias, l.canonical, list_append(w.path, l.canonical), w.depth + 1 FROM walk w JOIN l ON l.alias = w.node WHERE NOT list_contains(w.path, l.canonical))
-SELECT alias, arg_max(node, depth) AS canonical FROM walk GROUP BY alias""")
+@query(f"""WITH RECURSIVE l AS ({_LINKS}), walk(alias, node, seen) AS (SELECT alias, canonical, [alias] FROM l
+UNION ALL SELECT w.alias, l.canonical, list_append(w.seen, w.node) FROM walk w JOIN l ON l.alias = w.node WHERE NOT list_contains(w.seen, w.node))
+SELECT alias, arg_max(node, len(seen)) AS canonical FROM walk GROUP BY alias""")
 def alias_closure(t):
-    """Follows alias links to their end (ops J4, J5)."""
-    p = F.col("p_partkey")
-    links = t("part").filter((p % 10).isin(1, 2, 3, 5, 6, 9) | (p % 30 == 8)).select(p.alias("alias"), F.when(p % 10 == 9, p - 9).otherwise(p + 1).alias("canonical"))
-    return resolve.alias_closure(links)
+    """Follows alias links to their end, or to the first node that is met again (op J4)."""
+    p, last = F.col("p_partkey"), t("part").agg(F.max("p_partkey").alias("last"))
+    rows, chain = t("part").join(F.broadcast(last)), (p <= 400) & (p < F.col("last"))
+    links = rows.filter(chain | (p % 10).isin(1, 2, 3, 4, 5, 6, 9) | (p % 30 == 8))
+    return resolve.alias_closure(links.select(p.alias("alias"), F.when(chain, p + 1).when(p % 10 == 9, p - 9).when(p % 10 == 6, p - 1).otherwise(p + 1).alias("canonical")))
 
 
 @query("""SELECT 'o_orderstatus' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2""")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfmark.plans import catalogue
+from shelfmark.plans import catalogue, library  # noqa: F401  library adds its queries
 
 SF = "/root/testdata/sf0.001"
 
