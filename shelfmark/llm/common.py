@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -104,6 +107,26 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def values(column: pa.Array, step: int = 512) -> Iterator:
+    """A column's Python values, `step` at a time: a batch of long texts is never held twice."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
+def frugal(run: Callable) -> Callable:
+    """run for mapInArrow; what it held goes back to the system when a task ends, as workers live on and serve other stages."""
+
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """df's schema and further fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -44,7 +44,7 @@ def _windows(items: DataFrame, width: int) -> DataFrame:
                     part = [b" ".join(ws[i : i + width]).decode("utf-8", "surrogatepass") for i in range(at, min(n, at + 4096))]
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(part, pa.string())], names=["item", "w"])
 
-    return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(run, "item string, w string").distinct()
+    return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(common.frugal(run), "item string, w string").distinct()
 
 
 def _keyed(windows: DataFrame, shingle: int) -> DataFrame:
@@ -66,7 +66,7 @@ def _keyed(windows: DataFrame, shingle: int) -> DataFrame:
                 cat = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0, t))
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(m, pa.int32()), pa.array(k, pa.int32()), cat(s, np.int64), cat(at, np.int32)], names=["w", "m", "k", "s", "at"])
 
-    return windows.select("w").distinct().mapInArrow(run, "w string, m int, k int, s long, at int")
+    return windows.select("w").distinct().mapInArrow(common.frugal(run), "w string, m int, k int, s long, at int")
 
 
 class _Found:
@@ -92,14 +92,14 @@ def _counts(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
         find = _Found(sent.value, sizes)
         for b in batches:
             held: dict[int, list] = {}
-            for text in b.column(0).to_pylist():
+            for text in common.values(b.column(0)):
                 for k, _, s in find(common.word_list(text)):
                     held.setdefault(k, []).append(s)
             for k, parts in held.items():
                 s, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k, np.int32)), pa.array(s), pa.array(n.astype(np.int64))], names=["k", "s", "n"])
 
-    return docs.select("text").mapInArrow(run, "k int, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(common.frugal(run), "k int, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n"))
 
 
 def _read(docs: DataFrame, bits: np.ndarray, sizes: list[int], width: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _read(docs: DataFrame, bits: np.ndarray, sizes: list[int], width: int) -> Da
             rows: list[tuple] = []
             r1, r2 = (b.column(i).to_pylist() for i in (0, 1))
             pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-            for i, text in enumerate(b.column(2).to_pylist()):
+            for i, text in enumerate(common.values(b.column(2))):
                 ws = common.word_list(text)
                 rows.append((r1[i], r2[i], len(ws), None, None, None, None, None))
                 for k, at, s in find(ws):
@@ -128,7 +128,7 @@ def _read(docs: DataFrame, bits: np.ndarray, sizes: list[int], width: int) -> Da
                 yield pack()
 
     fields = pa.schema([("_r1", pa.int64()), ("_r2", pa.int64()), ("n_words", pa.int64()), ("k", pa.int32()), ("s", pa.int64()), ("pos", pa.int64()), ("low", pa.int64()), ("near", pa.string())])
-    return docs.select(*_row_key("doc_id", "text"), "text").mapInArrow(run, schema)
+    return docs.select(*_row_key("doc_id", "text"), "text").mapInArrow(common.frugal(run), schema)
 
 
 def _row_key(doc_id: str, text: str) -> list:

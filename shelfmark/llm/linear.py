@@ -67,7 +67,7 @@ def examples(docs: DataFrame, ids: dict[int, float], tokens: Callable, power: fl
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["y", "i", "v"])
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"), F.first("y").alias("y"))
-    found = rows.orderBy("doc_id").select("y", "r.text").mapInArrow(run, "y double, i binary, v binary").toPandas()
+    found = rows.orderBy("doc_id").select("y", "r.text").mapInArrow(common.frugal(run), "y double, i binary, v binary").toPandas()
     idx = [np.frombuffer(x, "<i4") for x in found.i]
     ends = np.cumsum([len(x) for x in idx]).astype(np.int64)
     cat = lambda xs, t: np.concatenate(xs) if len(xs) else np.empty(0, t)

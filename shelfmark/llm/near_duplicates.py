@@ -105,7 +105,7 @@ def _signed(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
         hashing, signer = common.WordHash(), Signer(n, rows)
         for b in batches:
             size, h1, h2, held, sketches = [], [], [], [], []
-            for text in b.column(4).to_pylist():
+            for text in common.values(b.column(4)):
                 s = shingle_set(text, hashing, k)
                 d = xxh3_128_intdigest(s.tobytes())
                 size.append(len(s)), h1.append((d >> 64) - (1 << 63)), h2.append((d & (1 << 64) - 1) - (1 << 63))
@@ -114,7 +114,7 @@ def _signed(docs: DataFrame, n: int, rows: int, k: int) -> DataFrame:
             more = [*(pa.array(x, pa.int64()) for x in (size, h1, h2)), pa.array(held, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *more], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.frugal(run), schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -169,7 +169,7 @@ def _candidates(sets: DataFrame, least: int) -> DataFrame:
                 a, b, seen = [], [], set()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return compared.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").union(crowded)
+    return compared.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(common.frugal(run), "a long, b long").union(crowded)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -288,7 +288,7 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
                 a, b, n = [], [], []
         yield done()
 
-    return sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node").select("root", "i", "j", "side", "node", "s").mapInArrow(run, "a long, b long, n long")
+    return sets.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "node").select("root", "i", "j", "side", "node", "s").mapInArrow(common.frugal(run), "a long, b long, n long")
 
 
 def _found_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,7 +315,7 @@ def _full_sets(docs: DataFrame, member: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t1[at]), pa.array(t2[at]), pa.array(out, pa.binary())], names=["_t1", "_t2", "s"])
 
     texts = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"), "text")
-    sets = texts.mapInArrow(run, "_t1 long, _t2 long, s binary").join(member.select("_t1", "_t2"), ["_t1", "_t2"], "left_semi")
+    sets = texts.mapInArrow(common.frugal(run), "_t1 long, _t2 long, s binary").join(member.select("_t1", "_t2"), ["_t1", "_t2"], "left_semi")
     return sets.groupBy("_t1", "_t2").agg(F.first("s").alias("s")).join(member, ["_t1", "_t2"])
 
 

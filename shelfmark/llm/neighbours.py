@@ -49,7 +49,7 @@ def usable(vectors: DataFrame) -> DataFrame:
                     ids.append(i), out.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
-    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, v binary")
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(common.frugal(run), "vec_id long, v binary")
 
 
 def _entries(rows: DataFrame, k: int) -> DataFrame:
@@ -62,7 +62,7 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
                 held.setdefault(v, set()).add(i)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted(x)[: k + 1] for x in held.values()], pa.list_(pa.int64()))], names=["v", "ids"])
 
-    met = rows.mapInArrow(send, "v binary, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    met = rows.mapInArrow(common.frugal(send), "v binary, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     return met.select(F.col("ids")[0].alias("rep"), "v", "ids")
 
 
@@ -143,7 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
             x = _matrix(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((x * x).sum(1)).max()) if len(x) else 0.0])], names=["n"])
 
-    norm = entries.select("v").mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
+    norm = entries.select("v").mapInArrow(common.frugal(norms), "n double").agg(F.max("n")).first()[0]
     sample = np.stack([np.frombuffer(bytes(r[0]), np.float64) for r in entries.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()])
     sent = spark.sparkContext.broadcast(Forest(sample, norm, trees))
 
@@ -158,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
         yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(n[t, p])], names=["t", "p", "n"])
 
     counts = np.zeros((trees, 1 << COUNTED), np.int64)
-    for t, p, n in entries.select("v").mapInArrow(counted, "t int, p int, n long").groupBy("t", "p").agg(F.sum("n")).collect():  # trees * 2 ** COUNTED at most
+    for t, p, n in entries.select("v").mapInArrow(common.frugal(counted), "t int, p int, n long").groupBy("t", "p").agg(F.sum("n")).collect():  # trees * 2 ** COUNTED at most
         counts[t, p] = n
     wanted = max(share * counts[0].sum(), trees * (k + 1))  # so many with repeats: one tree has k + 1 entries, or the query's depth is 0
     by_depth = [counts.reshape(trees, 1 << d, -1).sum(2) for d in range(COUNTED + 1)]
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(sent.value.strings(_matrix(b.column(1)))), pa.list_(pa.int64()))], names=["id", "v", "strings"])
 
-    placed = common.spool(asked.select("vec_id", "v").mapInArrow(descend, "id long, v binary, strings array<long>, depth int"))
+    placed = common.spool(asked.select("vec_id", "v").mapInArrow(common.frugal(descend), "id long, v binary, strings array<long>, depth int"))
     top = placed.agg(F.min("depth")).first()[0]
     if top is None:
         return spark.createDataFrame([], result)
@@ -190,7 +190,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     blocks = F.broadcast(spark.createDataFrame(sizes, "t int, p long, blocks int, query_blocks int"))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = spread(entries.select(F.col("rep").alias("id"), "v").mapInArrow(grown, "id long, v binary, strings array<long>")).join(blocks, ["t", "p"])
+    data = spread(entries.select(F.col("rep").alias("id"), "v").mapInArrow(common.frugal(grown), "id long, v binary, strings array<long>")).join(blocks, ["t", "p"])
     data = data.withColumn("block", dealt("id", "blocks")).withColumn("asking", each("query_blocks"))
     query = spread(placed).join(blocks, ["t", "p"]).withColumn("asking", dealt("id", "query_blocks")).withColumn("block", each("blocks"))
     cols = ["t", "p", "block", "asking", "id", "hash", "v"]

@@ -31,7 +31,7 @@ NEAR_BEST = 0.9
 class _Ids(dict):
     """Blank-separated chunk -> its ids as little-endian 32-bit bytes. Chunks never share a token, as the tokenizer drops white space."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.t, self.most, self.cores = Tokenizer.from_file(path), most, {}
@@ -80,7 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         ids, end, step = _Ids(tokenizer), int(end_id).to_bytes(4, "little"), 4 * capacity
         for b in batches:
             who, piece, start, length, out, held = [], [], [], [], [], 0
-            for row, text in enumerate(b.column(1).to_pylist()):
+            for row, text in enumerate(common.values(b.column(1))):
                 whole = ids.text(text) + end
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                     )
                     who, piece, start, length, out, held = [], [], [], [], [], 0
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), schema)
 
 
 def price(y: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 50_000)
             more = [w["first"][i] + k // w["each"][i], w["at"][i] + k % w["each"][i] * length]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *map(pa.array, more)], names=schema.names)
 
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    return ranked.select(*names, "_rank").mapInArrow(common.frugal(run), schema)
 
 
 def packed_digests(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -347,7 +347,7 @@ def find(docs: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame:
             every = [reconciled(t, w, x) for t, w, x in zip(texts, tags_of(texts, net), base, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), shape(base), shape(every)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), schema)
 
 
 def joined(column: str):

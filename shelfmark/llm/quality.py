@@ -79,9 +79,9 @@ def _voted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_code(votes(t)) for t in b.column(1).to_pylist()], pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_code(votes(t)) for t in common.values(b.column(1))], pa.int32())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), schema)
 
 
 def fit(y: np.ndarray, x: linear.Sparse, buckets: int = linear.BUCKETS) -> np.ndarray:
@@ -117,4 +117,4 @@ def scored(docs: DataFrame, most: int = MOST, cut: float = CUT) -> DataFrame:
             p = [q[_code(votes(t))] for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(s, pa.float64()), pa.array([x >= cut for x in s])], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(common.frugal(run), schema)

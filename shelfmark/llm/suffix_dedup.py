@@ -171,8 +171,8 @@ def _repeats(docs: DataFrame, length: int, held: int = 1_500_000) -> DataFrame:
             if again.any():
                 yield pa.RecordBatch.from_arrays([pa.array(r[again]), pa.array(p[again])], names=["_row", "at"])
 
-    dealt = docs.select("_row", "text").mapInArrow(send, schema)
-    return dealt.repartition("key").mapInArrow(meet, "_row long, at long")
+    dealt = docs.select("_row", "text").mapInArrow(common.frugal(send), schema)
+    return dealt.repartition("key").mapInArrow(common.frugal(meet), "_row long, at long")
 
 
 def _surroundings(found: DataFrame, length: int) -> DataFrame:
@@ -203,7 +203,7 @@ def _surroundings(found: DataFrame, length: int) -> DataFrame:
                 hs.append(h), rows.append(me[1]), orders.append(me[0]), first.append(me[2]), last.append(me[2] + len(c)), ctx.append(c)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (hs, rows, orders, first, last)), pa.array(ctx, pa.binary())], names=["h", "_row", "_order", "first", "last", "ctx"])
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(common.frugal(run), schema)
 
 
 def _runs(start: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -281,7 +281,7 @@ def _resolved(sent: DataFrame, length: int) -> DataFrame:
             spans += _later(texts, places, length)
         yield batch(spans)
 
-    return sent.mapInArrow(run, "_row long, first long, last long")
+    return sent.mapInArrow(common.frugal(run), "_row long, first long, last long")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,4 +310,4 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n.append(len(raw)), gone.append(len(raw) - len(kept[-1])), runs.append(count)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(kept, pa.binary())], names=schema.names)
 
-    return keyed.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    return keyed.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(common.frugal(cut), schema)

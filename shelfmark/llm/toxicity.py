@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     return fit(x, pos, unl, min(0.9, toxic / n))
 
 
-def _scores(weights) -> Callable[[list], list[float]]:
+def _scores(weights) -> Callable[[Iterator], list[float]]:
     """Scores of texts under broadcast weights (None: 0)."""
     scorer = None if weights.value is None else linear.WordScore(weights.value)
     return lambda texts: [0.0 if scorer is None else scorer.score(words_once(t), 0) for t in texts]
@@ -128,9 +128,9 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scores(sent)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(common.values(b.column(1))), pa.float64())], names=schema.names)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, schema)
+    out = docs.select("doc_id", "text").mapInArrow(common.frugal(run), schema)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -142,6 +142,6 @@ def clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scores(sent)
         for b in batches:
-            yield b.filter(pa.array([s < cut for s in of(b.column(at).to_pylist())], pa.bool_()))
+            yield b.filter(pa.array([s < cut for s in of(common.values(b.column(at)))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.frugal(run), docs.schema)

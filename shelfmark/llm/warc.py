@@ -102,7 +102,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
 
-    return common.spool(joined.mapInArrow(run, _INDEX))
+    return common.spool(joined.mapInArrow(common.frugal(run), _INDEX))
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
@@ -152,7 +152,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(common.frugal(run), schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
