@@ -1,12 +1,17 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
-The driver sees the histogram alone (at most `capacity` rows, whatever the input). Patterns (multisets of lengths that fill a
-sequence) come from knapsack dynamic programming over dual prices, the prices move by multiplicative weights, the fractional
-pattern counts are rounded down and what is left goes best-fit, largest first, over the same histogram. Pieces then find their
-place by their rank among the pieces of their length: no task ever holds a sequence's or a length's pieces as a group.
-
-Null and empty texts are documents of the one closing id. Rows that repeat an id are packed as documents of their own. Further
-columns are not read. An empty table gives an empty result.
+The driver sees the histogram alone (at most `capacity` rows, whatever the input). The program asks for pattern counts (a pattern is a
+multiset of lengths that fit a sequence) that cover each length's pieces with as few sequences as can be. Prices start at the lengths,
+which is feasible for the dual and gives the first lower bound; patterns come from knapsack dynamic programming over the prices, and a
+length's price falls by a factor for each share of its pieces that is covered, so that lengths left behind are dearer (multiplicative
+weights). A pattern never takes more pieces than are left, so the solution covers exactly. Pattern counts are rounded down and what is
+left goes best fit, largest first, over the same histogram; plain best fit takes over in the rare case that it needs fewer sequences.
+Pieces then find their place by their rank among the pieces of their length: no task ever holds a sequence's or a length's pieces as a
+group.
+
+Null and empty texts are documents of the one closing id. Rows that repeat an id are packed as documents of their own; rows that are
+equal in all that is kept get places of their own too, in any order. A very long text is cut into pieces in one task, which sends them
+in parts of bounded size. Further columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY = 2048
-#: Rounds of price updates, and how strongly coverage moves a price.
-ROUNDS, RATE = 24, 4.0
-#: A pattern is taken up if its price is at least this share of the best one's.
-NEAR_BEST = 0.9
+#: How fast a price falls with coverage; the share of what a pattern could take that it takes at once; patterns between two pricings.
+RATE, SHARE, BATCH = 0.5, 0.125, 200
+#: Patterns of less fill are taken only after all others, and then by steps of this size from it to none.
+FILL, STEP = 0.985, 0.05
 
 
 class _Ids(dict):
@@ -109,35 +114,65 @@ def price(y: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return best, took
 
 
-def fractional(count: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """Pattern -> how often, about, in a solution of the configuration program; count[length] is the demand."""
-    lengths = np.flatnonzero(count)
-    y = np.full(capacity + 1, -np.inf)
-    covered, x = np.zeros(capacity + 1), {}
-    for t in range(1, ROUNDS + 1):
-        due = count * (t / ROUNDS)
-        behind = np.clip(covered[lengths] / count[lengths] - (t - 1) / ROUNDS, -0.25, 0.25)
-        y[lengths] = lengths * np.exp(-RATE * behind)
-        best, took = price(y, capacity)
-        for lead in lengths[::-1]:
-            if covered[lead] >= due[lead]:
-                continue
-            if t < ROUNDS and y[lead] + best[capacity - lead] < NEAR_BEST * best[capacity]:
-                continue
-            parts, room = {int(lead): 1}, capacity - int(lead)
-            while room > 0 and best[room] > 0:
-                k = int(took[room])
-                if k and parts.get(k, 0) < count[k]:
-                    parts[k] = parts.get(k, 0) + 1
-                    room -= k
-                else:
-                    room -= 1  # a free unit
-            step = (due[lead] - covered[lead]) / parts[int(lead)]
-            key = tuple(sorted(parts.items(), reverse=True))
-            x[key] = x.get(key, 0.0) + step
-            for k, c in parts.items():
-                covered[k] += c * step
-    return x
+Pattern = tuple[tuple[int, int], ...]
+
+
+class Program:
+    """The covering program over a histogram: pattern counts x, the pieces not covered yet, and a lower bound on any packing."""
+
+    def __init__(self, count: np.ndarray, capacity: int):
+        self.capacity, self.demand, self.left = capacity, count.astype(float), count.astype(float)
+        self.weight, self.x = np.ones(capacity + 1), {}
+        self.bound = self._dual_bound()
+
+    def _dual_bound(self) -> float:
+        """The dual value of the prices at hand, scaled so that no pattern costs more than 1."""
+        lengths = np.flatnonzero(self.demand)
+        y = np.full(self.capacity + 1, -np.inf)
+        y[lengths] = lengths * self.weight[lengths]
+        return float((self.demand[lengths] * y[lengths]).sum() / price(y, self.capacity)[0][self.capacity]) if len(lengths) else 0.0
+
+    def _pattern(self, lead: int, best: np.ndarray, took: np.ndarray) -> dict[int, int]:
+        """The best filling of what `lead` leaves free, of pieces that are left."""
+        parts, room = {lead: 1}, self.capacity - lead
+        while room > 0 and best[room] > 0:
+            k = int(took[room])
+            if k and self.left[k] >= parts.get(k, 0) + 1:
+                parts[k] = parts.get(k, 0) + 1
+                room -= k
+            else:
+                room -= 1
+        return parts
+
+    def solve(self, fill: float) -> None:
+        """Covers until no pattern of at least this fill is found."""
+        need = 1.0
+        while len(live := np.flatnonzero(self.left >= 1)):
+            y = np.full(self.capacity + 1, -np.inf)
+            y[live] = live * self.weight[live]
+            best, took = price(y, self.capacity)
+            made = 0
+            for lead in live[::-1].tolist():
+                if self.left[lead] < 1:
+                    continue
+                parts = self._pattern(lead, best, took)
+                if sum(k * c for k, c in parts.items()) < need * self.capacity:
+                    continue
+                most = min(self.left[k] / c for k, c in parts.items())
+                step = min(most, max(1.0, math.floor(SHARE * most)))
+                key = tuple(sorted(parts.items(), reverse=True))
+                self.x[key] = self.x.get(key, 0.0) + step
+                for k, c in parts.items():
+                    self.left[k] -= c * step
+                    self.weight[k] *= math.exp(-RATE * c * step / self.demand[k])
+                made += 1
+                if made == BATCH:
+                    break
+            if not made:
+                if need <= fill:
+                    break
+                need = max(fill, need - (0.0025 if need > FILL else STEP))
+        self.bound = max(self.bound, self._dual_bound())
 
 
 def best_fit(rest: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -162,7 +197,19 @@ def best_fit(rest: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
     return [g for held in groups.values() for g in held]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def rounded(x: dict[Pattern, float], count: np.ndarray, capacity: int) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]]]:
+    """(sequences of the patterns, rounded down; sequences of what is left, best fit)."""
+    rest, out = count.copy(), []
+    for parts, share in sorted(x.items(), key=lambda p: (-p[1], p[0])):
+        many = min([math.floor(share + 1e-9), *(int(rest[k]) // c for k, c in parts)])
+        if many > 0:
+            out.append((parts, many))
+            for k, c in parts:
+                rest[k] -= many * c
+    return out, [(tuple(sorted(p.items(), reverse=True)), n) for p, n in best_fit(rest, capacity)]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
     """(pattern, multiplicity) that hold exactly the histogram's pieces."""
     count = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -170,14 +217,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     out = [(((capacity, 1),), int(count[capacity]))] if count[capacity] else []
     count[capacity] = 0
     if count.any():
-        rest = count.copy()
-        for parts, share in sorted(fractional(count, capacity).items(), key=lambda p: (-p[1], p[0])):
-            many = min([math.floor(share + 1e-9), *(int(rest[k]) // c for k, c in parts)])
-            if many > 0 and sum(a * b for a, b in parts) == capacity:  # best fit does better with the pieces of others
-                out.append((parts, many))
-                for k, c in parts:
-                    rest[k] -= many * c
-        out += [(tuple(sorted(p.items(), reverse=True)), n) for p, n in best_fit(rest, capacity)]
+        program, tries = Program(count, capacity), []
+        for fill in (FILL, 0.0):
+            program.solve(fill)
+            tries.append(sum(rounded(program.x, count, capacity), []))
+        tries.append(sum(rounded({}, count, capacity), []))
+        out += min(tries, key=lambda t: sum(n for _, n in t))  # the program's, where plain best fit is no better
     return out
 
 

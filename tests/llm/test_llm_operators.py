@@ -62,6 +62,43 @@ def test_plan_holds_the_histogram(n):
     assert got == count
 
 
+def sequences(plan):
+    return sum(n for _, n in plan)
+
+
+@pytest.mark.parametrize("drawn", ["documents", "even", "middle", "small", "long"])
+def test_the_program_is_solved(spark, drawn):
+    """A fractional solution close to a bound by duals; most sequences from its patterns; never more than plain best fit."""
+    from collections import Counter
+
+    r = np.random.default_rng(7)
+    if drawn == "documents":
+        pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), queries.tokenizer_path())
+        count = Counter({n: c for n, c in pieces.groupBy("length").count().collect() if n < 2048})
+    else:
+        count = Counter({"even": r.integers(1, 2048, 5000), "middle": r.integers(400, 701, 8000), "small": np.minimum(2047, r.geometric(1 / 300, 20000)), "long": r.integers(1025, 2048, 900)}[drawn].tolist())
+    a = np.zeros(2049, np.int64)
+    a[list(count)] = list(count.values())
+    program = packing.Program(a, 2048)
+    program.solve(0.0)
+    value, tokens = sum(program.x.values()), sum(n * c for n, c in count.items()) / 2048
+    assert program.bound >= tokens - 1e-6 and value >= program.bound - 1 and (program.left < 1).all()
+    covered = Counter()
+    for parts, n in program.x.items():
+        assert sum(k * c for k, c in parts) <= 2048
+        for k, c in parts:
+            covered[k] += c * n
+    assert all(covered[k] <= n + 1e-6 for k, n in count.items())
+    own, rest = packing.rounded(program.x, a, 2048)
+    plain = sum(n for _, n in packing.best_fit(a, 2048))
+    assert sequences(packing.plan(dict(count))) <= plain
+    assert sequences(own) >= 0.9 * (sequences(own) + sequences(rest))
+    if drawn in ("documents", "small"):
+        assert value <= 1.01 * tokens + 1 and sequences(packing.plan(dict(count))) <= 1.01 * program.bound + 1
+    if drawn == "middle":
+        assert sequences(packing.plan(dict(count))) < plain
+
+
 def test_odd_chunks_tokenize_alike():
     ids = packing._Ids(queries.tokenizer_path())
     for text in ["It's  'RE a\tb, c.d Kelvin K ΣΑΣ <|endoftext|> x<|startoftext|>", "ünï–ß!! 12a3", "\n\n", "á   z"]:
