@@ -276,13 +276,71 @@ def test_pii_patterns():
     assert got == [("email", "a.b@c-d.org"), ("ip", "10.0.0.255"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (555) 010-9999")]
 
 
-def test_pii_whole_table(spark, docs, monkeypatch):
-    monkeypatch.setattr(pii, "STEPS", 5)
-    more = docs.select("doc_id", "text").union(spark.createDataFrame([(99, "x" * 3000 + " a@b.cd " + "y" * 500)], "doc_id long, text string"))
+def plain_base(text):
+    """The contract's patterns as they are written."""
+    import re
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    tries = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, (p, ok) in enumerate(tries) for m in re.finditer(p, text) if ok(m)]
+
+
+def test_pii_patterns_are_the_contracts():
+    r = np.random.default_rng(5)
+    marks = list("0123456789") * 3 + list("..@@-+ ()ab%_é\n") + ["4111111111111111", "10.0.0.1", "a@b.c", "+49 30 123456"]
+    for _ in range(3000):
+        text = "".join(marks[i] for i in r.integers(0, len(marks), int(r.integers(0, 40))))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_pii_windows_and_shortcut():
+    """All windows are decoded: tags are the most central window's, and the shortcut for empty windows gives what Viterbi gives."""
+    net = pii.fit([prose(400)], steps=60)
+    r = np.random.default_rng(2)
+    texts = ["", "x", prose(30), "mail a.b@c.org " * 40, prose(300) + " +1 (555) 010-9999 " + prose(200), "".join(chr(97 + int(c)) if c < 26 else "0123456789@.-+ "[int(c) % 15] for c in r.integers(0, 60, 1500)), "q" * pii.READ, "9" * (pii.READ + 1), "w" * (pii.READ + pii.STRIDE)]
+    got = dict(pii.tags_of(texts, net, most=5))
+    assert sorted(got) == list(range(len(texts)))
+    for n, text in enumerate(texts):
+        want, depth = np.zeros(len(text), np.int64), np.full(len(text), -1)
+        starts = [s for s in range(0, len(text), pii.STRIDE) if s == 0 or s + pii.READ - pii.STRIDE < len(text)]
+        for s in starts:
+            c = np.zeros(pii.READ, np.int64)
+            part = pii.classes_of(text)[s : s + pii.READ]
+            c[: len(part)] = part
+            tags = net._viterbi(net.emissions(c[None])[0], net.p["t"] + pii._FORBIDDEN)[0]
+            for i in range(len(part)):
+                inner = min(i if s else 10**6, pii.READ - 1 - i if s != starts[-1] else 10**6)
+                if inner >= depth[s + i]:
+                    want[s + i], depth[s + i] = tags[i], inner
+        assert got[n].tolist() == want.tolist()
+
+
+def test_pii_whole_table(spark, docs):
+    """Records written in ways that the patterns do not know are found, and little else is; base spans stay."""
+    r, records, rows = np.random.default_rng(8), {}, []
+    odd = [lambda d: f"({d[:3]}) {d[3:6]}-{d[6:10]}", lambda d: "4111.1111.1111.1111", lambda d: f"jane.doe{d[:2]} @ example.org", lambda d: f"{int(d[:2])} . {int(d[2:4])} . 7 . 9"]
+    for i in range(60):
+        s = odd[i % 4]("".join(map(str, r.integers(1, 10, 10))))
+        head = prose(int(r.integers(5, 120))) + " "
+        rows.append((1000 + i, head + s + " " + prose(30)))
+        records[1000 + i] = (pii.KINDS[(3, 2, 0, 1)[i % 4]], len(head), len(head) + len(s))
+    rows += [(2000 + i, prose(60) + f" {r.integers(1, 9999)} " + prose(20)) for i in range(2400)] + [(99, "x" * 3000 + " a@b.cd " + "y" * 500)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {r.doc_id: r for r in pii.find(more).collect()}
-    assert len(got) == len(TEXTS) + 1
-    assert [tuple(x) for x in got[99].base] == [("email", 3001, 3007)] and set(map(tuple, got[99].base)) <= set(map(tuple, got[99].spans))
-    assert hashlib.sha256(b"").hexdigest() and got[5].spans == []
+    assert len(got) == len(TEXTS) + len(rows) and got[5].spans == []
+    for i, text in [*TEXTS, *rows]:
+        assert [(pii.KINDS[k], s, e) for k, s, e in plain_base(text or "")] == [tuple(x) for x in got[i].base]
+        assert {tuple(x) for x in got[i].base} <= {tuple(x) for x in got[i].spans}
+    added = {(i, *x) for i in got for x in {tuple(y) for y in got[i].spans} - {tuple(y) for y in got[i].base}}
+    right = added & {(i, *x) for i, x in records.items()}
+    assert len(right) >= 0.6 * len(records) and len(right) >= 0.9 * len(added)
+    assert pii.find(more.limit(0)).count() == 0
 
 
 def test_pipeline_columns(spark):
