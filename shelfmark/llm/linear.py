@@ -82,7 +82,7 @@ class Sparse:
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.ends[rows] - self.starts[rows]
-        row = np.repeat(np.arange(len(rows)), n)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[rows], n)
         return row, self.idx[at], self.val[at]
 

@@ -1,13 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are the confirmed toxic rows of the training folds, unlabelled rows are documents of the training folds, whatever their
-label. The risk is prior * E_P[loss(f, 1)] + max(0, E_U[loss(f, 0)] - prior * E_P[loss(f, 0)]); where the second term falls below
-zero its gradient is turned round. The prior is the share of toxic rows among the training labels. Both samples are bounded
-(MOST_POSITIVE, MOST_UNLABELLED, the smallest ids by hash); every document is scored over its whole text.
-
-Null and empty texts get the score of a text without words. Rows that repeat an id are scored one by one; a null id is in no held
--out fold. Labels that are null, or whose id is null, are not learned from. Without a positive label every score is 0. Other
-columns are not read.
+label. The risk is prior * E_P[loss(f, 1)] + max(0, E_U[loss(f, 0)] - prior * E_P[loss(f, 0)]) with the logistic loss; where the second
+term falls below zero its gradient is turned round. f is linear in hashed words and parts of words, bias and weights are learned with an
+absolute penalty on the weights that weakens with the number of positives, by accelerated proximal gradients over an active set that
+grows until no weight outside it wants to move: every bucket of the training texts is in the program, none is picked by its labels
+beforehand. The prior is the share of toxic rows among the training labels. Both samples are bounded (MOST_POSITIVE, MOST_UNLABELLED,
+the smallest ids by hash; linear.MOST_FEATURES); every document is scored over its whole text.
+
+Null and empty texts get the score of a text without words. Rows that repeat an id are scored one by one (one of them can be in the
+sample); a null id is in no held-out fold. Labels that are null, or whose id is null, are not learned from. Without a positive label, or
+without documents, every score is 0. A very long text is one row. Other columns are not read and pass through `clean`, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common, linear
 
 MOST_POSITIVE, MOST_UNLABELLED, CUT = 3_000, 6_000, 0.3
-SIGMAS, LIFT, SHRINK = 6.0, 3.0, 0.004
-STEPS, RATE = 500, 0.05
+#: The penalty in standard errors of a weight's gradient; proximal steps of an active set; active sets; relative change that ends a set.
+PENALTY, STEPS, SETS, CHANGE = 0.6, 250, 6, 1e-4
 
 
 def words_once(text: str | None) -> list[bytes]:
@@ -34,67 +38,59 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def shares(x: linear.Sparse, rows: np.ndarray, buckets: int) -> np.ndarray:
-    """How many of the rows hold each bucket, a few rows at a time: driver memory stays small."""
-    out = np.zeros(buckets, np.int64)
-    for part in np.array_split(rows, max(1, len(rows) // 256)):
-        if len(part):
-            out += np.bincount(np.concatenate([x.idx[x.starts[r] : x.ends[r]] for r in part]), minlength=buckets)
-    return out
-
-
-def screened(x: linear.Sparse, pos: np.ndarray, unl: np.ndarray, buckets: int) -> tuple[np.ndarray, linear.Sparse]:
-    """(1 for pos and 0 for unl, their rows) with only the buckets whose share of positives is above their share of unlabelled rows
-    by SIGMAS standard errors and a factor LIFT."""
-    p, u = (shares(x, rows, buckets) / max(1, len(rows)) for rows in (pos, unl))
-    mean = (p * len(pos) + u * len(unl)) / (len(pos) + len(unl))
-    error = np.sqrt(mean * (1 - mean) * (1 / max(1, len(pos)) + 1 / max(1, len(unl)))) + 1e-12
-    keep = (p - u > SIGMAS * error) & (p > LIFT * u)
-    idx, val = [], []
-    for r in np.concatenate([pos, unl]).tolist():
-        i, v = x.idx[x.starts[r] : x.ends[r]], x.val[x.starts[r] : x.ends[r]]
-        idx.append(i[keep[i]]), val.append(v[keep[i]])
-    return np.repeat([1, 0], [len(pos), len(unl)]), linear.Sparse(np.cumsum([len(i) for i in idx]), np.concatenate(idx), np.concatenate(val))
-
-
-def without_copies(x: linear.Sparse, rows: np.ndarray, hashes: int = 12, equal: int = 3) -> np.ndarray:
-    """rows but for those that share `equal` of `hashes` MinHash values with an earlier one: copies would make their rare words look telling."""
-    a = np.random.default_rng(3).integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    seen, out = {}, []
-    for r in rows.tolist():
-        idx = common.mix(x.idx[x.starts[r] : x.ends[r]].astype(np.uint64) + np.uint64(1))
-        marks = [(k, int(v)) for k, v in enumerate((idx[None, :] * a[:, None]).min(1))] if len(idx) else []
-        met = [seen[m] for m in marks if m in seen]
-        if not met or max(map(met.count, set(met))) < equal:
-            out.append(r)
-        for m in marks:
-            seen.setdefault(m, r)
-    return np.array(out, np.int64)
+class Risk:
+    """The risk's gradient by the scores z of rows, of which the first n_p are positives and the others unlabelled."""
+
+    def __init__(self, n_p: int, n_u: int, prior: float):
+        self.is_p, self.n_p, self.n_u, self.prior = np.arange(n_p + n_u) < n_p, n_p, n_u, prior
+        self.share = np.where(self.is_p, prior / n_p, 1 / n_u)  # at most this much curvature, times a quarter
+
+    def __call__(self, z: np.ndarray) -> np.ndarray:
+        f, softplus = linear.sigmoid(z), np.logaddexp(0, z)
+        negative = softplus[~self.is_p].mean() - self.prior * softplus[self.is_p].mean()
+        d = np.where(self.is_p, -self.prior * f / self.n_p, f / self.n_u)
+        return d - np.where(self.is_p, self.prior * (1 - f) / self.n_p, 0) if negative >= 0 else -d
+
+
+def _proximal(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray, bias: float, risk: Risk, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and bias after accelerated proximal steps from the ones given."""
+    n, k = len(risk.is_p), len(w)
+    v = np.random.default_rng(0).random(k + 1)
+    for _ in range(8):  # the largest curvature, by power iteration
+        u = (np.bincount(row, v[col] * val, n) + v[-1]) * risk.share * 0.25
+        v = np.append(np.bincount(col, u[row] * val, k), u.sum())
+        top = float(np.linalg.norm(v))
+        v /= top
+    step, y, y_bias, t = 1 / top, w, bias, 1.0
+    for _ in range(STEPS):
+        d = risk(np.bincount(row, y[col] * val, n) + y_bias)
+        moved = y - step * np.bincount(col, d[row] * val, k)
+        moved, moved_bias = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0), y_bias - step * float(d.sum())
+        t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        y, y_bias = moved + (was - 1) / t * (moved - w), moved_bias + (was - 1) / t * (moved_bias - bias)
+        change = np.abs(moved - w).max(initial=0) / max(1.0, np.abs(moved).max(initial=0))
+        w, bias = moved, moved_bias
+        if change < CHANGE:
+            break
+    return w, bias
 
 
 def fit(x: linear.Sparse, pos: np.ndarray, unl: np.ndarray, prior: float, buckets: int = linear.BUCKETS) -> np.ndarray:
     """Weights and a bias, from rows of x that are positives and rows that stand for all texts."""
-    opt = linear.Adam(buckets, RATE)
-    y, x = screened(x, without_copies(x, pos), without_copies(x, unl), buckets)
-    # the bias: what the prior makes of a text without any screened bucket; it stays, and the weights are learned
-    bare = x.ends == x.starts
-    share = [(1 + (bare & (y == k)).sum()) / (2 + (y == k).sum()) for k in (1, 0)]
-    base = np.clip(prior * share[0] / share[1], 1e-4, 0.2)
-    opt.w[-1] = np.log(base / (1 - base))
-    row, idx, val = x.take(np.arange(len(y)))
-    is_p, n_p, n_u = y == 1, (y == 1).sum(), (y == 0).sum()
-    for step in range(STEPS):
-        opt.rate = RATE * (1 - step / STEPS) + 1e-3
-        z = np.bincount(row, opt.w[idx] * val, len(y)) + opt.w[-1]
-        f, softplus = linear.sigmoid(z), np.logaddexp(0, z)
-        negative = softplus[~is_p].mean() - prior * softplus[is_p].mean()
-        d_negative = np.where(is_p, -prior * f / n_p, f / n_u)
-        d = np.where(is_p, -prior * (1 - f) / n_p, 0) + d_negative if negative >= 0 else -d_negative
-        g = np.bincount(idx, d[row] * val, buckets + 1)
-        g[-1] = 0
-        opt.step(g)
-        opt.w[:-1] = np.maximum(opt.w[:-1] - SHRINK * opt.rate, 0)  # screened buckets speak for toxicity only
-    return opt.w.astype(np.float32)
+    row, col, val = x.take(np.concatenate([pos, unl]))
+    risk, penalty = Risk(len(pos), len(unl), prior), PENALTY * prior / (2 * np.sqrt(len(pos)))
+    w, bias, active = np.zeros(buckets), float(np.log(prior / (1 - prior))), np.zeros(buckets, bool)
+    for _ in range(SETS):
+        d = risk(np.bincount(row, w[col] * val, len(risk.is_p)) + bias)
+        wanted = (np.abs(np.bincount(col, d[row] * val, buckets)) > penalty) | (w != 0)
+        if not (wanted & ~active).any():
+            break
+        active |= wanted
+        place = np.full(buckets, -1, np.int32)
+        place[active] = np.arange(active.sum())
+        held = place[col] >= 0
+        w[active], bias = _proximal(row[held], place[col[held]], val[held], w[active], bias, risk, penalty)
+    return np.append(w, bias).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> np.ndarray | None:
@@ -111,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     x, pos, unl = linear.Sparse(*rows), np.flatnonzero(y >= 1), np.flatnonzero(y != 1)
     if not len(pos) or not len(unl):
         return None
-    return fit(x, pos, unl, min(0.9, toxic / n))
+    return fit(x, pos, unl, min(0.9, max(0.001, toxic / n)))
 
 
 def _scores(weights) -> Callable[[Iterator], list[float]]:

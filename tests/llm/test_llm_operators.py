@@ -228,17 +228,43 @@ def test_neighbours_of_few_vectors(spark, n):
     assert {r[0]: r[1] for r in got} == dict.fromkeys(range(n), min(20, n - 1))
 
 
-def test_toxicity(spark):
+@pytest.mark.parametrize("n", [600, 1500])
+def test_toxicity(spark, n):
     bad = ["vile", "awful", "nasty"]
-    rows = [(i, prose(30) + (" " + bad[i % 3] if i % 5 == 0 else "")) for i in range(1500)] + [(1601, None), (1602, "")]
+    rows = [(i, prose(30) + (" " + bad[i % 3] if i % 5 == 0 else "")) for i in range(n)] + [(1601, None), (1602, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1500)] + [(None, 1), (1601, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(n)] + [(None, 1), (1601, None)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
-    for i in range(1500):
+    for i in range(n):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i].predicted == int(got[i].score >= 0.3)
-    assert np.mean([got[i].predicted == int(i % 5 == 0) for i in range(1500) if got[i].held_out]) > 0.95
+    assert np.mean([got[i].predicted == int(i % 5 == 0) for i in range(n) if got[i].held_out]) > 0.95
     assert toxicity.clean(docs, labels).columns == docs.columns
     assert toxicity.scored(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
+    assert toxicity.scored(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Precision and recall on the folds that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.scored(docs, labels).join(labels.filter("toxic IS NOT NULL"), "doc_id").filter("held_out")
+    hit, said, there = got.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic")).first()
+    assert hit / said > 0.75 and hit / there > 0.75
+
+
+def test_the_risk_is_not_negative():
+    """Where texts can be learned by heart, the corrected risk keeps them from it: scores of unlabelled texts stay near the prior."""
+    from shelfmark.llm import linear
+
+    r = np.random.default_rng(4)
+    idx = [r.choice(5000, 40, replace=False) for _ in range(240)]
+    x = linear.Sparse(np.cumsum([40] * 240), np.concatenate(idx).astype(np.int32), np.ones(40 * 240, np.float32))
+    w = toxicity.fit(x, np.arange(40), np.arange(40, 240), 0.15, 5000)
+    z = np.array([w[i].sum() for i in idx]) + w[-1]
+    assert abs(linear.sigmoid(z[40:]).mean() - 0.15) < 0.1
+    risk = toxicity.Risk(2, 2, 0.5)
+    z = np.array([9.0, 9.0, -9.0, -9.0])
+    assert (risk(z)[:2] > 0).all() and (risk(z)[2:] < 0).all()  # the negative part is below zero: its gradient is turned round
 
 
 def test_quality(spark):
