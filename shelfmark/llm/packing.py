@@ -36,10 +36,10 @@ FILL, STEP = 0.985, 0.05
 class _Ids(dict):
     """Blank-separated chunk -> its ids as little-endian 32-bit bytes. Chunks never share a token, as the tokenizer drops white space."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 150_000, most_cores: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.t, self.most, self.cores = Tokenizer.from_file(path), most, {}
+        self.t, self.most, self.most_cores, self.cores = Tokenizer.from_file(path), most, most_cores, {}
         self.t.encode_special_tokens = False
 
     def encode(self, text: str) -> bytes:
@@ -50,7 +50,7 @@ class _Ids(dict):
         ids = self.cores.get(word)
         if ids is None:
             ids = np.array([x.id for x in self.t.model.tokenize(word)], "<u4").tobytes()
-            if len(self.cores) < self.most and len(word) < 80:
+            if len(self.cores) < self.most_cores and len(word) < 80:
                 self.cores[word] = ids
         return ids
 
@@ -69,7 +69,7 @@ class _Ids(dict):
         ids = self.cores.get(marks)
         if ids is None:
             ids = self.encode(marks)
-            if len(self.cores) < self.most and len(marks) < 80:
+            if len(self.cores) < self.most_cores and len(marks) < 80:
                 self.cores[marks] = ids
         return ids
 
