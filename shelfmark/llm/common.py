@@ -49,28 +49,26 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark drops a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def spool(df: DataFrame, keep: bool = False) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and survives lost executors. The write's shuffle
+    files go when it is done; the session's own setting for that holds again afterwards."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     if not keep:
         atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of frames that nothing refers to any more. One collection frees only what older ones had
-    left: the last query's plan is let go of after it."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def lookup(left: DataFrame, right: DataFrame, key: list[str], total: int) -> DataFrame:
     """left's rows with right's columns, by key. right is a written table of one row a key, with `n`, how many of the `total` rows of
     left have the key. Keys of more than a thousandth of all rows (a thousand at most, whatever the input) are joined by

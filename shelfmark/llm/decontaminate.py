@@ -184,5 +184,5 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, shingle: int =
     """The rows of docs that are not contaminated, with their columns."""
     read, covered, _ = _judged(docs, items, width, shingle, bits)
     gone = read.select("_r1", "_r2", "n_words").distinct().join(covered, ["_r1", "_r2"]).filter(is_contaminated("n_hit", "n_words")).select("_r1", "_r2")
-    rows = docs.select(F.struct(*docs.columns).alias("_whole"), *_row_key("doc_id", "text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"), *_row_key("doc_id", "text"))
     return rows.join(common.spool(gone), ["_r1", "_r2"], "left_anti").select("_whole.*")

@@ -367,7 +367,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, re
     _, sets = _classed(docs, threshold, k, recall)
     kept = sets.groupBy("top").agg(F.min(F.struct("no_id", "_key_id", "_t1", "_t2", "n")).alias("key")).select("key._key_id", "key._t1", "key._t2", "key.n")
     # a row's columns are one struct: no name of theirs can clash with a name of ours
-    rows = _keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_whole"))).drop("doc_id", "text")
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"))).drop("doc_id", "text")
     one, many = _found_by(rows, common.spool(kept))
     hashed = F.xxhash64(*[F.col(f"_whole.`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
     many = many.groupBy("_key_id", "_t1", "_t2").agg(F.min_by("_whole", hashed).alias("_whole"))

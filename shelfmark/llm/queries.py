@@ -99,5 +99,6 @@ SQL = {
     "op2_line_dedup": "SELECT doc_id, n_lines, n_removed, text FROM (" + line_dedup.SQL.format(docs="documents") + ")",
     "op3_warc": warc.SQL_BASE32,
     "op6_decontamination": _OP6_SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
     "op9_jaccard_join": near_duplicates.SQL,
 }

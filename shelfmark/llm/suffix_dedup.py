@@ -12,7 +12,8 @@ both orders are merged. Neighbours in the array with equal prefixes of `length`
 first of a class are removed. Surroundings that are the same in one task are sent once, so a text of many copies is no hot key.
 
 Null and empty texts have no bytes. Rows that repeat both id and text are one place and get one result; a null id is the smallest.
-Other columns are not read. An empty table gives an empty result.
+A text is below 2**32 bytes (a longer one is an error) and is held whole by the task that reads it. Other columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -107,6 +108,8 @@ def anchors(b: np.ndarray, grams: Grams, length: int = LENGTH) -> tuple[np.ndarr
     if len(b) < length:
         e = np.empty(0, np.int64)
         return e, np.empty(0, np.uint64), e, e
+    if len(b) >= 1 << 32:
+        raise ValueError("texts of 4 GB and more are not supported")
     h, w = grams(b), length - grams.size + 1
     low, reach = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), 1
     while reach < w:  # minima over windows of w, by doubling
@@ -212,8 +215,8 @@ def _runs(start: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + length) for x in np.split(start, cut)] if len(start) else []
 
 
-def _later(texts: list[bytes], places: list[tuple[int, int, int]], length: int) -> list[tuple[int, int, int]]:
-    """(row, first, last) of what occurs in an earlier place. texts start at places (order, row, start), no two are equal."""
+def _later(texts: list[bytes], places: list[tuple[int, int, int]], length: int) -> list[tuple[int, int, int, int]]:
+    """(row, order, first, last) of what occurs in an earlier place. texts start at places (order, row, start), no two are equal."""
     sizes = np.array([len(x) for x in texts])
     t = np.full(int(sizes.sum()) + len(texts), 257, np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -237,7 +240,7 @@ def _later(texts: list[bytes], places: list[tuple[int, int, int]], length: int)
     by = np.lexsort((at, owner))
     owner, at = owner[by], at[by]
     for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1) if len(owner) else []:
-        out += [(int(row[owner[part[0]]]), a, z) for a, z in _runs(at[part], length)]
+        out += [(int(row[owner[part[0]]]), int(order[owner[part[0]]]), a, z) for a, z in _runs(at[part], length)]
     return out
 
 
@@ -254,13 +257,13 @@ def _resolved(sent: DataFrame, length: int) -> DataFrame:
                 size += sum(map(len, group))
             group.clear()
 
-        def batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["_row", "first", "last"])
+        def batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ((), (), (), ()))], names=["_row", "_order", "first", "last"])
 
         for b in batches:
             for h, row, order, first, last, ctx in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h is None:
-                    spans.append((row, first, last))
+                    spans.append((row, order, first, last))
                     continue
                 if h != now:
                     close()
@@ -273,7 +276,7 @@ def _resolved(sent: DataFrame, length: int) -> DataFrame:
                 if was is None or me < was:
                     group[ctx], me = me, was
                 if me is not None and me != group[ctx]:
-                    spans.append((me[1], me[2], me[2] + len(ctx)))
+                    spans.append((me[1], me[0], me[2], me[2] + len(ctx)))
             yield batch(spans)
             spans = []
         close()
@@ -281,18 +284,16 @@ def _resolved(sent: DataFrame, length: int) -> DataFrame:
             spans += _later(texts, places, length)
         yield batch(spans)
 
-    return sent.mapInArrow(common.frugal(run), "_row long, first long, last long")
+    return sent.mapInArrow(common.frugal(run), "_row long, _order long, first long, last long")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), a row for each row of docs."""
     keyed = docs.select("doc_id", "text").withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     again = common.spool(_repeats(keyed.select("_row", "text"), length).groupBy("_row").agg(F.collect_set("at").alias("at")))
-    common.release(docs.sparkSession)
     sent = _surroundings(keyed.join(again, "_row").select("_row", "_order", "text", "at"), length)
     spans = _resolved(sent.repartition(F.coalesce("h", F.col("_row") + F.col("first"))).sortWithinPartitions("h"), length)
-    spans = common.spool(spans.groupBy("_row").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-    common.release(docs.sparkSession)
+    spans = common.spool(spans.groupBy("_row", "_order").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     schema = common.with_fields(docs.select("doc_id"), "n_bytes long, n_removed long, n_spans long, kept binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,4 +311,20 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n.append(len(raw)), gone.append(len(raw) - len(kept[-1])), runs.append(count)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, runs)), pa.array(kept, pa.binary())], names=schema.names)
 
-    return keyed.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(common.frugal(cut), schema)
+    return keyed.join(spans, ["_row", "_order"], "left").select("doc_id", "text", "spans").mapInArrow(common.frugal(cut), schema)
+
+
+#: The same by brute force: the hash of every string of 100 bytes at its place.
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+g AS (SELECT doc_id, unnest(generate_series(1, n - 99)) AS i, b FROM n WHERE n >= 100),
+s AS (SELECT doc_id, i, md5_number(b[i:i + 99]) AS h FROM g),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f),
+r AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e),
+z AS (SELECT doc_id, k, min(i) AS a, max(i) + 99 AS z FROM r GROUP BY ALL),
+l AS (SELECT doc_id, list({'a': a, 'z': z} ORDER BY a) AS l, count(*) AS spans, sum(z - a + 1) AS gone FROM z GROUP BY doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN l IS NULL THEN b ELSE list_reduce(list_prepend(''::BLOB, list_transform(range(0, len(l) + 1), lambda k: b[(CASE WHEN k = 0 THEN 1 ELSE l[k].z + 1 END):(CASE WHEN k = len(l) THEN n ELSE l[k + 1].a - 1 END)])), lambda x, y: x || y) END) AS kept_sha256
+FROM n LEFT JOIN l USING (doc_id)
+"""
