@@ -70,32 +70,39 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes archives under folder and returns their index."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_sha", F.sha1("html"))
-    best = common.spool(pages.groupBy("_sha").agg(F.max("page_id").alias("_first"), F.count("*").alias("n")))
+    pairs = pages.groupBy("_sha", "page_id").agg(F.count("*").alias("cnt"), F.min(F.coalesce("url", F.lit(""))).alias("_low"))
+    pairs = common.spool(pairs)
+    best = common.spool(pairs.groupBy("_sha").agg(F.max("page_id").alias("_first"), F.sum("cnt").alias("n")))
     total = best.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = common.lookup(pages, best, ["_sha"], total).select("page_id", "url", "html", "_first")
+    joined = common.lookup(pages, best, ["_sha"], total).select("page_id", "url", "html", "_first", "_sha")
+    if pairs.filter("cnt > 1 AND page_id IS NOT NULL").limit(1).count():
+        # rows that repeat a page and its payload are one row with their number, so that just one of them gets the plain name
+        one = joined.groupBy("page_id", "_sha", "url").agg(F.first("html").alias("html"), F.first("_first").alias("_first"), F.count("*").alias("copies"))
+        p = pairs.select(F.col("page_id").alias("_p"), F.col("_sha").alias("_s"), "_low")
+        joined = one.join(p, (F.col("_sha") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p"))).select("page_id", "url", "html", "_first", "copies", (F.coalesce("url", F.lit("")) == F.col("_low")).alias("named"))
+    else:
+        joined = joined.select("page_id", "url", "html", "_first", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("named"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         where, root = fs.FileSystem.from_uri(folder)
         own = uuid.uuid4().hex
-        name, out, at, index, named = f"{root}/{own}.warc.gz", None, 0, [], set()
+        name, out, at, index = f"{root}/{own}.warc.gz", None, 0, []
         for b in batches:
-            for page, url, html, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, html, first, copies, named in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 payload = html.encode("utf-8", "surrogatepass")
                 refers = first if len(payload) >= least and first is not None and first != page else None
                 name_of = digest(payload)
-                key = (page, name_of)
-                alone = refers is None and page is not None and (page == first or first is None) and key not in named  # named as revisits refer to it
-                if alone:
-                    named.add(key)
-                data = record(page, url, payload, name_of, refers, "" if alone else f"{own}-{len(index)}")
-                if out is None:
-                    where.create_dir(root, recursive=True)
-                    out = where.open_output_stream(name, compression=None)  # members are compressed one by one
-                out.write(data)
-                index.append((name, at, len(data), url, name_of, page, "response" if refers is None else "revisit", refers))
-                at += len(data)
+                for k in range(copies):
+                    alone = refers is None and page is not None and page == first and named and k == 0  # revisits refer to it
+                    data = record(page, url, payload, name_of, refers, "" if alone else f"{own}-{len(index)}")
+                    if out is None:
+                        where.create_dir(root, recursive=True)
+                        out = where.open_output_stream(name, compression=None)  # members are compressed one by one
+                    out.write(data)
+                    index.append((name, at, len(data), url, name_of, page, "response" if refers is None else "revisit", refers))
+                    at += len(data)
         if out is not None:
             out.close()
         cols = list(zip(*index, strict=True)) if index else [()] * 8
