@@ -2,7 +2,7 @@
 
 Positives are the confirmed toxic rows of the training folds, unlabelled rows are documents of the training folds, whatever their
 label. The risk is prior * E_P[loss(f, 1)] + max(0, E_U[loss(f, 0)] - prior * E_P[loss(f, 0)]) with the logistic loss; where the second
-term falls below zero its gradient is turned round. f is linear in hashed words and parts of words, bias and weights are learned with an
+term falls below zero its gradient is turned round. f is linear in the presence of hashed words and parts of words; bias and weights are learned with an
 absolute penalty on the weights that weakens with the number of positives, by accelerated proximal gradients over an active set that
 grows until no weight outside it wants to move: every bucket of the training texts is in the program, none is picked by its labels
 beforehand. The prior is the share of toxic rows among the training labels. Both samples are bounded (MOST_POSITIVE, MOST_UNLABELLED,
@@ -17,6 +17,7 @@ names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from . import common, linear
 
 MOST_POSITIVE, MOST_UNLABELLED, CUT = 3_000, 6_000, 0.3
 #: The penalty in standard errors of a weight's gradient; proximal steps of an active set; active sets; relative change that ends a set.
-PENALTY, STEPS, SETS, CHANGE = 0.6, 250, 6, 1e-4
+PENALTY, STEPS, SETS, CHANGE = 0.6, 300, 6, 1e-3
 
 
 def words_once(text: str | None) -> list[bytes]:
@@ -68,7 +69,7 @@ def _proximal(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray,
         moved, moved_bias = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0), y_bias - step * float(d.sum())
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y, y_bias = moved + (was - 1) / t * (moved - w), moved_bias + (was - 1) / t * (moved_bias - bias)
-        change = np.abs(moved - w).max(initial=0) / max(1.0, np.abs(moved).max(initial=0))
+        change = np.abs(moved - w).max(initial=0) / max(1e-6, np.abs(moved).max(initial=0))
         w, bias = moved, moved_bias
         if change < CHANGE:
             break
@@ -78,6 +79,7 @@ def _proximal(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray,
 def fit(x: linear.Sparse, pos: np.ndarray, unl: np.ndarray, prior: float, buckets: int = linear.BUCKETS) -> np.ndarray:
     """Weights and a bias, from rows of x that are positives and rows that stand for all texts."""
     row, col, val = x.take(np.concatenate([pos, unl]))
+    val = np.ones_like(val)  # a bucket is there or not
     risk, penalty = Risk(len(pos), len(unl), prior), PENALTY * prior / (2 * np.sqrt(len(pos)))
     w, bias, active = np.zeros(buckets), float(np.log(prior / (1 - prior))), np.zeros(buckets, bool)
     for _ in range(SETS):
@@ -110,10 +112,28 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     return fit(x, pos, unl, min(0.9, max(0.001, toxic / n)))
 
 
+class Scorer(dict):
+    """word -> its buckets of non-zero weight, for up to `most` words of at most 80 bytes."""
+
+    def __init__(self, weights: np.ndarray, most: int = 200_000):
+        self.weights, self.most = weights, most
+        self.bias = float(weights[-1])
+
+    def __missing__(self, w: bytes) -> tuple[int, ...]:
+        held = tuple(k for k in linear.word_buckets(w) if self.weights[k])
+        if len(self) < self.most and len(w) <= 80:
+            self[w] = held
+        return held
+
+    def __call__(self, text: str | None) -> float:
+        held = set(chain.from_iterable(map(self.__getitem__, words_once(text))))
+        return float(linear.sigmoid(np.float64(self.bias + sum(float(self.weights[k]) for k in sorted(held)))))
+
+
 def _scores(weights) -> Callable[[Iterator], list[float]]:
     """Scores of texts under broadcast weights (None: 0)."""
-    scorer = None if weights.value is None else linear.WordScore(weights.value)
-    return lambda texts: [0.0 if scorer is None else scorer.score(words_once(t), 0) for t in texts]
+    scorer = None if weights.value is None else Scorer(weights.value)
+    return lambda texts: [0.0 if scorer is None else scorer(t) for t in texts]
 
 
 def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
