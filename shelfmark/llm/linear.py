@@ -44,9 +44,23 @@ def first_ids(frame: DataFrame, most: int) -> list[int]:
     return [r[0] for r in frame.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
-def examples(docs: DataFrame, ids: dict[int, float], tokens: Callable, power: float) -> tuple[np.ndarray, ...]:
-    """(targets, row ends, buckets, values) of the documents whose ids are given, as many as the caller's bound; of rows that repeat
-    an id, the one with the least text hash. Sampled texts of more than MOST_FEATURES features are left out."""
+class Sparse:
+    """Rows of (bucket, value) pairs; without values, each is 1."""
+
+    def __init__(self, ends: np.ndarray, idx: np.ndarray, val: np.ndarray | None = None):
+        self.starts, self.ends, self.idx, self.val = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends, ends, idx, val
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        n = self.ends[rows] - self.starts[rows]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[rows], n)
+        return row, self.idx[at], None if self.val is None else self.val[at]
+
+
+def examples(docs: DataFrame, ids: dict[int, float], tokens: Callable, power: float | None) -> tuple[np.ndarray, Sparse]:
+    """(targets, rows) of the documents whose ids are given, as many as the caller's bound; of rows that repeat an id, the one with the
+    least text hash. Values are counts by the number of tokens to `power`; None: presence alone. Sampled texts of more than
+    MOST_FEATURES features are left out. The driver holds the buckets once, as they come."""
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(int(k), float(v)) for k, v in ids.items()], "doc_id long, y double"))
 
@@ -63,28 +77,22 @@ def examples(docs: DataFrame, ids: dict[int, float], tokens: Callable, power: fl
                     continue
                 ys.append(y)
                 idx.append(np.fromiter(held.keys(), "<i4", len(held)).tobytes())
-                val.append((np.fromiter(held.values(), "<f4", len(held)) / max(1, len(ws)) ** power).astype("<f4").tobytes())
+                val.append(b"" if power is None else (np.fromiter(held.values(), "<f4", len(held)) / max(1, len(ws)) ** power).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.float64()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["y", "i", "v"])
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"), F.first("y").alias("y"))
-    found = rows.orderBy("doc_id").select("y", "r.text").mapInArrow(common.frugal(run), "y double, i binary, v binary").toPandas()
-    idx = [np.frombuffer(x, "<i4") for x in found.i]
-    ends = np.cumsum([len(x) for x in idx]).astype(np.int64)
-    cat = lambda xs, t: np.concatenate(xs) if len(xs) else np.empty(0, t)
-    return found.y.to_numpy(float), ends, cat(idx, np.int32), cat([np.frombuffer(x, "<f4") for x in found.v], np.float32)
-
-
-class Sparse:
-    """Rows of (bucket, value) pairs."""
-
-    def __init__(self, ends: np.ndarray, idx: np.ndarray, val: np.ndarray):
-        self.starts, self.ends, self.idx, self.val = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends, ends, idx, val
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = self.ends[rows] - self.starts[rows]
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[rows], n)
-        return row, self.idx[at], self.val[at]
+    found = rows.orderBy("doc_id").select("y", "r.text").mapInArrow(common.frugal(run), "y double, i binary, v binary").toArrow()
+
+    def joined(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        parts, sizes = [], []
+        for chunk in found.column(name).chunks:
+            at = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset : chunk.offset + len(chunk) + 1]
+            data = np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]] if len(chunk) and chunk.buffers()[2] is not None else np.empty(0, np.uint8)
+            parts.append(data.view(kind)), sizes.append(np.diff(at) // 4)
+        return (np.concatenate(parts) if parts else np.empty(0, kind)), (np.concatenate(sizes) if sizes else np.empty(0, np.int64))
+
+    idx, sizes = joined("i", "<i4")
+    return found.column("y").to_numpy().astype(float), Sparse(np.cumsum(sizes).astype(np.int64), idx, None if power is None else joined("v", "<f4")[0])
 
 
 class Adam:

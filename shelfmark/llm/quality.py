@@ -104,8 +104,8 @@ def scored(docs: DataFrame, most: int = MOST, cut: float = CUT) -> DataFrame:
     posterior = expectation_maximisation({r[0]: r[1] for r in voted.groupBy("code").count().collect()}) if voted.take(1) else {}
     ids = linear.first_ids(voted, most)
     chosen = voted.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id").groupBy("doc_id").agg(F.min("code").alias("code")).collect()
-    y, *rows = linear.examples(docs, {r["doc_id"]: posterior[r["code"]] for r in chosen}, linear.marked, POWER)
-    sent = spark.sparkContext.broadcast((fit(y, linear.Sparse(*rows)), posterior))
+    y, x = linear.examples(docs, {r["doc_id"]: posterior[r["code"]] for r in chosen}, linear.marked, POWER)
+    sent = spark.sparkContext.broadcast((fit(y, x), posterior))
     schema = common.with_fields(docs.select("doc_id"), "posterior double, score double, keep boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,19 +53,19 @@ class Risk:
         return d - np.where(self.is_p, self.prior * (1 - f) / self.n_p, 0) if negative >= 0 else -d
 
 
-def _proximal(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray, bias: float, risk: Risk, penalty: float) -> tuple[np.ndarray, float]:
+def _proximal(row: np.ndarray, col: np.ndarray, w: np.ndarray, bias: float, risk: Risk, penalty: float) -> tuple[np.ndarray, float]:
     """Weights and bias after accelerated proximal steps from the ones given."""
     n, k = len(risk.is_p), len(w)
     v = np.random.default_rng(0).random(k + 1)
     for _ in range(8):  # the largest curvature, by power iteration
-        u = (np.bincount(row, v[col] * val, n) + v[-1]) * risk.share * 0.25
-        v = np.append(np.bincount(col, u[row] * val, k), u.sum())
+        u = (np.bincount(row, v[col], n) + v[-1]) * risk.share * 0.25
+        v = np.append(np.bincount(col, u[row], k), u.sum())
         top = float(np.linalg.norm(v))
         v /= top
     step, y, y_bias, t = 1 / top, w, bias, 1.0
     for _ in range(STEPS):
-        d = risk(np.bincount(row, y[col] * val, n) + y_bias)
-        moved = y - step * np.bincount(col, d[row] * val, k)
+        d = risk(np.bincount(row, y[col], n) + y_bias)
+        moved = y - step * np.bincount(col, d[row], k)
         moved, moved_bias = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0), y_bias - step * float(d.sum())
         t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         y, y_bias = moved + (was - 1) / t * (moved - w), moved_bias + (was - 1) / t * (moved_bias - bias)
@@ -77,21 +77,32 @@ def _proximal(row: np.ndarray, col: np.ndarray, val: np.ndarray, w: np.ndarray,
 
 
 def fit(x: linear.Sparse, pos: np.ndarray, unl: np.ndarray, prior: float, buckets: int = linear.BUCKETS) -> np.ndarray:
-    """Weights and a bias, from rows of x that are positives and rows that stand for all texts."""
-    row, col, val = x.take(np.concatenate([pos, unl]))
-    val = np.ones_like(val)  # a bucket is there or not
+    """Weights and a bias, from rows of x that are positives and rows that stand for all texts. Only the active buckets' places are held
+    beside x; the others are passed over a few rows at a time."""
+    rows = np.concatenate([pos, unl])
     risk, penalty = Risk(len(pos), len(unl), prior), PENALTY * prior / (2 * np.sqrt(len(pos)))
     w, bias, active = np.zeros(buckets), float(np.log(prior / (1 - prior))), np.zeros(buckets, bool)
+    z = np.full(len(rows), bias)
+
+    def parts() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for low in range(0, len(rows), 256):
+            row, col, _ = x.take(rows[low : low + 256])
+            yield low, row, col
+
     for _ in range(SETS):
-        d = risk(np.bincount(row, w[col] * val, len(risk.is_p)) + bias)
-        wanted = (np.abs(np.bincount(col, d[row] * val, buckets)) > penalty) | (w != 0)
+        d, g = risk(z), np.zeros(buckets)
+        for low, row, col in parts():
+            g += np.bincount(col, d[low : low + 256][row], buckets)
+        wanted = (np.abs(g) > penalty) | (w != 0)
         if not (wanted & ~active).any():
             break
         active |= wanted
         place = np.full(buckets, -1, np.int32)
         place[active] = np.arange(active.sum())
-        held = place[col] >= 0
-        w[active], bias = _proximal(row[held], place[col[held]], val[held], w[active], bias, risk, penalty)
+        held = [(row[m] + np.int32(low), place[col[m]]) for low, row, col in parts() for m in (place[col] >= 0,)]
+        row, col = (np.concatenate(c) for c in zip(*held, strict=True))
+        w[active], bias = _proximal(row, col, w[active], bias, risk, penalty)
+        z = np.bincount(row, w[active][col], len(rows)) + bias
     return np.append(w, bias).astype(np.float32)
 
 
@@ -105,8 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     # unlabelled rows stand for all texts: a positive that is drawn among them (2) is on both sides
     drawn = set(unlabelled)
     ids = dict.fromkeys(unlabelled, 0.0) | {i: 2.0 if i in drawn else 1.0 for i in positive}
-    y, *rows = linear.examples(docs, ids, words_once, 0)
-    x, pos, unl = linear.Sparse(*rows), np.flatnonzero(y >= 1), np.flatnonzero(y != 1)
+    y, x = linear.examples(docs, ids, words_once, None)
+    pos, unl = np.flatnonzero(y >= 1), np.flatnonzero(y != 1)
     if not len(pos) or not len(unl):
         return None
     return fit(x, pos, unl, min(0.9, max(0.001, toxic / n)))

@@ -258,7 +258,7 @@ def test_the_risk_is_not_negative():
 
     r = np.random.default_rng(4)
     idx = [r.choice(5000, 40, replace=False) for _ in range(240)]
-    x = linear.Sparse(np.cumsum([40] * 240), np.concatenate(idx).astype(np.int32), np.ones(40 * 240, np.float32))
+    x = linear.Sparse(np.cumsum([40] * 240), np.concatenate(idx).astype(np.int32))
     w = toxicity.fit(x, np.arange(40), np.arange(40, 240), 0.15, 5000)
     z = np.array([w[i].sum() for i in idx]) + w[-1]
     assert abs(linear.sigmoid(z[40:]).mean() - 0.15) < 0.1
