@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def _checkpoints(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
 
 
 def _followed(links: DataFrame, n: int) -> tuple[DataFrame, bool]:
@@ -66,6 +69,13 @@ def unambiguous(lookup: DataFrame, key: str, value: str) -> DataFrame:
     return lookup.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("_n")).filter("_n = 1").drop("_n")
 
 
+def by_role(wanted: DataFrame, entries: DataFrame, key: str, role: str, entry_role: str, entry_id: str) -> DataFrame:
+    """wanted (key, role) with the id of the key's entry for that role: one of the role, else a 'global' one, else any; the smallest id of these."""
+    rank = F.when(F.col(entry_role) == F.col(role), 0).when(F.col(entry_role) == "global", 1).otherwise(2)
+    met = wanted.join(entries, key).groupBy(key, role).agg(F.min(F.struct(rank.alias("r"), F.col(entry_id).alias("i"))).alias("x"))
+    return met.select(key, role, F.col("x.i").alias(entry_id))
+
+
 def hang_together(df: DataFrame, row: str, keys: list[str], most_rounds: int = 50) -> DataFrame:
     """df with `component`: the smallest row number of all that share any of the keys, directly or through others. Null keys join nothing; `row` is unique.
 

@@ -143,3 +143,46 @@ def test_hang_together_and_fold(spark):
     assert (one["id"], one["summary"], one["risk"], one["status"], one["review"], one["merged"]) == ("p", "aa", "high", "pending", "viewed", 3)
     assert (got[4]["risk"], got[4]["status"], got[4]["review"]) == ("low", "ignored", "edited")
     assert one["sources"] == ["x", "y"]
+
+
+def test_library_round_trip(spark, tmp_path):
+    (tmp_path / "people.json").write_text(json.dumps([{"id": "p1", "name": "A", "roles": ["composer"], "sortKey": "9"}, {"id": "p2", "name": "B", "roles": ["soloist"]}]))
+    (tmp_path / "composers.json").write_text(json.dumps([{"id": "p1", "name": "old", "sortKey": "1"}, {"id": "c", "name": "C", "sortKey": ""}]))
+    lib = library.read_library(spark, str(tmp_path))
+    view = {r.id: (r.name, r.sortKey) for r in library.composers_view(lib).collect()}
+    assert view == {"p1": ("A", "1"), "c": ("C", "")}
+    library.write_library(lib, str(tmp_path / "out"))
+    again = library.read_library(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, again["people"].collect())) == sorted(map(tuple, lib["people"].collect()))
+    assert [r.id for r in again["composers"].collect()] == ["c"] and again["works"].count() == 0
+    assert {r.collection: r.n for r in library.entity_counts(again).collect()} == {"composers": 1, "people": 2, "workGroups": 0, "works": 0, "recordings": 0}
+
+
+def test_named_input(spark):
+    rows = [(" Short ", "Full", None, ["a", "a "], ["AB"], "X", ["Y", "X"]), (None, None, " N ", None, None, None, None)]
+    df = spark.createDataFrame(rows, "displayName string, fullName string, name string, aliases array<string>, abbreviations array<string>, country string, countries array<string>")
+    got = [tuple(r) for r in library.named_input(df).select("name", "aliases", "country", "countries", "nameLatin").collect()]
+    assert got == [("Full", ["a", "AB", "Short"], "Y", ["Y", "X"], ""), ("N", [], "", [], "")]
+
+
+def test_profiles_and_aliases(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("#first\n[zh] http://a\nhttp://b\n#second\nhttp://a\n http://c \n")
+    got = library.source_profiles(library.sectioned(spark, str(tmp_path / "s.txt"))).orderBy("pos").collect()
+    assert [(r.section, r.url, r.language) for r in got] == [("first", "http://a", "zh"), ("first", "http://b", ""), ("second", "http://c", "")]
+    entries = spark.createDataFrame([(["a", "b"],), (["c"],), (["a", "d"],)], "values array<string>")
+    assert sorted(map(tuple, library.alias_pairs(entries).collect())) == [("a", "b"), ("a", "d"), ("b", "a"), ("d", "a")]
+    groups = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"])], "ord int, values array<string>")
+    assert sorted(map(tuple, library.remember(groups, ["b", "x"]).collect())) == [(1, ["a", "b", "x"]), (2, ["b", "c"])]
+    assert sorted(map(tuple, library.remember(groups, ["y"]).collect()))[-1] == (3, ["y"])
+    assert [tuple(r) for r in library.remember(groups.limit(0), ["y"]).collect()] == [(1, ["y"])]
+
+
+def test_runs_and_text_issues(spark, tmp_path):
+    for name, at in (("r1", "2024-01-01"), ("r2", "2024-03-01"), ("r1", "2024-02-01")):
+        library.write_run(spark.createDataFrame([(at, 1)], "createdAt string, x int"), str(tmp_path / "runs"), name)
+    assert [tuple(r) for r in library.list_runs(spark, str(tmp_path / "runs")).collect()] == [("r2", "2024-03-01"), ("r1", "2024-02-01")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes(b"\xef\xbb\xbfx")
+    (tmp_path / "t" / "b.txt").write_text("x\ufffd")
+    (tmp_path / "t" / "c.txt").write_text("fine")
+    assert sorted((r.file[-5:], r.issue) for r in library.text_issues(spark, str(tmp_path / "t")).collect()) == [("a.txt", "byte-order-mark"), ("b.txt", "replacement-character")]
