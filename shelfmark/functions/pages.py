@@ -120,3 +120,17 @@ def with_base(base: Column, path: Column) -> Column:
     root = F.regexp_replace(F.concat(F.lit("/"), trimmed(base)), "/+", "/")
     bare = F.regexp_replace(root, "/$", "")
     return F.when(path.rlike(r"^(?:[a-z]+:|//|#)"), path).otherwise(F.concat(bare, F.lit("/"), F.regexp_replace(path, "^/+", "")))
+
+
+def result_identity(url: Column) -> Column:
+    """What a result is known by: a video's id with its platform, else the address in lower case without its last slashes; '' for none."""
+    u = trimmed(url)
+    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    bv, av = F.lower(F.regexp_extract(u, "(?i)/(BV[0-9A-Za-z]+)/?", 1)), F.regexp_extract(u, "(?i)/av([0-9]+)", 1)
+    watch = F.lower(F.regexp_extract(u, r"\?(?:[^#]*&)?v=([^&#]+)", 1))
+    short = F.lower(F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*/+([^?#]*?)/*(?:[?#]|$)", 1))
+    return (
+        F.when(u == "", "").when(bv != "", F.concat(F.lit("bilibili:"), bv)).when(av != "", F.concat(F.lit("bilibili:av"), av))
+        .when(F.contains(host, F.lit("youtube.com")) & (watch != ""), F.concat(F.lit("youtube:"), watch))
+        .when(F.contains(host, F.lit("youtu.be")) & (short != ""), F.concat(F.lit("youtube:"), short)).otherwise(F.lower(F.regexp_replace(u, "/+$", "")))
+    )

@@ -26,7 +26,7 @@ def host_health(df: DataFrame, host: str, failed: Column, latency: Column) -> Da
         F.count("*").alias("requests"), F.count_if(failed).alias("failures"),
         (F.sum(latency.cast("decimal(18,4)")).cast("double") / F.count("*")).alias("avg_latency"),
     ).withColumn("failure_rate", F.col("failures") / F.col("requests"))
-    bad = (F.col("requests") >= 2) & ((F.col("failures") >= 1) & (F.col("failure_rate") >= 0.25) | (F.col("avg_latency") >= 2500))
+    bad = (F.col("requests") >= 2) & ((F.col("failures") >= 1) | (F.col("avg_latency") >= 2500))
     good = (F.col("requests") >= 2) & (F.col("failures") == 0) & (F.col("avg_latency") <= 1000)
     return s.withColumn("health", F.when(bad, "degraded").when(good, "healthy").otherwise("observing"))
 
@@ -34,3 +34,36 @@ def host_health(df: DataFrame, host: str, failed: Column, latency: Column) -> Da
 def hit_metrics(df: DataFrame, variant: str, hits: dict[str, Column]) -> DataFrame:
     """Counts of hits by variant and over all (variant null), as one rollup."""
     return df.rollup(variant).agg(F.count("*").alias("evaluated"), *[F.count_if(c).alias(n) for n, c in hits.items()])
+
+
+def host_advice(stats: DataFrame, timeout: float = 6.0, query_depth: int = 6, result_depth: int = 8) -> DataFrame:
+    """stats (requests, failures, avg_latency, avg_results) with the timeout and depths to go on with."""
+    n, rate, slow, results = F.col("requests"), F.col("failures") / F.col("requests"), F.col("avg_latency"), F.col("avg_results")
+    known, clean = n >= 2, F.col("failures") == 0
+    wait = F.lit(timeout) * F.when(known & ~clean, 1.2).otherwise(1.0) * F.when(known & ((rate >= 0.25) | (slow >= 2500)), 1.7).when(known & clean & (slow <= 800), 0.9).otherwise(1.0)
+    queries = query_depth + F.when(known & (rate >= 0.4), -2).when(known & clean & (results >= 2), 1).when((n >= 3) & (results < 0.5), -1).otherwise(0)
+    depth = F.when(known & (results >= 4), min(result_depth + 2, 12)).when((n >= 3) & (results < 1), max(result_depth - 2, 4)).otherwise(result_depth)
+    return stats.withColumns({
+        "timeout": F.round(F.greatest(F.lit(4.0), F.least(F.lit(14.0), wait)), 1), "query_depth": F.greatest(F.lit(2), F.least(F.lit(10), queries)), "result_depth": depth,
+    })
+
+
+def warning_signature(c: Column) -> Column:
+    """A warning with its numbers taken out."""
+    from shelfmark.functions.text import trimmed
+
+    out = trimmed(c)
+    many = "(?:、|,|，|和|及|与)"
+    for pattern, to in (
+        ("第[一二三四五六七八九十百千万0-9]+条URL", "第#条URL"), (f"[0-9]+(?:{many}[0-9]+)*号URL", "#号URL"), (f"候选[0-9]+(?:-[0-9]+|{many}[0-9]+)*", "候选#"), (f"记录[0-9]+(?:{many}[0-9]+)*", "记录#"),
+        (r"(?i)URL\s*[0-9]+", "URL #"), (r"\b[0-9]{4}年", "<year>年"), ("多个B站视频标注为<year>年.+?音乐节，但转载来源或演奏者信息不明确，需谨慎验证", "多个B站视频标注为<year>年<festival>，但转载来源或演奏者信息不明确，需谨慎验证"),
+    ):
+        out = F.regexp_replace(out, pattern, to)
+    return out
+
+
+def warning_corpus(warnings: DataFrame) -> DataFrame:
+    """signature, n, examples (distinct), statuses (status -> count) of warnings (text, status); the most frequent first is the reader's to order."""
+    each = warnings.select(warning_signature(F.col("text")).alias("signature"), "text", "status")
+    per = each.groupBy("signature", "status").agg(F.count("*").alias("k"), F.collect_set("text").alias("e"))
+    return per.groupBy("signature").agg(F.sum("k").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))).alias("examples"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "k")))).alias("statuses"))

@@ -214,7 +214,7 @@ def field_vote(t):
     return evidence.field_vote(e, ["item", "event_type"], "bucket", "user_id", (F.col("user_id") % 100) / F.lit(100))
 
 
-@query("""SELECT user_id, requests, failures, avg_latency, failures / requests AS failure_rate, CASE WHEN requests >= 2 AND ((failures >= 1 AND failures / requests >= 0.25) OR avg_latency >= 2500) THEN 'degraded' WHEN requests >= 2 AND failures = 0 AND avg_latency <= 1000 THEN 'healthy' ELSE 'observing' END AS health
+@query("""SELECT user_id, requests, failures, avg_latency, failures / requests AS failure_rate, CASE WHEN requests >= 2 AND (failures >= 1 OR avg_latency >= 2500) THEN 'degraded' WHEN requests >= 2 AND failures = 0 AND avg_latency <= 1000 THEN 'healthy' ELSE 'observing' END AS health
 FROM (SELECT user_id, count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS avg_latency FROM events GROUP BY user_id)""")
 def host_health(t):
     """Statistics and state of each host (op A20)."""
