@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions import names, pages
+from shelfmark.functions import names, pages, rules
+from shelfmark.functions import text as T
 from shelfmark.operators import evidence, mutations
 
 from . import sample
@@ -116,3 +117,54 @@ def representative_works(t):
     w = sample.works(t).join(n, "id", "left").fillna(0, ["n", "p"])
     top = w.withColumn("r", F.row_number().over(Window.partitionBy("composerId").orderBy(F.desc("p"), F.desc("n"), "sortKey", "id"))).filter("r <= 4")
     return top.groupBy(F.col("composerId").alias("composer")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]), ",").alias("works"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'soloist=A,soloist=B,conductor=C,orchestra=Wiener Symphony,chorus=Boys Choir,orchestra=Some' WHEN 1 THEN 'conductor=A+B,singer=C,ensemble=Some' WHEN 2 THEN 'soloist=A,soloist=B,ensemble=X Trio,orchestra=乐团' ELSE 'conductor=A+B,ensemble=C' END AS credits,
+CASE p_partkey % 4 WHEN 0 THEN 'orchestra' WHEN 1 THEN 'chorus' WHEN 2 THEN 'ensemble' ELSE '' END AS role FROM part""")
+def batch_credits(t):
+    """Credits of lines entered by hand by kind of work, and roles by the words of names (ops F17, F18)."""
+    k = F.col("p_partkey") % 4
+    slots = lambda *x: F.array(*map(F.lit, x))
+    kind = F.when(k == 0, "concerto").when(k == 1, "opera_vocal").when(k == 2, "chamber_solo").otherwise("?")
+    made = F.when(k == 0, slots("A + B", " C ", "Wiener Symphony+ Boys Choir + Some", "1990")).when(k == 1, slots("A+B", "C + -", "Some")).when(k == 2, slots("A+B", "X Trio + Hall + 乐团")).otherwise(slots("A+B", "C"))
+    name = F.when(k == 0, "Staatskapelle").when(k == 1, "Symphony Chorus").when(k == 2, "组合").otherwise("Anna")
+    shown = F.array_join(F.transform(rules.batch_credits(kind, made), lambda c: F.concat_ws("=", c["role"], c["displayName"])), ",")
+    return t("part").select("p_partkey", shown.alias("credits"), F.coalesce(rules.credit_ensemble_role(name), F.lit("")).alias("role"))
+
+
+@query("""SELECT page_id, 'a & b < ' || page_id || ' é' AS plain FROM pages""")
+def html_plain(t):
+    """A page's text without scripts, styles and tags, with entities resolved (op U3)."""
+    c = F.concat(F.lit("<SCRIPT>x<y</script><p class='q'>a &amp; b</p>\n<style>p{}</style><i>&lt; "), F.col("page_id").cast("string"), F.lit("</i> &eacute;"))
+    return t("pages").select("page_id", T.unescape(T.strip_html(c)).alias("plain"))
+
+
+@query(f"""{sample.WITH}, e AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k, list_sort(list(DISTINCT event_type) FILTER (value > 100)) AS h FROM events GROUP BY user_id)
+SELECT user_id, len(list_intersect(k, ['click', 'view'])) > 0 AS overlaps, CAST(len(list_intersect(k, coalesce(h, []))) AS INTEGER) AS common, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(coalesce(h, []), x)), ',') AS absent FROM e""")
+def set_tests(t):
+    """Overlaps, common members and differences of sets (ops D11, D12, J22)."""
+    e = t("events").groupBy("user_id").agg(F.collect_set("event_type").alias("k"), F.collect_set(F.when(F.col("value") > 100, F.col("event_type"))).alias("h"))
+    every = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
+    return e.select("user_id", F.arrays_overlap("k", F.array(F.lit("click"), F.lit("view"))).alias("overlaps"), F.size(F.array_intersect("k", "h")).alias("common"), F.array_join(F.array_except(every, "h"), ",").alias("absent"))
+
+
+@query(f"""{sample.WITH}, l AS (SELECT id, unnest(links).url AS u FROM recordings) SELECT id, string_agg(DISTINCT lower(regexp_replace(u, '/+$', '')), ',' ORDER BY lower(regexp_replace(u, '/+$', ''))) AS targets FROM l WHERE regexp_matches(u, '^https?://') AND NOT contains(u, 'bilibili') GROUP BY id""")
+def allowed_targets(t):
+    """The places that a recording's links may lead to, each once (op A24)."""
+    u = sample.recordings(t).select("id", F.explode("links.url").alias("u")).filter(F.col("u").rlike("^https?://") & ~F.contains("u", F.lit("bilibili")))
+    return u.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(pages.result_identity(F.col("u")))), ",").alias("targets"))
+
+
+_COLLATED = "CASE c_custkey % 5 WHEN 0 THEN '北京' WHEN 1 THEN '上海' WHEN 2 THEN 'Émile' WHEN 3 THEN 'emil' ELSE '啊' END || CAST(c_custkey % 7 AS VARCHAR)"
+
+
+@query(f"""SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY n COLLATE zh, c_custkey) AS INTEGER) AS chinese, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY n COLLATE en, c_custkey) AS INTEGER) AS english,
+CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 11 END NULLS LAST, n COLLATE en, c_custkey) AS INTEGER) AS by_year FROM (SELECT *, {_COLLATED} AS n FROM customer)""")
+def collated_order(t):
+    """Orders by Chinese and by English collation, and by year with missing ones last (ops O1, O2, O3, O4)."""
+    k = F.col("c_custkey") % 5
+    n = F.concat(F.when(k == 0, "北京").when(k == 1, "上海").when(k == 2, "Émile").when(k == 3, "emil").otherwise("啊"), (F.col("c_custkey") % 7).cast("string"))
+    at = lambda *order: F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*order))
+    year = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 11)
+    c = t("customer").select("c_custkey", "c_nationkey", F.collate(n, "zh").alias("zh"), F.collate(n, "en").alias("en"), year.alias("year"))
+    return c.select("c_custkey", at("zh", "c_custkey").alias("chinese"), at("en", "c_custkey").alias("english"), at(F.asc_nulls_last("year"), "en", "c_custkey").alias("by_year"))
