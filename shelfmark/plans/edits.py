@@ -168,3 +168,15 @@ def collated_order(t):
     year = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 11)
     c = t("customer").select("c_custkey", "c_nationkey", F.collate(n, "zh").alias("zh"), F.collate(n, "en").alias("en"), year.alias("year"))
     return c.select("c_custkey", at("zh", "c_custkey").alias("chinese"), at("en", "c_custkey").alias("english"), at(F.asc_nulls_last("year"), "en", "c_custkey").alias("by_year"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'sym 5,sym5,symphony 5,symphony n 5,symphony no 5,symphony no. 5,symphony no.5,第五交响曲' WHEN 1 THEN ''
+WHEN 2 THEN 'concerto a minor,concerto a-minor,klavierkonzert a minor,klavierkonzert a-minor,piano concerto,piano concerto a minor,piano concerto a-minor,piano concerto in a minor,piano concerto in a minor op. 54,piano concerto in a-minor,piano concerto op. 54'
+ELSE 'spring,spring sonata,春天奏鸣曲' END AS names FROM part""")
+def work_names(t):
+    """Other names that a work goes by (op F16)."""
+    from shelfmark.functions import works
+
+    k = F.col("p_partkey") % 4
+    c = F.when(k == 0, "第五交响曲").when(k == 1, "").when(k == 2, "Piano Concerto in A minor Op. 54").otherwise("Spring Sonata")
+    return t("part").select("p_partkey", F.array_join(works.aliases(c), ",").alias("names"))
