@@ -36,42 +36,35 @@ FILL, STEP = 0.985, 0.05
 class _Ids(dict):
     """Blank-separated chunk -> its ids as little-endian 32-bit bytes. Chunks never share a token, as the tokenizer drops white space."""
 
-    def __init__(self, path: str, most: int = 150_000, most_cores: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
-        self.t, self.most, self.most_cores, self.cores = Tokenizer.from_file(path), most, most_cores, {}
+        self.t, self.most = Tokenizer.from_file(path), most
         self.t.encode_special_tokens = False
 
     def encode(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _kept(self, chunk: str, ids: bytes) -> bytes:
+        if len(self) < self.most and len(chunk) < 80:
+            self[chunk] = ids
+        return ids
+
     def core(self, word: str) -> bytes:
         """Ids of a run of ASCII letters, already lowered: one pre-token."""
-        ids = self.cores.get(word)
-        if ids is None:
-            ids = np.array([x.id for x in self.t.model.tokenize(word)], "<u4").tobytes()
-            if len(self.cores) < self.most_cores and len(word) < 80:
-                self.cores[word] = ids
-        return ids
+        ids = self.get(word)
+        return self._kept(word, np.array([x.id for x in self.t.model.tokenize(word)], "<u4").tobytes()) if ids is None else ids
 
     def __missing__(self, chunk: str) -> bytes:
         head = chunk.rstrip(".,;:!?#$%&*")
-        if head.isascii() and head.isalpha():
-            tail = chunk[len(head) :]
-            ids = self.core(head.lower()) + (self.tail(tail) if tail else b"")
-        else:
-            ids = self.encode(chunk)
-        if len(self) < self.most and len(chunk) < 80:
-            self[chunk] = ids
-        return ids
-
-    def tail(self, marks: str) -> bytes:
-        ids = self.cores.get(marks)
-        if ids is None:
-            ids = self.encode(marks)
-            if len(self.cores) < self.most_cores and len(marks) < 80:
-                self.cores[marks] = ids
-        return ids
+        if not (head.isascii() and head.isalpha()):
+            return self._kept(chunk, self.encode(chunk))
+        word, tail = head.lower(), chunk[len(head) :]
+        ids = self.core(word)
+        if tail:
+            end = self.get(tail)
+            ids += self._kept(tail, self.encode(tail)) if end is None else end
+        return ids if word == chunk else self._kept(chunk, ids)
 
     def text(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
