@@ -49,6 +49,7 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Spark drops a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -112,7 +113,13 @@ def values(column: pa.Array, step: int = 512) -> Iterator:
 
 
 def frugal(run: Callable) -> Callable:
-    """run for mapInArrow; what it held goes back to the system when a task ends, as workers live on and serve other stages."""
+    """run for mapInArrow; what it held goes back to the system when a task ends, as workers live on and serve other stages.
+
+    Where the session has Spark's own batch size, 10,000 rows, it gets a smaller one: texts make batches of that many rows large, in
+    the workers and beside the heap. Results do not depend on it."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
 
     def inner(batches: Iterator) -> Iterator:
         yield from run(batches)
