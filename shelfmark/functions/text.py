@@ -105,3 +105,8 @@ def contains_tokens(pool: Column, tokens: Column) -> Column:
 
 def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def half_even(c: Column, places: int) -> Column:
+    """Rounded by the number's binary value, halves to the even digit: 2.675 is below its half and gives 2.67."""
+    return F.regexp_replace(F.format_number(c, places), ",", "").cast("double")

@@ -67,3 +67,14 @@ def warning_corpus(warnings: DataFrame) -> DataFrame:
     each = warnings.select(warning_signature(F.col("text")).alias("signature"), "text", "status")
     per = each.groupBy("signature", "status").agg(F.count("*").alias("k"), F.collect_set("text").alias("e"))
     return per.groupBy("signature").agg(F.sum("k").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))).alias("examples"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "k")))).alias("statuses"))
+
+
+def alignment(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """field, aligned, mismatched, absent: how two tables of one row a key agree, field by field; absent: on one side alone or ''."""
+    from shelfmark.functions.text import trimmed
+
+    j = ours.select(key, *(trimmed(F.col(c)).alias(f"a_{c}") for c in fields)).join(theirs.select(key, *(trimmed(F.col(c)).alias(f"b_{c}") for c in fields)), key)
+    pair = lambda c: F.struct(F.lit(c).alias("field"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b"))
+    each = j.select(F.explode(F.array(*map(pair, fields))).alias("x")).select("x.*")
+    gone = (F.col("a") == "") | (F.col("b") == "")
+    return each.groupBy("field").agg(F.count_if(~gone & (F.col("a") == F.col("b"))).alias("aligned"), F.count_if(~gone & (F.col("a") != F.col("b"))).alias("mismatched"), F.count_if(gone).alias("absent"))

@@ -94,3 +94,14 @@ def hang_together(df: DataFrame, row: str, keys: list[str], most_rounds: int = 5
         if not changed:
             return df.join(label.select(row, "component"), row)
     raise ValueError(f"labels still change after {most_rounds} rounds")
+
+
+def consolidated(entries: DataFrame, row: str, values: str) -> DataFrame:
+    """component, values: entries that share any name, directly or through others, as one with all their names, each once in order of row and place."""
+    each = entries.select(row, F.posexplode(values).alias("_pos", "_name"))
+    numbered = each.withColumn("_cell", F.struct(row, "_pos").cast(f"struct<row:{dict(entries.dtypes)[row]},pos:int>"))
+    together = hang_together(numbered.select(F.xxhash64("_cell").alias("_id"), row, "_name"), "_id", [row, "_name"])
+    owner = together.groupBy(row).agg(F.min("component").alias("_c"))
+    named = each.join(owner, row)
+    first = named.groupBy("_c").agg(F.min(row).alias("component"), F.array_sort(F.collect_list(F.struct(row, "_pos", "_name"))).alias("x"))
+    return first.select("component", F.array_distinct(F.transform("x", lambda v: v["_name"])).alias(values))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names, pages, rules
 from shelfmark.functions import text as T
-from shelfmark.operators import evidence, mutations
+from shelfmark.operators import evidence, mutations, resolve
 
 from . import sample
 from .catalogue import query
@@ -180,3 +180,29 @@ def work_names(t):
     k = F.col("p_partkey") % 4
     c = F.when(k == 0, "第五交响曲").when(k == 1, "").when(k == 2, "Piano Concerto in A minor Op. 54").otherwise("Spring Sonata")
     return t("part").select("p_partkey", F.array_join(works.aliases(c), ",").alias("names"))
+
+
+@query("""SELECT min(p_partkey) AS component, string_agg(n, ',' ORDER BY p, i) AS names FROM (SELECT min(p_partkey) AS p_partkey, n, min(p_partkey * 10 + i) // 10 AS p, min(p_partkey * 10 + i) % 10 AS i, g FROM (SELECT p_partkey, 0 AS i, 'a' || p_partkey // 2 AS n, p_partkey // 4 AS g FROM part UNION ALL SELECT p_partkey, 1, CASE WHEN p_partkey % 4 IN (1, 2) THEN 'm' || p_partkey // 4 ELSE 'z' || p_partkey END, p_partkey // 4 FROM part) GROUP BY n, g) GROUP BY g""")
+def consolidated_names(t):
+    """Entries that share a name are one, to the end (op D10)."""
+    p = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    key = F.when((p % 4).isin(1, 2), F.concat(F.lit("m"), s(F.floor(p / 4)))).otherwise(F.concat(F.lit("z"), s(p)))
+    rows = t("part").select("p_partkey", F.array(F.concat(F.lit("a"), s(F.floor(p / 2))), key).alias("names"))
+    return resolve.consolidated(rows, "p_partkey", "names").withColumn("names", F.array_join("names", ","))
+
+
+@query("""SELECT event_id, CAST(printf('%.2f', event_id / 8.0::DOUBLE) AS DOUBLE) AS eighths, CAST(printf('%.1f', value) AS DOUBLE) AS tenths, CAST(printf('%.2f', 2.675::DOUBLE) AS DOUBLE) AS known FROM events""")
+def half_even(t):
+    """Halves to the even digit, by the binary value (op N11)."""
+    return t("events").select("event_id", T.half_even(F.col("event_id") / 8, 2).alias("eighths"), T.half_even(F.col("value"), 1).alias("tenths"), T.half_even(F.lit(2.675), 2).alias("known"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders)
+SELECT 'o_orderstatus' AS field, count(*) FILTER (a.s = b.s) AS aligned, count(*) FILTER (a.s <> b.s) AS mismatched, CAST(0 AS BIGINT) AS absent FROM a JOIN b USING (o_orderkey) UNION ALL SELECT 'o_orderpriority', count(*) FILTER (a.p = b.p AND a.p <> ''), count(*) FILTER (a.p <> b.p AND a.p <> ''), count(*) FILTER (a.p = '') FROM a JOIN b USING (o_orderkey)""")
+def alignment_audit(t):
+    """How two tables agree, field by field (op A26)."""
+    o, k = t("orders"), F.col("o_orderkey")
+    ours = o.select("o_orderkey", "o_orderstatus", F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    theirs = o.select("o_orderkey", F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
+    return evidence.alignment(ours, theirs, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
