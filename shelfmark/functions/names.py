@@ -216,3 +216,30 @@ def mentions(lowered: Column, values: Column) -> Column:
         return F.coalesce(F.when(latin, F.array_contains(held, last)).otherwise((F.length(last) >= 2) & F.contains(lowered, last)), F.lit(False))
 
     return F.exists(F.coalesce(values, none()), one)
+
+
+# What ends a Chinese name within a sentence, and phrases of the encyclopaedia that it was taken from.
+CLAUSE = r"(是|为|由|系|位于|成立于|创建于|创立于|于)[\s\S]*$"
+BOILERPLATE = "百度百科是一部内容开放、自由的网络百科全书|百度百科是一部内容开放自由的网络百科全书|百度百科"
+
+
+def chinese_name(c: Column) -> Column:
+    """A Chinese name without brackets, what follows a mark, and the rest of a sentence."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\([^()]{0,80}\)", " "), r"[,:;|].*$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, BOILERPLATE, ""), CLAUSE, ""), r"(?U)\s+", "")
+
+
+def chinese_name_score(c: Column, score: Column, reference: Column) -> Column:
+    """The candidate's score, more for a name in parts and for length, less for the name at hand; -1 for what is no Chinese name."""
+    raw, name = F.coalesce(c, F.lit("")), chinese_name(c)
+    no_name = raw.rlike("百度百科|内容开放|网络百科全书") | raw.rlike("(?:是|为|由|系|位于|成立于|创建于|创立于).{2,}") | ~name.rlike(r"^[\x{3400}-\x{9fff}路·]{2,24}$")
+    total = score + F.when(name.rlike("[路·]"), 8).otherwise(0) + F.least(F.length(name), F.lit(16)) - F.when(name == chinese_name(reference), 4).otherwise(0)
+    return F.when(no_name, F.lit(-1.0)).otherwise(total.cast("double"))
+
+
+def entity_score(kind: Column, image: Column, summary: Column, filled: Column, confidence: Column) -> Column:
+    """How good a source of data on an entity is: by kind, image, summary, the number of fields that it fills, and its own confidence."""
+    source = F.when(kind == "wikimedia-commons", 36).when(kind == "wikipedia", 32).when(kind == "baidu-baike", 30).when(kind == "llm", 28).otherwise(16)
+    text = F.coalesce(summary, F.lit(""))
+    sure = F.floor(F.coalesce(confidence, F.lit(0.55)) * 25 + 0.5)
+    return source + F.when(F.coalesce(image, F.lit("")) != "", 20).otherwise(0) + F.least(F.length(text) / 6, F.lit(15.0)) + filled * 6 + sure

@@ -62,3 +62,14 @@ def merged(fields: DataFrame, keys: list[str]) -> DataFrame:
     rest = fields.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("pos", "source"))).alias("x"), F.max(rank).alias("r"))
     out = rest.select(*keys, names.distinct(F.transform("x", lambda v: v["source"])).alias("sources"), F.coalesce(F.get(F.array(*map(F.lit, RISKS)), (F.col("r") - 1).cast("int")), F.lit("low")).alias("risk"))
     return paths.join(out, keys)
+
+
+def patch_integer(c: Column) -> Column:
+    """A whole number from a text; null for anything else."""
+    bare = names.trimmed(c)
+    return F.when(bare.rlike("^-?[0-9]+$"), bare.try_cast("bigint"))
+
+
+def patch_list(c: Column) -> Column:
+    """A text's lines, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), names.trimmed), lambda x: x != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names, pages, rules
 from shelfmark.functions import text as T
-from shelfmark.operators import evidence, mutations, resolve
+from shelfmark.operators import evidence, mutations, proposals, resolve, rows
 
 from . import sample
 from .catalogue import query
@@ -206,3 +206,57 @@ def alignment_audit(t):
     ours = o.select("o_orderkey", "o_orderstatus", F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
     theirs = o.select("o_orderkey", F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
     return evidence.alignment(ours, theirs, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+_ROWS = """SELECT user_id % 5 AS item, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS source, ['youtube.com', 'search.bilibili.com', 'apple.com', 'a.org', 'b.org'][CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END + 1] AS host,
+row_number() OVER (PARTITION BY user_id % 5, event_type ORDER BY value DESC, event_id) - 1 AS pos, CASE WHEN event_id % 2 = 0 THEN 'U' ELSE 'u' END || (event_id % 40) AS url FROM events"""
+_PLACED = lambda branches, limit="true": f"f AS (SELECT item, min({{'b': branch, 's': source, 'p': pos, 'u': url}}) AS x FROM ({branches}) GROUP BY item, lower(url)) SELECT item, x.u AS url, x.s AS source, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY x) AS INTEGER) AS place FROM f) WHERE {limit}"
+
+
+def _rows(t):
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    source = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).cast("int") - 1
+    e = t("events").withColumn("source", source)
+    at = Window.partitionBy(F.col("user_id") % 5, "source").orderBy(F.desc("value"), "event_id")
+    hosts = F.element_at(F.array(*map(F.lit, ["youtube.com", "search.bilibili.com", "apple.com", "a.org", "b.org"])), F.col("source") + 1)
+    url = F.concat(F.when(F.col("event_id") % 2 == 0, "U").otherwise("u"), (F.col("event_id") % 40).cast("string"))
+    return e.select((F.col("user_id") % 5).alias("item"), "source", hosts.alias("host"), (F.row_number().over(at) - 1).alias("pos"), url.alias("url"))
+
+
+@query(f"WITH r AS ({_ROWS}), {_PLACED('SELECT 0 AS branch, item, source, pos, url FROM r WHERE source < 3 AND pos < 2 UNION ALL SELECT 1, item, source, pos, url FROM r WHERE pos < CASE WHEN source < 2 THEN 10 ELSE 4 END')}")
+def merged_hosts(t):
+    """Rows of several hosts under their caps, the primary hosts' first rows before all (ops W4, O9, D5)."""
+    return rows.merged_hosts(_rows(t))
+
+
+@query(f"WITH r AS ({_ROWS}), {_PLACED('SELECT 0 AS branch, item, source, pos, url FROM r WHERE source = 1 UNION ALL SELECT 1, item, source, pos, url FROM r WHERE source = 0 AND (item, lower(url)) IN (SELECT (item, lower(url)) FROM r WHERE source IN (1, 2)) UNION ALL SELECT 2, item, source, pos, url FROM r WHERE source = 2', 'place <= 12')}")
+def merged_trusted(t):
+    """Rows of an interface count where another source has them too (op J23)."""
+    r = _rows(t).drop("host")
+    return rows.merged_trusted(*(r.filter(F.col("source") == k) for k in (0, 1, 2)), mismatch=True)
+
+
+@query(f"WITH r AS ({_ROWS}), {_PLACED('SELECT 0 AS branch, item, source, pos, url FROM r WHERE pos < CASE source WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 0 END UNION ALL SELECT 1, item, source, pos, url FROM r WHERE source > 1 AND pos < 1 UNION ALL SELECT 2, item, source, pos, url FROM r', 'place <= 8')}")
+def merged_queries(t):
+    """Rows of several queries merged, most of the first two (the branch of D8 without weights, D9)."""
+    return rows.merged_queries(_rows(t).drop("host"), 8)
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 10.0 + 8 + 6 WHEN 1 THEN 10.0 + 3 - 4 ELSE -1.0 END::DOUBLE AS name_score, CAST(CASE p_partkey % 3 WHEN 0 THEN 32 + 20 ELSE 16 END + least(p_size / 6.0::DOUBLE, 15.0) + 12 + CASE p_partkey % 3 WHEN 0 THEN 20 ELSE 14 END AS DOUBLE) AS entity_score,
+CASE p_partkey % 4 WHEN 0 THEN 1850 WHEN 1 THEN -3 END::BIGINT AS year, CASE p_partkey % 4 WHEN 0 THEN 'a|b' ELSE '' END AS names FROM part""")
+def source_scores(t):
+    """Scores of Chinese names and of sources of data, and texts of patches put in shape (ops K4 without the adjustments by field, K6, P22)."""
+    k, j, m = (F.col("p_partkey") % n for n in (5, 3, 4))
+    name = F.when(k == 0, "贝多芬·路易 (x): y").when(k == 1, " 海 顿曲").when(k == 2, "他是作曲家").when(k == 3, "百度百科").otherwise("Haydn")
+    text = F.when(m == 0, " 1850 ").when(m == 1, "-3").when(m == 2, "3.5").otherwise(F.lit(None).cast("string"))
+    score = names.entity_score(F.when(j == 0, "wikipedia").otherwise("?"), F.when(j == 0, "i"), F.repeat(F.lit("x"), F.col("p_size")), F.lit(2), F.when(j == 0, 0.8))
+    lines = F.array_join(proposals.patch_list(F.when(m == 0, "a\r\n \n b")), "|")
+    return t("part").select("p_partkey", names.chinese_name_score(name, F.lit(10.0), F.lit("海顿曲")).alias("name_score"), score.cast("double").alias("entity_score"), proposals.patch_integer(text).alias("year"), lines.alias("names"))
+
+
+@query("""SELECT page_id, '/columns/' || page_id || '/' AS href, strftime(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER), '%Y-%m-%d') AS updated FROM pages WHERE page_id % 2 = 0 ORDER BY page_id % 300 DESC, page_id LIMIT 10""")
+def featured_articles(t):
+    """The ten latest articles that are shown (op O12)."""
+    i = F.col("page_id")
+    a = t("pages").select("page_id", (i % 2 == 0).alias("shown"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int")), "yyyy-MM-dd").alias("updated"))
+    return a.filter("shown").orderBy(F.desc("updated"), "page_id").limit(10).select("page_id", rules.href("columns", i.cast("string")).alias("href"), "updated")
