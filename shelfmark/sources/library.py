@@ -133,3 +133,44 @@ def text_issues(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     marks = F.array_compact(F.array(F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", "byte-order-mark"), F.when(F.contains(F.decode("content", "UTF-8"), F.lit("\ufffd")), "replacement-character")))
     return files.select(F.col("path").alias("file"), F.explode(marks).alias("issue"))
+
+
+# The files beside the collections and the names of their fields.
+SIDE = {
+    "articles": "id string, slug string, title string, summary string, markdown string, showOnHome boolean, createdAt string, updatedAt string",
+    "review-queue": "entityId string, entityType string, issue string, sourcePath string, note string",
+    "manual-backfills": "recordingId string, removeCredits array<struct<role:string,displayName:string,personId:string>>, credits array<struct<role:string,personId:string,displayName:string,label:string>>, metadata map<string,string>, waivedMissingRoles array<string>",
+}
+
+
+def read_side(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the side files, a JSON array; a missing file is empty, a malformed one an error."""
+    path = f"{folder}/{name}.json"
+    return spark.read.schema(SIDE[name]).json(path, multiLine=True, mode="FAILFAST") if exists(spark, path) else spark.createDataFrame([], SIDE[name])
+
+
+def read_person_links(spark: SparkSession, folder: str) -> DataFrame:
+    """alias, canonical of a file that maps one to the other; without empty sides."""
+    path = f"{folder}/person-links.json"
+    if not exists(spark, path):
+        return spark.createDataFrame([], "alias string, canonical string")
+    text = spark.read.text(path, wholetext=True)
+    held = F.from_json("value", "canonicalPersonLinks map<string,string>", {"mode": "FAILFAST"})["canonicalPersonLinks"]
+    return text.select(F.explode(held).alias("alias", "canonical")).filter("alias <> '' AND canonical <> ''")
+
+
+def write_artifacts(outputs: dict[str, DataFrame], folder: str) -> None:
+    """One Parquet folder for each derived table, replaced as a whole."""
+    for name, df in outputs.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def record_stage(payloads: DataFrame, folder: str) -> None:
+    """Adds captured payloads (item_id, stage, pos, payload) to a snapshot table."""
+    payloads.select("item_id", "stage", "pos", "payload").write.mode("append").partitionBy("stage").parquet(folder)
+
+
+def replayed(spark: SparkSession, folder: str, items: DataFrame, stage: str) -> DataFrame:
+    """item_id, payloads (in order) of a stage for the items asked for; an item without any has an empty array."""
+    held = spark.read.parquet(folder).filter(F.col("stage") == stage).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("x"))
+    return items.select("item_id").join(held, "item_id", "left").select("item_id", F.coalesce(F.col("x.payload"), F.array().cast("array<string>")).alias("payloads"))

@@ -186,3 +186,21 @@ def test_runs_and_text_issues(spark, tmp_path):
     (tmp_path / "t" / "b.txt").write_text("x\ufffd")
     (tmp_path / "t" / "c.txt").write_text("fine")
     assert sorted((r.file[-5:], r.issue) for r in library.text_issues(spark, str(tmp_path / "t")).collect()) == [("a.txt", "byte-order-mark"), ("b.txt", "replacement-character")]
+
+
+def test_side_files_and_snapshots(spark, tmp_path):
+    (tmp_path / "articles.json").write_text(json.dumps([{"id": "a", "showOnHome": True}]))
+    (tmp_path / "person-links.json").write_text(json.dumps({"canonicalPersonLinks": {"x": "y", "z": ""}}))
+    assert [(r.id, r.showOnHome) for r in library.read_side(spark, str(tmp_path), "articles").collect()] == [("a", True)]
+    assert library.read_side(spark, str(tmp_path), "review-queue").count() == 0
+    assert [tuple(r) for r in library.read_person_links(spark, str(tmp_path)).collect()] == [("x", "y")]
+    assert library.read_person_links(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "manual-backfills.json").write_text(json.dumps([{"recordingId": "r", "credits": [{"role": "singer", "displayName": "S"}], "metadata": {"venueText": "V"}}]))
+    got = library.read_side(spark, str(tmp_path), "manual-backfills").first()
+    assert got.credits[0].displayName == "S" and got.metadata == {"venueText": "V"} and got.removeCredits is None
+    library.write_artifacts({"one": spark.range(3)}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "one")).count() == 3
+    rows = spark.createDataFrame([("i", "s", 2, "b"), ("i", "s", 1, "a"), ("i", "t", 1, "c")], "item_id string, stage string, pos int, payload string")
+    library.record_stage(rows, str(tmp_path / "snap"))
+    items = spark.createDataFrame([("i",), ("j",)], "item_id string")
+    assert {r.item_id: r.payloads for r in library.replayed(spark, str(tmp_path / "snap"), items, "s").collect()} == {"i": ["a", "b"], "j": []}
