@@ -67,7 +67,15 @@ def spool(df: DataFrame, keep: bool = False) -> DataFrame:
         spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     if not keep:
         atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spooled = path
+    return out
+
+
+def drop(*spooled: DataFrame) -> None:
+    """Deletes frames that spool returned; nothing that reads them may run any more. Others go when the interpreter ends."""
+    for df in spooled:
+        delete(df.sparkSession, df._spooled)
 
 
 def lookup(left: DataFrame, right: DataFrame, key: list[str], total: int) -> DataFrame:

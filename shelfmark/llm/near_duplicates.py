@@ -146,7 +146,7 @@ def _alike(sketches: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 def _candidates(sets: DataFrame, least: int) -> DataFrame:
     """(a, b), a < b: links between classes (rep, bands, sketch) that share a bucket and may be near."""
-    total = sets.count()
+    total = sets.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
     bucket = sets.select("rep", F.explode("bands").alias("h"))
     multi = common.spool(bucket.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1"))
     shared = common.spool(common.lookup(bucket, multi, ["h"], total).select("h", "n", "a", "rep"))
@@ -181,10 +181,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = common.spool(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
-        large = common.spool(common.lookup(links, low, ["a"], total).select(F.col("m").alias("a"), "b").distinct())  # larger neighbours to the least
+        large = common.spool(common.lookup(links, low, ["a"], 2 * total).select(F.col("m").alias("a"), "b").distinct())  # larger neighbours to the least
         low2 = common.spool(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
         small = common.lookup(large, low2, ["b"], total).filter("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))  # a node's smaller neighbours to the least
-        links = common.spool(small.union(low2.select(F.col("m").alias("a"), "b")).distinct())
+        old, links = links, common.spool(small.union(low2.select(F.col("m").alias("a"), "b")).distinct())
+        common.drop(old, low, large, low2)
         now = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if last == now:
             break
