@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_duplicates, neighbours, packing, pii, quality, suffix_dedup, toxicity, warc
+from . import codes, decontaminate, divergence, line_dedup, mixing, near_duplicates, neighbours, packing, pii, quality, suffix_dedup, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -68,6 +68,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 _OP6_SQL = r"""
 WITH lw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -94,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_divergence": op12_divergence,
+    "op13_mixing": op13_mixing,
 }
 SQL = {
     "op2_line_dedup": "SELECT doc_id, n_lines, n_removed, text FROM (" + line_dedup.SQL.format(docs="documents") + ")",
@@ -101,4 +116,7 @@ SQL = {
     "op6_decontamination": _OP6_SQL,
     "op8_suffix_dedup": suffix_dedup.SQL,
     "op9_jaccard_join": near_duplicates.SQL,
+    "op11_vector_codes": codes.SQL,
+    "op12_divergence": divergence.SQL,
+    "op13_mixing": mixing.SQL,
 }
