@@ -128,7 +128,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     inside = Window.partitionBy("key", "span").orderBy("time")
     spans = timed.groupBy("key", "span").count()
     spans = spans.withColumn("from", F.coalesce(F.sum("count").over(Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return timed.withColumn("in", F.row_number().over(inside) - 1).join(spans.drop("count"), ["key", "span"]).select("key", "time", (F.col("in") + F.col("from")).alias("rank"))
+    # hints, as Spark takes what few rows are expanded into for small and would broadcast it
+    return timed.withColumn("in", F.row_number().over(inside) - 1).join(spans.drop("count").hint("merge"), ["key", "span"]).select("key", "time", (F.col("in") + F.col("from")).alias("rank"))
 
 
 def placed(docs: DataFrame, block: int = BLOCK, **columns: str) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +153,7 @@ def pieces(laid: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame
     each = cut.withColumn("copy", F.expr("explode(sequence(lo div size, (hi - 1) div size))"))
     each = each.withColumns({"start": F.expr("greatest(lo - copy * size, 0)"), "stop": F.expr("least(hi - copy * size, size)")})
     blocks = each.select("key", "rank", "doc_id", "digest", "size", "copy", "pass", "start", (F.col("stop") - F.col("start")).alias("n"))
-    return schedule(sources).join(blocks, ["key", "rank"]).withColumnRenamed("n", "words")
+    return schedule(sources).hint("merge").join(blocks, ["key", "rank"]).withColumnRenamed("n", "words")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, **columns: str) -> DataFrame:
