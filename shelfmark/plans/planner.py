@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import queries
-from shelfmark.operators import query_choice
+from shelfmark.operators import query_choice, second_pass
 
 from .catalogue import query
 
@@ -133,3 +133,73 @@ def prepared_queries(t):
     pooled = query_choice.pools(searches(t))
     out = [query_choice.spelled(query_choice.prepared(pooled, most), "chosen").withColumn("most", F.lit(most)) for most in (3, 4, 6)]
     return out[0].unionByName(out[1]).unionByName(out[2]).select("item", "most", "ordinal", "query")
+
+
+#: Rows that searches find: of each item's lines, those numbered one and two in the first pass, all in the second.
+_TITLE = """concat(CASE WHEN l_orderkey % 7 = 0 AND (l_partkey % 3 = 0 OR l_linenumber > 2) THEN p_name WHEN l_orderkey % 7 = 1 THEN p_type WHEN l_orderkey % 7 = 2 AND l_linenumber > 2 THEN concat('complete ', p_name, ' ', p_type, ' violin sonatas') ELSE 'Radio' END,
+CASE l_orderkey % 4 WHEN 0 THEN ' Appassionata' WHEN 1 THEN concat(' op.57 No.', l_linenumber) WHEN 2 THEN ' complete sonatas trailer' ELSE ' 全集 四重奏' END)"""
+
+
+def found_rows(t):
+    """item, url, text, line."""
+    return t("lineitem").join(t("part"), F.expr("l_partkey = p_partkey")).select(F.col("l_partkey").alias("item"), F.expr("concat('https://rows.example/', l_orderkey, '/', l_linenumber)").alias("url"), F.expr(_TITLE).alias("text"), F.col("l_linenumber").alias("line"))
+
+
+_STOPPED = "'beethoven', 'spring', 'appassionata', 'sonata', 'sonatas', 'violin', 'piano', 'ludwig', 'van', 'no', 'op', 'major', 'minor', 'complete', 'collection'"
+_ZH_STOP = _said("x", "热情", "春天", "奏鸣曲", "钢琴", "小提琴", "贝多芬", "路德维希", "第二十三", "第五", "op")
+_PLAIN = r"regexp_replace(regexp_replace(lower({0}), '\bno\.?\s*([0-9]+)', ' no \1', 'g'), '\s+', ' ', 'g')"
+_OPUS = r"regexp_matches(low, '(^|[^0-9a-z_])op\.?\s*(24|57)($|[^0-9a-z_])')"
+_TRIGGERS = rf"""
+latin AS (SELECT item, unnest(regexp_extract_all(low, '[a-z]{{3,}}')) AS x FROM flags),
+zh AS (SELECT item, unnest(list_concat(list_transform(regexp_extract_all(txt, '[{_CJK}·]{{2,}}'), lambda c: replace(c, '·', '')), CASE WHEN cjk THEN list_filter(regexp_split_to_array(txt, '[·•・／/|,，、\s]+'), lambda c: c <> '')[-1:] ELSE [] END)) AS x FROM flags),
+counted AS (SELECT item, x, count(*) AS n FROM latin WHERE x NOT IN ({_STOPPED}) GROUP BY ALL),
+duo_t AS (SELECT item, list(x ORDER BY n DESC, length(x) DESC, x) AS duo_tokens FROM (SELECT * FROM counted WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC, length(x) DESC, x) <= 4) GROUP BY item),
+solo_t AS (SELECT item, list(x ORDER BY n DESC, length(x) DESC, x) AS solo_tokens FROM (SELECT * FROM (SELECT item, x, sum(n) AS n FROM (SELECT * FROM counted UNION ALL SELECT item, x, count(*) FROM zh WHERE length(x) >= 3 AND NOT {_ZH_STOP} GROUP BY ALL) GROUP BY ALL)
+  WHERE n >= 2 OR regexp_matches(x, '[{_CJK}]') QUALIFY row_number() OVER (PARTITION BY item ORDER BY n DESC, length(x) DESC, x) <= 3) GROUP BY item),
+opus AS (SELECT *, NOT slash AND ({_said("low", "appassionata", "spring", "热情", "春天", "op24", "op57")} OR {_OPUS}) AS probe FROM flags),
+signal AS (SELECT item, bool_or({_said("low", "spring", "appassionata", "sonata", "春天", "热情", "奏鸣曲")}) AND bool_or(joined) AS two, bool_or(probe) AS one FROM opus GROUP BY item),
+known AS (SELECT item, two, one, coalesce(duo_tokens, []::VARCHAR[]) AS duo_tokens, coalesce(solo_tokens, []::VARCHAR[]) AS solo_tokens FROM signal LEFT JOIN duo_t USING (item) LEFT JOIN solo_t USING (item)),
+every_row AS (SELECT l_partkey AS item, concat('https://rows.example/', l_orderkey, '/', l_linenumber) AS url, {_TITLE} AS text, l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey),
+hays AS (SELECT *, {_PLAIN.format("text")} AS hay FROM every_row),
+met AS (SELECT item, bool_or(len(list_filter(duo_tokens, lambda x: contains(hay, x))) >= 2) AS two_met, bool_or(len(list_filter(solo_tokens, lambda x: contains(hay, x))) >= 1 AND {_said("hay", *second_pass.NAMED_WORKS)}) AS one_met FROM hays JOIN known USING (item) WHERE line <= 2 GROUP BY item),
+triggers AS (SELECT item, duo_tokens, solo_tokens, two AND len(duo_tokens) >= 2 AND NOT coalesce(two_met, false) AS duo, one AND len(solo_tokens) >= 1 AND NOT coalesce(one_met, false) AS solo FROM known LEFT JOIN met USING (item))"""
+
+
+@query(f"WITH {_POOL}, {_TRIGGERS} SELECT item, array_to_string(duo_tokens, ',') AS duo_tokens, array_to_string(solo_tokens, ',') AS solo_tokens, duo, solo FROM triggers")
+def second_pass_triggers(t):
+    """Items whose first pass lacks what their queries look for (ops R9d, R9e)."""
+    found = second_pass.triggers(searches(t), found_rows(t).filter("line <= 2"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("duo_tokens", "solo_tokens")})
+
+
+_PROBES = rf"""
+again AS (SELECT opus.*, ranks.focus, duo, solo FROM opus JOIN ranks USING (item, position) JOIN triggers USING (item) WHERE duo OR solo),
+once AS (SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY item, low ORDER BY position) = 1),
+bare AS (SELECT *, trim(regexp_replace(txt, '(^|{_EDGE})(18|19|20)[0-9]{{2}}($|{_EDGE})', '\1\3', 'g')) AS b FROM once),
+staged AS (SELECT item, 0 AS stage, position AS o, concat(trim(CASE WHEN contains(lower(b), 'complete ') THEN substr(b, strpos(lower(b), 'complete ')) ELSE b END), ' trailer') AS query FROM bare
+    WHERE duo AND NOT cjk AND NOT slash AND NOT contains(low, 'trailer') AND contains(low, 'complete') AND {_said("low", *second_pass.PROBED)} AND joined
+  UNION ALL SELECT item, 1, row_number() OVER (PARTITION BY item ORDER BY cjk, NOT {_OPUS}, focus, size, position) AS o, txt FROM once WHERE solo AND probe QUALIFY o <= 2
+  UNION ALL SELECT item, 2, position, txt FROM once),
+asked AS (SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY stage, o, query) AS INTEGER) AS ordinal, query FROM (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY item, lower(query) ORDER BY stage, o, query) = 1) QUALIFY ordinal <= 6)"""
+
+
+@query(f"WITH {_POOL}, {_TRIGGERS}, {_PROBES} FROM asked")
+def second_pass_probes(t):
+    """What those items are asked again (op R9e)."""
+    asked = searches(t)
+    return second_pass.probes(asked, second_pass.triggers(asked, found_rows(t).filter("line <= 2")))
+
+
+@query(f"""WITH {_POOL}, {_TRIGGERS}, {_PROBES},
+worded AS (SELECT item, list_filter(regexp_split_to_array({_PLAIN.format("query")}, '[^a-z0-9{_CJK}]+'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')) AS w FROM asked),
+second AS (SELECT DISTINCT item, url FROM hays JOIN worded USING (item) WHERE len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(hay, x))) = 0),
+both_rows AS (SELECT hays.*, CASE WHEN line <= 2 THEN 1 ELSE 2 END AS pass FROM hays LEFT JOIN second s USING (item, url) WHERE line <= 2 OR s.url IS NOT NULL),
+bundles AS (SELECT item, url FROM both_rows JOIN triggers USING (item) WHERE (duo OR solo) AND len(duo_tokens) >= 2 AND {_said("hay", "complete", "全集")} AND {_said("hay", *second_pass.BUNDLES)} AND len(list_filter(duo_tokens, lambda x: contains(hay, x))) >= 2
+  QUALIFY row_number() OVER (PARTITION BY item ORDER BY NOT contains(hay, 'complete'), length(trim(text)), url) = 1)
+SELECT item, url, text, pass, bundles.url IS NOT NULL AS promoted FROM both_rows LEFT JOIN bundles USING (item, url)""")
+def second_pass_rows(t):
+    """Both passes' rows together, the second read for triggered items alone, with the row that is promoted (op R9e)."""
+    asked, rows = searches(t), found_rows(t)
+    first = rows.filter("line <= 2").drop("line")
+    triggered = second_pass.triggers(asked, first)
+    return second_pass.both_passes(first, rows.drop("line"), triggered, second_pass.probes(asked, triggered))
