@@ -4,9 +4,11 @@ The operators work on arrays of one item's entries; the SQL states the same rule
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import queries
+from shelfmark.operators import host_plan as hosts
 from shelfmark.operators import query_choice, second_pass
 
 from .catalogue import query
@@ -43,9 +45,9 @@ def _n(pattern: str) -> str:
 _MONTHS = "january february march april may june july august september october november december".split()
 _FORMS = ("concerto", "symphony", "quartet", "trio")
 #: Facts, classes (as flags) and orders (as columns) of every query, and each item's pool.
-_POOL = rf"""
-searches AS (SELECT item, (k * 7 + item * 3) % 23 AS position, query FROM (SELECT p_partkey AS item, unnest([{", ".join(_TEXTS)}]) AS query, generate_subscripts([{", ".join("1" for _ in _TEXTS)}], 1) - 1 AS k FROM part) WHERE (item + k * k) % 4 <> 0),
-facts AS (SELECT *, {_n("[A-Za-z0-9]+|[" + _CJK + "]+")} AS tokens, {_n("[" + _CJK + "]+")} AS chunks, {_n("[^ ]+")} AS words, {_n("[0-9]")} AS digits, {_n("[A-Za-z]{3,}")} AS latin3,
+_SEARCHES = rf"""
+searches AS (SELECT item, (k * 7 + item * 3) % 23 AS position, query FROM (SELECT p_partkey AS item, unnest([{", ".join(_TEXTS)}]) AS query, generate_subscripts([{", ".join("1" for _ in _TEXTS)}], 1) - 1 AS k FROM part) WHERE (item + k * k) % 4 <> 0)"""
+_FLAGS = rf"""facts AS (SELECT *, {_n("[A-Za-z0-9]+|[" + _CJK + "]+")} AS tokens, {_n("[" + _CJK + "]+")} AS chunks, {_n("[^ ]+")} AS words, {_n("[0-9]")} AS digits, {_n("[A-Za-z]{3,}")} AS latin3,
   list_filter(regexp_extract_all(txt, '[A-Za-z][A-Za-z''.-]*'), lambda x: length(x) > 1) AS names, length(txt) AS size, regexp_matches(txt, '[{_CJK}]') AS cjk, contains(txt, '/') AS slash, contains(txt, ' - ') AS dash,
   regexp_matches(low, '(^|{_EDGE})(18|19|20)[0-9]{{2}}($|{_EDGE})') AS year, regexp_matches(low, '(^|{_EDGE})(18|19|20)[0-9]0s($|{_EDGE})') AS decade, {_said("low", *_MONTHS)} AS mon,
   {_said("low", "concerto", "klavierkonzert", "钢协", "协奏曲")} AS work, {_said("txt", "钢协", "协奏曲")} AS zhwork, {_said("low", "orchestra", "philharmonic", "symphony", "ensemble", "乐团", "爱乐", "交响")} AS band
@@ -63,7 +65,8 @@ flags AS (SELECT *, slash OR len(names) >= 3 AS joined, work AND NOT slash AND N
 ranks AS (SELECT *, (CASE WHEN zhwork AND latin3 > 0 THEN 0 WHEN work THEN 1 ELSE 2 END, (latin3 < 2)::INT, (digits = 0)::INT, band::INT, words, size) AS focus,
   (CASE WHEN year AND joined THEN 0 WHEN year THEN 1 WHEN decade THEN 2 ELSE 3 END, (size > 56 OR tokens > 10)::INT, (size > 40 OR tokens > 7)::INT, (mon OR (year AND size > 32))::INT, slash::INT) AS hurry,
   ((digits = 0)::INT, (len(names) < 3)::INT, (NOT slash)::INT, band::INT, size) AS together, (band::INT, (NOT slash)::INT, digits, words, size) AS context,
-  regexp_matches(txt, '(^|{_EDGE})[A-Za-z]+-[A-Za-z]+($|{_EDGE})') AS hyphened, contains(low, 'complete') AS complete FROM flags),
+  regexp_matches(txt, '(^|{_EDGE})[A-Za-z]+-[A-Za-z]+($|{_EDGE})') AS hyphened, contains(low, 'complete') AS complete FROM flags)"""
+_POOL = rf"""{_SEARCHES}, {_FLAGS},
 pool AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY position) AS n, count(*) OVER (PARTITION BY item) AS held
   FROM (SELECT * FROM ranks QUALIFY row_number() OVER (PARTITION BY item, low ORDER BY position) = 1))"""
 
@@ -203,3 +206,77 @@ def second_pass_rows(t):
     first = rows.filter("line <= 2").drop("line")
     triggered = second_pass.triggers(asked, first)
     return second_pass.both_passes(first, rows.drop("line"), triggered, second_pass.probes(asked, triggered))
+
+
+_GENERATORS = (
+    "profile_zh", "chamber_cjk", "named_surname", "named_year", "solo_opus", "chamber_latin", "cjk_context", "decade", "bundle", "bundle_context", "work_rescue", "year_anchor", "primary_only", "bilingual", "bilingual_alias",
+    "alias", "profile_latin", "zh", "latin", "profile_mixed", "mixed", "profile", "surname_pair",
+)
+#: Marks of a query by its text; where a generator has a query is told by numbers.
+_ANCHORS = ("named_duo", "compact_duo,solo_cjk", "latin_duo", "trailer", "bundle_year,solo_opus", "")
+
+
+def generated(t):
+    """item, generator, position, query, anchors: each part's texts, three times over, dealt to generators."""
+    each = t("part").select(F.col("p_partkey").alias("item"), F.posexplode(F.array(*map(F.expr, _TEXTS))).alias("k", "query")).select("*", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("r"))
+    names, marks = F.array(*map(F.lit, _GENERATORS)), F.array(*map(F.lit, _ANCHORS))
+    dealt = each.withColumn("generator", F.get(names, F.expr(f"CAST((k * 3 + r * 5 + item * 7) % {len(_GENERATORS)} AS INT)"))).withColumn("anchors", F.split(F.get(marks, F.expr(f"CAST((k + item) % {len(_ANCHORS)} AS INT)")), ","))
+    place = F.row_number().over(Window.partitionBy("item", "generator").orderBy("k", "r")) - 1
+    return dealt.withColumn("position", place).select("item", "generator", "position", "query", "anchors")
+
+
+def drafts(t):
+    return t("part").selectExpr(
+        "p_partkey AS item", "concat('Op. ', p_size) AS catalogue", "p_name AS work", "p_type AS composer", "array(array(p_name, ''), array('Maestro Lee', 'Meister Li')) AS slots", "p_partkey % 3 = 0 AS joint_first",
+        "array(lower(p_name), 'concerto', '钢协') AS mentions", "p_partkey % 4 = 1 AS spare_bundles", "p_partkey % 2 = 0 AS dated",
+    )
+
+
+def _plan_sql(plan: hosts.Plan) -> str:
+    """The plan over lists of texts: slices joined, places as lists of numbers."""
+    table = lambda slices: ", ".join(f"('{g}', {a}, {b}, {i})" for i, (g, a, b) in enumerate(slices))
+    out = [f"""texts AS (SELECT p_partkey AS item, unnest([{", ".join(_TEXTS)}]) AS query, generate_subscripts([{", ".join("1" for _ in _TEXTS)}], 1) - 1 AS k, 'Op. ' || p_size AS catalogue, lower(p_name) AS work, lower(p_type) AS composer FROM part),
+made AS (SELECT *, [{", ".join(f"'{g}'" for g in _GENERATORS)}][(k * 3 + r * 5 + item * 7) % {len(_GENERATORS)} + 1] AS generator, string_split([{", ".join(f"'{m}'" for m in _ANCHORS)}][(k + item) % {len(_ANCHORS)} + 1], ',') AS anchors FROM texts, (SELECT unnest([0, 1, 2]) AS r)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY item, generator ORDER BY k, r) - 1 AS position, trim(query) AS raw FROM made),
+rows_ AS (SELECT *, lower(raw) AS lo, {_PLAIN.format("raw")} AS pl FROM numbered WHERE raw <> ''),
+hint AS (SELECT *, CASE WHEN contains(pl, lower(catalogue)) OR NOT (contains(pl, work) OR contains(pl, 'concerto') OR contains(pl, '钢协'))
+  OR (item % 4 = 1 AND contains(lo, 'concertos') AND NOT contains(lo, '/') AND NOT contains(lo, ' - ') AND NOT {_said("lo", "orchestra", "philharmonic", "symphony", "ensemble", "乐团", "爱乐", "交响")} AND len(regexp_extract_all(raw, '[A-Za-z0-9]+|[{_CJK}]+')) <= 4)
+  THEN raw ELSE raw || ' ' || catalogue END AS hinted,
+  [CASE WHEN item % 3 = 0 AND contains(pl, work) AND (contains(pl, 'maestro lee') OR contains(pl, 'meister li')) THEN 0 ELSE 1 END, CASE WHEN regexp_matches(raw, '[{_CJK}]') = {str(plan.cjk).lower()} THEN 0 ELSE 1 END,
+   (NOT contains(lo, lower(catalogue)))::INT, (NOT contains(lo, work))::INT, (NOT contains(lo, composer))::INT, length(raw)::INT] AS fit FROM rows_),
+searches AS (SELECT DISTINCT item, 0 AS position, unnest([raw, hinted]) AS query FROM hint), {_FLAGS},
+tail AS (SELECT * FROM (SELECT hint.*, list_concat([1], fit, [turn, position]) AS place FROM hint JOIN (VALUES {table(plan.sorted)}) s(g, a, b, turn) ON generator = g AND position >= a AND position < b QUALIFY row_number() OVER (PARTITION BY item, lo ORDER BY turn, position) = 1)),
+line AS (SELECT item, hinted, place FROM tail UNION ALL SELECT item, hinted, [0, 0, 0, 0, 0, 0, 0, turn, position] FROM hint JOIN (VALUES {table(plan.first)}) s(g, a, b, turn) ON generator = g AND position >= a AND position < b),
+l0 AS (SELECT item, list(hinted ORDER BY place) AS l FROM (SELECT * FROM line QUALIFY row_number() OVER (PARTITION BY item, lower(hinted) ORDER BY place) = 1) GROUP BY item)"""]
+    last = "l0"
+    for k, i in enumerate(plan.injections):
+        out.append(f"c{k} AS (SELECT item, arg_min(raw, position) AS c FROM hint WHERE generator = '{i.generator}' AND list_contains(anchors, '{i.mark}') GROUP BY item)")
+        out.append(f"i{k} AS (SELECT item, CASE WHEN c IS NULL OR list_contains(l[:{i.window}], c) THEN l ELSE list_concat(list_filter(l, lambda x: x <> c)[:{i.slot}]{'[:0]' if not i.slot else ''}, [c], list_filter(l, lambda x: x <> c)[{i.slot + 1}:]) END AS l FROM {last} LEFT JOIN c{k} USING (item))")
+        last = f"i{k}"
+    for name, slices, keep, on in (("year", plan.year, "work_rescue OR joined OR duo", "true"), ("exact", plan.exact, "work_rescue OR year_anchor OR exact_collaboration OR joined OR duo", "item % 2 = 1")):
+        if not slices:
+            continue
+        flag = "year_anchor" if name == "year" else "exact_collaboration"
+        order = "level, NOT cjk, size, txt" if name == "year" else "place"
+        own = "UNION ALL SELECT item, raw, [0], 0 FROM hint WHERE generator = 'year_anchor'" if name == "year" else ""
+        level = 1 if name == "year" else 0
+        out.append(f"""w_{name} AS (SELECT item, txt AS c FROM (SELECT item, raw, [0, 0, 0, 0, 0, 0, 0, turn, position] AS place, {level} AS level FROM hint JOIN (VALUES {table(slices)}) s(g, a, b, turn) ON generator = g AND position >= a AND position < b UNION ALL SELECT item, raw, place, 1 FROM tail {own}) x
+  JOIN flags ON flags.item = x.item AND flags.txt = x.raw WHERE {flag} QUALIFY row_number() OVER (PARTITION BY x.item ORDER BY {order}) = 1)""".replace("SELECT item, txt AS c", "SELECT x.item, txt AS c"))
+        out.append(f"k_{name} AS (SELECT item, list(txt) AS keep FROM (SELECT flags.*, coalesce(d, false) AS duo FROM flags LEFT JOIN (SELECT item, txt, bool_or(m) AS d FROM (SELECT item, unnest([raw, hinted]) AS txt, list_contains(anchors, 'named_duo') AS m FROM hint) GROUP BY ALL) USING (item, txt)) WHERE {keep} GROUP BY item)")
+        out.append(f"""a_{name} AS (SELECT item, l, c, CASE WHEN c IS NULL OR NOT ({on}) OR list_contains(l[:{plan.most}], c) THEN 0 WHEN len(l) < {plan.most} THEN len(l) + 1
+  ELSE coalesce(list_max(list_filter(generate_series(1, {plan.most}), lambda n: NOT list_contains(coalesce(keep, []), l[n]))), {plan.most}) END AS at FROM {last} LEFT JOIN w_{name} USING (item) LEFT JOIN k_{name} USING (item))""".replace(" AS at ", " AS slot "))
+        out.append(f"e_{name} AS (SELECT item, list(x ORDER BY n) AS l FROM (SELECT item, slot, n, x FROM (SELECT item, slot, unnest(m) AS x, generate_subscripts(m, 1) AS n FROM (SELECT item, slot, CASE WHEN slot = 0 THEN l ELSE list_concat(l[:slot - 1], [c], l[slot + 1:]) END AS m FROM a_{name})) QUALIFY slot = 0 OR row_number() OVER (PARTITION BY item, lower(x) ORDER BY n) = 1) GROUP BY item)")
+        last = f"e_{name}"
+    return f"WITH {', '.join(out)} SELECT item, CAST(unnest(generate_series(1, len(l[:{plan.most}]))) AS INTEGER) AS ordinal, unnest(l[:{plan.most}]) AS query FROM {last}"
+
+
+@query(_plan_sql(hosts.CHINESE))
+def host_plan(t):
+    """Ten queries of each item for a host of the first kind: slices of its generators, anchors in their slots (ops R8a, R8d, J25)."""
+    return hosts.planned(generated(t), drafts(t), hosts.CHINESE)
+
+
+@query(_plan_sql(hosts.OTHER))
+def host_plan_other(t):
+    """Ten queries of each item for other hosts (op R8a)."""
+    return hosts.planned(generated(t), drafts(t), hosts.OTHER)
