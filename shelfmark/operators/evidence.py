@@ -70,11 +70,13 @@ def warning_corpus(warnings: DataFrame) -> DataFrame:
 
 
 def alignment(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """field, aligned, mismatched, absent: how two tables of one row a key agree, field by field; absent: on one side alone or ''."""
+    """field, aligned, mismatched, absent: how two tables of one row a key agree, field by field; absent: the field is '' or null on a side, or the
+    key is on one side alone. A null key is a key."""
     from shelfmark.functions.text import trimmed
 
-    j = ours.select(key, *(trimmed(F.col(c)).alias(f"a_{c}") for c in fields)).join(theirs.select(key, *(trimmed(F.col(c)).alias(f"b_{c}") for c in fields)), key)
-    pair = lambda c: F.struct(F.lit(c).alias("field"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b"))
-    each = j.select(F.explode(F.array(*map(pair, fields))).alias("x")).select("x.*")
+    side = lambda df, s: df.select(F.col(key).alias(f"{s}_key"), *(trimmed(F.col(c)).alias(f"{s}_{i}") for i, c in enumerate(fields)))
+    both = side(ours, "a").join(side(theirs, "b"), F.col("a_key").eqNullSafe(F.col("b_key")), "full_outer")
+    pair = lambda i, c: F.struct(F.lit(c).alias("field"), F.coalesce(f"a_{i}", F.lit("")).alias("a"), F.coalesce(f"b_{i}", F.lit("")).alias("b"))
+    each = both.select(F.explode(F.array(*(pair(i, c) for i, c in enumerate(fields)))).alias("x")).select("x.*")
     gone = (F.col("a") == "") | (F.col("b") == "")
     return each.groupBy("field").agg(F.count_if(~gone & (F.col("a") == F.col("b"))).alias("aligned"), F.count_if(~gone & (F.col("a") != F.col("b"))).alias("mismatched"), F.count_if(gone).alias("absent"))

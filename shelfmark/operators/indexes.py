@@ -12,16 +12,16 @@ from shelfmark.functions import names, rules
 from . import display, resolve
 
 
-def canonical_people(people: DataFrame, links: DataFrame) -> DataFrame:
-    """id, canonical: where a person's aliases lead; oneself without any."""
-    ends = resolve.alias_closure(links).select(F.col("alias").alias("id"), F.col("canonical"))
+def canonical_people(people: DataFrame, closed: DataFrame) -> DataFrame:
+    """id, canonical: where a person's aliases lead, of links closed by resolve.alias_closure; oneself without any."""
+    ends = closed.select(F.col("alias").alias("id"), F.col("canonical"))
     return people.select("id").join(ends, "id", "left").select("id", F.coalesce("canonical", "id").alias("canonical"))
 
 
-def canonical_credits(recordings: DataFrame, people: DataFrame, links: DataFrame) -> DataFrame:
-    """recordings with each credit at the canonical person, if there is one of that id, else at the person as it is."""
+def canonical_credits(recordings: DataFrame, people: DataFrame, closed: DataFrame) -> DataFrame:
+    """recordings with each credit at the canonical person, if there is one of that id, else at the person as it is; links are closed."""
     known = people.select(F.col("id").alias("_known")).distinct()
-    ends = resolve.alias_closure(links).join(known, F.col("canonical") == F.col("_known"), "left_semi")
+    ends = closed.join(known, F.col("canonical") == F.col("_known"), "left_semi")
     each = recordings.select("id", F.posexplode("credits").alias("pos", "c"))
     moved = each.join(ends, F.col("c.personId") == F.col("alias"), "left").withColumn("c", F.col("c").withField("personId", F.coalesce("canonical", F.col("c.personId"))))
     back = moved.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x")).select("id", F.col("x.c").alias("_credits"))
@@ -32,7 +32,7 @@ def relationships(lib: dict[str, DataFrame], links: DataFrame, role: str) -> Dat
     """person, composer, work, recordings (sorted array): what people of a role perform in that role, under their canonical entries.
     Recordings of unknown works, works of unknown composers and credits of unknown people are left out."""
     people = lib["people"].select(F.col("id").alias("person"), "roles")
-    credits = canonical_credits(lib["recordings"], lib["people"], links).select(F.col("id").alias("recording"), "workId", F.explode("credits").alias("c")).filter(F.col("c.role") == role)
+    credits = canonical_credits(lib["recordings"], lib["people"], resolve.alias_closure(links)).select(F.col("id").alias("recording"), "workId", F.explode("credits").alias("c")).filter(F.col("c.role") == role)
     works = lib["works"].select(F.col("id").alias("workId"), "composerId").join(lib["composers"].select(F.col("id").alias("composerId")), "composerId", "left_semi")
     each = credits.join(people.filter(F.array_contains("roles", role)), F.col("c.personId") == F.col("person")).join(works, "workId")
     return each.groupBy("person", F.col("composerId").alias("composer"), F.col("workId").alias("work")).agg(F.array_sort(F.collect_list("recording")).alias("recordings"))
@@ -40,10 +40,11 @@ def relationships(lib: dict[str, DataFrame], links: DataFrame, role: str) -> Dat
 
 def appearances(lib: dict[str, DataFrame], links: DataFrame) -> DataFrame:
     """person, n: credits (not recordings) of each canonical person, in recordings whose work and composer are known; 0 for the others."""
-    credits = canonical_credits(lib["recordings"], lib["people"], links).select("workId", F.explode("credits.personId").alias("person"))
+    closed = resolve.alias_closure(links)
+    credits = canonical_credits(lib["recordings"], lib["people"], closed).select("workId", F.explode("credits.personId").alias("person"))
     works = lib["works"].select(F.col("id").alias("workId"), "composerId").join(lib["composers"].select(F.col("id").alias("composerId")), "composerId", "left_semi")
     n = credits.join(works, "workId", "left_semi").groupBy("person").agg(F.count("*").alias("n"))
-    own = canonical_people(lib["people"], links).filter("id = canonical").select(F.col("id").alias("person"))
+    own = canonical_people(lib["people"], closed).filter("id = canonical").select(F.col("id").alias("person"))
     return own.join(n, "person", "left").select("person", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -58,7 +59,8 @@ def search_index(lib: dict[str, DataFrame], links: DataFrame) -> DataFrame:
     composers = shown(lib["composers"])
     head = composers.select(F.col("id").alias("composerId"), s("primaryText").alias("_heading"), "slug").withColumnRenamed("slug", "_slug")
     parts = [entry(composers, F.lit("composer"), s("primaryText"), s("secondaryText"), rules.href("composers", F.col("slug")), s("matchTokens"), s("aliasTokens"))]
-    who = canonical_people(lib["people"], links)
+    closed = resolve.alias_closure(links)
+    who = canonical_people(lib["people"], closed)
     others = lib["people"].join(who, "id").groupBy("canonical").agg(F.flatten(F.array_sort(F.collect_list(F.concat(F.array("name", "nameLatin"), F.coalesce("aliases", names.none()))))).alias("_all"))
     people = shown(lib["people"]).join(others, F.col("id") == F.col("canonical"))
     kind = F.when(F.array_contains("roles", "conductor"), "conductor").when(F.array_contains("roles", "orchestra"), "orchestra").otherwise("person")
@@ -75,7 +77,7 @@ def search_index(lib: dict[str, DataFrame], links: DataFrame) -> DataFrame:
     match = F.concat(F.array("title", "titleLatin", "catalogue"), F.col("aliases"), F.col("_path"), F.array("_heading"))
     parts.append(entry(works, F.lit("work"), mine, above, rules.href("works", F.col("id")), match, F.col("aliases")))
     w = lib["works"].select(F.col("id").alias("workId"), F.col("title").alias("_w"), F.col("titleLatin").alias("_wl"), F.col("catalogue").alias("_wc"), "composerId").join(head, "composerId", "left")
-    moved = canonical_credits(lib["recordings"], lib["people"], links)
+    moved = canonical_credits(lib["recordings"], lib["people"], closed)
     told = display.recording_displays(moved, lib["people"]).select("id", F.col("title").alias("_title"))
     r = lib["recordings"].withColumnRenamed("credits", "_before").join(moved.select("id", "credits"), "id").join(w, "workId").join(told, "id")
     said = F.flatten(F.transform(F.concat("_before", "credits"), lambda c: F.array(c["displayName"], c["label"], c["personId"])))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import names, rules
 from shelfmark.functions.text import trimmed
 
-from . import indexes
+from . import indexes, resolve
 
 METADATA = ("performanceDateText", "venueText", "albumTitle", "label", "releaseDate")
 
@@ -114,7 +114,7 @@ def affected_paths(lib: dict[str, DataFrame], links: DataFrame) -> DataFrame:
     page, the search page and the page about the site."""
     c, p, w, r = (lib[k] for k in ("composers", "people", "works", "recordings"))
     row = lambda df, kind, i, path: df.select(F.lit(kind).alias("entity_type"), F.col(i).alias("id"), path.alias("path"))
-    own = indexes.canonical_people(p, links).filter("id = canonical").select("id").join(p.select("id", "roles", "slug"), "id")
+    own = indexes.canonical_people(p, resolve.alias_closure(links)).filter("id = canonical").select("id").join(p.select("id", "roles", "slug"), "id")
     page = rules.person_href(F.col("roles"), F.col("slug"))
     role = lambda x: p.filter(F.array_contains("roles", x))
     slug = c.select(F.col("id").alias("composerId"), F.col("slug").alias("_c"))

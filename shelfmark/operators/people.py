@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names
 from shelfmark.functions.text import trimmed
+from shelfmark.operators import resolve
 
 LEGACY = ("fullName", "displayName", "displayFullName", "displayLatinName")
 
@@ -30,26 +31,38 @@ def dedupe_credits(credits: Column) -> Column:
     return F.filter(plain, lambda c, i: F.array_position(F.transform(plain, key), key(c)) == i + 1)
 
 
+def contained(short: DataFrame, s: str, long: DataFrame, l: str, least: int) -> DataFrame:
+    """(s, l): each string of short[s] with the strings of long[l] that hold it and are longer. Both are distinct and not ''."""
+    cut = lambda c, k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k)))
+    grams = long.filter(F.length(l) >= least).select(l, F.explode(cut(l, least)).alias("g"))
+    common = grams.groupBy("g").agg(F.count("*").alias("n"))
+    own = short.filter(F.length(s) >= least).select(s, F.explode(cut(s, least)).alias("g"))
+    # of those whose every string is known, the rarest
+    rare = own.join(common, "g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).filter("x.n > 0").select(s, F.col("x.g").alias("g"))
+    met = rare.join(grams, "g").select(s, l)
+    tiny = short.filter(F.length(s) < least).select(s, F.col(s).alias("g"))
+    pieces = long.select(l, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(least - 1), F.length(l))), lambda k: cut(l, k)))).alias("g"))
+    return met.unionByName(tiny.join(pieces, "g").select(s, l)).filter(F.contains(l, F.col(s)) & (F.length(l) > F.length(s))).distinct()
+
+
 def person_for_credit(credits: DataFrame, people: DataFrame, least: int = 5) -> DataFrame:
     """(role, displayName, person): the person that a credit means. credits: distinct (role, displayName).
 
     A group's name must be one of the person's; of several persons the best known wins, then the smaller id. Another name may be a part
     of the person's or hold it if it has `least` characters; the best score wins, and equal best scores mean nobody.
 
-    Equal keys meet by a hash join. Parts meet by blocks: a name that holds another holds its first `least` characters at some place,
-    so that every name is cut into all its strings of that length and joined with the others' heads; shorter ones than that, which
-    only the person may have, meet as whole strings of each length below it."""
+    Equal keys meet by a hash join. A name that is part of another has all its strings of `least` characters there; it is looked up by the
+    one that fewest of the others have, so that what all names share (a title, a first name) brings nobody together. A person's names that are
+    shorter than that are looked up whole, among the credit's strings of their length."""
     each = credits.select("role", "displayName", names.name_key(F.col("displayName")).alias("target")).filter(~names.is_placeholder_value(F.col("displayName"))).distinct()
     who = keyed(people)
     fits = names.fits_role(F.col("role"), F.col("roles"))
     group = F.col("role").isin(*names.ENSEMBLES)
     equal = each.join(who.withColumnRenamed("key", "target"), "target").filter(fits).withColumn("score", F.length("target") + 100)
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(least)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k)))))
-    head = lambda c: F.substring(c, 1, least)
     alone = each.filter(~group & (F.length("target") >= least))
-    in_target = alone.select("*", F.explode(grams(F.col("target"))).alias("g")).join(who.withColumn("g", head(F.col("key"))), "g").filter(F.contains("target", "key"))
-    in_key = alone.withColumn("g", head(F.col("target"))).join(who.filter(F.length("key") >= least).select("*", F.explode(grams(F.col("key"))).alias("g")), "g").filter(F.contains("key", "target"))
-    part = in_target.unionByName(in_key).filter(fits).filter("key <> target").withColumn("score", F.least(F.length("key"), F.length("target")) + 10)
+    wanted, held = alone.select("target").distinct(), who.select("key").distinct()
+    pairs = contained(held, "key", wanted, "target", least).unionByName(contained(wanted, "target", held, "key", least).select("key", "target")).filter("key <> target").distinct()
+    part = alone.join(pairs, "target").join(who, "key").filter(fits).withColumn("score", F.least(F.length("key"), F.length("target")) + 10)
     cols = ["role", "displayName", "id", "quality", "score"]
     best = equal.select(*cols).union(part.select(*cols)).groupBy("role", "displayName", "id", "quality").agg(F.max("score").alias("score"))
     w = Window.partitionBy("role", "displayName")
@@ -85,8 +98,8 @@ def group_keys(people: DataFrame) -> DataFrame:
 
 def group_replacements(people: DataFrame) -> DataFrame:
     """(id, replacement): for groups that are thin or whose slug holds other data, the best known group of a fitting role that shares a name
-    key or comes within two edits of one; nothing where that one is not better known. Keys meet by equality, near ones by their first
-    eight characters and length."""
+    key or comes within two edits of one; nothing where that one is not better known. Keys meet by equality, near ones by their rarest
+    grams (resolve.near_pairs)."""
     q = names.quality({c: F.col(c) for c in people.columns})
     low = is_thin(people, True) | names.is_polluted(F.col("slug"), F.col("roles"))
     role = F.when(F.array_contains("roles", "orchestra"), "orchestra").when(F.array_contains("roles", "chorus"), "chorus").otherwise("ensemble")
@@ -95,12 +108,9 @@ def group_replacements(people: DataFrame) -> DataFrame:
     keys = group_keys(people)
     left = keys.join(poor.select(F.col("a").alias("id")), "id", "left_semi")
     equal = left.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").select("a", "b")
-    heads = F.explode(F.array(*(F.substring("key", o, 8) for o in (1, 2, 3))))  # one that holds the other starts at most two characters before it
-    block = lambda k: k.filter(F.length("key") >= 12).select("id", "key", heads.alias("head"), F.length("key").alias("n"))
-    x = block(left).select(F.col("id").alias("a"), F.col("key").alias("key_a"), "head", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("n"))
-    y = block(keys).select(F.col("id").alias("b"), F.col("key").alias("key_b"), "head", "n")
-    alike = (F.substring("key_a", 1, 8) == F.substring("key_b", 1, 8)) | F.contains("key_a", "key_b") | F.contains("key_b", "key_a")
-    near = x.join(y, ["head", "n"]).filter(alike).filter(F.levenshtein("key_a", "key_b", 2) >= 0).select("a", "b")
+    wide = lambda k: k.filter(F.length("key") >= 12).select("id", F.col("key").alias("name"))
+    alike = (F.substring("name_a", 1, 8) == F.substring("name_b", 1, 8)) | F.contains("name_a", "name_b") | F.contains("name_b", "name_a")
+    near = resolve.near_pairs(wide(left), wide(keys), 2).filter(alike).select("a", "b")
     met = equal.union(near).distinct().filter("a <> b").join(poor, "a").join(good, "b").filter(names.fits_role(F.col("role"), F.col("roles")))
     best = met.groupBy("a", "quality_a").agg(F.min(F.struct((-F.col("quality_b")).alias("n"), "b")).alias("best"))
     return best.filter(-F.col("best.n") > F.col("quality_a")).select(F.col("a").alias("id"), F.col("best.b").alias("replacement"))

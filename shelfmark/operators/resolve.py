@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
+from shelfmark.operators import shared
 
 
 def _followed(links: DataFrame, n: int) -> tuple[DataFrame, bool]:
     """(links with the last node that each leads to, True), or after n steps at least, where some never end, (the nodes then reached, False).
-    Every round doubles the steps."""
+    Every round doubles the steps; links that have ended are looked up, but look nothing up themselves any more."""
+    now = shared.written(links.select("alias", "canonical", F.lit(False).alias("_ended")))
     for _ in range(n.bit_length() + 1):
-        onward = links.select(F.col("alias").alias("canonical"), F.col("canonical").alias("_on"))
-        links = links.join(onward, "canonical", "left").select("alias", F.coalesce("_on", "canonical").alias("canonical"), F.col("_on").isNotNull().alias("_moved")).checkpoint()
-        if not links.filter("_moved").limit(1).count():
-            return links.drop("_moved"), True
-        links = links.drop("_moved")
-    return links, False
+        onward = now.select(F.col("alias").alias("canonical"), F.col("canonical").alias("_on"))
+        moved = now.filter("NOT _ended").join(onward, "canonical", "left").select("alias", F.coalesce("_on", "canonical").alias("canonical"), F.col("_on").isNull().alias("_ended"))
+        new = shared.written(now.filter("_ended").unionByName(moved))
+        shared.drop(now)
+        now = new
+        if now.filter("NOT _ended").isEmpty():
+            return now.drop("_ended"), True
+    return now.drop("_ended"), False
 
 
 def alias_closure(links: DataFrame) -> DataFrame:
@@ -31,30 +28,48 @@ def alias_closure(links: DataFrame) -> DataFrame:
 
     Links are doubled until they end. Where some run in cycles, as many steps as there are links end on the cycles' nodes: an alias that
     leads into a cycle ends at the first of its nodes that it meets, and a node of a cycle at itself, the first visited again."""
-    _checkpoints(links.sparkSession)
-    links = links.select("alias", "canonical").filter("alias <> canonical").distinct().checkpoint()
+    links = shared.written(links.select("alias", "canonical").filter("alias <> canonical").distinct())
     n, distinct = links.agg(F.count("*"), F.count_distinct("alias")).first()
     if n != distinct:
         raise ValueError(f"{n - distinct} aliases have more than one link")
     ends, ended = _followed(links, n)
     if ended:
         return ends
-    cycle = ends.join(links.select(F.col("alias").alias("canonical")), "canonical", "left_semi").select("canonical").distinct().withColumnRenamed("canonical", "alias").checkpoint()
+    cycle = shared.written(ends.join(links.select(F.col("alias").alias("canonical")), "canonical", "left_semi").select("canonical").distinct().withColumnRenamed("canonical", "alias"))
     entered, _ = _followed(links.join(cycle, "alias", "left_anti"), n)
     return entered.union(cycle.select("alias", F.col("alias").alias("canonical")))
 
 
-def near_names(df: DataFrame, key: str, name: Column, prefix: int = 8, least: int = 12, most: int = 2) -> DataFrame:
-    """(a, b, distance): names of at least `least` characters with one prefix, lengths within `most` and as few edits.
+def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(a, name_a, b, name_b, distance): pairs of left and right (id, name) within `most` edits. Names are told apart by a prefix of their rarest
+    two-letter grams: an edit changes two grams at most, so names within `most` share one of the 2 * most + 1 rarest of each, at
+    places and with lengths no further apart than that. Names of no more grams than that are looked up by all of them, and pairs of names so
+    short that edits may leave no common gram are not for this join: names must have more than 2 * most + 1 characters.
+
+    A frequent gram meets only where it is among a name's rarest; there is no block that everybody shares unless all names are alike."""
+    def tokens(df: DataFrame) -> DataFrame:
+        grams = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, 2))
+        held = df.select("id", "name").filter(F.length("name") > 2 * most + 1).withColumn("g", grams)
+        nth = F.transform("g", lambda g, i: F.struct(F.concat(g, F.size(F.filter(F.slice("g", 1, i), lambda x: x == g)).cast("string")).alias("t"), i.alias("at")))
+        return held.select("id", "name", F.explode(nth).alias("x")).select("id", "name", "x.t", "x.at")
+
+    a, b = tokens(left), tokens(right)
+    rarity = a.select("t").unionByName(b.select("t")).groupBy("t").agg(F.count("*").alias("n"))
 
-    Pairs meet on the prefix and on the length, in most + 1 length classes, so no side is a cross product."""
+    def rarest(df: DataFrame, suffix: str) -> DataFrame:
+        each = df.join(rarity, "t").groupBy("id", "name").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t", "at"))), 1, 2 * most + 1).alias("x"))
+        return each.select(F.col("id").alias(suffix), F.col("name").alias(f"name_{suffix}"), F.length("name").alias(f"len_{suffix}"), F.explode("x").alias("x")).select("*", F.col("x.t").alias("t"), F.col("x.at").alias(f"at_{suffix}")).drop("x")
+
+    met = rarest(a, "a").join(rarest(b, "b"), "t").filter((F.abs(F.col("len_a") - F.col("len_b")) <= most) & (F.abs(F.col("at_a") - F.col("at_b")) <= most))
+    near = met.withColumn("distance", F.levenshtein("name_a", "name_b", most)).filter("distance >= 0")
+    return near.select("a", "name_a", "b", "name_b", F.col("distance").cast("int").alias("distance")).distinct()
+
+
+def near_names(df: DataFrame, key: str, name: Column, prefix: int = 8, least: int = 12, most: int = 2) -> DataFrame:
+    """(a, b, distance): names of at least `least` characters with one prefix and `most` edits at most, by near_pairs."""
     n = df.select(F.col(key).alias("id"), name.alias("name")).filter(F.length("name") >= least)
-    n = n.withColumn("block", F.substring("name", 1, prefix)).withColumn("len", F.length("name"))
-    a = n.select(F.col("id").alias("a"), F.col("name").alias("name_a"), "block", F.explode(F.sequence(F.col("len"), F.col("len") + most)).alias("len"), F.col("len").alias("len_a"))
-    b = n.select(F.col("id").alias("b"), F.col("name").alias("name_b"), "block", "len")
-    met = a.join(b, ["block", "len"]).filter((F.col("len") > F.col("len_a")) | (F.col("a") < F.col("b")))
-    near = met.withColumn("distance", F.levenshtein("name_a", "name_b", most)).filter("distance >= 0 AND a <> b")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int").alias("distance"))
+    near = near_pairs(n, n, most).filter((F.col("a") < F.col("b")) & (F.substring("name_a", 1, prefix) == F.substring("name_b", 1, prefix)))
+    return near.select("a", "b", "distance").distinct()
 
 
 def merge_signatures(df: DataFrame, key: str, keys: Column) -> DataFrame:
@@ -76,24 +91,30 @@ def by_role(wanted: DataFrame, entries: DataFrame, key: str, role: str, entry_ro
     return met.select(key, role, F.col("x.i").alias(entry_id))
 
 
-def hang_together(df: DataFrame, row: str, keys: list[str], most_rounds: int = 50) -> DataFrame:
+def hang_together(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
     """df with `component`: the smallest row number of all that share any of the keys, directly or through others. Null keys join nothing; `row` is unique.
 
-    Each round gives every row the smallest label of its keys, and ends when no label changes. Labels are minima, so they combine before
-    the shuffle and a key of very many rows is no hot key; rounds are cut by checkpoints in the shared folder."""
-    _checkpoints(df.sparkSession)
-    label = df.select(row, *keys, F.col(row).alias("component")).checkpoint()
-    for _ in range(most_rounds):
-        new = label
+    Every row points at a row no larger than itself, at first itself. In a round each row sees the smallest pointer of its keys, hands it to the
+    row that it points at, takes the smaller, and then follows its pointer one step on. Pointers double their reach, so a chain of n keys
+    takes about log n rounds; the rounds go on until no pointer moves, however many that are. Smallest pointers are combined before
+    the shuffle; each round is a table in the shared folder, and the one before is deleted."""
+    now = shared.written(df.select(row, *keys, F.col(row).alias("component")))
+    while True:
+        seen = now
         for k in keys:
-            low = new.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("component").alias("_low"))
-            new = new.join(low, k, "left").withColumn("component", F.least("component", "_low")).drop("_low")
-        both = new.select(row, *keys, "component").checkpoint()
-        changed = both.select(row, "component").join(label.select(row, F.col("component").alias("_was")), row).filter("component < _was").limit(1).count()
-        label = both
-        if not changed:
-            return df.join(label.select(row, "component"), row)
-    raise ValueError(f"labels still change after {most_rounds} rounds")
+            low = now.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("component").alias("_low"))
+            seen = seen.join(low, k, "left").withColumn("_seen", F.least(*(("_seen", "_low") if "_seen" in seen.columns else ("component", "_low")))).drop("_low")
+        seen = seen.withColumn("_seen", F.least("component", "_seen"))
+        handed = seen.filter("_seen < component").groupBy(F.col("component").alias(row)).agg(F.min("_seen").alias("_handed"))
+        hooked = shared.written(seen.join(handed, row, "left").select(row, *keys, F.col("component").alias("_was"), F.least("_seen", "_handed").alias("component")))
+        onward = hooked.select(F.col(row).alias("component"), F.col("component").alias("_on"))
+        new = shared.written(hooked.join(onward, "component", "left").select(row, *keys, "_was", F.least("component", "_on").alias("component")))
+        moved = not new.filter("component < _was").isEmpty()
+        shared.drop(now, hooked)
+        now = new.drop("_was")
+        now._written = new._written
+        if not moved:
+            return df.join(now.select(row, "component"), row)
 
 
 def consolidated(entries: DataFrame, row: str, values: str) -> DataFrame:

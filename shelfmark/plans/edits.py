@@ -198,14 +198,18 @@ def half_even(t):
     return t("events").select("event_id", T.half_even(F.col("event_id") / 8, 2).alias("eighths"), T.half_even(F.col("value"), 1).alias("tenths"), T.half_even(F.lit(2.675), 2).alias("known"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders)
-SELECT 'o_orderstatus' AS field, count(*) FILTER (a.s = b.s) AS aligned, count(*) FILTER (a.s <> b.s) AS mismatched, CAST(0 AS BIGINT) AS absent FROM a JOIN b USING (o_orderkey) UNION ALL SELECT 'o_orderpriority', count(*) FILTER (a.p = b.p AND a.p <> ''), count(*) FILTER (a.p <> b.p AND a.p <> ''), count(*) FILTER (a.p = '') FROM a JOIN b USING (o_orderkey)""")
+@query("""WITH a AS (SELECT CASE WHEN o_orderkey <> 4 THEN o_orderkey END AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 7 <> 0),
+b AS (SELECT CASE WHEN o_orderkey <> 4 THEN o_orderkey END AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0),
+j AS (SELECT coalesce(a.s, '') AS s1, coalesce(b.s, '') AS s2, coalesce(a.p, '') AS p1, coalesce(b.p, '') AS p2 FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k)
+SELECT 'o_orderstatus' AS field, count(*) FILTER (s1 = s2 AND s1 <> '') AS aligned, count(*) FILTER (s1 <> s2 AND s1 <> '' AND s2 <> '') AS mismatched, count(*) FILTER (s1 = '' OR s2 = '') AS absent FROM j
+UNION ALL SELECT 'o_orderpriority', count(*) FILTER (p1 = p2 AND p1 <> ''), count(*) FILTER (p1 <> p2 AND p1 <> '' AND p2 <> ''), count(*) FILTER (p1 = '' OR p2 = '') FROM j""")
 def alignment_audit(t):
-    """How two tables agree, field by field (op A26)."""
+    """How two tables agree, field by field, with keys of one side alone and a null key (op A26)."""
     o, k = t("orders"), F.col("o_orderkey")
-    ours = o.select("o_orderkey", "o_orderstatus", F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
-    theirs = o.select("o_orderkey", F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
-    return evidence.alignment(ours, theirs, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    key = F.when(k != 4, k).alias("k")
+    ours = o.filter(k % 7 != 0).select(key, "o_orderstatus", F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    theirs = o.filter(k % 11 != 0).select(key, F.when(k % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
+    return evidence.alignment(ours, theirs, "k", ["o_orderstatus", "o_orderpriority"])
 
 
 _ROWS = """SELECT user_id % 5 AS item, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS source, ['youtube.com', 'search.bilibili.com', 'apple.com', 'a.org', 'b.org'][CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END + 1] AS host,
