@@ -4,8 +4,8 @@ The driver sees the histogram alone (at most `capacity` rows, whatever the input
 multiset of lengths that fit a sequence) that cover each length's pieces with as few sequences as can be. Prices start at the lengths,
 which is feasible for the dual and gives the first lower bound; patterns come from knapsack dynamic programming over the prices, and a
 length's price falls by a factor for each share of its pieces that is covered, so that lengths left behind are dearer (multiplicative
-weights). A pattern never takes more pieces than are left, so the solution covers exactly. Pattern counts are rounded down and what is
-left goes best fit, largest first, over the same histogram; plain best fit takes over in the rare case that it needs fewer sequences.
+weights). Counts are fractions that together cover every length exactly. They are rounded down, what one loses going on to the next like it,
+and what is left goes best fit, largest first, over the same histogram; plain best fit takes over where it needs fewer sequences.
 Pieces then find their place by their rank among the pieces of their length: no task ever holds a sequence's or a length's pieces as a
 group.
 
@@ -108,6 +108,8 @@ def price(y: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 Pattern = tuple[tuple[int, int], ...]
+#: Less than this of a piece counts as nothing left.
+LEAST = 1e-6
 
 
 class Program:
@@ -126,11 +128,11 @@ class Program:
         return float((self.demand[lengths] * y[lengths]).sum() / price(y, self.capacity)[0][self.capacity]) if len(lengths) else 0.0
 
     def _pattern(self, lead: int, best: np.ndarray, took: np.ndarray) -> dict[int, int]:
-        """The best filling of what `lead` leaves free, of pieces that are left."""
+        """The best filling of what `lead` leaves free, of lengths that are left; no more of a length than there are pieces."""
         parts, room = {lead: 1}, self.capacity - lead
         while room > 0 and best[room] > 0:
             k = int(took[room])
-            if k and self.left[k] >= parts.get(k, 0) + 1:
+            if k and self.left[k] > LEAST and self.demand[k] >= parts.get(k, 0) + 1:
                 parts[k] = parts.get(k, 0) + 1
                 room -= k
             else:
@@ -138,21 +140,22 @@ class Program:
         return parts
 
     def solve(self, fill: float) -> None:
-        """Covers until no pattern of at least this fill is found."""
+        """Covers until no pattern of at least this fill is found. Counts are fractions: a step is a share of what the scarcest length of a pattern
+        has left, or all of it where that is less than a sequence."""
         need = 1.0
-        while len(live := np.flatnonzero(self.left >= 1)):
+        while len(live := np.flatnonzero(self.left > LEAST)):
             y = np.full(self.capacity + 1, -np.inf)
             y[live] = live * self.weight[live]
             best, took = price(y, self.capacity)
             made = 0
             for lead in live[::-1].tolist():
-                if self.left[lead] < 1:
+                if self.left[lead] <= LEAST:
                     continue
                 parts = self._pattern(lead, best, took)
                 if sum(k * c for k, c in parts.items()) < need * self.capacity:
                     continue
                 most = min(self.left[k] / c for k, c in parts.items())
-                step = min(most, max(1.0, math.floor(SHARE * most)))
+                step = min(most, max(1.0, SHARE * most))
                 key = tuple(sorted(parts.items(), reverse=True))
                 self.x[key] = self.x.get(key, 0.0) + step
                 for k, c in parts.items():
@@ -191,10 +194,12 @@ def best_fit(rest: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]
 
 
 def rounded(x: dict[Pattern, float], count: np.ndarray, capacity: int) -> tuple[list[tuple[Pattern, int]], list[tuple[Pattern, int]]]:
-    """(sequences of the patterns, rounded down; sequences of what is left, best fit)."""
-    rest, out = count.copy(), []
-    for parts, share in sorted(x.items(), key=lambda p: (-p[1], p[0])):
-        many = min([math.floor(share + 1e-9), *(int(rest[k]) // c for k, c in parts)])
+    """(sequences of the patterns, sequences of what is left, best fit). Patterns are taken in order of their parts, so that neighbours are alike,
+    and what one loses in rounding down goes to the next; none takes pieces that aren't left."""
+    rest, out, carry = count.copy(), [], 0.0
+    for parts, share in sorted(x.items(), reverse=True):
+        many = min([math.floor(share + carry + 1e-9), *(int(rest[k]) // c for k, c in parts)])
+        carry = min(share + carry - many, 1.0)
         if many > 0:
             out.append((parts, many))
             for k, c in parts:
@@ -245,7 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 50_000)
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     where = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     buckets = max(16, math.ceil(sum(histogram.values()) / per_bucket))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).cast("int"))
     before = (
         dealt.groupBy("length", "_bucket").count()
         .withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))

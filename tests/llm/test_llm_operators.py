@@ -82,7 +82,9 @@ def test_the_program_is_solved(spark, drawn):
     program = packing.Program(a, 2048)
     program.solve(0.0)
     value, tokens = sum(program.x.values()), sum(n * c for n, c in count.items()) / 2048
-    assert program.bound >= tokens - 1e-6 and value >= program.bound - 1 and (program.left < 1).all()
+    assert program.bound >= tokens - 1e-6 and value >= program.bound - 1e-3 and (program.left < 1e-3).all()
+    if drawn != "long":  # pieces over half a sequence stand alone
+        assert sum(abs(n - round(n)) > 1e-6 for n in program.x.values()) >= 10
     covered = Counter()
     for parts, n in program.x.items():
         assert sum(k * c for k, c in parts) <= 2048
