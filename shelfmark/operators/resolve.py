@@ -42,25 +42,25 @@ def alias_closure(links: DataFrame) -> DataFrame:
 
 def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """(a, name_a, b, name_b, distance): pairs of left and right (id, name) within `most` edits. Names are told apart by a prefix of their rarest
-    two-letter grams: an edit changes two grams at most, so names within `most` share one of the 2 * most + 1 rarest of each, at
-    places and with lengths no further apart than that. Names of no more grams than that are looked up by all of them, and pairs of names so
-    short that edits may leave no common gram are not for this join: names must have more than 2 * most + 1 characters.
+    two-letter grams (the first, second ... of a kind told apart): an edit changes two grams at most, so names within `most` share one of the
+    2 * most + 1 rarest of each. Names so short that edits may leave no common gram are not for this join: they must have more than
+    2 * most + 1 characters.
 
     A frequent gram meets only where it is among a name's rarest; there is no block that everybody shares unless all names are alike."""
     def tokens(df: DataFrame) -> DataFrame:
         grams = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, 2))
         held = df.select("id", "name").filter(F.length("name") > 2 * most + 1).withColumn("g", grams)
-        nth = F.transform("g", lambda g, i: F.struct(F.concat(g, F.size(F.filter(F.slice("g", 1, i), lambda x: x == g)).cast("string")).alias("t"), i.alias("at")))
-        return held.select("id", "name", F.explode(nth).alias("x")).select("id", "name", "x.t", "x.at")
+        nth = F.transform("g", lambda g, i: F.concat(g, F.size(F.filter(F.slice("g", 1, i), lambda x: x == g)).cast("string")))
+        return held.select("id", "name", F.explode(nth).alias("t"))
 
     a, b = tokens(left), tokens(right)
     rarity = a.select("t").unionByName(b.select("t")).groupBy("t").agg(F.count("*").alias("n"))
 
     def rarest(df: DataFrame, suffix: str) -> DataFrame:
-        each = df.join(rarity, "t").groupBy("id", "name").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t", "at"))), 1, 2 * most + 1).alias("x"))
-        return each.select(F.col("id").alias(suffix), F.col("name").alias(f"name_{suffix}"), F.length("name").alias(f"len_{suffix}"), F.explode("x").alias("x")).select("*", F.col("x.t").alias("t"), F.col("x.at").alias(f"at_{suffix}")).drop("x")
+        each = df.join(rarity, "t").groupBy("id", "name").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "t"))), 1, 2 * most + 1).alias("x"))
+        return each.select(F.col("id").alias(suffix), F.col("name").alias(f"name_{suffix}"), F.length("name").alias(f"len_{suffix}"), F.explode("x.t").alias("t"))
 
-    met = rarest(a, "a").join(rarest(b, "b"), "t").filter((F.abs(F.col("len_a") - F.col("len_b")) <= most) & (F.abs(F.col("at_a") - F.col("at_b")) <= most))
+    met = rarest(a, "a").join(rarest(b, "b"), "t").filter(F.abs(F.col("len_a") - F.col("len_b")) <= most)
     near = met.withColumn("distance", F.levenshtein("name_a", "name_b", most)).filter("distance >= 0")
     return near.select("a", "name_a", "b", "name_b", F.col("distance").cast("int").alias("distance")).distinct()
 

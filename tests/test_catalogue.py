@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfmark.plans import assembly, catalogue, edits, imports, library, planner, retrieval  # noqa: F401  the others add their queries to catalogue
+from shelfmark.plans import assembly, catalogue, edits, imports, legacy, library, planner, retrieval  # noqa: F401  the others add their queries to catalogue
 
 SF = "/root/testdata/sf0.001"
 
