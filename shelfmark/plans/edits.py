@@ -54,13 +54,16 @@ def manual_backfill(t):
     return out.select("id", F.array_join(F.transform("credits", lambda c: F.concat_ws(":", c["role"], c["displayName"])), ",").alias("credits"), F.col("venueText").alias("venue"))
 
 
-@query("""SELECT o_orderkey, CASE k WHEN 0 THEN '1999' WHEN 1 THEN '' WHEN 2 THEN '1999' WHEN 3 THEN '' WHEN 4 THEN 'May' ELSE '' END AS day, CASE k WHEN 0 THEN 'Wien' WHEN 1 THEN 'Wien' WHEN 2 THEN 'Hall / Wien' WHEN 3 THEN '' WHEN 4 THEN 'Wien' ELSE 'Hall' END AS place FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)""")
+_DAY = "CASE o_orderkey % 7 WHEN 0 THEN o_orderpriority WHEN 1 THEN concat(' ', o_orderstatus, ' ') WHEN 2 THEN '*' WHEN 3 THEN 'Unknown' WHEN 4 THEN concat(o_orderstatus, ' / ', o_orderpriority, ' / Saal') WHEN 5 THEN concat(o_orderpriority, '/', o_orderstatus) ELSE '' END"
+_PLACE = "CASE o_orderkey % 5 WHEN 0 THEN '未知' WHEN 1 THEN concat('Hall ', o_orderstatus) WHEN 2 THEN o_orderpriority WHEN 3 THEN ' - ' ELSE concat(o_orderstatus, ' / ', o_custkey) END"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, trim({_DAY}) AS d, trim({_PLACE}) AS p FROM orders), b AS (SELECT o_orderkey, CASE WHEN lower(d) IN ('', '-', '*', 'unknown', '未知') THEN '' ELSE d END AS d, CASE WHEN lower(p) IN ('', '-', '*', 'unknown', '未知') THEN '' ELSE p END AS p FROM t),
+k AS (SELECT *, d <> '' AND p <> '' AND NOT regexp_matches(d, '[0-9]') AND regexp_matches(p, '[0-9]') AS swapped, d <> '' AND p = '' AND NOT regexp_matches(d, '[0-9]') AS moved, p = '' AND contains(d, ' / ') AS cut FROM b)
+SELECT o_orderkey, CASE WHEN swapped THEN p WHEN moved THEN '' WHEN cut THEN trim(split_part(d, ' / ', 1)) ELSE d END AS day, CASE WHEN swapped OR moved THEN d WHEN cut THEN trim(substr(d, strpos(d, ' / ') + 3)) ELSE p END AS place FROM k""")
 def repaired_metadata(t):
     """Days and places put where they belong (op N9)."""
-    k = F.col("o_orderkey") % 6
-    day = F.when(k == 0, "Wien").when(k == 1, "Wien").when(k == 2, "1999 / Hall / Wien").when(k == 3, "*").when(k == 4, "May").otherwise("unknown")
-    place = F.when(k == 0, "1999").when(k == 1, "-").when(k == 3, "未知").when(k == 4, "Wien").when(k == 5, "Hall").otherwise("")
-    m = mutations.repaired_metadata(day, place)
+    m = mutations.repaired_metadata(F.expr(_DAY), F.expr(_PLACE))
     return t("orders").select("o_orderkey", m["day"].alias("day"), m["place"].alias("place"))
 
 
@@ -96,17 +99,20 @@ def warning_corpus(t):
     return found.select("signature", "n", F.size("examples").alias("examples"), F.array_join(F.transform(F.map_entries("statuses"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("statuses"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'bilibili:bv' || p_partkey || 'x' WHEN 1 THEN 'bilibili:av' || p_partkey WHEN 2 THEN 'youtube:ab' || p_partkey WHEN 3 THEN 'youtube:c-' || p_partkey WHEN 4 THEN 'http://x.org/a?v=1' ELSE '' END AS identity,
-p_partkey % 4 IN (0, 1, 2) AS same FROM part""")
+_ADDRESS = "CASE p_partkey % 7 WHEN 0 THEN concat('https://B.com/video/BV', p_partkey, 'X', p_brand, '/?p=1') WHEN 1 THEN concat('https://b.com/av', p_partkey, '/') WHEN 2 THEN concat('https://www.YouTube.com/watch?x=1&v=AB', p_partkey, '&t=', p_size) WHEN 3 THEN concat('https://youtu.be/', p_type, p_partkey, '//') WHEN 4 THEN concat('http://X.org/', p_type, '?v=1/') WHEN 5 THEN concat(' http://youtube.com/', p_type, '/ ') ELSE ' ' END"
+_LEFT = "concat(p_name, ' ', p_type)"
+_RIGHT = "CASE p_partkey % 6 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN concat(split_part(p_name, ' ', 1), ' van ', split_part(p_name, ' ', 2), ' ', p_type) WHEN 2 THEN concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) WHEN 3 THEN upper(concat(split_part(p_name, ' ', 1), '-', p_type)) WHEN 4 THEN p_brand ELSE concat(p_size, ' ') END"
+_LETTERS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda x: x <> '')"
+_AMONG = lambda short, long: f"('  ' || array_to_string({long}, '  ') || '  ') LIKE ('% ' || array_to_string({short}, ' % ') || ' %')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, trim({_ADDRESS}) AS u, {_LETTERS(_LEFT)} AS x, {_LETTERS(_RIGHT)} AS y FROM part), h AS (SELECT *, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, array_to_string(x, '') AS a, array_to_string(y, '') AS b FROM t)
+SELECT p_partkey, CASE WHEN u = '' THEN '' WHEN regexp_matches(u, '(?i)/bv[0-9a-z]') THEN 'bilibili:' || lower(regexp_extract(u, '(?i)/(bv[0-9a-z]+)', 1)) WHEN regexp_matches(u, '(?i)/av[0-9]') THEN 'bilibili:av' || regexp_extract(u, '(?i)/av([0-9]+)', 1)
+WHEN contains(host, 'youtube.com') AND regexp_matches(u, '[?&]v=[^&#]') THEN 'youtube:' || lower(regexp_extract(u, '[?&]v=([^&#]+)', 1)) WHEN contains(host, 'youtu.be') THEN 'youtube:' || lower(rtrim(regexp_extract(u, '^[a-z]+://[^/]*/+(.*)$', 1), '/')) ELSE lower(rtrim(u, '/')) END AS identity,
+a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR (len(x) >= 2 AND len(y) >= 2 AND ({_AMONG('x', 'y')} OR {_AMONG('y', 'x')}))) AS same FROM h""")
 def result_identities(t):
     """What results are known by, and names that mean one person (ops U1, J24)."""
-    i = F.col("p_partkey").cast("string")
-    k, j = F.col("p_partkey") % 6, F.col("p_partkey") % 4
-    put = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
-    url = F.when(k == 0, put("https://b.com/video/BV", i, "X/?p=1")).when(k == 1, put("https://b.com/av", i)).when(k == 2, put("https://www.YouTube.com/watch?x=1&v=AB", i)).when(k == 3, put("https://youtu.be/c-", i, "/")).when(k == 4, "http://X.org/a?v=1/").otherwise(" ")
-    other = F.when(j == 0, "von Karajan").when(j == 1, "Karajan").when(j == 2, "Herbert X. Karajan").otherwise("Karl Böhm")
-    left = F.when(j == 2, "Herbert Karajan").otherwise("Herbert von Karajan")
-    return t("part").select("p_partkey", pages.result_identity(url).alias("identity"), names.same_person(left, other).alias("same"))
+    return t("part").select("p_partkey", pages.result_identity(F.expr(_ADDRESS)).alias("identity"), names.same_person(F.expr(_LEFT), F.expr(_RIGHT)).alias("same"))
 
 
 @query(f"""{sample.WITH}, n AS (SELECT "workId" AS id, count(*) AS n, count(*) FILTER ("isPrimaryRecommendation") AS p FROM recordings GROUP BY 1), r AS (SELECT w."composerId" AS composer, w.id, row_number() OVER (PARTITION BY w."composerId" ORDER BY coalesce(p, 0) DESC, coalesce(n, 0) DESC, w."sortKey", w.id) AS r FROM works w LEFT JOIN n USING (id))
@@ -132,11 +138,10 @@ def batch_credits(t):
     return t("part").select("p_partkey", shown.alias("credits"), F.coalesce(rules.credit_ensemble_role(name), F.lit("")).alias("role"))
 
 
-@query("""SELECT page_id, 'a & b < ' || page_id || ' é' AS plain FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS plain FROM pages""")
 def html_plain(t):
-    """A page's text without scripts, styles and tags, with entities resolved (op U3)."""
-    c = F.concat(F.lit("<SCRIPT>x<y</script><p class='q'>a &amp; b</p>\n<style>p{}</style><i>&lt; "), F.col("page_id").cast("string"), F.lit("</i> &eacute;"))
-    return t("pages").select("page_id", T.unescape(T.strip_html(c)).alias("plain"))
+    """Pages' texts without scripts, styles and tags, with entities resolved (op U3)."""
+    return t("pages").select("page_id", T.unescape(T.strip_html(F.col("html"))).alias("plain"))
 
 
 @query(f"""{sample.WITH}, e AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k, list_sort(list(DISTINCT event_type) FILTER (value > 100)) AS h FROM events GROUP BY user_id)
@@ -258,9 +263,8 @@ def source_scores(t):
     return t("part").select("p_partkey", names.chinese_name_score(name, F.lit(10.0), F.lit("海顿曲")).alias("name_score"), score.cast("double").alias("entity_score"), proposals.patch_integer(text).alias("year"), lines.alias("names"))
 
 
-@query("""SELECT page_id, '/columns/' || page_id || '/' AS href, strftime(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER), '%Y-%m-%d') AS updated FROM pages WHERE page_id % 2 = 0 ORDER BY page_id % 300 DESC, page_id LIMIT 10""")
+@query("""SELECT o_orderkey, '/columns/' || o_orderkey || '/' AS href, strftime(o_orderdate, '%Y-%m-%d') AS updated FROM orders WHERE o_orderstatus <> 'P' ORDER BY updated DESC, o_orderkey LIMIT 10""")
 def featured_articles(t):
-    """The ten latest articles that are shown (op O12)."""
-    i = F.col("page_id")
-    a = t("pages").select("page_id", (i % 2 == 0).alias("shown"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (i % 300).cast("int")), "yyyy-MM-dd").alias("updated"))
-    return a.filter("shown").orderBy(F.desc("updated"), "page_id").limit(10).select("page_id", rules.href("columns", i.cast("string")).alias("href"), "updated")
+    """The ten latest articles that are shown (op O12): orders that aren't pending."""
+    a = t("orders").filter("o_orderstatus <> 'P'").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated"))
+    return a.orderBy(F.desc("updated"), "o_orderkey").limit(10).select("o_orderkey", rules.href("columns", F.col("o_orderkey").cast("string")).alias("href"), "updated")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import images, matching, names, pages, rules
@@ -172,18 +173,24 @@ def candidate_keys(t):
     return shaped.select("item", "pos", keys["total"].alias("total"), keys["exact"].alias("exact"), confidence.alias("record_confidence"), status.alias("status"))
 
 
-@query("""WITH t AS (SELECT p_partkey, p_partkey % 4 AS k, p_size, p_partkey % 700 AS w FROM part)
-SELECT p_partkey, k = 3 AS is_suspicious, greatest(0.0, CASE k WHEN 0 THEN 24 WHEN 1 THEN 18 WHEN 2 THEN 14 ELSE 4 END + CASE WHEN k IN (0, 1) THEN 8 ELSE 0 END + CASE WHEN w > 0 THEN least(least(w, p_size * 20) / 40.0, 40.0) ELSE 0 END + CASE WHEN k = 0 THEN 4 ELSE 0 END
- - CASE WHEN w > 0 THEN abs(1 - w / CAST(p_size * 20 AS DOUBLE)) * 25 ELSE 18.0 END - CASE WHEN k = 2 THEN 16 ELSE 0 END - CASE WHEN k = 3 THEN 48 ELSE 0 END) AS score FROM t""")
+_IMAGE = {
+    "src": "concat('https://img.example/', p_partkey, CASE WHEN p_size % 9 = 4 THEN '/favicon.ico' ELSE '.jpg' END)", "source": "concat('http://x/', CASE WHEN p_size % 3 = 0 THEN replace(p_name, ' ', '-') WHEN p_size % 7 = 2 THEN 'sprite' ELSE p_type END)",
+    "kind": "CASE p_partkey % 7 WHEN 0 THEN 'wikimedia-commons' WHEN 1 THEN 'wikidata' WHEN 2 THEN 'official-site' WHEN 3 THEN 'wikipedia' WHEN 4 THEN 'streaming' ELSE p_brand END", "credit": "CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE '' END",
+    "title": "CASE p_size % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_type, ' logo') WHEN 2 THEN concat('a sample of ', p_type) WHEN 3 THEN concat('logos', p_type) ELSE p_type END",
+    "width": "CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_partkey * 37 % 2400 END", "height": "p_size * 40",
+}
+_WRONG = r"(^|[^a-z])(logo|icon|badge|brand|site\s*logo|baike[-_ ]?logo|baidubaike|baidu[-_ ]?baike|baidu[-_ ]?logo|bd[-_ ]?logo|favicon|placeholder|sprite|default[-_ ]?image|no[-_ ]?image|wordmark|signature|autograph|watermark)([^a-z]|$)"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name, {", ".join(f"{e} AS {n}" for n, e in _IMAGE.items())} FROM part), m AS (SELECT *, CAST(width AS DOUBLE) AS w, CAST(height AS DOUBLE) AS h, regexp_matches(lower(concat_ws(' ', src, source, credit, title)), '{_WRONG}') AS wrong FROM t),
+s AS (SELECT *, CASE kind WHEN 'wikimedia-commons' THEN 24 WHEN 'wikipedia' THEN 18 WHEN 'wikidata' THEN 18 WHEN 'streaming' THEN 16 WHEN 'official-site' THEN 14 ELSE 4 END + CASE WHEN contains(lower(source), replace(lower(p_name), ' ', '-')) OR contains(lower(title), lower(p_name)) THEN 8 ELSE 0 END
+  + least(least(w, h) / 40, 40.0::DOUBLE) + CASE WHEN credit <> '' THEN 4 ELSE 0 END - CASE WHEN w > 0 AND h > 0 THEN abs(1 - w / h) * 25 ELSE 18.0::DOUBLE END - CASE WHEN regexp_matches(lower(concat_ws(' ', title, source)), 'watermark|sample|sprite') THEN 16 ELSE 0 END - CASE WHEN wrong THEN 48 ELSE 0 END AS total FROM m)
+SELECT p_partkey, wrong AS is_suspicious, greatest(0::DOUBLE, total) AS score, CAST(row_number() OVER (PARTITION BY p_name ORDER BY greatest(0::DOUBLE, total) DESC, p_partkey) AS INTEGER) AS rank FROM s""")
 def image_scores(t):
-    """Scores of image candidates, and those that look wrong (ops K7, O7, P17)."""
-    k = F.col("p_partkey") % 4
-    kind = F.when(k == 0, "wikimedia-commons").when(k == 1, "wikidata").when(k == 2, "official-site").otherwise("x")
-    url = F.when(k == 0, "http://x/anna-berg").when(k == 2, "http://x/sample").otherwise("http://x/")
-    title = F.when(k == 1, "ANNA Berg 1").when(k == 3, "a site logo").otherwise("")
-    by = F.when(k == 0, "me").otherwise("")
-    w, h = F.when(F.col("p_partkey") % 700 > 0, (F.col("p_partkey") % 700).cast("int")), F.col("p_size") * 20
-    return t("part").select("p_partkey", images.is_suspicious(F.lit("s"), url, by, title).alias("is_suspicious"), images.score(F.lit("Anna Berg"), F.lit("s"), url, kind, by, title, w, h).alias("score"))
+    """Scores of image candidates, those that look wrong, and the order of a name's candidates (ops K7, O7, P17)."""
+    i = t("part").select("p_partkey", "p_name", *(F.expr(e).alias(n) for n, e in _IMAGE.items()))
+    scored = i.select("p_partkey", "p_name", images.is_suspicious(F.col("src"), F.col("source"), F.col("credit"), F.col("title")).alias("is_suspicious"), images.score(F.col("p_name"), F.col("src"), F.col("source"), F.col("kind"), F.col("credit"), F.col("title"), F.col("width"), F.col("height")).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("score"), "p_partkey"))).drop("p_name")
 
 
 @query("""SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]+)</title>', 1)), '&amp;', '&') AS title, 'Kim' AS site, 'a b' AS uploader, CAST(page_id % 50 * 60 + 7 AS INTEGER) AS seconds, CAST(page_id * 3 AS BIGINT) AS views, 'https://www.youtube.com/watch?v=v' || page_id || ',https://www.youtube.com/watch?v=w' AS links,
