@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions import queries
+from shelfmark.functions import drafts as D
+from shelfmark.functions import names, queries
 from shelfmark.operators import host_plan as hosts
 from shelfmark.operators import query_choice, second_pass
 
@@ -280,3 +281,55 @@ def host_plan(t):
 def host_plan_other(t):
     """Ten queries of each item for other hosts (op R8a)."""
     return hosts.planned(generated(t), drafts(t), hosts.OTHER)
+
+
+#: Texts of drafts, in both dialects: works, some of them concertos; people with and without particles; days with and without years.
+_DRAFT = {
+    "title": "concat(p_name, ' live in ', p_brand)", "work": "CASE WHEN p_size % 4 = 0 THEN '' ELSE concat(p_type, CASE p_size % 3 WHEN 0 THEN ' Piano Concerto' WHEN 1 THEN ' violin sonata' ELSE ' choir song' END) END", "catalogue": "CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('Op. ', p_size) END",
+    "composer": "CASE WHEN p_partkey % 6 = 0 THEN '' ELSE concat('Johann ', upper(substr(p_name, 1, 1)), substr(split_part(p_name, ' ', 1), 2)) END", "day": "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'May' ELSE concat('May ', 1940 + p_size) END",
+    "lead_a": "concat(CASE p_partkey % 3 WHEN 0 THEN 'Anna von der ' WHEN 1 THEN 'Karl ' ELSE '' END, upper(split_part(p_name, ' ', 1)))", "lead_b": "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '卡尔·伯姆' ELSE concat('Max de ', split_part(p_name, ' ', 2)) END", "ensemble": "CASE WHEN p_partkey % 4 = 3 THEN '' ELSE concat('Radio ', p_brand) END",
+}
+
+
+def _drafted(t):
+    rows = t("part").select(F.col("p_partkey").alias("item"), *(F.expr(e).alias(n) for n, e in _DRAFT.items()))
+    return rows.withColumn("named", D.work_query(F.col("work"), F.lit(""), F.col("catalogue"), F.col("title")))
+
+
+_DRAFTED = f"""d AS (SELECT p_partkey AS item, {", ".join(f"{e} AS {n}" for n, e in _DRAFT.items())} FROM part),
+w AS (SELECT *, CASE WHEN work <> '' AND catalogue <> '' AND NOT contains(lower(work), lower(catalogue)) THEN work || ' ' || catalogue WHEN work <> '' THEN work ELSE title END AS named FROM d)"""
+
+
+@query(f"""WITH {_DRAFTED}, l AS (SELECT item, unnest(CASE WHEN lead_b = '' OR lead_b = lead_a THEN [lead_a] ELSE [lead_a, lead_b] END) AS lead, unnest(CASE WHEN lead_b = '' OR lead_b = lead_a THEN [1] ELSE [1, 2] END) AS i FROM w),
+s AS (SELECT unnest([{", ".join(f"'{x}'" for x in D.SHAPES)}]) AS shape, unnest([{", ".join(str(i) for i in range(len(D.SHAPES)))}]) AS k),
+q AS (SELECT item, k, i, array_to_string(list_filter([CASE WHEN contains(shape, 'T') THEN title END, CASE WHEN contains(shape, 'C') THEN composer END, CASE WHEN contains(shape, 'W') THEN named END, CASE WHEN contains(shape, 'L') THEN trim(lead) END, CASE WHEN contains(shape, 'E') THEN ensemble END, CASE WHEN contains(shape, 'D') THEN day END], lambda x: x <> ''), ' ') AS query FROM w JOIN l USING (item), s),
+f AS (SELECT item, query, min([k, i]) AS turn FROM q WHERE query <> '' GROUP BY item, query) SELECT item, CAST(row_number() OVER (PARTITION BY item ORDER BY turn) AS INTEGER) AS place, query FROM f""")
+def draft_queries(t):
+    """Ten shapes of queries for each of a draft's people and ensembles, in order, each once (ops R7, J25)."""
+    made = _drafted(t).select("item", D.shaped(F.col("named"), F.col("composer"), F.array("lead_a", "lead_b"), F.array("ensemble"), F.col("title"), F.col("day")).alias("q"))
+    return made.select("item", F.posexplode("q").alias("place", "query")).withColumn("place", F.col("place") + 1)
+
+
+_SUR = lambda c: f"CASE WHEN regexp_matches({c}, '^[^ ]+ .*[^ ]{{4,}}$') THEN regexp_extract({c}, '(?i)^[^ ]+ (?:[^ ]+ )*?((?:(?:{'|'.join(D.PARTICLES)}) )*[^ ]{{4,}})$', 1) ELSE {c} END"
+_BUCKET = lambda c: f"CASE WHEN len(string_split({c}, ' ')) BETWEEN 2 AND 3 THEN 0 WHEN len(string_split({c}, ' ')) >= 4 THEN 1 ELSE 2 END"
+
+
+@query(f"""WITH {_DRAFTED}, y AS (SELECT *, regexp_extract(day, '(19[0-9]{{2}}|20[0-9]{{2}})', 1) AS year, {_SUR("lead_a")} AS a, CASE WHEN lead_b = '' OR regexp_matches(lead_b, '[{_CJK}]') THEN '' ELSE {_SUR("lead_b")} END AS b, {_SUR("composer")} AS c, contains(lower(work), 'concerto') AS con FROM w),
+q AS (SELECT item, 'year' AS kind, 1 AS place, a || ' ' || year AS query FROM y WHERE year <> '' UNION ALL SELECT item, 'year', 2, CASE WHEN b = '' THEN lead_b ELSE b END || ' ' || year FROM y WHERE year <> '' AND lead_b <> '' AND lower(CASE WHEN b = '' THEN lead_b ELSE b END) <> lower(a)
+UNION ALL SELECT item, 'pair', 1, a || ' ' || b || ' ' || c || ' concerto ' || year FROM y WHERE con AND b <> '' AND lower(a) <> lower(b) AND c <> '' AND year <> '' UNION ALL SELECT item, 'pair', 2, a || ' ' || b || ' ' || c || ' concerto' FROM y WHERE con AND b <> '' AND lower(a) <> lower(b) AND c <> ''
+UNION ALL SELECT item, 'pair', 3, a || ' ' || b || ' concerto ' || year FROM y WHERE con AND b <> '' AND lower(a) <> lower(b) AND year <> ''
+UNION ALL SELECT item, 'decade', k, concat_ws(' ', a, CASE WHEN k <= 2 THEN c END, CASE WHEN k % 2 = 1 THEN work ELSE replace(work, 'Piano Concerto', 'Piano Concertos') END, left(year, 3) || '0s') FROM y, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE con AND year <> '' AND (k > 2 OR c <> ''))
+SELECT item, kind, CAST(row_number() OVER (PARTITION BY item, kind ORDER BY place) AS INTEGER) AS place, query FROM q""")
+def rescue_queries(t):
+    """Queries of few words where others find nothing: a surname with the year, two surnames, a work's decade (ops R8e, R8g)."""
+    d = _drafted(t).withColumns({"year": D.year_of(F.col("day")), "first": D.keywords(F.array("lead_a")), "second": D.keywords(F.filter(F.array("lead_b"), lambda x: ~names.holds_cjk(x))), "who": D.surname(F.col("composer"))})
+    made = {"year": D.year_anchors(F.array("lead_a", "lead_b"), F.col("year")), "pair": D.surname_pairs(F.col("work"), F.col("first"), F.col("second"), F.col("who"), F.col("year")), "decade": D.decades(F.col("work"), F.col("first"), F.col("who"), F.col("year"))}
+    each = d.select("item", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), q.alias("q")) for k, q in made.items()))).alias("x"))
+    return each.select("item", "x.kind", F.posexplode("x.q").alias("place", "query")).withColumn("place", F.col("place") + 1)
+
+
+@query(f"""WITH {_DRAFTED}, x AS (SELECT item, ' ' || lower(concat_ws(' ', title, work, lead_a, lead_b, ensemble)) || ' ' AS text FROM w)
+SELECT item, array_to_string(list_filter([{", ".join(f"CASE WHEN {_said('text', *marks)} THEN '{tag}' END" for tag, marks in D.TAGS.items())}], lambda x: x IS NOT NULL), ',') AS tags FROM x""")
+def profile_tags(t):
+    """What drafts are about, by words in what they say (op R6)."""
+    return _drafted(t).select("item", F.array_join(D.tags(*(F.col(c) for c in ("title", "work", "lead_a", "lead_b", "ensemble"))), ",").alias("tags"))
