@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import batch_merge, differences, retrieval
+from shelfmark.operators import batch_merge, differences, registry, retrieval
 
 from . import sample
 from .catalogue import query
@@ -130,3 +130,36 @@ def field_differences(t):
 def difference_report(t):
     """How often each field changed (op A27)."""
     return differences.summary(differences.rows(*_states(t), "id"))
+
+
+#: Entries of a registry and of a library, in both dialects: names that some, one or none of the others have.
+_OLD = {"entry": "concat('r', c_custkey)", "role": "CASE WHEN c_custkey % 2 = 0 THEN 'conductor' ELSE 'soloist' END"}
+_OLD_VALUES = ("concat('Name ', c_custkey % 60)", "CASE WHEN c_custkey % 4 = 0 THEN concat('name-', c_custkey % 7) ELSE concat('Own ', c_custkey) END", "CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_mktsegment END")
+_NEW_ENTRY = {"entry": "concat('p', p_partkey)", "role": "CASE WHEN p_partkey % 3 = 0 THEN 'conductor' ELSE 'soloist' END"}
+_NEW_VALUES = ("concat('NAME ', p_partkey % 50)", "concat(p_name, ' ', p_partkey)", "CASE WHEN p_partkey % 40 = 1 THEN 'Machinery' ELSE p_brand END")
+
+
+def _registry(t):
+    make = lambda df, head, values: df.select(*(F.expr(e).alias(n) for n, e in head.items()), F.array(*map(F.expr, values)).alias("values"))
+    return make(t("customer"), _OLD, _OLD_VALUES), make(t("part").filter("p_partkey < 45 OR p_partkey % 40 = 1"), _NEW_ENTRY, _NEW_VALUES)
+
+
+_EXPLODED = lambda table, head, values, where="true": f"SELECT {head['entry']} AS entry, {head['role']} AS role, unnest([0, 1, 2]) AS pos, trim(unnest([{', '.join(values)}])) AS v FROM {table} WHERE {where}"
+_ROUTED = f"""WITH o AS (SELECT *, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') AS k FROM ({_EXPLODED("customer", _OLD, _OLD_VALUES)})), n AS (SELECT *, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') AS k FROM ({_EXPLODED("part", _NEW_ENTRY, _NEW_VALUES, "p_partkey < 45 OR p_partkey % 40 = 1")})),
+m AS (SELECT DISTINCT o.entry, n.entry AS target FROM o JOIN n USING (role, k) WHERE k <> ''), c AS (SELECT entry, count(*) AS n, min(target) AS target FROM m GROUP BY entry),
+r AS (SELECT DISTINCT o.entry, CASE WHEN c.n IS NULL THEN 'append' WHEN c.n = 1 THEN 'merge' ELSE 'ambiguous' END AS route, CASE WHEN c.n = 1 THEN c.target END AS target FROM o LEFT JOIN c USING (entry))"""
+
+
+@query(f"{_ROUTED} FROM r")
+def registry_routes(t):
+    """Where entries of a registry go by how many entries of the library they match (op G14)."""
+    return registry.routes(*_registry(t))
+
+
+@query(f"""{_ROUTED}, g AS (SELECT r.target AS entry, 1 AS late, o.entry AS src, o.pos, o.v, o.k FROM o JOIN r USING (entry) WHERE route = 'merge' AND k <> '' AND (EXISTS (FROM n WHERE n.entry = r.target AND n.k = o.k) OR NOT EXISTS (FROM n WHERE n.entry <> r.target AND n.k = o.k))),
+e AS (SELECT entry, 0 AS late, entry AS src, pos, v, k FROM n WHERE k <> '' UNION ALL FROM g UNION ALL SELECT o.entry, 0, o.entry, pos, v, k FROM o JOIN r USING (entry) WHERE route = 'append' AND k <> ''),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY entry, k ORDER BY late, src, pos) = 1) SELECT entry, string_agg(v, '|' ORDER BY late, src, pos) AS names FROM f GROUP BY entry""")
+def registry_synced(t):
+    """The registry afterwards: derived entries with what merged ones give, and those that match nothing (op G14)."""
+    entries, _ = registry.synced(*_registry(t))
+    return entries.select("entry", F.array_join("values", "|").alias("names"))
