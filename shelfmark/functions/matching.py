@@ -16,6 +16,7 @@ LENGTHS = [("symphony|交响曲|concerto|协奏曲|variations|变奏曲", 900),
 EDITIONS = "new edition|restored|remaster|reissue|alt take"
 DISCS = r"blu-ray|bluray|bd版|蓝光|「bd」|\[bd\]|\(bd\)"
 WORK_MARKS = r"concerto|symphony|sonata|quartet|trio|op\."
+# Patterns of movements, first chapters, compilations and editions.
 MOVEMENT = [r"(?:^|[\s(:\-–—])(i{1,3}|iv|v)\.\s", r"(?:^|[\s(:\-–—])([1-9])\.\s", r"\b(?:1st|2nd|3rd|4th|first|second|third|fourth)\s+movement\b", r"\ballegro\b", r"\badagio\b", r"\bandante\b", r"\bscherzo\b", r"\brondo\b"]
 FIRST_CHAPTER = [r"(?:^|[\s(:\-–—])(i|1)\.\s", r"\b1st movement\b", r"\bfirst movement\b", r"[?&]p=1\b"]
 COMPILATION = [r"nos?\.\s*[0-9]+\s*(?:and|&)\s*[0-9]+", r"\bnos?\s*[0-9]+\s*,\s*[0-9]+", r"\bnos?\s*[0-9]+\s*/\s*[0-9]+", r"\bconcertos\b", r"\bsonatas\b", " overture", " works /", " works by", r"\bbrahms\b.+\bschumann\b"]

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import drafts as D
-from shelfmark.functions import names, queries
+from shelfmark.functions import names, queries, scoring
 from shelfmark.operators import host_plan as hosts
 from shelfmark.operators import query_choice, second_pass
 
@@ -333,3 +333,44 @@ SELECT item, array_to_string(list_filter([{", ".join(f"CASE WHEN {_said('text',
 def profile_tags(t):
     """What drafts are about, by words in what they say (op R6)."""
     return _drafted(t).select("item", F.array_join(D.tags(*(F.col(c) for c in ("title", "work", "lead_a", "lead_b", "ensemble"))), ",").alias("tags"))
+
+
+_PAGE = """concat(CASE l_orderkey % 6 WHEN 0 THEN lead_a WHEN 1 THEN concat(lead_a, ' & ', lead_b) WHEN 2 THEN split_part(lead_b, ' ', 3) WHEN 3 THEN concat(lead_b, ' / ', p_brand) ELSE p_brand END, ' ',
+CASE l_orderkey % 5 WHEN 0 THEN work WHEN 1 THEN 'Piano Concerto' WHEN 2 THEN concat(work, ' ', catalogue) WHEN 3 THEN ': I. Allegro x' ELSE concat(work, ' complete sonatas') END, ' ',
+CASE l_linenumber % 4 WHEN 0 THEN composer WHEN 1 THEN day WHEN 2 THEN concat('in ', 1941 + p_size) ELSE 'biography remaster Op. 3' END, ' ', CASE l_linenumber % 3 WHEN 0 THEN ensemble ELSE 'hall' END)"""
+_LINK = "CASE l_orderkey % 4 WHEN 0 THEN concat('https://music.apple.com/x?i=', l_orderkey) WHEN 1 THEN 'https://v.example/?p=2' ELSE 'https://v.example/watch' END"
+_CLOCK = "l_orderkey * 7 % 40 * 60"
+_TERMS = ("work", "catalogue", "composer", "leads", "absent_leads", "duo", "groups", "half", "all", "years", "day", "marks", "kind", "page", "edition", "length", "other", "no_work", "no_lead", "no_group")
+_WORDS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9{_CJK}]+'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$'))"
+_HOLDS = lambda c: f"(len({_WORDS(c)}) > 0 AND len(list_filter({_WORDS(c)}, lambda x: NOT contains(hay, x))) = 0)"
+_NAMED = lambda c: rf"({_HOLDS(c)} OR (length(coalesce({_WORDS(c)}[-1], '')) >= 4 AND contains(hay, {_WORDS(c)}[-1])) OR (len({_WORDS(c)}) >= 2 AND regexp_matches(hay, '(^|{_EDGE})' || array_to_string(list_transform({_WORDS(c)}, lambda x: left(x, 1)), '[.\s]+') || '\.?($|{_EDGE})')))"
+
+
+@query(rf"""WITH {_DRAFTED}, p AS (SELECT w.*, p_size, l_orderkey, l_linenumber, {_PAGE} AS text, {_LINK} AS url, {_CLOCK} AS seconds FROM lineitem JOIN part ON l_partkey = p_partkey JOIN w ON w.item = p_partkey),
+h AS (SELECT *, regexp_replace(trim(lower(text)) || ' ' || url, '\s+', ' ', 'g') AS hay, CASE WHEN lead_b = '' THEN 1 ELSE 2 END AS slots, contains(lower(work), 'concerto') AS con FROM p),
+f AS (SELECT *, work <> '' AND ({_HOLDS("work")} OR (con AND contains(hay, 'piano concerto'))) AS wm, {_NAMED("lead_a")}::INT + CASE WHEN lead_b <> '' THEN {_NAMED("lead_b")}::INT ELSE 0 END AS leads, CASE WHEN ensemble <> '' AND ({_HOLDS("ensemble")} OR contains(replace(replace(hay, '.', ''), ' ', ''), array_to_string(list_transform(list_filter({_WORDS("ensemble")}, lambda x: length(x) >= 2), lambda x: left(x, 1)), ''))) THEN 1 ELSE 0 END AS grp,
+  regexp_extract(day, '((?:17|18|19|20)[0-9]{{2}})', 1) AS wanted, regexp_extract_all(hay, '(?:19|20)[0-9]{{2}}') AS seen, regexp_matches(lower(text), '&| / | and | with |、') AS joint, regexp_matches(hay, ': i\. ') AS one FROM h),
+t AS (SELECT *, CASE WHEN wm THEN 0.25 ELSE 0 END AS "work_", CASE WHEN catalogue <> '' AND {_HOLDS("catalogue")} THEN 0.12 ELSE 0 END AS "catalogue_", CASE WHEN composer <> '' AND {_NAMED("composer")} THEN 0.08 WHEN composer <> '' AND wm THEN -0.24 ELSE 0 END AS "composer_",
+  CASE WHEN leads > 0 THEN 0.18 + 0.08 * (leads - 1) ELSE 0 END AS leads_, CASE WHEN slots >= 2 AND leads < slots THEN CASE WHEN contains(hay, ' / ') OR regexp_matches(hay, '&| and | with ') THEN -0.24 * (slots - leads) WHEN joint OR regexp_matches(lower(text), ' - |, ') THEN -0.18 * (slots - leads) ELSE 0 END ELSE 0 END AS absent_leads_,
+  CASE WHEN slots >= 2 AND ensemble = '' THEN CASE WHEN leads = slots THEN 0.18 WHEN leads = 1 THEN -0.1 ELSE 0 END ELSE 0 END AS duo_, CASE WHEN grp > 0 THEN 0.15 ELSE 0 END AS groups_, CASE WHEN slots >= 2 AND leads = 1 AND grp > 0 AND wm THEN -0.45 ELSE 0 END AS half_, CASE WHEN wm AND grp > 0 AND leads >= slots THEN 0.06 ELSE 0 END AS all_,
+  CASE WHEN wanted <> '' AND list_contains(seen, wanted) THEN 0.08 WHEN wanted <> '' AND len(seen) > 0 THEN -0.32 ELSE 0 END AS years_, CASE WHEN contains(day, 'May') AND contains(hay, 'may') THEN 0.1 ELSE 0 END AS day_,
+  CASE WHEN catalogue = '' THEN 0 WHEN contains(hay, lower(catalogue)) THEN 0.06 WHEN regexp_matches(hay, '(^|[^a-z0-9])op\. ?[0-9]') AND NOT regexp_matches(hay, '(^|[^a-z0-9])op\. ?' || p_size || '($|[^0-9a-z])') THEN -0.2 ELSE 0 END AS marks_,
+  CASE WHEN one THEN CASE WHEN contains(url, 'apple') AND wm AND leads >= 1 THEN -0.02 WHEN wm AND leads >= 1 THEN -0.08 ELSE -0.34 END WHEN regexp_matches(hay, '(^|{_EDGE})sonatas($|{_EDGE})') THEN CASE WHEN contains(url, 'apple') AND wm AND leads >= 1 THEN 0 WHEN wm AND leads >= 1 THEN -0.12 ELSE -0.34 END WHEN contains(hay, 'complete') THEN 0.04 ELSE 0 END AS kind_,
+  CASE WHEN contains(url, '?p=2') THEN -0.04 ELSE 0 END AS page_, CASE WHEN contains(hay, 'remaster') THEN -0.12 ELSE 0 END AS edition_,
+  CASE WHEN con THEN 900 WHEN contains(work, 'sonata') THEN 720 ELSE 0 END AS least, CASE WHEN contains(hay, 'biography') THEN -0.28 ELSE 0 END AS other_, CASE WHEN work <> '' AND NOT wm THEN -0.22 ELSE 0 END AS no_work_, CASE WHEN leads = 0 THEN -0.1 ELSE 0 END AS no_lead_, CASE WHEN ensemble <> '' AND grp = 0 THEN -0.08 ELSE 0 END AS no_group_ FROM f),
+u AS (SELECT *, CASE WHEN seconds <= 0 OR least <= 0 THEN 0 WHEN seconds >= floor(least * 0.85) THEN CASE WHEN regexp_matches(hay, 'full|complete') THEN 0.05 ELSE 0.02 END WHEN seconds < greatest(240, floor(least * 0.35)) THEN -0.38 WHEN seconds < floor(least * 0.6) THEN -0.18 ELSE 0 END AS length_ FROM t)
+SELECT item, l_orderkey, l_linenumber, {", ".join(f"CAST({x}_ AS DOUBLE) AS {x if x not in ('all',) else chr(34) + x + chr(34)}" for x in _TERMS)}, CAST(round(greatest(0, least(0.97, 0.2 + {" + ".join(f"{x}_" for x in _TERMS)})), 4) AS DOUBLE) AS score FROM u""")
+def recording_scores(t):
+    """How surely a page is the recording that is asked for, term by term (op K1)."""
+    work = {"work": F.col("work"), "work_latin": F.col("work")}
+    drafted = _drafted(t).withColumns({"aliases": scoring.all_aliases(work), "nicknames": scoring.named_aliases(F.col("work"))})
+    rows = t("lineitem").join(t("part"), F.expr("l_partkey = p_partkey")).join(drafted, F.expr("item = p_partkey"))
+    rows = rows.select("item", "l_orderkey", "l_linenumber", *_DRAFT, "aliases", "nicknames", F.expr(_PAGE).alias("text"), F.expr(_LINK).alias("url"), F.expr(_CLOCK).alias("seconds"))
+    none, blank = F.array().cast("array<string>"), F.lit("")
+    slots = F.filter(F.array(F.array("lead_a"), F.array("lead_b")), lambda s: F.get(s, 0) != "")
+    draft = work | {"aliases": F.col("aliases"), "named": F.col("nicknames"), "catalogue": F.col("catalogue"), "composer": F.col("composer"), "composer_latin": F.col("composer"), "title": F.lit("Recital"), "day": F.col("day"), "raw": blank, "slots": slots, "ensembles": F.filter(F.array("ensemble"), lambda x: x != ""), "ensembles_latin": none}
+    known = rows.withColumns(scoring.facts(F.col("text"), F.col("url"), blank, draft))
+    parts = scoring.terms(F.col("text"), F.col("url"), F.col("seconds"), draft, F.size(slots) >= 2)
+    out = known.withColumns({f"t_{k}": v for k, v in parts.items()})
+    score = scoring.total({k: F.col(f"t_{k}") for k in parts})
+    return out.select("item", "l_orderkey", "l_linenumber", *(F.round(F.col(f"t_{k}").cast("double"), 4).alias(k) for k in _TERMS), F.round(score, 4).alias("score"))
