@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators import shared
+
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key by order."""
@@ -39,22 +41,32 @@ def reciprocal_rank_fusion(lists: DataFrame, key: str, list_id: str, rank: str,
     return fused.filter(F.col("occurrences") >= least)
 
 
+def numbered(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """df with `name`, each row's number in its group by order (from 1), and `total`, the group's rows. `order` ends in something unique.
+
+    Rows lie in range partitions of group and order, written once; a partition numbers its own rows and adds what lies before it, so a group of any
+    share of the table is spread over as many tasks as its rows fill. What meets by group is one row for each partition."""
+    parts = shared.written(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    held = parts.groupBy(group, "_part").agg(F.count("*").alias("_held"))
+    w = Window.partitionBy(group)
+    held = held.withColumns({"_before": F.coalesce(F.sum("_held").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("_held").over(w)})
+    own = parts.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    met = own.join(held.drop("_held").withColumnsRenamed({group: "_g", "_part": "_p"}), (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_part") == F.col("_p")))
+    return met.withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part", "_g", "_p")
+
+
 def coverage_merge(df: DataFrame, source: str, key: str, order: list, head: int, limit: int) -> DataFrame:
-    """The first `head` rows of each source come before the rest; each key once; `limit` rows in all."""
-    placed = df.withColumn("_pos", F.row_number().over(Window.partitionBy(source).orderBy(*order)))
-    placed = placed.withColumn("_late", (F.col("_pos") > head).cast("int"))
+    """The first `head` rows of each source come before the rest; each key once; `limit` rows in all. `order` ends in something unique."""
+    placed = numbered(df, source, order, "_pos").withColumn("_late", (F.col("_pos") > head).cast("int"))
     once = placed.groupBy(key).agg(F.min(F.struct("_late", "_pos", source)).alias("s"))
-    ordered = once.select(key, F.col(f"s.{source}").alias(source), F.col("s._late").alias("late"), F.col("s._pos").alias("pos"))
+    ordered = once.select(key, F.col(f"s.{source}").alias(source), F.col("s._late").alias("late"), F.col("s._pos").cast("int").alias("pos"))
     return ordered.orderBy("late", "pos", source, key).limit(limit)
 
 
 def page_of(df: DataFrame, group: str, order: list, size: int) -> DataFrame:
-    """Adds position, page and pages within each group."""
-    w = Window.partitionBy(group)
-    return df.withColumns({
-        "position": F.row_number().over(w.orderBy(*order)),
-        "pages": F.ceil(F.count("*").over(w) / size).cast("bigint"),
-    }).withColumn("page", F.ceil(F.col("position") / size).cast("bigint"))
+    """Adds position, page and pages within each group. `order` ends in something unique."""
+    out = numbered(df, group, order, "position")
+    return out.withColumns({"pages": F.ceil(F.col("total") / size).cast("bigint"), "page": F.ceil(F.col("position") / size).cast("bigint")}).withColumn("position", F.col("position").cast("int")).drop("total")
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
