@@ -251,16 +251,25 @@ def merged_queries(t):
     return rows.merged_queries(_rows(t).drop("host"), 8)
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 10.0 + 8 + 6 WHEN 1 THEN 10.0 + 3 - 4 ELSE -1.0 END::DOUBLE AS name_score, CAST(CASE p_partkey % 3 WHEN 0 THEN 32 + 20 ELSE 16 END + least(p_size / 6.0::DOUBLE, 15.0) + 12 + CASE p_partkey % 3 WHEN 0 THEN 20 ELSE 14 END AS DOUBLE) AS entity_score,
-CASE p_partkey % 4 WHEN 0 THEN 1850 WHEN 1 THEN -3 END::BIGINT AS year, CASE p_partkey % 4 WHEN 0 THEN 'a|b' ELSE '' END AS names FROM part""")
+_ZH = "concat(CASE p_partkey % 3 WHEN 0 THEN '贝多芬' WHEN 1 THEN ' 海 顿' ELSE p_type END, CASE p_size % 7 WHEN 0 THEN '·路易' WHEN 1 THEN '曲' WHEN 2 THEN '是作曲家' WHEN 3 THEN ' (x) ' WHEN 4 THEN ': 百' WHEN 5 THEN '是' ELSE '百度百科' END)"
+_KIND = "CASE p_partkey % 5 WHEN 0 THEN 'wikimedia-commons' WHEN 1 THEN 'wikipedia' WHEN 2 THEN 'baidu-baike' WHEN 3 THEN 'llm' ELSE p_type END"
+_PATCH = "CASE p_partkey % 4 WHEN 0 THEN concat(' ', p_size, ' ') WHEN 1 THEN concat('-', p_size) WHEN 2 THEN concat(p_size, '.5') ELSE p_name END"
+_LINES = "concat(p_name, chr(13), chr(10), '  ', chr(10), ' ', p_type, CASE WHEN p_size % 2 = 0 THEN chr(10) ELSE '' END)"
+_RARE = "是|为|由|系|位于|成立于|创建于|创立于"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_size, p_type, p_brand, {_ZH} AS raw, {_KIND} AS kind, trim({_PATCH}) AS patch, {_LINES} AS lines FROM part),
+n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\([^()]{{0,80}}\\)', ' ', 'g'), '[,:;|].*$', ''), '百度百科', '', 'g'), '({_RARE}|于).*$', ''), '\\s+', '', 'g') AS name FROM t)
+SELECT p_partkey, CASE WHEN contains(raw, '百度百科') OR regexp_matches(raw, '(?:{_RARE}).{{2,}}') OR NOT regexp_matches(name, '^[\\x{{3400}}-\\x{{9fff}}路·]{{2,24}}$') THEN -1.0::DOUBLE ELSE CAST(p_size + CASE WHEN regexp_matches(name, '[路·]') THEN 8 ELSE 0 END + least(length(name), 16) - CASE WHEN name = '海顿曲' THEN 4 ELSE 0 END AS DOUBLE) END AS name_score,
+CAST(CASE kind WHEN 'wikimedia-commons' THEN 36 WHEN 'wikipedia' THEN 32 WHEN 'baidu-baike' THEN 30 WHEN 'llm' THEN 28 ELSE 16 END + CASE WHEN p_partkey % 2 = 0 THEN 20 ELSE 0 END + least(length(p_type) * (p_size % 20) / 6.0::DOUBLE, 15.0) + p_size % 7 * 6 + floor(CASE WHEN p_partkey % 6 = 0 THEN 0.55::DOUBLE ELSE (p_partkey % 11) / 10.0::DOUBLE END * 25 + 0.5) AS DOUBLE) AS entity_score,
+CASE WHEN regexp_matches(patch, '^-?[0-9]+$') THEN TRY_CAST(patch AS BIGINT) END AS year, array_to_string(list_filter(list_transform(regexp_split_to_array(lines, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names FROM n""")
 def source_scores(t):
     """Scores of Chinese names and of sources of data, and texts of patches put in shape (ops K4 without the adjustments by field, K6, P22)."""
-    k, j, m = (F.col("p_partkey") % n for n in (5, 3, 4))
-    name = F.when(k == 0, "贝多芬·路易 (x): y").when(k == 1, " 海 顿曲").when(k == 2, "他是作曲家").when(k == 3, "百度百科").otherwise("Haydn")
-    text = F.when(m == 0, " 1850 ").when(m == 1, "-3").when(m == 2, "3.5").otherwise(F.lit(None).cast("string"))
-    score = names.entity_score(F.when(j == 0, "wikipedia").otherwise("?"), F.when(j == 0, "i"), F.repeat(F.lit("x"), F.col("p_size")), F.lit(2), F.when(j == 0, 0.8))
-    lines = F.array_join(proposals.patch_list(F.when(m == 0, "a\r\n \n b")), "|")
-    return t("part").select("p_partkey", names.chinese_name_score(name, F.lit(10.0), F.lit("海顿曲")).alias("name_score"), score.cast("double").alias("entity_score"), proposals.patch_integer(text).alias("year"), lines.alias("names"))
+    p = F.col("p_partkey")
+    sure = F.when(p % 6 != 0, (p % 11) / 10)
+    score = names.entity_score(F.expr(_KIND), F.when(p % 2 == 0, F.col("p_brand")), F.expr("repeat(p_type, CAST(p_size % 20 AS INT))"), F.col("p_size") % 7, sure)
+    lines = F.array_join(proposals.patch_list(F.expr(_LINES)), "|")
+    return t("part").select("p_partkey", names.chinese_name_score(F.expr(_ZH), F.col("p_size").cast("double"), F.lit("海顿曲")).alias("name_score"), score.cast("double").alias("entity_score"), proposals.patch_integer(F.expr(_PATCH)).alias("year"), lines.alias("names"))
 
 
 @query("""SELECT o_orderkey, '/columns/' || o_orderkey || '/' AS href, strftime(o_orderdate, '%Y-%m-%d') AS updated FROM orders WHERE o_orderstatus <> 'P' ORDER BY updated DESC, o_orderkey LIMIT 10""")

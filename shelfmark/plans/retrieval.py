@@ -30,13 +30,21 @@ def text_keys(t):
     )
 
 
-@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Anna von der Berg' WHEN 1 THEN '' WHEN 2 THEN 'José Díaz,Jose Diaz' ELSE '' END AS variants, CASE s_suppkey % 4 WHEN 1 THEN 'Herbert Karajan' ELSE '' END AS latin,
-CASE s_suppkey % 4 WHEN 0 THEN 'Anna Maria von der Berg' WHEN 1 THEN '卡拉扬' WHEN 2 THEN 'José Maria Díaz' ELSE 'Max Muster' END AS bare FROM supplier""")
+_PERSON = "concat(CASE s_suppkey % 3 WHEN 0 THEN 'José' ELSE 'Anna' END, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' Maria von der' WHEN 2 THEN ' de  la Luz' WHEN 3 THEN ' Van den' ELSE ' M. X.' END, ' ', CASE s_suppkey % 7 WHEN 0 THEN '卡拉扬' WHEN 1 THEN 'Díaz' ELSE concat('Berg', substr(s_name, 18)) END)"
+_NOTED = "concat(CASE s_suppkey % 2 WHEN 0 THEN '卡拉扬' ELSE 'Chor' END, CASE s_suppkey % 4 WHEN 0 THEN concat(' (EN: Herbert ', substr(s_name, 16), ')') WHEN 1 THEN concat(', en： Choir ', s_suppkey) WHEN 2 THEN ' （EN: none）' ELSE ' (x)' END)"
+_PARTS = f"list_filter(regexp_split_to_array(trim({_PERSON}), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH p AS (SELECT s_suppkey, {_PARTS} AS w, trim({_PERSON}) AS whole, trim({_NOTED}) AS noted FROM supplier),
+k AS (SELECT *, array_to_string(w[2:-2], ' ') AS mid FROM p), s AS (SELECT *, w[1] || CASE WHEN len(w) > 2 THEN regexp_extract(' ' || mid, '(?i)((?: (?:{"|".join(names.SURNAME_PARTICLES)}))*)$', 1) ELSE '' END || CASE WHEN len(w) > 1 THEN ' ' || w[-1] ELSE '' END AS short FROM k),
+e AS (SELECT *, trim(regexp_extract(noted, '(?i)EN\\s*[:：]\\s*([^()]+?)(?:\\)|$)', 1)) AS found FROM s), f AS (SELECT *, regexp_replace(found, '^[ ,;|)]+|[ ,;|)]+$', '', 'g') AS bare_en FROM e)
+SELECT s_suppkey, CASE WHEN regexp_matches(whole, '[A-Za-z]') AND NOT regexp_matches(whole, '[\\x{{4e00}}-\\x{{9fff}}]') AND len(w) >= 3 AND short <> whole THEN array_to_string(list_distinct([short]) || CASE WHEN strip_accents(short) <> short THEN [strip_accents(short)] ELSE [] END, ',') ELSE '' END AS variants,
+CASE WHEN bare_en <> '' AND regexp_matches(bare_en, '[A-Za-z]') AND NOT regexp_matches(bare_en, '[\\x{{4e00}}-\\x{{9fff}}]') THEN bare_en ELSE '' END AS latin,
+trim(regexp_replace(trim(regexp_replace(noted, '(?i)\\(\\s*EN\\s*[:：].*?\\)', '', 'g')), '(?i)[,，]\\s*EN\\s*[:：].*$', '')) AS bare FROM f""")
 def latin_variants(t):
     """Short forms of Latin names with their particles, without accents, and names that annotations give (ops F15, F20, F7)."""
-    k = F.col("s_suppkey") % 4
-    c = F.when(k == 0, "Anna Maria von der Berg").when(k == 1, "卡拉扬 (EN: Herbert Karajan)").when(k == 2, "José Maria Díaz").otherwise("Max Muster")
-    return t("supplier").select("s_suppkey", F.array_join(names.condensed_latin(c), ",").alias("variants"), matching.explicit_latin(c).alias("latin"), matching.without_annotations(c).alias("bare"))
+    c = F.expr(_NOTED)
+    return t("supplier").select("s_suppkey", F.array_join(names.condensed_latin(F.expr(_PERSON)), ",").alias("variants"), matching.explicit_latin(c).alias("latin"), matching.without_annotations(c).alias("bare"))
 
 
 _TOK = lambda c: f"list_filter(string_split_regex({c}, '[^a-z0-9]+'), lambda t: length(t) >= 2 OR regexp_matches(t, '^[0-9]+$'))"
@@ -90,13 +98,20 @@ def title_quality(t):
     return t("part").select("p_partkey", F.round(q, 4).alias("quality"), matching.year_conflict(title, years).alias("conflict"), z["zone"].alias("zone"), z["note"].alias("note"))
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 2 + 2 ELSE 0 END + 3 - CASE WHEN p_partkey % 3 = 1 THEN 5 ELSE 0 END END AS INTEGER) AS score FROM part""")
+#: A page's text and what is looked for in it: work, composer, lead, orchestra, year.
+_SEEN = "CASE WHEN p_partkey % 13 = 5 THEN ' - ' ELSE concat(p_name, '; ', CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END, ' (', 1950 + p_size % 6, ')', CASE p_partkey % 4 WHEN 0 THEN ', was born' WHEN 1 THEN ' live, born' WHEN 2 THEN ' 作曲家生平' ELSE '' END) END"
+_SOUGHT = ("CASE WHEN p_partkey % 2 = 0 THEN concat('Large ', p_type) ELSE 'zzz.' END", "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('Herr ', upper(split_part(p_name, ' ', 1))) END", "concat('Solti/', p_brand)", "CASE WHEN p_partkey % 5 = 0 THEN concat('Big [', split_part(p_name, ' ', 2), ']') ELSE 'Chicago' END", "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE CAST(1950 + p_partkey % 6 AS STRING) END")
+_BLANKED = lambda c: f"trim(regexp_replace(lower({c}), '[\\s·:：;；,.，。''\"`()\\[\\]{{}}<>|/\\\\_-]+', ' ', 'g'))"
+_HIT = lambda c: f"len(list_filter(string_split({_BLANKED(c)}, ' '), lambda x: x <> '' AND contains(hay, x))) > 0"
+
+
+@query(f"""WITH t AS (SELECT *, {_BLANKED(_SEEN)} AS hay FROM part)
+SELECT p_partkey, CAST(CASE WHEN hay = '' THEN 0 ELSE {" + ".join(f"CASE WHEN {_HIT(c)} THEN {n} ELSE 0 END" for c, n in zip(_SOUGHT[:4], (4, 2, 3, 2)))} + CASE WHEN {_SOUGHT[4]} <> '' AND contains(hay, {_SOUGHT[4]}) THEN 2 ELSE 0 END
+- CASE WHEN regexp_matches(hay, 'biography|born|composer|founded|首席指挥|作曲家生平|担任') AND NOT regexp_matches(hay, 'album|recording|symphony|concert|live|交响曲|录音|演出') THEN 5 ELSE 0 END END AS INTEGER) AS score FROM t""")
 def simple_matches(t):
     """Matches of a text by any word of work, composer, leads, orchestra and year (op K3)."""
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, F.concat("p_name", F.lit(" Haydn, Solti: 1980 live; born"))).when(k == 1, F.concat("p_name", F.lit(" solti was born"))).otherwise(" - ")
-    work = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("zzz")
-    return t("part").select("p_partkey", matching.simple_match(text, work, F.lit("Joseph HAYDN"), F.array(F.lit("Georg Solti")), F.array(F.lit("Chicago")), F.lit("1980")).alias("score"))
+    work, composer, lead, orchestra, year = map(F.expr, _SOUGHT)
+    return t("part").select("p_partkey", matching.simple_match(F.expr(_SEEN), work, composer, F.array(lead), F.array(orchestra), year).alias("score"))
 
 
 _CAND = """SELECT l_orderkey AS item, l_linenumber AS pos, ['youtube', 'bilibili', 'apple_music', 'other'][CAST(l_suppkey % 4 AS INTEGER) + 1] AS platform, ['green', 'yellow', 'red'][CAST(l_partkey % 3 AS INTEGER) + 1] AS zone,
