@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import matching, names, works
@@ -59,13 +59,14 @@ def all_aliases(d: dict[str, Column]) -> Column:
     return F.array_distinct(F.concat(works.aliases(d["work_latin"]), works.aliases(d["work"])))
 
 
-def facts(text: Column, url: Column, uploader: Column, d: dict[str, Column]) -> dict[str, Column]:
-    """What terms of a score ask, as columns that are worth keeping: h_hay, h_work (the work is named), h_leads (how many leads are), h_slots, h_groups, h_years
+def with_facts(df: DataFrame, text: Column, url: Column, uploader: Column, d: dict[str, Column]) -> DataFrame:
+    """df with what terms of a score ask, as columns that are worth keeping: h_hay, h_work (the work is named), h_leads (how many leads are), h_slots, h_groups, h_years
     (hit: 1, another: -1, none: 0), h_sparse (a collaboration that the draft's title alone tells).
 
     d: work, work_latin, catalogue, composer, composer_latin, title, day, raw (texts), slots (names of each lead), ensembles, ensembles_latin; and, where a
     draft has many pages, aliases (all_aliases) and named (named_aliases), worked out once for each draft before the pages are joined."""
-    hay = matching.plain(F.concat_ws(" ", trimmed(text), trimmed(url), trimmed(uploader)))
+    hay = F.col("h_hay")
+    df = df.withColumn("h_hay", matching.plain(F.concat_ws(" ", trimmed(text), trimmed(url), trimmed(uploader))))
     any_text = F.coalesce(F.nullif(trimmed(d["work_latin"]), F.lit("")), trimmed(d["work"]))
     aliases, named = d.get("aliases", all_aliases(d)), d.get("named", named_aliases(d["work_latin"], d["work"]))
     slots = F.coalesce(d["slots"], F.array().cast("array<array<string>>"))
@@ -75,16 +76,16 @@ def facts(text: Column, url: Column, uploader: Column, d: dict[str, Column]) ->
     years = F.when((F.size(wanted) > 0) & (F.size(seen) > 0), F.when(F.arrays_overlap(wanted, seen), 1).otherwise(-1)).otherwise(0)
     spare = F.exists(F.slice(slots, F.lit(2), F.greatest(F.size(slots) - 1, F.lit(0))), lambda s: ~F.exists(s, names.looks_latin) & F.exists(s, names.holds_cjk))
     parted = F.size(F.filter(F.split(trimmed(d["title"]), " - "), lambda x: trimmed(x) != "")) >= 2
-    return {
-        "h_hay": hay, "h_work": matching.holds(hay, matching.tokens(any_text)) | matching.holds(hay, matching.tokens(matching.without_catalogue(any_text))) | F.exists(aliases, lambda a: F.contains(hay, a)), "h_asks": F.size(aliases) > 0,
+    return df.withColumns({
+        "h_work": matching.holds(hay, matching.tokens(any_text)) | matching.holds(hay, matching.tokens(matching.without_catalogue(any_text))) | F.exists(aliases, lambda a: F.contains(hay, a)), "h_asks": F.size(aliases) > 0,
         "h_leads": F.size(F.filter(slots, lambda s: F.exists(s, lambda v: matching.name_matches(hay, v)))), "h_slots": F.size(slots), "h_groups": F.size(F.filter(groups, lambda g: matching.ensemble_matches(hay, g))), "h_years": years,
         "h_sparse": (collaboration(d["title"]) | parted) & (F.size(slots) >= 2) & spare, "h_named": F.exists(named, lambda a: F.contains(hay, a)), "h_joint": collaboration(text),
         "h_single": is_single_movement(hay), "h_several": hay.rlike("(?i)" + "|".join(f"(?:{p})" for p in SEVERAL)), "h_tracks": has_tracklist(hay),
-    }
+    })
 
 
 def terms(text: Column, url: Column, seconds: Column, d: dict[str, Column], secondary: Column) -> dict[str, Column]:
-    """The terms of the score, over the columns of facts; their sum, from 0 to 0.97, is the score. secondary: the draft names secondary people."""
+    """The terms of the score, over the columns of with_facts; their sum, from 0 to 0.97, is the score. secondary: the draft names secondary people."""
     c, when = F.col, F.when
     hay, work, leads, slots, groups, sparse, joint = c("h_hay"), c("h_work"), c("h_leads"), c("h_slots"), c("h_groups"), c("h_sparse"), c("h_joint")
     composers = F.filter(F.array(trimmed(d["composer_latin"]), trimmed(d["composer"])), lambda x: x != "")

@@ -197,7 +197,7 @@ def second_pass_probes(t):
 @query(f"""WITH {_POOL}, {_TRIGGERS}, {_PROBES},
 worded AS (SELECT item, list_filter(regexp_split_to_array({_PLAIN.format("query")}, '[^a-z0-9{_CJK}]+'), lambda x: length(x) >= 2 OR regexp_matches(x, '^[0-9]+$')) AS w FROM asked),
 second AS (SELECT DISTINCT item, url FROM hays JOIN worded USING (item) WHERE len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(hay, x))) = 0),
-both_rows AS (SELECT hays.*, CASE WHEN line <= 2 THEN 1 ELSE 2 END AS pass FROM hays LEFT JOIN second s USING (item, url) WHERE line <= 2 OR s.url IS NOT NULL),
+both_rows AS (SELECT hays.*, CASE WHEN line <= 2 THEN 1 ELSE 2 END AS pass FROM hays LEFT JOIN second s USING (item, url) WHERE line <= 2 OR s.url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item, url ORDER BY pass, text) = 1),
 bundles AS (SELECT item, url FROM both_rows JOIN triggers USING (item) WHERE (duo OR solo) AND len(duo_tokens) >= 2 AND {_said("hay", "complete", "全集")} AND {_said("hay", *second_pass.BUNDLES)} AND len(list_filter(duo_tokens, lambda x: contains(hay, x))) >= 2
   QUALIFY row_number() OVER (PARTITION BY item ORDER BY NOT contains(hay, 'complete'), length(trim(text)), url) = 1)
 SELECT item, url, text, pass, bundles.url IS NOT NULL AS promoted FROM both_rows LEFT JOIN bundles USING (item, url)""")
@@ -369,7 +369,7 @@ def recording_scores(t):
     none, blank = F.array().cast("array<string>"), F.lit("")
     slots = F.filter(F.array(F.array("lead_a"), F.array("lead_b")), lambda s: F.get(s, 0) != "")
     draft = work | {"aliases": F.col("aliases"), "named": F.col("nicknames"), "catalogue": F.col("catalogue"), "composer": F.col("composer"), "composer_latin": F.col("composer"), "title": F.lit("Recital"), "day": F.col("day"), "raw": blank, "slots": slots, "ensembles": F.filter(F.array("ensemble"), lambda x: x != ""), "ensembles_latin": none}
-    known = rows.withColumns(scoring.facts(F.col("text"), F.col("url"), blank, draft))
+    known = scoring.with_facts(rows, F.col("text"), F.col("url"), blank, draft)
     parts = scoring.terms(F.col("text"), F.col("url"), F.col("seconds"), draft, F.size(slots) >= 2)
     out = known.withColumns({f"t_{k}": v for k, v in parts.items()})
     score = scoring.total({k: F.col(f"t_{k}") for k in parts})
