@@ -40,17 +40,17 @@ def alias_closure(links: DataFrame) -> DataFrame:
     return entered.union(cycle.select("alias", F.col("alias").alias("canonical")))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, most: int, head: int = 0) -> DataFrame:
     """(a, name_a, b, name_b, distance): pairs of left and right (id, name) within `most` edits. Names are told apart by a prefix of their rarest
     two-letter grams (the first, second ... of a kind told apart): an edit changes two grams at most, so names within `most` share one of the
     2 * most + 1 rarest of each. Names so short that edits may leave no common gram are not for this join: they must have more than
     2 * most + 1 characters.
 
-    A frequent gram meets only where it is among a name's rarest; there is no block that everybody shares unless all names are alike."""
+    head: pairs must share so many first characters; grams then count within names of one head alone. A frequent gram meets only where it is among a name's rarest; there is no block that everybody shares unless all names are alike."""
     def tokens(df: DataFrame) -> DataFrame:
         grams = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, 2))
         held = df.select("id", "name").filter(F.length("name") > 2 * most + 1).withColumn("g", grams)
-        nth = F.transform("g", lambda g, i: F.concat(g, F.size(F.filter(F.slice("g", 1, i), lambda x: x == g)).cast("string")))
+        nth = F.transform("g", lambda g, i: F.concat(F.substring("name", 1, head), g, F.size(F.filter(F.slice("g", 1, i), lambda x: x == g)).cast("string")))
         return held.select("id", "name", F.explode(nth).alias("t"))
 
     a, b = tokens(left), tokens(right)
@@ -68,7 +68,7 @@ def near_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
 def near_names(df: DataFrame, key: str, name: Column, prefix: int = 8, least: int = 12, most: int = 2) -> DataFrame:
     """(a, b, distance): names of at least `least` characters with one prefix and `most` edits at most, by near_pairs."""
     n = df.select(F.col(key).alias("id"), name.alias("name")).filter(F.length("name") >= least)
-    near = near_pairs(n, n, most).filter((F.col("a") < F.col("b")) & (F.substring("name_a", 1, prefix) == F.substring("name_b", 1, prefix)))
+    near = near_pairs(n, n, most, prefix).filter(F.col("a") < F.col("b"))
     return near.select("a", "b", "distance").distinct()
 
 
