@@ -273,7 +273,7 @@ l0 AS (SELECT item, list(hinted ORDER BY place) AS l FROM (SELECT * FROM line QU
 
 @query(_plan_sql(hosts.CHINESE))
 def host_plan(t):
-    """Ten queries of each item for a host of the first kind: slices of its generators, anchors in their slots (ops R8a, R8d, J25)."""
+    """Ten queries of each item for a host of the first kind: slices of its generators, anchors in their slots, the rest by fit (ops R8a, R8d, O8, J25)."""
     return hosts.planned(generated(t), drafts(t), hosts.CHINESE)
 
 
