@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keyed import first_per_key
@@ -62,16 +62,18 @@ def warning_signature(c: Column) -> Column:
     return out
 
 
-def warning_corpus(warnings: DataFrame, most: int = 20) -> DataFrame:
-    """signature, n, texts (how many different), examples (the `most` smallest of them), statuses (status -> count) of warnings (text, status); the most
-    frequent first is the reader's to order. A signature of very many texts keeps no more of them than `most` in each task, and in the outcome."""
-    each = warnings.select(warning_signature(F.col("text")).alias("signature"), "text", "status").groupBy("signature", "text", "status").agg(F.count("*").alias("k"))
-    per = each.groupBy("signature", "status").agg(F.sum("k").alias("k"))
-    counts = per.groupBy("signature").agg(F.sum("k").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "k")))).alias("statuses"))
-    texts = each.select("signature", "text").distinct()
-    first = texts.withColumn("_r", F.row_number().over(Window.partitionBy("signature").orderBy("text"))).filter(F.col("_r") <= most)
-    shown = first.groupBy("signature").agg(F.array_sort(F.collect_list("text")).alias("examples"))
-    return counts.join(texts.groupBy("signature").agg(F.count("*").alias("texts")), "signature").join(shown, "signature").select("signature", "n", "texts", "examples", "statuses")
+def warning_texts(warnings: DataFrame) -> DataFrame:
+    """signature, text, status, k: every different text of warnings (text, status) by its signature, with how often it is there; all of them, as rows."""
+    return warnings.select(warning_signature(F.col("text")).alias("signature"), "text", "status").groupBy("signature", "text", "status").agg(F.count("*").alias("k"))
+
+
+def warning_corpus(warnings: DataFrame) -> DataFrame:
+    """signature, n, texts (how many different), first_text (the smallest), statuses (status -> count) of warnings (text, status); the most frequent first
+    is the reader's to order. The texts themselves, all of them, are the rows of warning_texts, so that no row grows with them."""
+    each = warning_texts(warnings)
+    per = each.groupBy("signature", "text").agg(F.sum("k").alias("k")).groupBy("signature").agg(F.sum("k").alias("n"), F.count("*").alias("texts"), F.min("text").alias("first_text"))
+    statuses = each.groupBy("signature", "status").agg(F.sum("k").alias("k")).groupBy("signature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "k")))).alias("statuses"))
+    return per.join(statuses, "signature").select("signature", "n", "texts", "first_text", "statuses")
 
 
 def alignment(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -> DataFrame:

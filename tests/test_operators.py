@@ -204,3 +204,11 @@ def test_side_files_and_snapshots(spark, tmp_path):
     library.record_stage(rows, str(tmp_path / "snap"))
     items = spark.createDataFrame([("i",), ("j",)], "item_id string")
     assert {r.item_id: r.payloads for r in library.replayed(spark, str(tmp_path / "snap"), items, "s").collect()} == {"i": ["a", "b"], "j": []}
+
+
+def test_warnings_keep_all_their_texts(spark):
+    from shelfmark.operators import evidence
+
+    rows = spark.createDataFrame([(f"第{i}条URL", "ok" if i % 2 else "open") for i in range(30) for _ in range(2)], "text string, status string")
+    assert [tuple(r) for r in evidence.warning_corpus(rows).collect()] == [("第#条URL", 60, 30, "第0条URL", {"ok": 30, "open": 30})]
+    assert {r["text"] for r in evidence.warning_texts(rows).collect()} == {f"第{i}条URL" for i in range(30)}
