@@ -212,3 +212,9 @@ def test_warnings_keep_all_their_texts(spark):
     rows = spark.createDataFrame([(f"第{i}条URL", "ok" if i % 2 else "open") for i in range(30) for _ in range(2)], "text string, status string")
     assert [tuple(r) for r in evidence.warning_corpus(rows).collect()] == [("第#条URL", 60, 30, "第0条URL", {"ok": 30, "open": 30})]
     assert {r["text"] for r in evidence.warning_texts(rows).collect()} == {f"第{i}条URL" for i in range(30)}
+
+
+def test_near_names_tell_copies_by_their_class(spark):
+    rows = [(i, "anna maria sopranino") for i in range(50)] + [(100 + i, "anna maria soprano") for i in range(50)] + [(200, "anna maria baritone")]
+    got = {(r.a, r.b): r.distance for r in resolve.near_names(spark.createDataFrame(rows, "id long, name string"), "id", F.col("name")).collect()}
+    assert got == {(0, i): 0 for i in range(1, 50)} | {(100, 100 + i): 0 for i in range(1, 50)} | {(0, 100): 2}
