@@ -51,6 +51,23 @@ def name_matches(haystack: Column, value: Column) -> Column:
     return holds(haystack, words) | ((F.length(last) >= 4) & F.contains(haystack, last)) | ((F.size(words) >= 2) & F.rlike(haystack, pattern))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is asked for."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def known_names(values: Column) -> Column:
+    """What known_name_matches asks of each name: its words, the last of them, the pattern of its initials."""
+    pattern = lambda w: F.concat(F.lit(r"(?i)\b"), F.array_join(F.transform(w, lambda t: F.substring(t, 1, 1)), r"[\.\s]+"), F.lit(r"\.?\b"))
+    return F.transform(F.transform(values, tokens), lambda w: F.struct(w.alias("words"), F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit("")).alias("last"), pattern(w).alias("initials")))
+
+
+def known_name_matches(haystack: Column, name: Column) -> Column:
+    """name_matches of one of known_names."""
+    words, last = name["words"], name["last"]
+    return holds(haystack, words) | ((F.length(last) >= 4) & F.contains(haystack, last)) | ((F.size(words) >= 2) & F.rlike(haystack, name["initials"]))
+
+
 def acronym(words: Column) -> Column:
     """First letters of words of two characters at least; '' for fewer than two such words."""
     long = F.filter(words, lambda t: F.length(t) >= 2)
@@ -69,27 +86,48 @@ def ensemble_matches(haystack: Column, value: Column) -> Column:
     )
 
 
+def known_ensembles(values: Column) -> Column:
+    """What known_ensemble_matches asks of each ensemble: its words, those that others do not share, its acronym, and the acronym that it is, or ''."""
+    def facts(x: Column) -> Column:
+        bare, own = x["bare"], F.filter(x["words"], lambda t: ~t.isin(*SHARED_WORDS))
+        is_acronym = (F.length(bare) >= 2) & (F.length(bare) <= 6) & bare.rlike(r"^\p{L}+$") & (F.upper(bare) == bare)
+        return F.struct(x["words"].alias("words"), own.alias("own"), acronym(x["words"]).alias("short"), F.when(is_acronym, F.lower(bare)).otherwise("").alias("bare"))
+
+    return F.transform(F.transform(values, lambda v: F.struct(tokens(v).alias("words"), F.regexp_replace(trimmed(v), r"[. ]", "").alias("bare"))), facts)
+
+
+def known_ensemble_matches(haystack: Column, e: Column) -> Column:
+    """ensemble_matches of one of known_ensembles."""
+    row = F.array_join(F.transform(F.filter(tokens(haystack), lambda t: F.length(t) >= 2), lambda t: F.substring(t, 1, 1)), "")
+    return (F.size(e["words"]) > 0) & (
+        holds(haystack, e["words"]) | holds(haystack, e["own"]) | ((e["short"] != "") & F.contains(F.regexp_replace(haystack, "[. ]", ""), e["short"])) | ((e["bare"] != "") & F.contains(row, e["bare"]))
+    )
+
+
 def without_catalogue(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(trimmed(c), CATALOGUE_NUMBER, ""), r"^[ ,.;:-]+|[ ,.;:-]+$", "")
 
 
+def marks_in(text: Column) -> Column:
+    """'op57', 'k331' ... that a plain text holds."""
+    found = F.regexp_extract_all(text, F.lit(rf"\b(?:{'|'.join(CATALOGUES)})\s*\.?\s*[0-9]+[a-z]?\b"), 0)
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[\s.]+", "")))
+
+
 def catalogue_marks(c: Column) -> Column:
     """'op57', 'k331' ... that a text holds."""
-    text = plain(c)
+    return marks_in(plain(c))
 
-    def of(prefix: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(rf"\b{prefix}\s*\.?\s*([0-9]+[a-z]?)\b"), 1), lambda x: F.concat(F.lit(prefix), x))
 
-    return F.array_distinct(F.concat(*map(of, CATALOGUES)))
+def known_catalogue_fit(mark: Column, own: Column, haystack: Column) -> Column:
+    """catalogue_fit of a mark that is plain, its own marks, and a plain text."""
+    others = let(marks_in(haystack), lambda seen: (F.size(seen) > 0) & ~F.arrays_overlap(own, seen))
+    return F.when(mark == "", 0.0).when(F.contains(haystack, mark), 0.06).when(F.size(own) == 0, 0.0).when(others, -0.2).otherwise(0.0)
 
 
 def catalogue_fit(catalogue: Column, haystack: Column) -> Column:
     """0.06 if the mark is there, -0.2 if only others are, else 0."""
-    own, seen = catalogue_marks(catalogue), catalogue_marks(haystack)
-    return (
-        F.when(plain(catalogue) == "", 0.0).when(F.contains(haystack, plain(catalogue)), 0.06)
-        .when((F.size(own) > 0) & (F.size(seen) > 0) & ~F.arrays_overlap(own, seen), -0.2).otherwise(0.0)
-    )
+    return known_catalogue_fit(plain(catalogue), catalogue_marks(catalogue), haystack)
 
 
 def least_seconds(title: Column, latin: Column) -> Column:

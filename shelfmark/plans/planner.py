@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import drafts as D
 from shelfmark.functions import names, queries, scoring
 from shelfmark.operators import host_plan as hosts
-from shelfmark.operators import query_choice, second_pass
+from shelfmark.operators import query_choice, second_pass, shared
 
 from .catalogue import query
 
@@ -27,7 +27,7 @@ _TEXTS = (
 
 def searches(t):
     """item, position, query: some fifteen queries of each part, in another order for each."""
-    each = t("part").select(F.col("p_partkey").alias("item"), F.posexplode(F.array(*map(F.expr, _TEXTS))).alias("k", "query"))
+    each = shared.spread(t("part"), "p_partkey").select(F.col("p_partkey").alias("item"), F.posexplode(F.array(*map(F.expr, _TEXTS))).alias("k", "query"))
     return each.filter("(item + k * k) % 4 <> 0").select("item", F.expr("(k * 7 + item * 3) % 23").alias("position"), "query")
 
 
@@ -292,7 +292,7 @@ _DRAFT = {
 
 
 def _drafted(t):
-    rows = t("part").select(F.col("p_partkey").alias("item"), *(F.expr(e).alias(n) for n, e in _DRAFT.items()))
+    rows = shared.spread(t("part"), "p_partkey").select(F.col("p_partkey").alias("item"), *(F.expr(e).alias(n) for n, e in _DRAFT.items()))
     return rows.withColumn("named", D.work_query(F.col("work"), F.lit(""), F.col("catalogue"), F.col("title")))
 
 
@@ -362,15 +362,17 @@ u AS (SELECT *, CASE WHEN seconds <= 0 OR least <= 0 THEN 0 WHEN seconds >= floo
 SELECT item, l_orderkey, l_linenumber, {", ".join(f"CAST({x}_ AS DOUBLE) AS {x if x not in ('all',) else chr(34) + x + chr(34)}" for x in _TERMS)}, CAST(round(greatest(0, least(0.97, 0.2 + {" + ".join(f"{x}_" for x in _TERMS)})), 4) AS DOUBLE) AS score FROM u""")
 def recording_scores(t):
     """How surely a page is the recording that is asked for, term by term (op K1)."""
-    work = {"work": F.col("work"), "work_latin": F.col("work")}
-    drafted = _drafted(t).withColumns({"aliases": scoring.all_aliases(work), "nicknames": scoring.named_aliases(F.col("work"))})
-    rows = t("lineitem").join(t("part"), F.expr("l_partkey = p_partkey")).join(drafted, F.expr("item = p_partkey"))
-    rows = rows.select("item", "l_orderkey", "l_linenumber", *_DRAFT, "aliases", "nicknames", F.expr(_PAGE).alias("text"), F.expr(_LINK).alias("url"), F.expr(_CLOCK).alias("seconds"))
     none, blank = F.array().cast("array<string>"), F.lit("")
     slots = F.filter(F.array(F.array("lead_a"), F.array("lead_b")), lambda s: F.get(s, 0) != "")
-    draft = work | {"aliases": F.col("aliases"), "named": F.col("nicknames"), "catalogue": F.col("catalogue"), "composer": F.col("composer"), "composer_latin": F.col("composer"), "title": F.lit("Recital"), "day": F.col("day"), "raw": blank, "slots": slots, "ensembles": F.filter(F.array("ensemble"), lambda x: x != ""), "ensembles_latin": none}
-    known = scoring.with_facts(rows, F.col("text"), F.col("url"), blank, draft)
-    parts = scoring.terms(F.col("text"), F.col("url"), F.col("seconds"), draft, F.size(slots) >= 2)
-    out = known.withColumns({f"t_{k}": v for k, v in parts.items()})
+    work = {"work": F.col("work"), "work_latin": F.col("work"), "catalogue": F.col("catalogue"), "composer": F.col("composer"), "composer_latin": F.col("composer"), "title": F.lit("Recital"), "day": F.col("day"), "raw": blank}
+    draft = work | {"slots": slots, "ensembles": F.filter(F.array("ensemble"), lambda x: x != ""), "ensembles_latin": none}
+    # what is told by the draft alone is worked out for each draft, the rest for each page; both are dealt by draft
+    drafted = _drafted(t).withColumn("known", scoring.known(draft))
+    named = shared.spread(t("part"), "p_partkey").join(drafted, F.expr("item = p_partkey"))
+    rows = shared.spread(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey").join(named, F.expr("l_partkey = p_partkey"))
+    rows = rows.select("item", "l_orderkey", "l_linenumber", "known", F.expr(_PAGE).alias("text"), F.expr(_LINK).alias("url"), F.expr(_CLOCK).alias("seconds"))
+    facts = scoring.with_facts(rows, F.col("text"), F.col("url"), blank, F.col("known"))
+    parts = scoring.terms(F.col("seconds"), F.size("known.slots") >= 2)
+    out = facts.withColumns({f"t_{k}": v for k, v in parts.items()})
     score = scoring.total({k: F.col(f"t_{k}") for k in parts})
     return out.select("item", "l_orderkey", "l_linenumber", *(F.round(F.col(f"t_{k}").cast("double"), 4).alias(k) for k in _TERMS), F.round(score, 4).alias("score"))

@@ -218,3 +218,17 @@ def test_near_names_tell_copies_by_their_class(spark):
     rows = [(i, "anna maria sopranino") for i in range(50)] + [(100 + i, "anna maria soprano") for i in range(50)] + [(200, "anna maria baritone")]
     got = {(r.a, r.b): r.distance for r in resolve.near_names(spark.createDataFrame(rows, "id long, name string"), "id", F.col("name")).collect()}
     assert got == {(0, i): 0 for i in range(1, 50)} | {(100, 100 + i): 0 for i in range(1, 50)} | {(0, 100): 2}
+
+
+def test_heavy_steps_are_spread_and_drafts_told_once(spark):
+    from shelfmark.functions import scoring
+    from shelfmark.plans import planner
+
+    t = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").coalesce(1)
+    assert planner.searches(t).rdd.getNumPartitions() == 4 and planner._drafted(t).rdd.getNumPartitions() == 4
+    none, lit = F.array().cast("array<string>"), F.lit
+    d = {"work": lit("Violin Sonata"), "work_latin": lit("Violin Sonata"), "catalogue": lit("Op. 24"), "composer": lit("X"), "composer_latin": lit("X"), "title": lit(""), "day": lit("May 1950"), "raw": lit(""), "slots": F.array(F.array(lit("Anna Berg"))), "ensembles": none, "ensembles_latin": none}
+    known = spark.range(1).select(scoring.known(d).alias("k"), lit("Berg: Sonata for violin, op.24: I. Allegro 1950").alias("text"))
+    facts = scoring.with_facts(known, F.col("text"), lit("u"), lit(""), F.col("k"))
+    got = facts.withColumns(scoring.terms(lit(0), lit(False))).first()
+    assert (got.h_work, got.h_leads, got.h_years, got.h_single) == (True, 1, 1, True) and (got.work, got.years, got.marks, got.kind) == (0.25, 0.08, 0.0, -0.08)
