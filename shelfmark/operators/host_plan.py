@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import matching, names, queries
 from shelfmark.functions.text import trimmed
+from shelfmark.operators import shared
 
 
 @dataclass(frozen=True)
@@ -73,24 +74,29 @@ OTHER = Plan(
 )
 
 
-def hinted(query: Column, catalogue: Column, mentions: Column, spared: Column) -> Column:
-    """query with the catalogue's mark at its end, where it asks for the item's work without it: holds one of `mentions`; unless spared."""
-    q, c = trimmed(query), trimmed(catalogue)
-    plain, mark = matching.plain(q), matching.plain(c)
+def hinted(q: Column, plain: Column, catalogue: Column, mentions: Column, spared: Column) -> Column:
+    """q (trimmed, and plain) with the catalogue's mark at its end, where it asks for the item's work without it: holds one of `mentions`; unless spared."""
+    c = trimmed(catalogue)
     names_work = F.exists(F.coalesce(mentions, names.none()), lambda m: F.contains(plain, m))
-    return F.when((q == "") | (c == "") | F.contains(plain, mark) | spared | ~names_work, q).otherwise(F.concat(q, F.lit(" "), c))
+    return F.when((q == "") | (c == "") | F.contains(plain, matching.plain(c)) | spared | ~names_work, q).otherwise(F.concat(q, F.lit(" "), c))
+
+
+def plain_slots(slots: Column) -> Column:
+    """Each slot's names (the names of one lead) as plain texts, without blank ones."""
+    return F.transform(F.coalesce(slots, F.array().cast("array<array<string>>")), lambda s: F.filter(F.transform(s, matching.plain), lambda v: v != ""))
 
 
 def slot_hits(plain: Column, slots: Column) -> Column:
-    """In how many slots (each the names of one lead) a name stands in the text."""
-    return F.size(F.filter(F.coalesce(slots, F.array().cast("array<array<string>>")), lambda s: F.exists(s, lambda v: (trimmed(v) != "") & F.contains(plain, matching.plain(v)))))
+    """In how many of plain_slots a name stands in the text."""
+    return F.size(F.filter(slots, lambda s: F.exists(s, lambda v: F.contains(plain, v))))
+
 
+def _turn(slices: tuple[tuple[str, int, int], ...]) -> Column:
+    """The number of the first slice that holds a row; null without one. The slices are a short literal."""
+    return F.coalesce(*(F.when((F.col("generator") == g) & (F.col("position") >= a) & (F.col("position") < b), i) for i, (g, a, b) in enumerate(slices)), F.lit(None).cast("int"))
 
-def _sliced(rows: DataFrame, slices: tuple[tuple[str, int, int], ...]) -> DataFrame:
-    """rows with `turn`, a row for each slice that holds it. The slices are a short literal."""
-    table = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("turn")) for i, (g, a, b) in enumerate(slices)))
-    held = F.filter(table, lambda s: (s["g"] == F.col("generator")) & (F.col("position") >= s["a"]) & (F.col("position") < s["b"]))
-    return rows.select("*", F.explode(F.transform(held, lambda s: s["turn"])).alias("turn"))
+
+_FLAGS = ("work_rescue", "year_anchor", "exact_collaboration")
 
 
 def planned(rows: DataFrame, items: DataFrame, plan: Plan, item: str = "item") -> DataFrame:
@@ -99,30 +105,38 @@ def planned(rows: DataFrame, items: DataFrame, plan: Plan, item: str = "item") -
     rows: item, generator, position, query, anchors (marks that injections ask for). items, one row each: item, catalogue, work, composer (texts that a
     better query holds), slots (names of each lead), joint_first (queries that name two leads come first), mentions (plain texts of which one says that
     the item's work is asked for), spare_bundles (queries for bundles of works get no mark), dated (the item has a year: no exact collaboration
-    is put in). Null texts are ''; items without rows have no queries."""
-    # one shuffle: all that follows groups by item, alone or with a text
-    dealt = rows.select(item, "generator", "position", "query", "anchors").join(items, item).repartition(item)
-    facts = queries.classified(queries.described(dealt)).filter("q_length > 0")
+    is put in). Null texts are ''; items without rows have no queries.
+
+    One pass: rows are dealt by item once, each text of an item is described once as it is and once with its mark, however many generators have it, and
+    places are told by numbering rows."""
+    wanted = {c: F.lower(trimmed(F.col(c))) for c in ("work", "composer")} | {"slots": plain_slots(F.col("slots")), "mark": F.lower(trimmed(F.col("catalogue")))}
+    at = F.struct("generator", "position", F.coalesce("anchors", names.none()).alias("anchors"))
+    texts = shared.spread(rows.select(item, "generator", "position", "query", "anchors"), item).groupBy(item, "query").agg(F.collect_list(at).alias("at"))
+    dealt = texts.join(items.withColumns(wanted), item)
+    facts = queries.classified(queries.described(dealt)).filter("q_length > 0").withColumn("q_plain", matching.plain(F.col("q_text")))
     low = F.col("q_lower")
-    has = lambda c: F.when((F.lower(trimmed(F.col(c))) != "") & F.contains(low, F.lower(trimmed(F.col(c)))), 0).otherwise(1)
-    pair_first = F.coalesce("joint_first", F.lit(False)) & (slot_hits(matching.plain(low), F.col("slots")) >= 2)
-    fit = F.struct(F.when(pair_first, 0).otherwise(1).alias("pair"), F.when(F.col("q_cjk") == plan.cjk, 0).otherwise(1).alias("script"), has("catalogue").alias("cat"), has("work").alias("work"), has("composer").alias("composer"), F.col("q_length").alias("length"))
-    anchors = F.coalesce("anchors", names.none())
-    marked = facts.select(
-        item, "generator", "position", F.col("q_text").alias("text"), F.col("q_lower").alias("lower"), fit.alias("fit"), anchors.alias("anchors"), "year_anchor", "exact_collaboration", F.col("q_cjk").alias("cjk"),
-        hinted(F.col("q_text"), F.col("catalogue"), F.col("mentions"), F.coalesce("spare_bundles", F.lit(False)) & F.col("bundle_rescue")).alias("hinted"), F.coalesce("dated", F.lit(False)).alias("dated"),
+    has = lambda c: F.when((F.col(c) != "") & F.contains(low, F.col(c)), 0).otherwise(1)
+    pair_first = F.coalesce("joint_first", F.lit(False)) & (slot_hits(F.col("q_plain"), F.col("slots")) >= 2)
+    fit = F.struct(F.when(pair_first, 0).otherwise(1).alias("pair"), F.when(F.col("q_cjk") == plan.cjk, 0).otherwise(1).alias("script"), has("mark").alias("cat"), has("work").alias("work"), has("composer").alias("composer"), F.col("q_length").alias("length"))
+    entry = F.struct(F.col("q_text").alias("text"), *(F.col(c) for c in _FLAGS), F.col("q_collaboration").alias("joint"))
+    spared = F.coalesce("spare_bundles", F.lit(False)) & F.col("bundle_rescue")
+    once_told = facts.select(
+        item, "at", F.col("q_lower").alias("lower"), fit.alias("fit"), F.col("q_cjk").alias("cjk"), F.col("q_length").alias("length"), entry.alias("raw"),
+        hinted(F.col("q_text"), F.col("q_plain"), F.col("catalogue"), F.col("mentions"), spared).alias("query"), F.coalesce("dated", F.lit(False)).alias("dated"),
     )
-    # each text of the sorted part once, at its first place
-    seen = _sliced(marked, plan.sorted).groupBy(item, "lower").agg(F.min_by(F.struct(*(c for c in marked.columns if c not in (item, "lower"))), F.struct("turn", "position")).alias("x"), F.min(F.struct("turn", "position")).alias("at"))
-    fitted = seen.select(item, "lower", "x.*", F.struct(F.lit(1).alias("late"), F.col("x.fit").alias("fit"), F.col("at.turn").alias("turn"), F.col("at.position").alias("position")).alias("place"))
+    told = queries.classified(queries.described(once_told)).select(*once_told.columns, entry.alias("hinted"), F.lower("query").alias("_k"))
+    each = told.withColumn("at", F.explode("at")).select("*", "at.generator", "at.position", "at.anchors", F.array_contains("at.anchors", "named_duo").alias("duo")).drop("at")
+    marked = each.withColumns({c: F.col(c).withField("duo", F.col("duo")) for c in ("raw", "hinted")})
     zero = F.struct(*(F.lit(0).alias(n) for n in ("pair", "script", "cat", "work", "composer", "length")))
-    ahead = lambda slices: _sliced(marked, slices).withColumn("place", F.struct(F.lit(0).alias("late"), zero.alias("fit"), "turn", "position")).drop("turn")
-    line = ahead(plan.first).unionByName(fitted)
-    once = line.groupBy(item, F.lower("hinted").alias("_k")).agg(F.min_by(F.struct(F.col("hinted").alias("query"), "anchors"), "place").alias("x"), F.min("place").alias("place"))
-    entry = lambda: F.struct(F.col("q_text").alias("text"), *(F.col(c) for c in ("work_rescue", "year_anchor", "exact_collaboration")), F.col("q_collaboration").alias("joint"), F.array_contains("anchors", "named_duo").alias("duo"))
-    described = queries.classified(queries.described(once.select(item, "place", "x.*")))
-    finals = described.groupBy(item).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", entry().alias("e")))), lambda x: x["e"]).alias("chosen"))
-    finals = _with_candidates(finals, marked, fitted, ahead, plan, item, entry)
+    place = lambda late, fit, turn: F.when(turn.isNotNull(), F.struct(F.lit(late).alias("late"), fit.alias("fit"), turn.alias("turn"), F.col("position").alias("position")))
+    # each text of the sorted part once, at its first place; then each query once
+    turn = F.row_number().over(Window.partitionBy(item, "lower").orderBy(F.asc_nulls_last("_turn"), "position"))
+    sorted_ = marked.withColumn("_turn", _turn(plan.sorted)).withColumn("_late", F.when(turn == 1, place(1, F.col("fit"), F.col("_turn"))))
+    lined = sorted_.withColumn("_place", F.coalesce(place(0, zero, _turn(plan.first)), "_late"))
+    first = F.row_number().over(Window.partitionBy(item, "_k").orderBy(F.asc_nulls_last("_place")))
+    numbered = lined.withColumn("_line", F.when((first == 1) & F.col("_place").isNotNull(), F.struct(F.col("_place").alias("place"), F.col("hinted").alias("e"))))
+    wanted = _candidates(plan, place, zero)
+    finals = numbered.groupBy(item).agg(F.transform(F.array_sort(F.collect_list("_line")), lambda x: x["e"]).alias("chosen"), *wanted).filter(F.size("chosen") > 0)
     for k, i in enumerate(plan.injections):
         finals = _injected(finals, F.col(f"_i{k}"), i)
     if plan.year:
@@ -133,21 +147,20 @@ def planned(rows: DataFrame, items: DataFrame, plan: Plan, item: str = "item") -
     return out.filter(F.col("query").isNotNull()).withColumn("ordinal", F.col("ordinal") + 1)
 
 
-def _with_candidates(finals: DataFrame, marked: DataFrame, fitted: DataFrame, ahead, plan: Plan, item: str, entry) -> DataFrame:
-    """finals with a column for each injection (_i0, ...), _year, _exact and _dated: entries that may be put in."""
+def _candidates(plan: Plan, place, zero: Column) -> list[Column]:
+    """An aggregate for each injection (_i0, ...), _year, _exact and _dated: entries that may be put in."""
     if not plan.injections:
-        return finals
-    raw = queries.classified(queries.described(marked.select(item, "generator", "position", F.col("text").alias("query"), "anchors", "dated")))
-    best = [F.min_by(F.when((F.col("generator") == i.generator) & F.array_contains("anchors", i.mark), entry()), F.when((F.col("generator") == i.generator) & F.array_contains("anchors", i.mark), F.col("position"))).alias(f"_i{k}") for k, i in enumerate(plan.injections)]
-    by_mark = raw.groupBy(item).agg(*best, F.bool_or("dated").alias("_dated"))
-    of = lambda df, level: df.select(item, F.col("text").alias("query"), "anchors", "cjk", "place", level.alias("level"), F.col("year_anchor").alias("_y"), F.col("exact_collaboration").alias("_e"))
-    own = marked.filter("generator = 'year_anchor'").withColumn("place", F.lit(None).cast(fitted.schema["place"].dataType))
-    pool = of(own, F.lit(0)).unionByName(of(ahead(plan.year), F.lit(1))).unionByName(of(fitted, F.lit(1)))
-    years = queries.classified(queries.described(pool.filter("_y")))
-    year = years.groupBy(item).agg(F.min_by(entry(), F.struct("level", (~F.col("cjk")).cast("int"), "q_length", "q_text")).alias("_year"))
-    both = queries.classified(queries.described(of(ahead(plan.exact), F.lit(0)).unionByName(of(fitted, F.lit(1))).filter("_e")))
-    exact = both.groupBy(item).agg(F.min_by(entry(), "place").alias("_exact"))
-    return finals.join(by_mark, item, "left").join(year, item, "left").join(exact, item, "left")
+        return []
+    raw = F.col("raw")
+    marked = lambda i: (F.col("generator") == i.generator) & F.array_contains("anchors", i.mark)
+    out = [F.min_by(F.when(marked(i), raw), F.when(marked(i), F.col("position"))).alias(f"_i{k}") for k, i in enumerate(plan.injections)] + [F.bool_or("dated").alias("_dated")]
+    late = F.col("_late").isNotNull()
+    if plan.year:
+        level = F.when(F.col("generator") == "year_anchor", 0).when(late | _turn(plan.year).isNotNull(), 1)
+        out.append(F.min_by(raw, F.when(raw["year_anchor"] & level.isNotNull(), F.struct(level, (~F.col("cjk")).cast("int"), F.col("length"), raw["text"]))).alias("_year"))
+    if plan.exact:
+        out.append(F.min_by(raw, F.when(raw["exact_collaboration"], F.coalesce(place(0, zero, _turn(plan.exact)), "_late"))).alias("_exact"))
+    return out
 
 
 def _injected(df: DataFrame, wanted: Column, i: Injection) -> DataFrame:

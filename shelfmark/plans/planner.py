@@ -219,7 +219,7 @@ _ANCHORS = ("named_duo", "compact_duo,solo_cjk", "latin_duo", "trailer", "bundle
 
 def generated(t):
     """item, generator, position, query, anchors: each part's texts, three times over, dealt to generators."""
-    each = t("part").select(F.col("p_partkey").alias("item"), F.posexplode(F.array(*map(F.expr, _TEXTS))).alias("k", "query")).select("*", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("r"))
+    each = shared.spread(t("part"), "p_partkey").select(F.col("p_partkey").alias("item"), F.posexplode(F.array(*map(F.expr, _TEXTS))).alias("k", "query")).select("*", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("r"))
     names, marks = F.array(*map(F.lit, _GENERATORS)), F.array(*map(F.lit, _ANCHORS))
     dealt = each.withColumn("generator", F.get(names, F.expr(f"CAST((k * 3 + r * 5 + item * 7) % {len(_GENERATORS)} AS INT)"))).withColumn("anchors", F.split(F.get(marks, F.expr(f"CAST((k + item) % {len(_ANCHORS)} AS INT)")), ","))
     place = F.row_number().over(Window.partitionBy("item", "generator").orderBy("k", "r")) - 1

@@ -232,3 +232,14 @@ def test_heavy_steps_are_spread_and_drafts_told_once(spark):
     facts = scoring.with_facts(known, F.col("text"), lit("u"), lit(""), F.col("k"))
     got = facts.withColumns(scoring.terms(lit(0), lit(False))).first()
     assert (got.h_work, got.h_leads, got.h_years, got.h_single) == (True, 1, 1, True) and (got.work, got.years, got.marks, got.kind) == (0.25, 0.08, 0.0, -0.08)
+
+
+def test_host_plans_read_their_rows_once(spark):
+    from shelfmark.operators import host_plan
+
+    rows = spark.createDataFrame([(1, "latin", 0, "Anna Berg concerto 1950", ["named_duo"])], "item long, generator string, position int, query string, anchors array<string>")
+    items = spark.createDataFrame([(1, "Op. 1", "", "", [["Anna"]], False, [""], False, True)], "item long, catalogue string, work string, composer string, slots array<array<string>>, joint_first boolean, mentions array<string>, spare_bundles boolean, dated boolean")
+    for plan in (host_plan.CHINESE, host_plan.OTHER):
+        out = host_plan.planned(rows, items, plan)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+        assert [(r.ordinal, r.query) for r in out.collect()] == [(1, "Anna Berg concerto 1950 Op. 1")]
