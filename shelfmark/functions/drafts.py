@@ -26,16 +26,14 @@ def work_query(work: Column, other: Column, catalogue: Column, title: Column) ->
 
 def shaped(work: Column, composer: Column, leads: Column, ensembles: Column, title: Column, day: Column) -> Column:
     """Every shape with each of up to three leads and ensembles (none counts as one that is ''), without empty parts; each query once, in order."""
-    few = lambda values: F.when(F.size(names.distinct(values)) == 0, F.array(F.lit(""))).otherwise(F.slice(names.distinct(values), 1, 3))
-    pairs = F.flatten(F.transform(few(leads), lambda lead: F.transform(few(ensembles), lambda e: F.struct(lead.alias("lead"), e.alias("ensemble")))))
-
-    def query(shape: Column, pair: Column) -> Column:
-        parts = (("T", title), ("C", composer), ("W", work), ("L", pair["lead"]), ("E", pair["ensemble"]), ("D", day))
-        said = F.array(*(F.when(F.contains(shape, F.lit(k)), trimmed(c)) for k, c in parts))
-        return F.array_join(F.filter(said, lambda x: x.isNotNull() & (x != "")), " ")
-
-    every = F.flatten(F.transform(F.array(*map(F.lit, SHAPES)), lambda s: F.transform(pairs, lambda p: query(s, p))))
-    return F.array_distinct(F.filter(every, lambda x: x != ""))
+    few = lambda values: matching.let(names.distinct(values), lambda x: F.when(F.size(x) == 0, F.array(F.lit(""))).otherwise(F.slice(x, 1, 3)))
+    said = lambda c: F.nullif(trimmed(c), F.lit(""))
+    pairs = lambda es: F.flatten(F.transform(few(leads), lambda lead: F.transform(es, lambda e: F.struct(F.nullif(lead, F.lit("")).alias("L"), F.nullif(e, F.lit("")).alias("E")))))
+    own = F.struct(said(title).alias("T"), said(composer).alias("C"), said(work).alias("W"), said(day).alias("D"), matching.let(few(ensembles), pairs).alias("pairs"))
+    # texts are trimmed once a draft; a shape is a fixed list of them, and parts that are missing are left out
+    query = lambda d, shape: lambda pair: F.concat_ws(" ", *(pair[k] if k in "LE" else d[k] for k in "TCWLED" if k in shape))
+    every = lambda d: F.flatten(F.array(*(F.transform(d["pairs"], query(d, s)) for s in SHAPES)))
+    return F.array_distinct(F.filter(matching.let(own, every), lambda x: x != ""))
 
 
 def surname(c: Column) -> Column:

@@ -307,7 +307,8 @@ f AS (SELECT item, query, min([k, i]) AS turn FROM q WHERE query <> '' GROUP BY
 def draft_queries(t):
     """Ten shapes of queries for each of a draft's people and ensembles, in order, each once (ops R7, J25)."""
     made = _drafted(t).select("item", D.shaped(F.col("named"), F.col("composer"), F.array("lead_a", "lead_b"), F.array("ensemble"), F.col("title"), F.col("day")).alias("q"))
-    return made.select("item", F.posexplode("q").alias("place", "query")).withColumn("place", F.col("place") + 1)
+    # outer, then filtered: a plain explode has a filter of its input, which the optimizer works out once more before the rows are dealt
+    return made.select("item", F.posexplode_outer("q").alias("place", "query")).filter(F.col("query").isNotNull()).withColumn("place", F.col("place") + 1)
 
 
 _SUR = lambda c: f"CASE WHEN regexp_matches({c}, '^[^ ]+ .*[^ ]{{4,}}$') THEN regexp_extract({c}, '(?i)^[^ ]+ (?:[^ ]+ )*?((?:(?:{'|'.join(D.PARTICLES)}) )*[^ ]{{4,}})$', 1) ELSE {c} END"

@@ -243,3 +243,15 @@ def test_host_plans_read_their_rows_once(spark):
         out = host_plan.planned(rows, items, plan)
         assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
         assert [(r.ordinal, r.query) for r in out.collect()] == [(1, "Anna Berg concerto 1950 Op. 1")]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draft_queries_work_after_rows_are_dealt(spark):
+    from shelfmark.plans import catalogue
+
+    plan = _optimized(catalogue.QUERIES["draft_queries"](spark, "/root/testdata/sf0.001"))
+    above, below = plan.split("RepartitionByExpression")
+    assert "array_distinct" in above and "array_distinct" not in below and "Filter" not in below
