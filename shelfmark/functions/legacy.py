@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from shelfmark.functions import rules
+from shelfmark.functions import matching, rules
 
 def _lists(first: str, second: str) -> ArrayType:
     return ArrayType(StructType([StructField(first, StringType()), StructField(second, StringType())]))
@@ -101,19 +101,25 @@ def flat(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[\s\x{a0}]+", " "))
 
 
-def _says(label: Column, held: tuple[str, ...], equal: tuple[str, ...]) -> Column:
-    letters = F.trim(F.regexp_replace(F.lower(label), "[^a-z]+", " "))
+def _says(label: Column, letters: Column, held: tuple[str, ...], equal: tuple[str, ...]) -> Column:
     out = letters.isin(*equal)
     for word in held:
         out = out | F.contains(label, F.lit(word))
     return out
 
 
+def _letters(label: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(label), "[^a-z]+", " "))
+
+
 def role_of(label: Column) -> Column:
-    out = F.lit("soloist")
-    for role, held, equal in reversed(ROLES):
-        out = F.when(_says(label, held, equal), role).otherwise(out)
-    return out
+    def tell(letters: Column) -> Column:
+        out = F.lit("soloist")
+        for role, held, equal in reversed(ROLES):
+            out = F.when(_says(label, letters, held, equal), role).otherwise(out)
+        return out
+
+    return matching.let(_letters(label), tell)
 
 
 def day_and_place(c: Column) -> Column:
@@ -131,22 +137,28 @@ def said(paragraphs: Column) -> Column:
     else the value."""
     form = r"^([^：:]+)[：:]\s*(.+)$"
 
-    def one(p: Column) -> Column:
-        text = flat(p["text"])
-        label, value = flat(F.regexp_extract(text, form, 1)), flat(F.regexp_extract(text, form, 2))
-        kind = (
-            F.when(_says(label, DATES, DATES_EN), "when").when(_says(label, ALBUMS, ALBUMS_EN), "album").when(_says(label, LABELS, LABELS_EN), "label")
-            .when(_says(label, RELEASES, RELEASES_EN), "release").when(_says(label, CREDITS, CREDITS_EN), "credit").otherwise("other")
+    def parts(text: Column) -> Column:
+        return F.struct(flat(F.regexp_extract(text, form, 1)).alias("label"), flat(F.regexp_extract(text, form, 2)).alias("value"))
+
+    def kind(x: Column, letters: Column) -> Column:
+        says = lambda held, equal: _says(x["label"], letters, held, equal)
+        return (
+            F.when(says(DATES, DATES_EN), "when").when(says(ALBUMS, ALBUMS_EN), "album").when(says(LABELS, LABELS_EN), "label")
+            .when(says(RELEASES, RELEASES_EN), "release").when(says(CREDITS, CREDITS_EN), "credit").otherwise("other")
         )
-        return F.struct(kind.alias("kind"), label.alias("label"), value.alias("value"), F.coalesce(F.nullif(flat(p["link"]), F.lit("")), value).alias("name"))
 
-    return F.filter(F.transform(paragraphs, one), lambda x: x["value"] != "")
+    # each step is a list of its own, so that a text that several places ask for is worked out once
+    cut = F.transform(paragraphs, lambda p: F.struct(matching.let(flat(p["text"]), parts).alias("x"), p["link"].alias("link")))
+    held = F.filter(cut, lambda c: c["x"]["value"] != "")
+    return F.transform(held, lambda c: F.struct(
+        matching.let(_letters(c["x"]["label"]), lambda letters: kind(c["x"], letters)).alias("kind"), c["x"]["label"].alias("label"), c["x"]["value"].alias("value"), F.coalesce(F.nullif(flat(c["link"]), F.lit("")), c["x"]["value"]).alias("name"),
+    ))
 
 
 def recording_fields(page: Column) -> dict[str, Column]:
     """links, images, credits and texts of an outlined page, of its column `said`: of a kind the last paragraph counts."""
     last = lambda kind: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("said", lambda x: x["kind"] == kind), lambda x: x["value"])), -1), F.lit(""))
-    when = day_and_place(last("when"))
+    when = matching.let(last("when"), day_and_place)
     links = F.filter(F.transform(page["links"], lambda x: F.struct(F.trim(x["href"]).alias("url"), flat(x["text"]).alias("title"))), lambda x: x["url"].rlike("^https?://"))
     credits = F.filter("said", lambda x: (x["kind"] == "credit") & ~F.lower(x["name"]).isin("", "-", "unknown", "未知"))
     return {

@@ -255,3 +255,12 @@ def test_draft_queries_work_after_rows_are_dealt(spark):
     plan = _optimized(catalogue.QUERIES["draft_queries"](spark, "/root/testdata/sf0.001"))
     above, below = plan.split("RepartitionByExpression")
     assert "array_distinct" in above and "array_distinct" not in below and "Filter" not in below
+
+
+def test_paragraphs_are_read_once_each(spark):
+    from shelfmark.functions import legacy
+
+    page = spark.createDataFrame([([("Date :  2001, Wien ", None), ("no label", None), ("Conductor: A", " B ")],)], "p array<struct<text:string,link:string>>")
+    out = page.select(legacy.said(F.col("p")).alias("said"))
+    assert _optimized(out).count("regexp_extract(") == 2
+    assert [tuple(x) for x in out.first()[0]] == [("when", "Date", "2001, Wien", "2001, Wien"), ("credit", "Conductor", "A", "B")]
