@@ -250,7 +250,7 @@ def _optimized(df):
 
 
 def test_draft_queries_work_after_rows_are_dealt(spark):
-    from shelfmark.plans import catalogue
+    from shelfmark.plans import catalogue, planner  # noqa: F401  planner adds the query
 
     plan = _optimized(catalogue.QUERIES["draft_queries"](spark, "/root/testdata/sf0.001"))
     above, below = plan.split("RepartitionByExpression")
