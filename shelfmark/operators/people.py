@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names
 from shelfmark.functions.text import trimmed
-from shelfmark.operators import resolve
+from shelfmark.operators import resolve, shared
 
 LEGACY = ("fullName", "displayName", "displayFullName", "displayLatinName")
 
@@ -98,22 +98,32 @@ def group_keys(people: DataFrame) -> DataFrame:
 
 def group_replacements(people: DataFrame) -> DataFrame:
     """(id, replacement): for groups that are thin or whose slug holds other data, the best known group of a fitting role that shares a name
-    key or comes within two edits of one; nothing where that one is not better known. Keys meet by equality, near ones by their rarest
-    grams (resolve.near_pairs)."""
+    key or comes within two edits of one; nothing where that one is not better known. Keys meet by equality, near ones by what is left of them
+    without two characters (resolve.near_tails) or without their ends.
+
+    Of the groups of one key the two best known are enough, for any role and for a chorus's (one may be the group itself), so copies of a name
+    don't meet each other. Only better known groups meet at all, and pairs are told apart before they are sorted."""
     q = names.quality({c: F.col(c) for c in people.columns})
     low = is_thin(people, True) | names.is_polluted(F.col("slug"), F.col("roles"))
     role = F.when(F.array_contains("roles", "orchestra"), "orchestra").when(F.array_contains("roles", "chorus"), "chorus").otherwise("ensemble")
-    poor = people.filter(low).select(F.col("id").alias("a"), role.alias("role"), q.alias("quality_a"))
-    good = people.filter(~names.is_placeholder_person(F.col("id"), F.col("name"))).select(F.col("id").alias("b"), "roles", q.alias("quality_b"))
-    keys = group_keys(people)
-    left = keys.join(poor.select(F.col("a").alias("id")), "id", "left_semi")
-    equal = left.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").select("a", "b")
-    wide = lambda k: k.filter(F.length("key") >= 12).select("id", F.col("key").alias("name"))
-    alike = (F.substring("name_a", 1, 8) == F.substring("name_b", 1, 8)) | F.contains("name_a", "name_b") | F.contains("name_b", "name_a")
-    near = resolve.near_pairs(wide(left), wide(keys), 2).filter(alike).select("a", "b")
-    met = equal.union(near).distinct().filter("a <> b").join(poor, "a").join(good, "b").filter(names.fits_role(F.col("role"), F.col("roles")))
-    best = met.groupBy("a", "quality_a").agg(F.min(F.struct((-F.col("quality_b")).alias("n"), "b")).alias("best"))
-    return best.filter(-F.col("best.n") > F.col("quality_a")).select(F.col("a").alias("id"), F.col("best.b").alias("replacement"))
+    facts = people.select("id", "roles", role.alias("role"), q.alias("quality"), low.alias("low"), names.is_placeholder_person(F.col("id"), F.col("name")).alias("blank"))
+    keys = shared.written(group_keys(people).join(facts, "id"))
+    poor = keys.filter("low").select(F.col("id").alias("a"), "role", F.col("quality").alias("quality_a"), F.col("key").alias("key_a"))
+    chorus = names.fits_role(F.lit("chorus"), F.col("roles"))
+    w = Window.orderBy(F.desc("quality"), "id")
+    ranked = keys.filter("NOT blank").withColumn("fits", chorus).withColumns({"_any": F.row_number().over(w.partitionBy("key")), "_fit": F.row_number().over(w.partitionBy("key", "fits"))})
+    good = ranked.filter("_any <= 2 OR fits AND _fit <= 2").select(F.col("id").alias("b"), "roles", F.col("quality").alias("quality_b"), F.col("key").alias("key_b"))
+    better = (F.col("quality_b") > F.col("quality_a")) & (F.col("a") != F.col("b")) & names.fits_role(F.col("role"), F.col("roles"))
+    pair = ["a", "quality_b", "b"]
+    equal = poor.join(good, F.col("key_a") == F.col("key_b")).filter(better).select(*pair)
+    wide_a, wide_b = poor.filter(F.length("key_a") >= 12), good.filter(F.length("key_b") >= 12)
+    near = resolve.near_tails(wide_a, "key_a", wide_b, "key_b", 8, 2, better).select(*pair)
+    # one key within the other: the longer without its ends
+    ends = lambda k: F.array_distinct(F.array(*(F.substring(k, 1 + i, F.length(k) - i - j) for i, j in ((1, 0), (0, 1), (2, 0), (1, 1), (0, 2)))))
+    inner = wide_a.join(wide_b.withColumn("_in", F.explode(ends(F.col("key_b")))), F.col("key_a") == F.col("_in")).filter(better).select(*pair)
+    outer = wide_a.withColumn("_in", F.explode(ends(F.col("key_a")))).join(wide_b, F.col("key_b") == F.col("_in")).filter(better).select(*pair)
+    best = equal.union(near).union(inner).union(outer).groupBy("a").agg(F.min(F.struct((-F.col("quality_b")).alias("n"), "b")).alias("best"))
+    return best.select(F.col("a").alias("id"), F.col("best.b").alias("replacement"))
 
 
 def split_composite(credits: Column) -> Column:
