@@ -111,7 +111,7 @@ def planned(rows: DataFrame, items: DataFrame, plan: Plan, item: str = "item") -
     places are told by numbering rows."""
     wanted = {c: F.lower(trimmed(F.col(c))) for c in ("work", "composer")} | {"slots": plain_slots(F.col("slots")), "mark": F.lower(trimmed(F.col("catalogue")))}
     at = F.struct("generator", "position", F.coalesce("anchors", names.none()).alias("anchors"))
-    texts = shared.spread(rows.select(item, "generator", "position", "query", "anchors"), item).groupBy(item, "query").agg(F.collect_list(at).alias("at"))
+    texts = shared.spread(rows.select(item, "generator", "position", "query", "anchors"), item, rows=None).groupBy(item, "query").agg(F.collect_list(at).alias("at"))
     dealt = texts.join(items.withColumns(wanted), item)
     facts = queries.classified(queries.described(dealt)).filter("q_length > 0").withColumn("q_plain", matching.plain(F.col("q_text")))
     low = F.col("q_lower")
