@@ -134,9 +134,7 @@ def _prepared(most: int) -> str:
 @query(f"WITH {_POOL}, {_prepared(3)}, {_prepared(4)}, {_prepared(6)} FROM out3 UNION ALL FROM out4 UNION ALL FROM out6")
 def prepared_queries(t):
     """Three, four and six queries of each item: by runtime order, then one of each class in the last slot that may go (op R9b)."""
-    pooled = query_choice.pools(searches(t))
-    out = [query_choice.spelled(query_choice.prepared(pooled, most), "chosen").withColumn("most", F.lit(most)) for most in (3, 4, 6)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("item", "most", "ordinal", "query")
+    return query_choice.prepared_each(query_choice.pools(searches(t)), (3, 4, 6))
 
 
 #: Rows that searches find: of each item's lines, those numbered one and two in the first pass, all in the second.
@@ -205,7 +203,7 @@ def second_pass_rows(t):
     """Both passes' rows together, the second read for triggered items alone, with the row that is promoted (op R9e)."""
     asked, rows = searches(t), found_rows(t)
     first = rows.filter("line <= 2").drop("line")
-    triggered = second_pass.triggers(asked, first)
+    triggered = shared.written(second_pass.triggers(asked, first))
     return second_pass.both_passes(first, rows.drop("line"), triggered, second_pass.probes(asked, triggered))
 
 
