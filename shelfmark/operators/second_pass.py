@@ -25,28 +25,29 @@ def is_opus_probe() -> Column:
     return ~F.col("q_slash") & (queries.any_of(F.col("q_lower"), NAMED) | F.col("q_lower").rlike(OPUS) | queries.any_of(F.col("q_lower"), ("op24", "op57")))
 
 
-def _most_frequent(tokens: DataFrame, item: str, keep: Column, most: int) -> DataFrame:
-    """item, tokens: by count, then length, then text; counts combine before the shuffle."""
-    counted = tokens.groupBy(item, "token").agg(F.count("*").alias("n")).filter(keep)
-    ranked = counted.groupBy(item).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.length("token")).alias("l"), F.col("token").alias("t")))).alias("x"))
-    return ranked.select(item, F.transform(F.slice("x", 1, most), lambda v: v["t"]).alias("tokens"))
+def _said(counts: str, n: Column, keep: Column, most: int) -> Column:
+    """Of counted tokens those that are kept, `most` at most: by count, then length, then text."""
+    order = F.struct((-n).alias("n"), (-F.length("token")).alias("l"), F.col("token").alias("t"))
+    return F.transform(F.slice(F.array_sort(F.collect_list(F.when(keep, order))), 1, most), lambda v: v["t"]).alias(counts)
 
 
-def duo_tokens(facts: DataFrame, item: str) -> DataFrame:
-    """item, tokens: up to four Latin words that at least two of its queries' words are."""
-    latin = facts.select(item, F.explode(F.regexp_extract_all("q_lower", F.lit("[A-Za-z]{3,}"), 0)).alias("token"))
-    return _most_frequent(latin.filter(~F.col("token").isin(*STOP)), item, F.col("n") >= 2, 4)
+def wanted(facts: DataFrame, item: str) -> DataFrame:
+    """item, chamber, joint, opus (what its queries ask for), duo_tokens: up to four Latin words that at least two of its queries' words are,
+    solo_tokens: up to three: Latin words seen twice, or Chinese ones of three and more characters, which may be seen once.
 
-
-def solo_tokens(facts: DataFrame, item: str) -> DataFrame:
-    """item, tokens: up to three: Latin words seen twice, or Chinese ones of three and more characters, which may be seen once."""
+    Facts are read once: a row for each word, counted by item and word, then by item."""
     latin = F.filter(F.regexp_extract_all("q_lower", F.lit("[A-Za-z]{3,}"), 0), lambda x: ~x.isin(*STOP))
     chunks = F.transform(F.regexp_extract_all("q_text", F.lit("[一-鿿·]{2,}"), 0), lambda x: F.replace(x, F.lit("·"), F.lit("")))
     segments = F.filter(F.split("q_text", r"(?U)[·•・／/|,，、\s]+"), lambda x: x != "")
     last = F.when(F.col("q_cjk"), F.slice(segments, -1, 1)).otherwise(F.array().cast("array<string>"))
     names = F.filter(F.concat(chunks, last), lambda x: (F.length(x) >= 3) & ~x.isin(*CJK_STOP_WHOLE) & ~queries.any_of(x, CJK_STOP))
-    tokens = facts.select(item, F.explode(F.concat(latin, names)).alias("token"))
-    return _most_frequent(tokens, item, (F.col("n") >= 2) | F.col("token").rlike("[一-鿿]"), 3)
+    marked = lambda xs, of_latin: F.transform(xs, lambda x: F.struct(x.alias("token"), F.lit(of_latin).alias("latin")))
+    flags = {"chamber": queries.any_of(F.col("q_lower"), CHAMBER), "joint": F.col("q_collaboration"), "opus": is_opus_probe()}
+    ever = [F.bool_or(k).alias(k) for k in flags]
+    words = facts.select(item, *(c.alias(k) for k, c in flags.items()), F.explode_outer(F.concat(marked(latin, 1), marked(names, 0))).alias("x"))
+    counted = words.groupBy(item, F.col("x.token").alias("token")).agg(*ever, F.sum("x.latin").alias("latin"), F.count("x.token").alias("n"))
+    n, of_latin = F.col("n"), F.col("latin")
+    return counted.groupBy(item).agg(*ever, _said("duo_tokens", of_latin, of_latin >= 2, 4), _said("solo_tokens", n, (n >= 2) | F.col("token").rlike("[一-鿿]"), 3))
 
 
 def triggers(asked: DataFrame, first: DataFrame, item: str = "item", query: str = "query", text: str = "text") -> DataFrame:
@@ -54,25 +55,21 @@ def triggers(asked: DataFrame, first: DataFrame, item: str = "item", query: str
 
     duo: a chamber work and several people are asked for, and no row names two of them. solo: a named work is asked for, and no row holds
     it with one of the people. Items without rows count as lacking."""
-    facts = queries.described(asked, query).filter("q_length > 0")
-    signal = facts.groupBy(item).agg(F.bool_or(queries.any_of(F.col("q_lower"), CHAMBER)).alias("_chamber"), F.bool_or("q_collaboration").alias("_joint"), F.bool_or(is_opus_probe()).alias("_opus"))
-    none = F.array().cast("array<string>")
-    known = signal.join(duo_tokens(facts, item).withColumnRenamed("tokens", "duo_tokens"), item, "left").join(solo_tokens(facts, item).withColumnRenamed("tokens", "solo_tokens"), item, "left")
-    known = known.withColumns({c: F.coalesce(c, none) for c in ("duo_tokens", "solo_tokens")})
-    hay = matching.plain(F.col(text))
-    seen = first.select(item, hay.alias("_hay")).filter("_hay <> ''").join(known.select(item, "duo_tokens", "solo_tokens"), item)
+    known = wanted(queries.described(asked, query).filter("q_length > 0"), item)
+    seen = first.select(item, matching.plain(F.col(text)).alias("_hay"))
     held = lambda tokens: F.size(F.filter(tokens, lambda x: F.contains("_hay", x)))
-    found = seen.groupBy(item).agg(F.bool_or(held("duo_tokens") >= 2).alias("_two"), F.bool_or((held("solo_tokens") >= 1) & queries.any_of(F.col("_hay"), NAMED_WORKS)).alias("_one"))
-    out = known.join(found, item, "left")
-    duo = F.col("_chamber") & F.col("_joint") & (F.size("duo_tokens") >= 2) & ~F.coalesce("_two", F.lit(False))
-    solo = F.col("_opus") & (F.size("solo_tokens") >= 1) & ~F.coalesce("_one", F.lit(False))
+    two, one = held("duo_tokens") >= 2, (held("solo_tokens") >= 1) & queries.any_of(F.col("_hay"), NAMED_WORKS)
+    out = known.join(seen, item, "left").groupBy(*known.columns).agg(F.bool_or(two).alias("_two"), F.bool_or(one).alias("_one"))
+    duo = F.col("chamber") & F.col("joint") & (F.size("duo_tokens") >= 2) & ~F.coalesce("_two", F.lit(False))
+    solo = F.col("opus") & (F.size("solo_tokens") >= 1) & ~F.coalesce("_one", F.lit(False))
     return out.select(item, "duo_tokens", "solo_tokens", duo.alias("duo"), solo.alias("solo"))
 
 
 def probes(asked: DataFrame, triggered: DataFrame, item: str = "item", position: str = "position", query: str = "query", most: int = 6) -> DataFrame:
     """item, ordinal (from 1), query: what items with a trigger are asked again: trailers of the complete works that their queries name (duo), the two best
     queries for the named work (solo), then their other queries in order; each once, `most` at most."""
-    facts = queries.classified(queries.described(asked, query)).filter("q_length > 0").join(triggered.filter("duo OR solo").select(item, "duo", "solo"), item)
+    again = queries.once(asked, item, position, query).join(triggered.filter("duo OR solo").select(item, "duo", "solo"), item)
+    facts = queries.classified(queries.described(again, query))
     text = F.col("q_text")
     trailer = ~F.col("q_cjk") & ~F.col("q_slash") & ~F.contains("q_lower", F.lit("trailer")) & F.contains("q_lower", F.lit("complete")) & queries.any_of(F.col("q_lower"), PROBED) & F.col("q_collaboration")
     bare = F.trim(F.regexp_replace(text, queries.YEAR, ""))
@@ -80,11 +77,10 @@ def probes(asked: DataFrame, triggered: DataFrame, item: str = "item", position:
     focused = F.trim(F.regexp_replace(F.when(at > 0, F.substring(bare, at, F.length(bare))).otherwise(bare), r"\s+", " "))
     opus = F.struct(F.col("q_cjk").cast("int"), (~text.rlike(OPUS)).cast("int"), "r_focus", "q_length", F.col(position).alias("at"))
     one = lambda stage, order, c, keep: F.when(keep, F.struct(F.lit(stage).alias("stage"), order.alias("order"), c.alias("query")))
-    first = facts.groupBy(item, "q_lower").agg(F.min_by(F.struct(*(c for c in facts.columns if c not in (item, "q_lower"))), position).alias("x")).select(item, "q_lower", "x.*")
     best = F.slice(F.array_sort(F.collect_list(F.when(is_opus_probe() & F.col("solo"), F.struct(opus.alias("o"), text.alias("query"))))), 1, 2)
     rest = F.collect_list(F.struct(F.lit(2).alias("stage"), F.col(position).cast("long").alias("order"), text.alias("query")))
     trailers = F.collect_list(one(0, F.col(position).cast("long"), F.concat(focused, F.lit(" trailer")), trailer & F.col("duo")))
-    per = first.groupBy(item).agg(trailers.alias("_t"), best.alias("_s"), rest.alias("_r"))
+    per = facts.groupBy(item).agg(trailers.alias("_t"), best.alias("_s"), rest.alias("_r"))
     solo = F.transform("_s", lambda x, i: F.struct(F.lit(1).alias("stage"), i.cast("long").alias("order"), x["query"].alias("query")))
     ordered = F.transform(F.array_sort(F.concat("_t", solo, "_r")), lambda x: x["query"])
     once = F.filter(ordered, lambda x, i: F.array_position(F.transform(ordered, F.lower), F.lower(x)) == i + 1)
