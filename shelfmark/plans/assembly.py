@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfmark.operators import assembly
+from shelfmark.operators import assembly, shared
 
 from .catalogue import query
 
@@ -183,7 +183,7 @@ def _sql() -> str:
 
 def link_candidates(t):
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    made = t("lineitem").withColumn("pos", F.row_number().over(order).cast("long")).selectExpr("pos", *(f"{e} AS {n}" for n, e in _CANDIDATES.items()))
+    made = shared.spread(t("lineitem"), "l_partkey", rows=1_000_000).withColumn("pos", F.row_number().over(order).cast("long")).selectExpr("pos", *(f"{e} AS {n}" for n, e in _CANDIDATES.items()))
     return made.filter(_KEPT)
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,3 +265,22 @@ def test_paragraphs_are_read_once_each(spark):
     out = page.select(legacy.said(F.col("p")).alias("said"))
     assert _optimized(out).count("regexp_extract(") == 2
     assert [tuple(x) for x in out.first()[0]] == [("when", "Date", "2001, Wien", "2001, Wien"), ("credit", "Conductor", "A", "B")]
+
+
+def test_links_are_assembled_in_few_sorts(spark):
+    """A task's memory is what its sorts hold: lines by part, items, candidates by platform and by place, however many stages there are."""
+    from shelfmark.plans import assembly, catalogue  # noqa: F401  assembly adds the query
+
+    plan = catalogue.QUERIES["assembled_links"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) == 4 and "BroadcastHashJoin" not in plan
+
+
+def test_places_are_told_without_an_order(spark):
+    from shelfmark.operators import assembly
+
+    rows = [(1, "a", 0, 0.5, True), (1, "b", 1, 0.5, True), (1, "a", 2, 0.9, False), (1, "b", 3, None, True), (1, "a", 4, 0.7, None), (2, "a", 0, None, True)]
+    df = spark.createDataFrame(rows, "item int, platform string, pos int, x double, want boolean")
+    put = lambda most, over: {(r.item, r.pos): r._place for r in assembly._places(df, F.col("want"), F.col("x"), over, most).collect() if r._place}
+    assert put(2, assembly.ITEM) == {(1, 0): 1, (1, 1): 2, (2, 0): 1}
+    assert put(9, assembly.ITEM) == {(1, 0): 1, (1, 1): 2, (1, 3): 3, (2, 0): 1}
+    assert put(1, assembly.PLATFORM) == {(1, 0): 1, (1, 1): 1, (2, 0): 1}
