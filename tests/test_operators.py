@@ -284,3 +284,37 @@ def test_places_are_told_without_an_order(spark):
     assert put(2, assembly.ITEM) == {(1, 0): 1, (1, 1): 2, (2, 0): 1}
     assert put(9, assembly.ITEM) == {(1, 0): 1, (1, 1): 2, (1, 3): 3, (2, 0): 1}
     assert put(1, assembly.PLATFORM) == {(1, 0): 1, (1, 1): 1, (2, 0): 1}
+
+
+def test_search_index_takes_credits_apart_once(spark):
+    """Credits are read for their texts (Arrow, of those that name no person) and for the rest, and put together in one aggregate."""
+    from shelfmark.operators import indexes
+
+    credit = "struct<role:string,personId:string,displayName:string,label:string>"
+    who = spark.createDataFrame([("p1", "a", "Anna Berg", "", "", [], [], ["conductor"]), ("p2", "b", "Bea Tal", "", "", [], [], ["soloist"])], "id string, slug string, name string, nameLatin string, country string, countries array<string>, aliases array<string>, roles array<string>")
+    groups = spark.createDataFrame([], "id string, composerId string, title string, path array<string>")
+    works = spark.createDataFrame([("w1", "p1", [], "Sonata", "", [], "")], "id string, composerId string, groupIds array<string>, title string, titleLatin string, aliases array<string>, catalogue string")
+    made = [
+        ("r1", [("conductor", "p3", "Other", "x"), ("soloist", "p1", "Anna", ""), ("soloist", "p2", "Bea", ""), ("soloist", "p2", "Again", ""), ("soloist", "", "Ｘ.Y", ""), ("soloist", None, "x y", "")]),
+        ("r2", []), ("r3", None), ("r4", [("reader", "p9", "Read Er", "")]),
+    ]
+    recordings = spark.createDataFrame([(i, "w1", "Old", "concerto", "1950", "", "", c) for i, c in made], f"id string, workId string, title string, workTypeHint string, performanceDateText string, venueText string, notes string, credits array<{credit}>")
+    links = spark.createDataFrame([("p3", "p1")], "alias string, canonical string")
+    out = indexes.search_index({"composers": who, "people": who, "workGroups": groups, "works": works, "recordings": recordings}, links)
+    got = {r.id: (r.primary_text, r.match_tokens) for r in out.filter("kind = 'recording'").collect()}
+    said = ["Other", "x", "p3", "Anna", "p1", "Bea", "p2", "Again", "Ｘ.Y", "x y"]
+    assert got["r1"] == ("Anna Berg - Bea Tal - Ｘ.Y - 1950", ["Anna Berg - Bea Tal - Ｘ.Y - 1950", "Sonata", "Anna Berg", "1950", *said])
+    assert got["r2"][0] == got["r3"][0] == got["r4"][0] == "1950" and got["r4"][1] == ["1950", "Sonata", "Anna Berg", "Read Er", "p9"]
+    plan = _optimized(out.filter("kind = 'recording'").select("kind", "id", "primary_text", "secondary_text", "href"))
+    assert len(re.findall(r"Aggregate \[id.*collect_list", plan)) == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_arrow_sees_no_credits_that_name_people(spark):
+    from shelfmark.operators import display
+
+    credit = "struct<role:string,personId:string,displayName:string,label:string>"
+    people = spark.createDataFrame([("p1", "Anna", "", [])], "id string, name string, nameLatin string, aliases array<string>")
+    r = spark.createDataFrame([("r1", [("conductor", "p1", "A", "")])], f"id string, credits array<{credit}>")
+    plan = _optimized(display.credit_displays(r, people))
+    below = plan.split("ArrowEvalPython", 1)[1].split("Generate", 1)[0]
+    assert "Filter" in below and "personId" in below
