@@ -309,6 +309,33 @@ def test_search_index_takes_credits_apart_once(spark):
     assert len(re.findall(r"Aggregate \[id.*collect_list", plan)) == 1 and plan.count("ArrowEvalPython") == 1
 
 
+def test_search_index_holds_tokens_and_articles(spark):
+    """Albums and labels are searched by, articles are entries, null arrays don't take the other tokens with them; the query shows all of it."""
+    from shelfmark.operators import indexes
+    from shelfmark.plans import catalogue, library  # noqa: F401, F811  library adds its queries to catalogue
+
+    credit = "struct<role:string,personId:string,displayName:string,label:string>"
+    who = spark.createDataFrame([("p1", "a", "Anna Berg", "", "", [], ["AB"], ["conductor"])], "id string, slug string, name string, nameLatin string, country string, countries array<string>, aliases array<string>, roles array<string>")
+    groups = spark.createDataFrame([("g1", "p1", "Trios", None)], "id string, composerId string, title string, path array<string>")
+    works = spark.createDataFrame([("w1", "p1", ["g1"], "Sonata", "Sonate", None, "")], "id string, composerId string, groupIds array<string>, title string, titleLatin string, aliases array<string>, catalogue string")
+    made = [("r1", " Album ", "Label", [("soloist", "p1", "Anna", "")]), ("r2", None, "", None)]
+    recordings = spark.createDataFrame([(i, "w1", "Old", "solo", "1950", "", "", a, b, c) for i, a, b, c in made], f"id string, workId string, title string, workTypeHint string, performanceDateText string, venueText string, notes string, albumTitle string, label string, credits array<{credit}>")
+    articles = spark.createDataFrame([("a1", "on-trios", "On trios", None, " Text\nof it\n")], "id string, slug string, title string, summary string, markdown string")
+    lib = {"composers": who, "people": who, "workGroups": groups, "works": works, "recordings": recordings, "articles": articles}
+    got = {(r.kind, r.id): r for r in indexes.search_index(lib, spark.createDataFrame([], "alias string, canonical string")).collect()}
+    assert got["recording", "r1"].match_tokens == ["Anna Berg - 1950", "Sonata", "Sonate", "Anna Berg", "1950", "Album", "Label", "Anna", "p1"]
+    assert got["recording", "r2"].match_tokens == ["1950", "Sonata", "Sonate", "Anna Berg"]
+    assert got["workGroup", "g1"].match_tokens == ["Trios", "Anna Berg"] and got["work", "w1"].match_tokens == ["Sonata", "Sonate", "Trios", "Anna Berg"]
+    a = got["article", "a1"]
+    assert (a.primary_text, a.href, a.match_tokens, a.alias_tokens) == ("On trios", "/columns/on-trios/", ["On trios", "on-trios", "Text\nof it"], [])
+    assert got["conductor", "p1"].alias_tokens == ["AB", "Anna Berg"]
+
+    shown = catalogue.QUERIES["search_index"](spark, "/root/testdata/sf0.001")
+    kinds = {r.kind: r for r in shown.groupBy("kind").agg(F.count("*").alias("n"), F.min("n_tokens").alias("least"), F.max(F.length("alias_tokens")).alias("alias")).collect()}
+    assert kinds["article"].n == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(r.least > 0 for r in kinds.values()) and kinds["composer"].alias > 0 and kinds["work"].alias > 0
+
+
 def test_arrow_sees_no_credits_that_name_people(spark):
     from shelfmark.operators import display
 
